@@ -15,14 +15,12 @@ def longest_literal(pattern: Column) -> Column:
 
 def pieces_of(text: Column, lengths: list[int]) -> Column:
     """All distinct substrings of `text` with one of the given lengths."""
-    runs = [
-        F.when(
-            F.length(text) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substring(text, i, F.lit(n)))
-            if n else F.array(F.lit("")),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in lengths
-    ]
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(n))) if n else F.array(F.lit(""))
+        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    runs = [of_length(n) for n in lengths]
     return F.array_distinct(F.flatten(F.array(*runs)))
 
 
