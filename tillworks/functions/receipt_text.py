@@ -69,7 +69,7 @@ def dollars_to_cents(amount: Column | str) -> Column:
 
 def split_summary(summary: Column | str) -> Column:
     """Names in a comma list, trimmed, in order."""
-    return F.transform(F.split(_col(summary), ","), F.trim)
+    return F.transform(F.split(_col(summary), ","), lambda name: F.trim(name))
 
 
 def has_department(departments: Column | str, wanted: list[str]) -> Column:

@@ -1,6 +1,6 @@
 """All named queries and their SQL."""
 
-from tillworks.registry import gold, lookup, search  # noqa: F401
+from tillworks.registry import gold, governance, lookup, search, streams, vectors  # noqa: F401
 from tillworks.registry.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
