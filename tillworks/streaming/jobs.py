@@ -112,10 +112,10 @@ class TokenBucket(StatefulProcessor):
         self.state = handle.getValueState("bucket", "credit LONG, last LONG", ttlDurationMs=IDLE_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values(["_at", self.request_id])
-        credit, last = self.state.get() if self.state.exists() else (self.full, int(arrived["_at"].iloc[0]))
+        arrived = pd.concat(list(rows)).sort_values(["at_micros", self.request_id])
+        credit, last = self.state.get() if self.state.exists() else (self.full, int(arrived["at_micros"].iloc[0]))
         refused = []
-        for at in arrived["_at"]:
+        for at in arrived["at_micros"]:
             credit = min(self.full, credit + max(0, int(at) - last))
             last = max(last, int(at))
             allowed = credit >= self.cost_us
@@ -133,9 +133,9 @@ def stream_throttle(
 ) -> DataFrame:
     """Requests refused as they arrive. Needs the RocksDB state store."""
     timed = requests.select(
-        user, request_id, F.col(at).cast("timestamp").alias(at), F.unix_micros(F.col(at).cast("timestamp")).alias("_at")
+        user, request_id, F.col(at).cast("timestamp").alias(at), F.unix_micros(F.col(at).cast("timestamp")).alias("at_micros")
     )
-    output = timed.drop("_at").schema
+    output = timed.drop("at_micros").schema
     return timed.groupBy(user).transformWithStateInPandas(
         statefulProcessor=TokenBucket(rate, burst, output, request_id), outputStructType=output,
         outputMode="append", timeMode="processingTime",
