@@ -121,12 +121,15 @@ def q_audit_stream(spark, folder):
 @query("stream_throttle", _THROTTLE_SQL)
 def q_stream_throttle(spark, folder):
     out = run_folder(spark, "throttle")
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    refused = jobs.stream_throttle(scans.stream_file(spark, folder, "events"), "user_id", "ts", "event_id", **THROTTLE)
-    jobs.run_to_parquet(refused, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = scans.stream_file(spark, folder, "events")
+        refused = jobs.stream_throttle(stream, "user_id", "ts", "event_id", **THROTTLE)
+        jobs.run_to_parquet(refused, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema("user_id bigint, event_id bigint").parquet(f"{out}/rows")
 
 

@@ -7,14 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tillworks.operators.quality import Rule, gate
 from tillworks.sources.scans import stamped
 from tillworks.sources.sinks import dual_write, write_upsert
 
-IDLE_MS = 3_600_000
+IDLE_US = 3_600_000_000
 
 
 def run_to_parquet(
@@ -100,16 +99,22 @@ def stream_sessions(events: DataFrame, user: str = "user_id", at: str = "ts", ga
 
 
 class TokenBucket(StatefulProcessor):
-    """A token bucket per user that outlives batches; idle users are forgotten."""
+    """A token bucket per user that outlives batches.
 
-    def __init__(self, rate: float, burst: int, output: T.StructType, request_id: str):
+    A user is forgotten after an hour of event time, or after the time that fills the bucket if that
+    is longer, so forgetting never changes an answer.
+    """
+
+    def __init__(self, rate: float, burst: int, output: list[str], request_id: str):
         self.cost_us = round(1_000_000 / rate)
         self.full = burst * self.cost_us
+        self.idle_us = max(IDLE_US, self.full)
         self.output = output
         self.request_id = request_id
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "credit LONG, last LONG", ttlDurationMs=IDLE_MS)
+        self.handle = handle
+        self.state = handle.getValueState("bucket", "credit LONG, last LONG")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows)).sort_values(["at_micros", self.request_id])
@@ -122,21 +127,30 @@ class TokenBucket(StatefulProcessor):
             credit -= self.cost_us if allowed else 0
             refused.append(not allowed)
         self.state.update((credit, last))
-        yield arrived[refused][[f.name for f in self.output.fields]]
+        self.handle.registerTimer((last + self.idle_us) // 1000 + 1)
+        yield arrived[refused][self.output]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and (self.state.get()[1] + self.idle_us) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
 def stream_throttle(
-    requests: DataFrame, user: str, at: str, request_id: str, rate: float = 2.0, burst: int = 20
+    requests: DataFrame, user: str, at: str, request_id: str, rate: float = 2.0, burst: int = 20, delay: str = "1 minute"
 ) -> DataFrame:
-    """Requests refused as they arrive. Needs the RocksDB state store."""
-    timed = requests.select(
-        user, request_id, F.col(at).cast("timestamp").alias(at), F.unix_micros(F.col(at).cast("timestamp")).alias("at_micros")
-    )
+    """Requests refused as they arrive, in order of their time within a micro-batch.
+
+    Needs the RocksDB state store. One user's rows of one micro-batch are held in memory, so the size
+    of a micro-batch (files or offsets per trigger) is the bound.
+    """
+    when = F.col(at).cast("timestamp")
+    timed = requests.select(user, request_id, when.alias(at), F.unix_micros(when).alias("at_micros"))
     output = timed.drop("at_micros").schema
-    return timed.groupBy(user).transformWithStateInPandas(
-        statefulProcessor=TokenBucket(rate, burst, output, request_id), outputStructType=output,
-        outputMode="append", timeMode="processingTime",
+    return timed.withWatermark(at, delay).groupBy(user).transformWithStateInPandas(
+        statefulProcessor=TokenBucket(rate, burst, output.names, request_id), outputStructType=output,
+        outputMode="append", timeMode="eventTime",
     )
