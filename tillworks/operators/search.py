@@ -134,7 +134,7 @@ def search_guard(requests: DataFrame) -> DataFrame:
     ))
 
 
-_RATIO = 1.2
+_RATIO = 1.05
 
 
 def _amount_band(amount: Column) -> Column:
@@ -154,6 +154,7 @@ def _matches() -> Column:
         & given("from", F.col("transaction_ts") >= F.col("q_from"))
         & given("to", F.col("transaction_ts") <= F.col("q_to"))
         & given("low", F.col("total_cents").between(F.col("q_low"), F.col("q_high")))
+        & given("store_name", _name_matches("store_name", "q_store_name"))
     )
 
 
@@ -169,62 +170,107 @@ def _stores_named(names: DataFrame, patterns: DataFrame) -> DataFrame:
     return pairs.filter(_name_matches("matched_name", "pattern")).select("pattern", "matched_name")
 
 
-def bulk_fuzzy_search(requests: DataFrame, receipts: DataFrame, stores: DataFrame | None = None) -> DataFrame:
-    """Every request answered as by `fuzzy_search`: its newest `limit` receipts after `offset`, ranked.
+# A request bounded to at most this many months is met month by month.
+_DATED_MONTHS = 24
 
-    Each request goes one way, by the most selective criterion it gives: customer, card, store, store
-    name or amount. Every way is a join on equal keys with the other criteria inside the join
-    condition; names meet stores through shared substrings and amounts through logarithmic bands.
-    Ranking keeps only the newest rows of a request in each task before they are shuffled, so a hot
-    store or a broad request does not send its matches to one place. `stores` (store names) may be
-    given to spare a pass over the receipts.
-    """
+
+def _month(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM")
+
+
+def _asked(requests: DataFrame) -> DataFrame:
+    """Good requests under `q_` names, each with the one way it is answered."""
     low, high = amount_bounds(F.col("amount_min").cast("decimal(20,6)"), F.col("amount_max").cast("decimal(20,6)"))
     good = search_guard(requests).filter(F.col("problem").isNull())
-    by_name = F.col("store_id").isNull() & F.col("store_name").isNotNull()
     asked = good.select(
         "request_id",
         F.col("customer_id").alias("q_customer_id"),
         F.col("store_id").alias("q_store_id"),
-        F.when(by_name, F.col("store_name")).alias("q_store_name"),
+        F.when(F.col("store_id").isNull(), F.col("store_name")).alias("q_store_name"),
         F.col("card_last4").alias("q_card_last4"),
         F.col("date_from").cast("timestamp").alias("q_from"),
         (F.col("date_to").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("q_to"),
         low.alias("q_low"), high.alias("q_high"),
         F.col("offset").alias("q_offset"), (F.col("offset") + F.col("limit")).alias("q_end"),
-    ).withColumn(
-        "way",
+    )
+    way = (
         F.when(F.col("q_customer_id").isNotNull(), "customer").when(F.col("q_card_last4").isNotNull(), "card")
         .when(F.col("q_store_id").isNotNull(), "store").when(F.col("q_store_name").isNotNull(), "name")
-        .otherwise("amount"),
+        .otherwise("amount")
     )
-    names = (stores if stores is not None else receipts).select("store_name").distinct()
-    patterns = asked.filter(F.col("q_store_name").isNotNull()).select(F.col("q_store_name").alias("pattern")).distinct()
-    named = _stores_named(names, patterns)
-
-    def one(way: str) -> DataFrame:
-        return asked.filter(F.col("way") == way)
-
-    name_holds = F.col("q_store_name").isNull() | _name_matches("store_name", "q_store_name")
-    plain = {"customer": "customer_id", "card": "card_last4", "store": "store_id"}
-    found = None
-    for way, key in plain.items():
-        part = one(way).join(receipts, (F.col(f"q_{key}") == F.col(key)) & _matches() & name_holds)
-        found = part if found is None else found.unionByName(part)
-    by_store = (
-        one("name").join(named.withColumnRenamed("pattern", "q_store_name"), "q_store_name")
-        .join(receipts, (F.col("matched_name") == F.col("store_name")) & _matches()).drop("matched_name")
+    dated = (F.col("q_from") <= F.col("q_to")) & (F.months_between("q_to", "q_from") <= _DATED_MONTHS)
+    monthly = F.coalesce(dated & way.isin("store", "name", "amount"), F.lit(False))
+    return asked.withColumn("way", F.when(monthly, F.concat(way, F.lit(" by month"))).otherwise(way))
+
+
+def _request_keys(asked: DataFrame, names: DataFrame, ways: list[str]) -> DataFrame:
+    """Each request with the keys under which its receipts are found."""
+    months = F.transform(
+        F.sequence(F.trunc("q_from", "month"), F.trunc("q_to", "month"), F.expr("INTERVAL 1 MONTH")), _month
+    )
+    whens = F.array(F.lit(""))
+    if any(w.endswith("by month") for w in ways):
+        whens = F.when(F.col("way").endswith("by month"), months).otherwise(whens)
+    kind = F.split("way", " ")[0]
+    if any(w.startswith("name") for w in ways):
+        patterns = asked.filter(kind == "name").select(F.col("q_store_name").alias("pattern")).distinct()
+        named = _stores_named(names, patterns).withColumnRenamed("pattern", "q_store_name")
+        rest = asked.filter(kind != "name").withColumn("matched_name", F.lit(None).cast("string"))
+        resolved = asked.filter(kind == "name").join(named, "q_store_name")
+        asked = rest.unionByName(resolved.withColumn("q_store_name", F.lit(None).cast("string")))
+    else:
+        asked = asked.withColumn("matched_name", F.lit(None).cast("string"))
+    bands = F.sequence(_amount_band(F.col("q_low")), _amount_band(F.col("q_high")))
+    value = (
+        F.when(kind == "customer", F.array(F.col("q_customer_id").cast("string")))
+        .when(kind == "card", F.array("q_card_last4")).when(kind == "store", F.array(F.col("q_store_id").cast("string")))
+        .when(kind == "name", F.array("matched_name"))
+        .otherwise(F.transform(bands, lambda b: b.cast("string")))
     )
-    banded = one("amount").withColumn(
-        "band", F.explode(F.sequence(_amount_band(F.col("q_low")), _amount_band(F.col("q_high"))))
+    keyed = asked.withColumn("_value", F.explode(value)).withColumn("_when", F.explode(whens))
+    return keyed.withColumn("_key", F.concat_ws("|", "way", "_value", "_when")).drop("way", "_value", "_when", "matched_name")
+
+
+def _receipt_keys(receipts: DataFrame, ways: list[str]) -> DataFrame:
+    """Each receipt once per way in use."""
+    values = {
+        "customer": F.col("customer_id").cast("string"), "card": F.col("card_last4"),
+        "store": F.col("store_id").cast("string"), "name": F.col("store_name"),
+        "amount": _amount_band(F.col("total_cents")).cast("string"),
+    }
+    month = _month(F.col("transaction_ts"))
+    keys = [
+        F.when(values[w.split(" ")[0]].isNotNull(), F.concat_ws(
+            "|", F.lit(w), values[w.split(" ")[0]], month if w.endswith("by month") else F.lit("")
+        ))
+        for w in ways
+    ]
+    return receipts.withColumn("_key", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())))
+
+
+def bulk_fuzzy_search(requests: DataFrame, receipts: DataFrame, stores: DataFrame | None = None) -> DataFrame:
+    """Every request answered as by `fuzzy_search`: its newest `limit` receipts after `offset`, ranked.
+
+    Each request goes one way, by the most selective criterion it gives: customer, card, store, store
+    name or amount, the last three also by month where the dates bound it. All ways share one join on
+    equal keys over a single pass of the receipts, with the remaining criteria inside its condition.
+    Names meet stores through shared substrings and amounts through logarithmic bands. Ranking keeps
+    only the newest rows of a request in each task before they are shuffled, so a hot store or a broad
+    request does not send its matches to one place. `stores` (store names) may be given to spare a
+    pass over the receipts.
+    """
+    asked = _asked(requests)
+    summary = asked.groupBy("way").agg(F.max("q_end").alias("last")).collect()
+    ways = sorted(r["way"] for r in summary)
+    if not ways:
+        empty = receipts.limit(0).select("*", F.lit(None).cast("int").alias("position"))
+        return empty.join(requests.select("request_id"), F.lit(False)).select("request_id", "position", *receipts.columns)
+    names = (stores if stores is not None else receipts).select("store_name").distinct()
+    keyed = _request_keys(asked, names, ways)
+    found = _receipt_keys(receipts, ways).join(keyed, "_key").filter(_matches()).select(
+        "request_id", "q_offset", "q_end", *receipts.columns
     )
-    by_amount = banded.join(
-        receipts.withColumn("_band", _amount_band(F.col("total_cents"))),
-        (F.col("band") == F.col("_band")) & _matches(),
-    ).drop("band", "_band")
-    found = found.unionByName(by_store).unionByName(by_amount)
-    last = asked.agg(F.max("q_end")).first()[0] or 0
-    ranked = top_per_key(found, ["request_id"], newest_first(), int(last), "position")
+    ranked = top_per_key(found, ["request_id"], newest_first(), int(max(r["last"] for r in summary)), "position")
     return ranked.filter((F.col("position") > F.col("q_offset")) & (F.col("position") <= F.col("q_end"))).select(
         "request_id", "position", *receipts.columns
     )
