@@ -333,8 +333,8 @@ def test_delivery(spark):
 def test_context_of_guest_and_customer(spark):
     heads = headers(spark, header("T1"), header("T2", customer_id=None), header("T3", customer_id="C2", transaction_ts=ts("2025-01-01")))
     lines = items(spark, item("T1", 1), item("T1", 2, department_code="CHEESE", extended_cents=900))
-    profiles = context.serving_profiles(lines, heads)
     spending = gold.spending_summary(lines, heads)
+    profiles = context.serving_profiles(heads, spending)
     receipts = heads.withColumn("item_count", F.lit(1))
     card = context.rep_briefing(context.customer_context(profiles, receipts, spending, "2026-03-01"))
     rows = {r.customer_id: r for r in card.collect()}

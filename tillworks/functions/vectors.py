@@ -30,6 +30,17 @@ def cosine_similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(F.size(left) == F.size(right), dot(left, right) / F.nullif(norms, F.lit(0.0)))
 
 
+def similarity_to(column: Column | str, values: Sequence[float]) -> Column:
+    """Cosine similarity to one known vector, brought to unit length beforehand."""
+    col = F.col(column) if isinstance(column, str) else column
+    length = float(np.linalg.norm(np.asarray(values, dtype="float64")))
+    if length == 0:
+        return F.lit(None).cast("double")
+    unit = literal_vector([float(v) / length for v in values])
+    norm = F.nullif(F.sqrt(dot(col, col)), F.lit(0.0))
+    return F.when(F.size(col) == len(values), dot(col, unit) / norm)
+
+
 def embedder(embed: Callable[[list[str]], list[Sequence[float]]], batch: int = EMBED_BATCH) -> Callable[[Column], Column]:
     """A vector column function that sends texts to `embed` in batches."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillworks.functions.receipt_text import embed_text
-from tillworks.functions.vectors import cosine_similarity, literal_vector
+from tillworks.functions.vectors import similarity_to
 from tillworks.operators.dedup import top_per_key
 
 # Queries held in memory by a task at a time; more are answered in several passes.
@@ -30,14 +30,14 @@ def semantic_search(
     """
     if category is not None:
         products = products.filter(F.col("category") == F.lit(category))
-    scored = products.withColumn("similarity", cosine_similarity("embedding", literal_vector(query)))
+    scored = products.withColumn("similarity", similarity_to("embedding", query))
     near = F.col("similarity") >= threshold if inclusive else F.col("similarity") > threshold
     return scored.filter(near).drop("embedding").orderBy(F.desc("similarity"), F.asc(key)).limit(limit)
 
 
 def vector_topk(products: DataFrame, query: Sequence[float], limit: int = 10, key: str = "sku") -> DataFrame:
     """The nearest products by cosine distance, without a threshold."""
-    scored = products.withColumn("distance", 1 - cosine_similarity("embedding", literal_vector(query)))
+    scored = products.withColumn("distance", 1 - similarity_to("embedding", query))
     return scored.filter(F.col("distance").isNotNull()).drop("embedding").orderBy("distance", key).limit(limit)
 
 

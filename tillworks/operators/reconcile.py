@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillworks.operators.dedup import top_per_key
@@ -13,12 +13,21 @@ GAP_TEXT = "Gap detected — consider triggering a Gold pipeline refresh."
 NO_GAP_TEXT = "No gap detected. Synced tables are current."
 
 
-def gap_anti_join(hot: DataFrame, lake: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
-    """Hot receipts of the last hours that the lake does not have."""
-    since = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(hours)} HOURS")
-    return hot.filter(F.col("transaction_ts") >= since).join(
-        lake.select("transaction_id"), "transaction_id", "left_anti"
-    )
+def gap_anti_join(
+    hot: DataFrame, lake: DataFrame, as_of: str, hours: int = 24, lake_hours: int | None = None
+) -> DataFrame:
+    """Hot receipts of the last hours that the lake does not have.
+
+    Where receipts carry the same time in both stores, `lake_hours` limits the lake to its recent part,
+    so that only the latest files are read.
+    """
+    def since(span: int) -> Column:
+        return F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(span)} HOURS")
+
+    if lake_hours is not None:
+        lake = lake.filter(F.col("transaction_ts") >= since(lake_hours))
+    recent = hot.filter(F.col("transaction_ts") >= since(hours))
+    return recent.join(lake.select("transaction_id"), "transaction_id", "left_anti")
 
 
 def reconcile_gap_summary(missing: DataFrame, hours: int = 24) -> DataFrame:

@@ -327,14 +327,20 @@ def trigrams(text: Column) -> Column:
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared over all trigrams; 0 where neither text has any."""
-    left, right = trigrams(a), trigrams(b)
-    union = F.size(F.array_union(left, right))
-    return F.when(union > 0, F.size(F.array_intersect(left, right)) / union).otherwise(F.lit(0.0))
+    return _overlap(trigrams(a), trigrams(b))
+
+
+def _overlap(left: Column, right: Column) -> Column:
+    shared = F.size(F.array_intersect(left, right))
+    union = F.size(left) + F.size(right) - shared
+    return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
 def trigram_match(df: DataFrame, column: str, text: str, threshold: float = 0.3) -> DataFrame:
     """Rows whose text resembles `text` despite typing errors, with their `similarity`."""
-    scored = df.withColumn("similarity", trigram_similarity(F.col(column), F.lit(text)))
+    wanted = df.sparkSession.range(1).select(trigrams(F.lit(text))).first()[0]
+    known = F.lit(wanted) if wanted else F.array().cast("array<string>")
+    scored = df.withColumn("similarity", _overlap(trigrams(F.col(column)), known))
     return scored.filter(F.col("similarity") >= threshold)
 
 

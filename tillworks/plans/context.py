@@ -13,14 +13,10 @@ from tillworks.operators.search import capped_result
 from tillworks.plans import gold
 
 
-def serving_profiles(items: DataFrame, headers: DataFrame, customers: DataFrame | None = None) -> DataFrame:
+def serving_profiles(headers: DataFrame, spending: DataFrame, customers: DataFrame | None = None) -> DataFrame:
     """Profiles under the names readers ask for; names and tier come from an optional customer table."""
-    profiles = (
-        gold.customer_totals(headers)
-        .join(gold.top_categories(items, headers), "customer_id", "left")
-        .join(gold.visit_frequency(headers).drop("visits"), "customer_id", "left")
-        .join(gold.preferred_store(headers).drop("visits"), "customer_id", "left")
-    )
+    top = gold.categories(gold.top_departments_of(spending))
+    profiles = gold.customer_overview(headers).join(top, "customer_id", "left")
     return profiles if customers is None else profiles.join(customers, "customer_id", "left")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillworks.functions.receipt_text import item_summary, month_key, product_key, week_key
@@ -92,34 +92,78 @@ def department_spend(items: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def top_departments(items: DataFrame, headers: DataFrame, limit: int = 5) -> DataFrame:
-    """The departments a customer spends most in, in order, as an array of at most `limit` structs."""
-    ranked = top_per_key(
-        department_spend(items, headers), ["customer_id"],
-        [F.desc("dept_spend_cents"), F.asc("department_code")], limit, "rank",
-    )
+def _top(spend: DataFrame, limit: int) -> DataFrame:
+    order = [F.desc("dept_spend_cents"), F.asc("department_code")]
+    ranked = top_per_key(spend, ["customer_id"], order, limit, "rank")
     in_order = F.sort_array(F.collect_list(F.struct("rank", "department_code", "dept_spend_cents")))
     return ranked.groupBy("customer_id").agg(
         F.transform(in_order, lambda d: F.struct(d["department_code"], d["dept_spend_cents"])).alias("top_departments")
     )
 
 
+def top_departments(items: DataFrame, headers: DataFrame, limit: int = 5) -> DataFrame:
+    """The departments a customer spends most in, in order, as an array of at most `limit` structs."""
+    return _top(department_spend(items, headers), limit)
+
+
+def top_departments_of(spending: DataFrame, limit: int = 5) -> DataFrame:
+    """The same from a spending summary, without touching the items again."""
+    spend = spending.groupBy("customer_id", "department_code").agg(F.sum("total_spend_cents").alias("dept_spend_cents"))
+    return _top(spend, limit)
+
+
 def customer_profiles(items: DataFrame, headers: DataFrame) -> DataFrame:
     return customer_totals(headers).join(top_departments(items, headers), "customer_id", "left")
 
 
-def top_categories(items: DataFrame, headers: DataFrame) -> DataFrame:
-    return top_departments(items, headers).select(
+def categories(top: DataFrame) -> DataFrame:
+    """Only the names of the top departments."""
+    return top.select(
         "customer_id", F.transform("top_departments", lambda d: d["department_code"]).alias("top_categories")
     )
 
 
+def top_categories(items: DataFrame, headers: DataFrame) -> DataFrame:
+    return categories(top_departments(items, headers))
+
+
+def days_between_visits(first: str, last: str, visits: str) -> Column:
+    return F.datediff(last, first) / F.nullif(F.col(visits) - 1, F.lit(0))
+
+
+def customer_overview(headers: DataFrame) -> DataFrame:
+    """Lifetime figures, visit frequency and preferred store of every customer from one pass.
+
+    After the sums per customer and store, a customer is left with one row per store.
+    """
+    per_store = _loyal(headers, "transaction_ts", "total_cents", "store_id", "store_name").groupBy(
+        "customer_id", "store_id"
+    ).agg(
+        F.count(F.lit(1)).alias("trips"), F.sum("total_cents").alias("spend"),
+        F.min("transaction_ts").alias("first_ts"), F.max("transaction_ts").alias("last_ts"),
+        F.max("store_name").alias("store_name"), F.collect_set(month_key("transaction_ts")).alias("months"),
+    )
+    favourite = F.min(F.struct(-F.col("trips"), F.col("store_id"), F.col("store_name")))
+    totals = per_store.groupBy("customer_id").agg(
+        F.sum("trips").alias("total_transactions"), F.sum("spend").alias("lifetime_spend_cents"),
+        F.min("first_ts").alias("first_transaction"), F.max("last_ts").alias("last_transaction"),
+        F.count("store_id").alias("stores_visited"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("months")))).alias("active_months"),
+        favourite.alias("_store"),
+    )
+    return totals.select(
+        "*", F.expr("lifetime_spend_cents div total_transactions").alias("avg_basket_cents"),
+        days_between_visits("first_transaction", "last_transaction", "total_transactions").alias("visit_frequency_days"),
+        F.col("_store.store_id").alias("preferred_store_id"), F.col("_store.store_name").alias("preferred_store_name"),
+    ).drop("_store")
+
+
 def visit_frequency(headers: DataFrame) -> DataFrame:
     """Average days between visits; NULL for a single visit."""
     visits = _loyal(headers, "transaction_ts").groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("visits"), F.min("transaction_ts").alias("first"), F.max("transaction_ts").alias("last")
     )
-    days = F.datediff("last", "first") / F.nullif(F.col("visits") - 1, F.lit(0))
+    days = days_between_visits("first", "last", "visits")
     return visits.select("customer_id", "visits", days.alias("visit_frequency_days"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillworks.functions import receipt_text as rt
-from tillworks.operators import lookup, reconcile, search
-from tillworks.plans import context, gold
+from tillworks.operators import lookup, quality, reconcile
+from tillworks.plans import batch, context
 from tillworks.registry.base import BOTH, GOLD, ITEMS, RECEIPTS, clean_items, clean_receipts, flat, query, text_ts, ts
 from tillworks.registry.gold import PROFILES, SPENDING, gold_table, spending_table
+from tillworks.session import run_folder
 from tillworks.sources import scans
 from tillworks.sources import warehouse as wh
 
@@ -161,11 +162,16 @@ spent AS (
 
 
 def context_rows(spark, folder):
-    items, headers = clean_items(spark, folder), clean_receipts(spark, folder)
-    receipts = headers.withColumn("item_count", F.lit(None).cast("bigint"))
-    return context.customer_context(
-        context.serving_profiles(items, headers), receipts, gold.spending_summary(items, headers), AS_OF
+    """Context rows over stored silver and spending tables."""
+    root = run_folder(spark, "context")
+    rules = {"item_rules": quality.ITEM_RULES[:4]}
+    headers, lines = batch.write_silver(
+        wh.raw_receipts(spark, folder), wh.raw_items(spark, folder, with_product=False), root, **rules
     )
+    items = lines.join(wh.products(spark, folder), "sku", "left")
+    spending = batch.write_gold(headers, items, root, ("spending_summary",))["spending_summary"]
+    receipts = headers.withColumn("item_count", F.lit(None).cast("bigint"))
+    return context.customer_context(context.serving_profiles(headers, spending), receipts, spending, AS_OF)
 
 
 @query("customer_context", f"""WITH {_CONTEXT}

@@ -10,6 +10,8 @@ from tillworks.registry.base import (
     BOTH, LINES, RAW_ITEMS, RAW_RECEIPTS, RECEIPTS, clean_items, clean_receipts, flat, query, ts,
 )
 from tillworks.registry.governance import _AUDIT_NAMES, _AUDIT_SQL, _LOG, _THROTTLE_SQL, THROTTLE, access_log
+from tillworks.plans import batch, gold
+from tillworks.registry.gold import SPENDING
 from tillworks.session import run_folder
 from tillworks.sources import scans, sinks
 from tillworks.sources import warehouse as wh
@@ -239,3 +241,37 @@ def q_dual_sink(spark, folder):
 def q_clean_items(spark, folder):
     checked = quality.accepted(quality.validate_items(wh.raw_items(spark, folder)))
     return dedup_items(checked).select("transaction_id", "item_seq")
+
+
+_SPENDING_SQL = f"""WITH {SPENDING}
+SELECT customer_id, department_code, month_key, total_spend_cents, total_discount_cents, item_count, trip_count FROM spending"""
+_SPENT = ["customer_id", "department_code", "month_key", "total_spend_cents", "total_discount_cents", "item_count", "trip_count"]
+
+
+# The same dedup on lines that already carry their product text, which then takes part in settling ties.
+_DESCRIBED_SQL = _SPENDING_SQL.replace(LINES, RAW_ITEMS + """,
+lines AS (
+  SELECT * EXCLUDE (rn, p_partkey, p_name, p_brand, p_type, p_size, p_retailprice) FROM (
+    SELECT *, row_number() OVER (PARTITION BY transaction_id, item_seq
+             ORDER BY ingested_ts DESC, p_type DESC, discount_cents DESC, event_id DESC, extended_cents DESC,
+                      p_name DESC, quantity DESC, sku DESC, unit_price_cents DESC) AS rn
+    FROM raw_items LEFT JOIN part ON p_partkey = sku)
+  WHERE rn = 1 AND extended_cents >= 0)
+""")
+
+
+@query("run_batch", _DESCRIBED_SQL)
+def q_run_batch(spark, folder):
+    """All gold tables from the raw feed; the spending table is returned."""
+    root = run_folder(spark, "batch")
+    return batch.run_batch(wh.raw_receipts(spark, folder), wh.raw_items(spark, folder), root)["spending_summary"].select(*_SPENT)
+
+
+@query("run_stream", _SPENDING_SQL)
+def q_run_stream(spark, folder):
+    """The same table, with the silver layer fed by streams."""
+    root = run_folder(spark, "stream")
+    streams = {"receipts": order_stream(spark, folder).withColumn("store_id", F.lit(1)), "items": line_stream(spark, folder)}
+    headers, lines = batch.run_stream(spark, streams, root, item_rules=quality.ITEM_RULES[:4])
+    items = lines.join(wh.products(spark, folder), "sku", "left")
+    return gold.spending_summary(items, headers).select(*_SPENT)

@@ -35,6 +35,12 @@ def clustered_write(df: DataFrame, path: str, columns: Sequence[str], parts: int
     ranged.sortWithinPartitions(*columns).write.mode(mode).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite") -> DataFrame:
+    """A catalog table hashed and sorted by a key; tables with the same key and buckets join without a shuffle."""
+    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.read.table(table)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
@@ -60,7 +66,7 @@ def write_if_absent(df: DataFrame, root: str, keys: Sequence[str], version: int)
     and the same statuses, since only earlier versions count as being there.
     """
     spark = df.sparkSession
-    there = read_versions(spark, root, df.schema, before=version).select(*keys).distinct()
+    there = read_versions(spark, root, df.schema, before=version).select(*keys)
     rest = [F.asc(c) for c in df.columns if c not in keys and not isinstance(df.schema[c].dataType, T.MapType)]
     first = top_per_key(df, keys, rest or [F.lit(1)])
     _write_version(first.join(there, list(keys), "left_anti").select(*df.columns), root, version)
