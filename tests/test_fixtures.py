@@ -650,3 +650,54 @@ def test_latest_row_of_hot_key_is_limited_before_the_shuffle(spark, capsys):
     latest.explain()
     plan = capsys.readouterr().out
     assert plan.count("WindowGroupLimit") == 2 and one(latest).v == 999
+
+
+def test_large_limits_are_ranked_in_parts(spark):
+    from tillworks.operators.dedup import top_per_key
+
+    df = spark.range(6000).select(F.expr("id div 5000").alias("k"), F.col("id").alias("v"))
+    got = top_per_key(df, ["k"], [F.desc("v")], 2000, "r").collect()
+    assert sorted((r.k, r.r, r.v) for r in got) == [(0, i + 1, 4999 - i) for i in range(2000)] + [(1, i + 1, 5999 - i) for i in range(1000)]
+
+
+def test_search_conditions_reach_the_scan(spark, capsys):
+    root = run_folder(spark, "scan")
+    spark.createDataFrame(SEED, SEED_SCHEMA).write.parquet(root)
+    criteria = search.Criteria(store_id="S1", card_last4="4532", date_from="2026-01-01", amount_min=10, amount_max=100)
+    search.fuzzy_search(spark.read.parquet(root), criteria).select("transaction_id").explain()
+    plan = capsys.readouterr().out
+    pushed = plan[plan.index("PushedFilters"):].split("ReadSchema")[0]
+    for column in ("store_id", "card_last4", "transaction_ts", "total_cents"):
+        assert column in pushed
+    assert "store_name" not in plan[plan.index("ReadSchema"):] and "TakeOrderedAndProject" in plan
+
+
+def test_bucketed_tables_join_without_shuffle(spark, capsys):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = sinks.write_bucketed(spark.range(100).toDF("k"), "bucketed_a", "k", 4)
+        b = sinks.write_bucketed(spark.range(50).toDF("k"), "bucketed_b", "k", 4)
+        joined = a.join(b, "k")
+        joined.explain()
+        assert "Exchange" not in capsys.readouterr().out and joined.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_keys_give_the_same_answers(spark):
+    """A third of all rows on one receipt, customer, store, product and user at once."""
+    n = 3000
+    lines = [item("HOT" if i % 3 == 0 else f"T{i}", i if i % 3 == 0 else 1, sku="S-HOT" if i % 3 == 0 else f"S{i}", extended_cents=i) for i in range(1, n + 1)]
+    heads = [header("HOT")] + [header(f"T{i}", customer_id="C-HOT" if i % 2 else f"C{i}") for i in range(1, n + 1) if i % 3]
+    df_items, df_heads = items(spark, *lines, *lines[:500]), headers(spark, *heads, *heads[:300])
+    clean_items, clean_heads = dedup_items(df_items), dedup_receipts(df_heads)
+    assert clean_items.count() == n and clean_heads.count() == len(heads)
+    rows = gold.receipt_lookup(silver.receipt_lookup_silver(clean_heads, clean_items)).filter("transaction_id = 'HOT'").collect()
+    assert sum(len(r.items_detail) for r in rows) == n // 3 and max(len(r.items_detail) for r in rows) <= 500
+    assert {r.item_count for r in rows} == {n // 3} and len(rows) == 6
+    spend = {r.customer_id: r.total_spend_cents for r in gold.spending_summary(clean_items, clean_heads).collect()}
+    assert spend["C-HOT"] == sum(i for i in range(1, n + 1) if i % 3 and i % 2)
+    hot_history = lookup.customer_history(clean_heads, limit=3).filter("customer_id = 'C-HOT'").count()
+    assert hot_history == 3
+    matches = spark.createDataFrame([("S-HOT", 0.9)], "sku string, similarity double")
+    assert [r.transaction_id for r in knn.semantic_receipts(matches, clean_items, clean_heads).collect()] == ["HOT"]

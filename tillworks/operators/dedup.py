@@ -12,11 +12,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# From this many rows per key on, Spark no longer limits groups before the shuffle by itself.
+_LARGE_LIMIT = 1000
+_SALTS = 64
+
+
 def top_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int = 1, rank_name: str | None = None
 ) -> DataFrame:
-    """The first `limit` rows of every key in the given order; `order` has to break all ties."""
+    """The first `limit` rows of every key in the given order; `order` has to break all ties.
+
+    For a large limit the rows of a key are ranked in salted parts first, so that at most `limit` rows
+    per part meet in the final ranking.
+    """
     rank = rank_name or "_rank"
+    if limit >= _LARGE_LIMIT:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS))
+        salted = df.withColumn("_salt", part)
+        first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = salted.withColumn("_first", F.row_number().over(first)).filter(F.col("_first") <= limit).drop("_salt", "_first")
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     kept = ranked.filter(F.col(rank) <= limit)
     return kept if rank_name else kept.drop(rank)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillworks.operators.dedup import top_per_key
 
+# The two recommendations.
 GAP_TEXT = "Gap detected — consider triggering a Gold pipeline refresh."
 NO_GAP_TEXT = "No gap detected. Synced tables are current."
 

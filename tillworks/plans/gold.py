@@ -197,7 +197,7 @@ def purchase_frequency(items: DataFrame, headers: DataFrame) -> DataFrame:
     Only the first and last day and the number of distinct days matter, so no ordered window is needed.
     """
     days = (
-        items.select("transaction_id", "sku").distinct()
+        items.select("transaction_id", "sku")
         .join(_loyal(headers, "transaction_ts"), "transaction_id")
         .select("customer_id", "sku", F.to_date("transaction_ts").alias("day"))
         .distinct()

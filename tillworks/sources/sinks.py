@@ -130,16 +130,15 @@ def rows_to_database(df: DataFrame, connect: Callable[[], object], statement: st
 def explode_receipts(events: DataFrame, ingested_at: str) -> tuple[DataFrame, DataFrame]:
     """Nested receipt events to raw headers and raw items that share an event id; lines count from 1.
 
-    The id is a hash of the event and its arrival, so both results and every retry agree on it.
+    The id is the transaction id and a hash of the event and its arrival, so both results and every
+    retry agree on it. Only the header rows carry the event as JSON.
     """
-    arrived = F.lit(ingested_at).cast("timestamp")
-    payload = F.to_json(F.struct(*events.columns))
+    mark = F.lower(F.hex(F.xxhash64(*events.columns, F.lit(ingested_at))))
     named = events.withColumns({
-        "raw_payload": payload,
-        "event_id": F.sha2(F.concat_ws("|", payload, F.lit(ingested_at)), 256),
-        "ingested_ts": arrived,
+        "event_id": F.concat_ws("-", "transaction_id", mark),
+        "ingested_ts": F.lit(ingested_at).cast("timestamp"),
     })
-    headers = named.select(
+    headers = named.withColumn("raw_payload", F.to_json(F.struct(*events.columns))).select(
         "event_id", "transaction_id", "store_id", "store_name", "pos_terminal_id", "cashier_id", "customer_id",
         "transaction_ts", "subtotal_cents", "tax_cents", "total_cents", "tender_type", "card_last4",
         "raw_payload", "ingested_ts",
