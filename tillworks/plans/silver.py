@@ -45,19 +45,12 @@ def receipt_lookup_silver(headers: DataFrame, items: DataFrame, part_size: int =
     first = _fold(items.filter(F.col("item_seq").between(1, part_size)), ["transaction_id"])
     seq = F.col("item_seq")
     beyond = items.filter((seq < 1) | (seq > part_size) | seq.isNull())
-    parts = items_per_receipt(beyond, part_size)
-    rest = parts.groupBy("transaction_id").agg(
-        F.sum("item_count").alias("_rest_count"),
-        F.sum("items_extended_cents").alias("_rest_cents"),
-    )
-    more_departments = beyond.groupBy("transaction_id").agg(
-        F.collect_set("department_code").alias("_rest_departments")
-    )
-    joined = (
-        headers.join(first, "transaction_id", "left")
-        .join(rest, "transaction_id", "left")
-        .join(more_departments, "transaction_id", "left")
+    rest = beyond.groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("_rest_count"),
+        F.sum("extended_cents").alias("_rest_cents"),
+        F.collect_set("department_code").alias("_rest_departments"),
     )
+    joined = headers.join(first, "transaction_id", "left").join(rest, "transaction_id", "left")
     whole = joined.withColumns({
         "item_count": _plus("item_count", "_rest_count"),
         "items_extended_cents": _plus("items_extended_cents", "_rest_cents"),
@@ -70,6 +63,7 @@ def receipt_lookup_silver(headers: DataFrame, items: DataFrame, part_size: int =
         "transaction_id", *(c for c in headers.columns if c != "transaction_id"),
         "item_count", "items_extended_cents", "departments",
     )
+    parts = items_per_receipt(beyond, part_size)
     continued = parts.select("transaction_id", "item_part", "items_detail").join(totals, "transaction_id")
     return whole.unionByName(continued)
 
