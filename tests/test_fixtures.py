@@ -519,6 +519,7 @@ def test_upsert_counts_and_compaction(spark):
     rows = {r.k: (r.v, r.turn_count) for r in sinks.read_current(spark, root, shape, ["k"], "at", "turn_count").collect()}
     assert rows == {"a": (11, 3), "b": (20, 2)}
     assert {r.k: r.v for r in sinks.read_current(spark, root, shape, ["k"]).collect()} == {"a": 11, "b": 19}
+    assert sinks.next_version(spark, root) == 3 and sinks.next_version(spark, root + "-none") == 0
     target = run_folder(spark, "compact")
     sinks.compact(spark, root, target, shape, ["k"], "at")
     assert {(r.k, r.v, r.version) for r in sinks.read_versions(spark, target, shape).collect()} == {("a", 11, 0), ("b", 20, 0)}

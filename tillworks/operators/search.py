@@ -261,16 +261,14 @@ def bulk_fuzzy_search(requests: DataFrame, receipts: DataFrame, stores: DataFram
     """
     asked = _asked(requests)
     summary = asked.groupBy("way").agg(F.max("q_end").alias("last")).collect()
-    ways = sorted(r["way"] for r in summary)
-    if not ways:
-        empty = receipts.limit(0).select("*", F.lit(None).cast("int").alias("position"))
-        return empty.join(requests.select("request_id"), F.lit(False)).select("request_id", "position", *receipts.columns)
+    ways = sorted(r["way"] for r in summary) or ["customer"]
+    last = max((r["last"] for r in summary), default=0)
     names = (stores if stores is not None else receipts).select("store_name").distinct()
     keyed = _request_keys(asked, names, ways)
     found = _receipt_keys(receipts, ways).join(keyed, "_key").filter(_matches()).select(
         "request_id", "q_offset", "q_end", *receipts.columns
     )
-    ranked = top_per_key(found, ["request_id"], newest_first(), int(max(r["last"] for r in summary)), "position")
+    ranked = top_per_key(found, ["request_id"], newest_first(), int(last), "position")
     return ranked.filter((F.col("position") > F.col("q_offset")) & (F.col("position") <= F.col("q_end"))).select(
         "request_id", "position", *receipts.columns
     )

@@ -30,8 +30,7 @@ def contains_pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str)
     Texts are cut into substrings of the lengths that occur among the needles and joined on equality,
     so each produced pair is a true match. The set of lengths is as small as the longest needle.
     """
-    lengths = sorted(r[0] for r in needles.select(F.length(needle)).distinct().collect() if r[0] is not None)
-    if not lengths:
-        return texts.join(needles, F.lit(False))
+    found = needles.filter(F.col(needle).isNotNull()).select(F.length(needle)).distinct().collect()
+    lengths = sorted(r[0] for r in found) or [0]
     cut = texts.withColumn("_piece", F.explode(pieces_of(F.col(text), lengths)))
     return cut.join(needles, F.col("_piece") == F.col(needle)).drop("_piece")

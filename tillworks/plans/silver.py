@@ -68,5 +68,17 @@ def receipt_lookup_silver(headers: DataFrame, items: DataFrame, part_size: int =
     return whole.unionByName(continued)
 
 
+def catalog_enrich(items: DataFrame, catalog: DataFrame, key: str = "sku") -> DataFrame:
+    """Items with the catalog's columns; items the catalog does not know stay."""
+    extra = [c for c in catalog.columns if c == key or c not in items.columns]
+    return items.join(catalog.select(*extra), key, "left")
+
+
+def header_items(headers: DataFrame, items: DataFrame) -> DataFrame:
+    """Headers with each of their items; headers without items stay."""
+    extra = [c for c in items.columns if c == "transaction_id" or c not in headers.columns]
+    return headers.join(items.select(*extra), "transaction_id", "left")
+
+
 def _plus(a: str, b: str) -> Column:
     return F.when(F.col(b).isNull(), F.col(a)).otherwise(F.coalesce(F.col(a), F.lit(0)) + F.col(b))

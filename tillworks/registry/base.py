@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillworks.operators.dedup import dedup_items, dedup_receipts
+from tillworks.plans.silver import catalog_enrich
 from tillworks.sources import warehouse as wh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +56,7 @@ def clean_receipts(spark: SparkSession, folder: str) -> DataFrame:
 def clean_items(spark: SparkSession, folder: str) -> DataFrame:
     """Deduplicated on the narrow line rows, then described."""
     lines = dedup_items(wh.raw_items(spark, folder, with_product=False))
-    return lines.join(wh.products(spark, folder), "sku", "left")
+    return catalog_enrich(lines, wh.products(spark, folder))
 
 
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"

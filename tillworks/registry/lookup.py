@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillworks.functions import receipt_text as rt
 from tillworks.operators import lookup, quality, reconcile
-from tillworks.plans import batch, context
+from tillworks.plans import batch, context, silver
 from tillworks.registry.base import BOTH, GOLD, ITEMS, RECEIPTS, clean_items, clean_receipts, flat, query, text_ts, ts
 from tillworks.registry.gold import PROFILES, SPENDING, gold_table, spending_table
 from tillworks.session import run_folder
@@ -168,7 +168,7 @@ def context_rows(spark, folder):
     headers, lines = batch.write_silver(
         wh.raw_receipts(spark, folder), wh.raw_items(spark, folder, with_product=False), root, **rules
     )
-    items = lines.join(wh.products(spark, folder), "sku", "left")
+    items = silver.catalog_enrich(lines, wh.products(spark, folder))
     spending = batch.write_gold(headers, items, root, ("spending_summary",))["spending_summary"]
     receipts = headers.withColumn("item_count", F.lit(None).cast("bigint"))
     return context.customer_context(context.serving_profiles(headers, spending), receipts, spending, AS_OF)

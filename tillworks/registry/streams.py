@@ -10,7 +10,7 @@ from tillworks.registry.base import (
     BOTH, LINES, RAW_ITEMS, RAW_RECEIPTS, RECEIPTS, clean_items, clean_receipts, flat, query, ts,
 )
 from tillworks.registry.governance import _AUDIT_NAMES, _AUDIT_SQL, _LOG, _THROTTLE_SQL, THROTTLE, access_log
-from tillworks.plans import batch, gold
+from tillworks.plans import batch, gold, silver
 from tillworks.registry.gold import SPENDING
 from tillworks.session import run_folder
 from tillworks.sources import scans, sinks
@@ -107,9 +107,8 @@ def q_stream_join(spark, folder):
 SELECT r.transaction_id, i.item_seq, i.product_desc, r.total_cents FROM receipts r LEFT JOIN items i ON i.transaction_id = r.transaction_id""")
 def q_header_item_join(spark, folder):
     """The batch twin of the stream join, without a time bound."""
-    return clean_receipts(spark, folder).select("transaction_id", "total_cents").join(
-        clean_items(spark, folder).select("transaction_id", "item_seq", "product_desc"), "transaction_id", "left"
-    )
+    pairs = silver.header_items(clean_receipts(spark, folder), clean_items(spark, folder))
+    return pairs.select("transaction_id", "item_seq", "product_desc", "total_cents")
 
 
 @query("audit_stream", f"WITH {_LOG} SELECT {_AUDIT_SQL} FROM audit")
@@ -195,10 +194,8 @@ def q_clustered_write(spark, folder):
 
 def nested_events(spark, folder):
     """Clean receipts with their lines nested, as a point of sale sends them."""
-    from tillworks.plans.silver import receipt_lookup_silver
-
-    silver = receipt_lookup_silver(clean_receipts(spark, folder), clean_items(spark, folder))
-    return silver.withColumns({
+    folded = silver.receipt_lookup_silver(clean_receipts(spark, folder), clean_items(spark, folder))
+    return folded.withColumns({
         "transaction_id": F.col("transaction_id").cast("string"),
         "items": F.transform("items_detail", lambda i: F.struct(
             i["upc"].alias("upc"), i["sku"].cast("string").alias("sku"), i["product_desc"].alias("product_desc"),
@@ -273,5 +270,5 @@ def q_run_stream(spark, folder):
     root = run_folder(spark, "stream")
     streams = {"receipts": order_stream(spark, folder).withColumn("store_id", F.lit(1)), "items": line_stream(spark, folder)}
     headers, lines = batch.run_stream(spark, streams, root, item_rules=quality.ITEM_RULES[:4])
-    items = lines.join(wh.products(spark, folder), "sku", "left")
+    items = silver.catalog_enrich(lines, wh.products(spark, folder))
     return gold.spending_summary(items, headers).select(*_SPENT)

@@ -52,6 +52,20 @@ DELIVERY_LOG = _struct(
     delivered_by_rep=_S, status=_S, created_at=_TS,
 )
 
+AGENT_STATE = _struct(
+    agent_id=_S, customer_id=_S, state_key=_S, state_value=_S, updated_at=_TS,
+)
+
+AGENT_MEMORY = _struct(
+    memory_id=_S, customer_id=_S, agent_id=_S, role=_S, content=_S, metadata=_S, created_at=_TS,
+)
+
+USER_SESSIONS = _struct(session_id=_S, customer_id=_S, started_at=_TS, last_active_at=_TS, session_data=_S)
+
+SEARCH_CACHE = _struct(
+    query_hash=_S, query_text=_S, result_json=_S, hit_count=_I, created_at=_TS, expires_at=_TS,
+)
+
 BACKUP_RECEIPTS = _struct(
     transaction_id=_S, customer_id=_S, store_name=_S, purchase_timestamp=_TS, total_cents=_I,
     item_summary=_S, last4_card=_S, created_at=_TS,

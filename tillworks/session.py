@@ -28,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, named by spark.checkpoint.dir; a local one only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors see")
         folder = tempfile.mkdtemp(prefix="tillworks-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -55,6 +55,15 @@ def read_versions(spark: SparkSession, root: str, schema: T.StructType, before:
     return rows if before is None else rows.filter(F.col("version") < before)
 
 
+def next_version(spark: SparkSession, root: str) -> int:
+    """One above the versions a keyed table holds."""
+    if not _exists(spark, root):
+        return 0
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    names = [s.getPath().getName() for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+    return 1 + max((int(n.split("=")[1]) for n in names if n.startswith("version=")), default=-1)
+
+
 def _write_version(df: DataFrame, root: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/version={version}")
 

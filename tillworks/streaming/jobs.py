@@ -52,11 +52,15 @@ def stream_scd1(stream: DataFrame, keys: Sequence[str], sequence: str) -> DataFr
     return latest.select(*keys, "_latest.*").select(*stream.columns)
 
 
-def upsert_batches(root: str, keys: Sequence[str], sequence: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each micro-batch becomes one version of a keyed table; a repeated batch replaces itself."""
+def upsert_batches(root: str, keys: Sequence[str], sequence: str, base: int = 0) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each micro-batch becomes one version of a keyed table; a repeated batch replaces itself.
+
+    A stream that goes on from its checkpoint needs no `base`. One that starts over on a table already
+    holding versions counts from `next_version`, so as not to replace them.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_upsert(batch, root, keys, sequence, batch_id)
+        write_upsert(batch, root, keys, sequence, base + batch_id)
 
     return write
 
