@@ -702,3 +702,15 @@ def test_hot_keys_give_the_same_answers(spark):
     assert hot_history == 3
     matches = spark.createDataFrame([("S-HOT", 0.9)], "sku string, similarity double")
     assert [r.transaction_id for r in knn.semantic_receipts(matches, clean_items, clean_heads).collect()] == ["HOT"]
+
+
+def test_insert_if_absent_within_a_stretch(spark):
+    root = run_folder(spark, "stretch")
+    schema = "k string, at timestamp, v int"
+    first = [("a", ts("2026-01-01"), 1), ("b", ts("2026-01-05"), 1), ("n", None, 1)]
+    sinks.write_if_absent(spark.createDataFrame(first, schema), root, ["k"], 0, within="at")
+    again = [("b", ts("2026-01-05"), 2), ("c", ts("2026-01-06"), 2), ("n", None, 2), ("z", ts("2026-01-04"), 2)]
+    status = sinks.write_if_absent(spark.createDataFrame(again, schema), root, ["k"], 1, within="at")
+    assert {r.k: r.status for r in status.collect()} == {"b": "exists", "c": "created", "n": "exists", "z": "created"}
+    nothing = sinks.write_if_absent(spark.createDataFrame([], schema), root, ["k"], 2, within="at")
+    assert nothing.count() == 0

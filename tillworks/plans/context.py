@@ -59,6 +59,10 @@ def customer_context(
     return profile.join(latest, "customer_id", "full").join(spent, "customer_id", "left")
 
 
+# Fixed value: what a rep reads where there is no profile.
+NO_PROFILE_TEXT = "No customer profile found. This may be a guest or non-loyalty customer."
+
+
 def rep_briefing(context: DataFrame) -> DataFrame:
     """Adds `briefing`, a plain text summary of a context row."""
     p = F.col("profile")
@@ -83,9 +87,7 @@ def rep_briefing(context: DataFrame) -> DataFrame:
         F.lit(". Receipts: "), listed(receipts),
         F.lit(". Recent spend: "), listed(spend), F.lit("."),
     )
-    return context.withColumn("briefing", F.when(p.isNull(), F.lit(
-        "No customer profile found. This may be a guest or non-loyalty customer."
-    )).otherwise(text))
+    return context.withColumn("briefing", F.when(p.isNull(), F.lit(NO_PROFILE_TEXT)).otherwise(text))
 
 
 def scoped_sql(

@@ -229,7 +229,7 @@ def q_dual_sink(spark, folder):
     def analytics(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/analytics/batch={batch_id}")
 
-    write = jobs.dual_sink(f"{out}/hot", analytics, f"{out}/status")
+    write = jobs.dual_sink(f"{out}/hot", analytics, f"{out}/status", within="transaction_ts")
     jobs.run_batches(stream, write, f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/status").select("transaction_id", "status")
 

@@ -68,14 +68,22 @@ def _write_version(df: DataFrame, root: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/version={version}")
 
 
-def write_if_absent(df: DataFrame, root: str, keys: Sequence[str], version: int) -> DataFrame:
+def write_if_absent(
+    df: DataFrame, root: str, keys: Sequence[str], version: int, within: str | None = None
+) -> DataFrame:
     """Inserts rows whose key is not there yet; the first write of a key stays.
 
     Returns the keys of `df` with a status, created or exists. Repeating a version gives the same rows
-    and the same statuses, since only earlier versions count as being there.
+    and the same statuses, since only earlier versions count as being there. `within` may name a column
+    that never differs between two writes of a key, such as the time of sale: then only the stretch of
+    the table that the batch covers is read, instead of the keys of its whole history.
     """
     spark = df.sparkSession
-    there = read_versions(spark, root, df.schema, before=version).select(*keys)
+    there = read_versions(spark, root, df.schema, before=version)
+    if within is not None:
+        low, high = df.agg(F.min(within), F.max(within)).first()
+        there = there.filter(F.col(within).between(F.lit(low), F.lit(high)) | F.col(within).isNull())
+    there = there.select(*keys)
     rest = [F.asc(c) for c in df.columns if c not in keys and not isinstance(df.schema[c].dataType, T.MapType)]
     first = top_per_key(df, keys, rest or [F.lit(1)])
     _write_version(first.join(there, list(keys), "left_anti").select(*df.columns), root, version)
@@ -163,7 +171,8 @@ def explode_receipts(events: DataFrame, ingested_at: str) -> tuple[DataFrame, Da
 
 
 def dual_write(
-    batch: DataFrame, batch_id: int, hot_root: str, analytics: Callable[[DataFrame, int], None], key: str = "transaction_id"
+    batch: DataFrame, batch_id: int, hot_root: str, analytics: Callable[[DataFrame, int], None],
+    key: str = "transaction_id", within: str | None = None,
 ) -> DataFrame:
     """Writes receipts to the hot table, which must succeed, then to the analytics sink at best effort.
 
@@ -172,7 +181,7 @@ def dual_write(
     """
     checked = validate_receipt(batch)
     good = checked.filter(F.size("reasons") == 0).drop("reasons")
-    write_if_absent(good, hot_root, [key], batch_id)
+    write_if_absent(good, hot_root, [key], batch_id, within)
     try:
         analytics(good, batch_id)
         outcome = "success"

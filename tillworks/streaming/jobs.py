@@ -66,12 +66,12 @@ def upsert_batches(root: str, keys: Sequence[str], sequence: str, base: int = 0)
 
 
 def dual_sink(
-    hot_root: str, analytics: Callable[[DataFrame, int], None], status_root: str
+    hot_root: str, analytics: Callable[[DataFrame, int], None], status_root: str, within: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: hot table first, analytics second, a status row per receipt."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        status = dual_write(batch, batch_id, hot_root, analytics)
+        status = dual_write(batch, batch_id, hot_root, analytics, within=within)
         status.write.mode("overwrite").parquet(f"{status_root}/batch={batch_id}")
 
     return write
