@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillworks.functions import receipt_text as rt
-from tillworks.operators import lookup, quality, reconcile
-from tillworks.plans import batch, context, silver
+from tillworks.operators import lookup, reconcile
+from tillworks.plans import batch, context
 from tillworks.registry.base import BOTH, GOLD, ITEMS, RECEIPTS, clean_items, clean_receipts, flat, query, text_ts, ts
 from tillworks.registry.gold import PROFILES, SPENDING, gold_table, spending_table
 from tillworks.session import run_folder
@@ -162,14 +162,10 @@ spent AS (
 
 
 def context_rows(spark, folder):
-    """Context rows over stored silver and spending tables."""
+    """Context rows over stored headers and spending, which are read several times; items are read once."""
     root = run_folder(spark, "context")
-    rules = {"item_rules": quality.ITEM_RULES[:4]}
-    headers, lines = batch.write_silver(
-        wh.raw_receipts(spark, folder), wh.raw_items(spark, folder, with_product=False), root, **rules
-    )
-    items = silver.catalog_enrich(lines, wh.products(spark, folder))
-    spending = batch.write_gold(headers, items, root, ("spending_summary",))["spending_summary"]
+    headers = batch.stored(clean_receipts(spark, folder), f"{root}/receipts")
+    spending = batch.write_gold(headers, clean_items(spark, folder), root, ("spending_summary",))["spending_summary"]
     receipts = headers.withColumn("item_count", F.lit(None).cast("bigint"))
     return context.customer_context(context.serving_profiles(headers, spending), receipts, spending, AS_OF)
 
