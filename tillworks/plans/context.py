@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillworks.functions.receipt_text import cents_to_dollars
-from tillworks.operators.lookup import recent_receipts, recent_spending
+from tillworks.operators.lookup import recent_receipts
 from tillworks.operators.search import capped_result
 from tillworks.plans import gold
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tillworks.functions import receipt_text as rt
 from tillworks.operators import audit, backfill, governance, search
-from tillworks.operators.dedup import dedup_items
 from tillworks.registry.base import GOLD, ITEMS, RECEIPTS, clean_items, clean_receipts, flat, query, ts
 from tillworks.registry.gold import gold_table
 from tillworks.sources import warehouse as wh
