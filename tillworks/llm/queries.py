@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import language, sentencepiece_bpe, token_files, vafile
+from tillworks.llm import language, quality, sentencepiece_bpe, token_files, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,6 +66,28 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(table(spark, folder, "documents"), piece_model())
 
 
+def toxicity_machine(spark: SparkSession, docs: DataFrame, folder: str) -> toxicity.KernelMachine:
+    sample = quality.labelled_sample(table(spark, folder, "labels"), "toxic", ~language.held_out("doc_id", 3, 1), toxicity.SAMPLE)
+    return toxicity.train(docs, sample)
+
+
+@query
+def op4_string_kernel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = toxicity.score(docs, toxicity_machine(spark, docs, folder))
+    return found.select("doc_id", language.held_out("doc_id", 3, 1).alias("held_out"), "score",
+                        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op6_factorisation_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    sample = quality.labelled_sample(table(spark, folder, "labels"), "quality", ~language.held_out("doc_id", 3, 1), quality.SAMPLE)
+    found = quality.score(docs, quality.train(docs, sample))
+    return found.select("doc_id", language.held_out("doc_id", 3, 1).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as file:
