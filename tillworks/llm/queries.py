@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import language, quality, sentencepiece_bpe, token_files, toxicity, vafile
+from tillworks.llm import language, quality, sentencepiece_bpe, suffix_dedup, token_files, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,6 +88,11 @@ def op6_factorisation_quality(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op7_suffix_radix_sort(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, folder, "documents"), 200)
+
+
 @query
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as file:
