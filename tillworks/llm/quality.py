@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import byte_table, mix64, slabs, small_batches, text_bytes
+from tillworks.llm.common import slabs, small_batches, text_bytes
+from tillworks.llm.words import KIND, words_of
 
 BUCKETS = 1 << 15
 FACTORS = 4
@@ -23,42 +24,6 @@ STATS = 16
 SAMPLE = 6000
 EPOCHS = 30
 
-_TABLE = byte_table(61)
-_CLASS = np.zeros(256, np.uint8)
-for _set, _bit in ((b" \t\n\r\x0b\x0c", 1), (bytes(range(48, 58)), 2), (bytes(range(65, 91)), 4), (bytes(range(97, 123)), 8),
-                   (b".,;:!?'\"()-", 16), (bytes(range(128, 256)), 32)):
-    _CLASS[list(_set)] = _bit
-
-
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash (case of A-Z aside) of the words, which white space and the ends of texts delimit."""
-    if not len(data):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    space = _CLASS[data] == 1
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    begins = ~space & (edge[:-1] | np.concatenate([[True], space[:-1]]))
-    starts = np.flatnonzero(begins)
-    if not len(starts):
-        return starts, starts, np.zeros(0, np.uint64)
-    stops = np.flatnonzero(~space & (edge[1:] | np.concatenate([space[1:], [True]]))) + 1
-    lower = np.where((data >= 65) & (data <= 90), data + 32, data)
-    return starts, stops, word_hashes(lower, space, starts, stops)
-
-
-def word_hashes(data: np.ndarray, space: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    first = np.zeros(len(data), np.int64)
-    first[starts] = 1
-    word = np.cumsum(first)
-    at = np.arange(len(data)) - np.concatenate([[0], starts])[word]
-    power = np.ones(int((stops - starts).max()) + 1, np.uint64)
-    power[1:] = np.uint64(0x9E3779B97F4A7C15)
-    power = np.multiply.accumulate(power)
-    terms = _TABLE[data] * power[np.minimum(at, len(power) - 1)]
-    terms[space] = 0
-    return mix64(np.add.reduceat(terms, starts))
-
-
 def features(data: np.ndarray, offsets: np.ndarray, declared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The texts' distinct hashed words (text, bucket, square root of the share of words) and each text's statistics."""
     n = len(offsets) - 1
@@ -72,7 +37,7 @@ def features(data: np.ndarray, offsets: np.ndarray, declared: np.ndarray) -> tup
         total = np.concatenate([[0], np.cumsum(mask)])
         return (total[offsets[1:]] - total[offsets[:-1]]) / size
 
-    kind = _CLASS[data]
+    kind = KIND[data]
     line = data == 10
     same = (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])
     again = np.bincount(owner[1:][same], minlength=n) / some
@@ -82,7 +47,7 @@ def features(data: np.ndarray, offsets: np.ndarray, declared: np.ndarray) -> tup
     length = np.bincount(owner, weights=stops - starts, minlength=n) / some
     single = np.bincount(owner, weights=(stops - starts) == 1, minlength=n) / some
     last = data[stops - 1] if len(stops) else np.zeros(0, np.uint8)
-    odd_end = np.bincount(owner, weights=_CLASS[last] == 0, minlength=n) / some
+    odd_end = np.bincount(owner, weights=KIND[last] == 0, minlength=n) / some
     stats = np.stack([
         np.ones(n), np.log1p(count) / 5, again, distinct, length / 10, single, odd_end,
         share(kind == 0) * 5, share(kind == 2) * 5, share(kind == 4) * 3, share(kind == 16) * 5, share(kind == 1) * 3,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import language, quality, sentencepiece_bpe, suffix_dedup, token_files, toxicity, vafile
+from tillworks.llm import kneser_ney, language, quality, sentencepiece_bpe, suffix_dedup, token_files, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,6 +79,14 @@ def op4_string_kernel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op5_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = language.held_out("doc_id", 10, 0)
+    found = kneser_ney.score(docs, kneser_ney.train(docs.filter(~out)))
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op6_factorisation_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
