@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import kneser_ney, language, quality, sentencepiece_bpe, suffix_dedup, token_files, toxicity, vafile
+from tillworks.llm import decontaminate, kneser_ney, language, quality, sentencepiece_bpe, suffix_dedup, token_files, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,6 +66,11 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_bpe.encode_digests(table(spark, folder, "documents"), piece_model())
 
 
+@query
+def op3_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def toxicity_machine(spark: SparkSession, docs: DataFrame, folder: str) -> toxicity.KernelMachine:
     sample = quality.labelled_sample(table(spark, folder, "labels"), "toxic", ~language.held_out("doc_id", 3, 1), toxicity.SAMPLE)
     return toxicity.train(docs, sample)
