@@ -1,12 +1,80 @@
-"""The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark leaks, tokens."""
+"""The corpus pipeline: toxic texts go, one text of each near-duplicate class stays, repeated passages are cut out, texts that
+hold benchmark items go, and the rest is encoded.
+
+Each stage takes the rows its predecessor kept, written as Parquet and read again, and all but the last return the columns of
+`documents`. Helper tables of a stage are removed when the next one begins, as its result has been written by then.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tillworks.llm import common, decontaminate, order_minhash, queries, sentencepiece_bpe, suffix_dedup, toxicity
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_DONE: list[str] = []
+
+
+def _stage(fn: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _DONE:
+            common.release(spark, _DONE.pop())
+        before = len(common.FOLDERS)
+        result = fn(spark, docs, sf_dir)
+        _DONE.extend(common.FOLDERS[before:])
+        return result
+
+    return run_stage
+
+
+@_stage
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores below 0.7 (op 4); learned from the labelled rows that are not held out."""
+    return toxicity.keep_below(docs, queries.toxicity_machine(spark, docs, sf_dir), 0.7)
+
+
+@_stage
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest id of each near-duplicate class (op 9)."""
+    return order_minhash.one_of_each(docs)
+
+
+@_stage
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the passages of 200 bytes or more that occur elsewhere (op 7)."""
+    return suffix_dedup.without_repeats(docs, 200).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+@_stage
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds no benchmark item (op 3)."""
+    return decontaminate.without_items(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+@_stage
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the text decoded from them (op 2)."""
+    found = sentencepiece_bpe.encode_texts(docs, queries.piece_model())
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeats),
+    ("decontamination", drop_benchmark),
+    ("sentencepiece", encode),
+]
 
-STAGES: list = []
+#: None of the learned and text-matching stages can be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.landed(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -17,6 +17,8 @@ from tillworks.session import run_folder
 #: Rows of an Arrow batch while the session still has Spark's own default; long texts then stay within memory.
 BATCH_ROWS = 500
 SLAB = 4 << 20
+#: Folders of helper tables written in this process, for their owner to release.
+FOLDERS: list[str] = []
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -28,6 +30,7 @@ def small_batches(spark: SparkSession) -> None:
 def landed(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there and a lost executor costs no rerun."""
     folder = run_folder(df.sparkSession, name)
+    FOLDERS.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -115,21 +118,21 @@ class TwoGenerations:
         self.make, self.limit, self.new, self.old = make, limit, {}, {}
 
     def __call__(self, keys: list) -> list:
-        new = self.new
-        try:
-            return [new[k] for k in keys]
-        except KeyError:
-            pass
-        missing = []
-        for k in set(keys):
-            if k not in new:
-                if k in self.old:
-                    new[k] = self.old[k]
-                else:
-                    missing.append(k)
-        if missing:
-            new.update(zip(missing, self.make(missing)))
-        out = [new[k] for k in keys]
+        found = list(map(self.new.get, keys))
+        if None not in found:
+            return found
+        new, old = self.new, self.old
+        missing = {k for k, v in zip(keys, found) if v is None}
+        fresh = []
+        for k in missing:
+            value = old.get(k)
+            if value is None:
+                fresh.append(k)
+            else:
+                new[k] = value
+        if fresh:
+            new.update(zip(fresh, self.make(fresh)))
+        found = list(map(new.get, keys))
         if len(new) > self.limit:
             self.old, self.new = new, {}
-        return out
+        return found

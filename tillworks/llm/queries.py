@@ -8,7 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import decontaminate, kneser_ney, language, quality, sentencepiece_bpe, suffix_dedup, token_files, toxicity, vafile
+from tillworks.llm import (
+    decontaminate,
+    kneser_ney,
+    language,
+    order_minhash,
+    quality,
+    sentencepiece_bpe,
+    suffix_dedup,
+    token_files,
+    toxicity,
+    vafile,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,6 +125,11 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_file_digests(spark, written)
 
 
+@query
+def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op10_rank_order_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

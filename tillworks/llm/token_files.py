@@ -11,27 +11,30 @@ that counts; a repeated task writes the same bytes.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import TwoGenerations, put_file, small_batches, strings
+from tillworks.llm.common import TwoGenerations, put_file, slabs, small_batches, strings
 from tillworks.session import run_folder
 
 MAGIC = b"TWIDS1\0\0"
 HEADER = struct.Struct("<8sIIQQ")
 BLOCK = 4096
 #: Ids in a file at most, unless one document has more.
-FILE_IDS = 16 << 20
+FILE_IDS = 8 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -98,33 +101,101 @@ class TokenFile:
         return self.tokens(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-class ByteEncoder:
-    """Library ids of whole texts. Texts are cut before single spaces between other letters, where no token of a byte-level
-    vocabulary that splits at spaces spans, and the ids of the parts are kept in a bounded cache."""
+#: The pattern by which byte-level vocabularies of this kind split texts.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+_CLASS: list[np.ndarray] = []
+
+
+def _classes() -> np.ndarray:
+    """1 for letters, 2 for numbers, 3 for white space, 4 for the blank, 0 for the rest, by code point."""
+    if not _CLASS:
+        kinds = np.zeros(0x110000, np.uint8)
+        for c in range(0x110000):
+            kind = unicodedata.category(chr(c))[0]
+            kinds[c] = 1 if kind == "L" else 2 if kind == "N" else 0
+        # The code points that Unicode calls white space
+        kinds[[*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 3
+        kinds[32] = 4
+        _CLASS.append(kinds)
+    return _CLASS[0]
+
 
-    odd = re.compile(r"\s\s|^\s|\s$")
+def split_parts(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The parts SPLIT finds in texts without apostrophes, and how many lie before the end of each text.
+
+    A part begins where the kind of letter changes; a blank goes with what follows it, and of a run of white space before
+    other letters the last letter is apart from the rest.
+    """
+    whole = "".join(texts)
+    ends = np.cumsum([len(t) for t in texts])
+    if not whole:
+        return [], np.zeros(len(texts), np.int64)
+    kind = _classes()[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")]
+    blank, space = kind == 4, kind >= 3
+    same = np.where(space, 3, kind)
+    first = np.ones(len(kind), bool)
+    first[1:] = same[1:] != same[:-1]
+    edge = np.zeros(len(kind) + 1, bool)
+    edge[ends] = edge[0] = True
+    first |= edge[:-1]
+    begins = first.copy()
+    # other letters after a blank begin with it
+    begins[1:] &= space[1:] | ~blank[:-1] | edge[1:-1]
+    # the last white space before other letters
+    begins[:-1] |= space[:-1] & ~space[1:] & ~edge[1:-1]
+    at = np.flatnonzero(begins)
+    cuts = [*at.tolist(), len(whole)]
+    return [whole[a:b] for a, b in zip(cuts, cuts[1:])], np.searchsorted(at, ends)
+
+
+class ByteEncoder:
+    """Library ids of whole texts. Where the tokenizer is a byte-level BPE that splits by SPLIT, texts are split first and the
+    library's merges of the parts kept in a bounded cache; other tokenizers, and texts that hold one of the added tokens, go
+    to the library whole."""
 
     def __init__(self, spec: str):
         self.library = tokenizers.Tokenizer.from_str(spec)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        self.cache = TwoGenerations(self._encode)
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids, one after the other."""
-        parts = text.split(" ")
-        if not self.odd.search(text):
-            return b"".join(self.cache([parts[0], *[" " + p for p in parts[1:]]]))
-        joined = [parts[0]]
-        for before, part in zip(parts, parts[1:]):
-            if before and part and not before[-1].isspace() and not part[0].isspace():
-                joined.append(" " + part)
+        parts = json.loads(spec)
+        split, model = parts.get("pre_tokenizer") or {}, parts["model"]
+        self.cached = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+                       and model.get("type") == "BPE" and not parts.get("normalizer")
+                       and not model.get("dropout") and not model.get("ignore_merges"))
+        added = [t["content"] for t in parts.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.split = regex.compile(SPLIT).findall
+        # bytes that are no visible letter stand for themselves 256 places on, in order
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.cache = TwoGenerations(self._merged)
+
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        merge, letters, pack_ids = self.library.model.tokenize, self.letters, struct.pack
+        out = []
+        for part in parts:
+            ids = [t.id for t in merge(part.encode().decode("latin-1").translate(letters))]
+            out.append(pack_ids(f"<{len(ids)}I", *ids))
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, one after the other."""
+        plain = [self.cached and not self.added.search(t) for t in texts]
+        quick = [p and "'" not in t for t, p in zip(texts, plain)]
+        parts, ends = split_parts([t if q else "" for t, q in zip(texts, quick)])
+        ids = self.cache(parts)
+        out = []
+        low = 0
+        for text, whole, fast, high in zip(texts, plain, quick, ends.tolist()):
+            if fast:
+                out.append(b"".join(ids[low:high]))
+            elif whole:
+                out.append(b"".join(self.cache(self.split(text))))
             else:
-                joined[-1] += " " + part
-        return b"".join(self.cache(joined))
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            low = high
+        return out
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
@@ -170,8 +241,9 @@ def write_token_files(docs: DataFrame, spec: str, end_id: int = 0, id_col: str =
                 pa.schema([("file", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                ids = encode(text) + end
+            encoded = (ids for piece in slabs(batch, "text", 1 << 19) for ids in encode(strings(piece.column(1))))
+            for doc_id, own in zip(batch.column(0).to_pylist(), encoded):
+                ids = own + end
                 if held and count + len(ids) // 4 > FILE_IDS:
                     yield close()
                     held, doc_ids, count, number = [], [], 0, number + 1
