@@ -32,7 +32,7 @@ GRAM = 32
 BLOCK = 16
 GRAMS, FIRSTS, BLOCKS, WINDOWS = range(4)
 #: Chunks whose keys a shard of the sort may hold, on average.
-CHUNKS_A_SHARD = 256
+CHUNKS_A_SHARD = 64
 LEAST_SHARDS = 64
 _TABLE = byte_table(17)
 _ODD = np.random.default_rng(18).integers(0, 2**63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,10 +44,11 @@ def packed(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 33
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
         for batch in batches:
             for piece in slabs(batch, text_col, CHUNK_BYTES):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, piece.schema, options=options) as out:
                     out.write_batch(piece)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "rows"])
