@@ -106,14 +106,14 @@ def _slots(events: DataFrame, user: str, at: str, gap_us: int) -> DataFrame:
     ).agg(F.min(micros).alias("_first"), F.max(micros).alias("_last"), F.count(F.lit(1)).alias("_n"))
     by_time = Window.partitionBy("_user").orderBy("_slot")
     before = F.lag("_last").over(by_time)
-    starts = F.when(before.isNull() | (F.col("_first") - before >= gap_us), F.col("_first"))
+    starts = F.when(before.isNull() | (F.col("_first") - before > gap_us), F.col("_first"))
     return slots.withColumn("_starts", starts).withColumn(
         "_session", F.max("_starts").over(by_time.rowsBetween(Window.unboundedPreceding, 0))
     ).drop("_starts")
 
 
 def session_activity(events: DataFrame, user: str = "user_id", at: str = "ts", gap_minutes: int = 30) -> DataFrame:
-    """Sessions per user: runs of events less than the gap apart."""
+    """Sessions per user: runs of events at most the gap apart."""
     slots = _slots(events, user, at, gap_minutes * 60_000_000)
     return slots.groupBy("_user", "_session").agg(
         F.timestamp_micros(F.min("_first")).alias("started_at"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,52 +15,28 @@ _FIELDS = ("sku", "name", "brand", "category_l1", "category_l2", "price_cents")
 MISC = {"sku": "SKU-9999", "brand": "Generic", "category_l1": "MISC", "category_l2": "OTHER", "price_cents": 599}
 LEAST_REMAINING = 100
 
-# Up to this many keywords the catalog travels inside the expression.
-INLINE_KEYWORDS = 500
-
-
 def _misc(name: Column) -> Column:
     values = {**{k: F.lit(v) for k, v in MISC.items()}, "name": F.trim(name)}
     return F.struct(*(values[f].alias(f) for f in _FIELDS)).cast(PRODUCT)
 
 
-def _small_catalog(catalog: DataFrame) -> list[dict] | None:
-    """The catalog in priority order if it is small, else None."""
-    rows = catalog.orderBy("priority").limit(INLINE_KEYWORDS + 1).collect()
-    return None if len(rows) > INLINE_KEYWORDS else [r.asDict() for r in rows]
-
-
-def _inline_match(rows: list[dict]):
-    """A function from a name column to its product, the whole catalog being one constant array."""
-    packed = json.dumps([{"keyword": r["keyword"], "product": {f: r[f] for f in _FIELDS}} for r in rows])
-    known = F.from_json(F.lit(packed), f"array<struct<keyword:string,product:{PRODUCT}>>")
-
-    def match(name: Column) -> Column:
-        fitting = F.filter(known, lambda k: F.contains(F.lower(name), k["keyword"]))
-        return F.coalesce(F.get(fitting, F.lit(0))["product"], _misc(name))
-
-    return match
-
-
 def match_names(names: DataFrame, name: str, catalog: DataFrame) -> DataFrame:
-    """Distinct names with `product`: that of the first keyword, by priority, found in the name."""
+    """Distinct names with `product`: that of the first keyword found in the name, by priority, keyword and sku.
+
+    Names and keywords meet on equal pieces of text, so neither side is paired out and none is sent whole to the workers.
+    """
     distinct = names.select(name).distinct()
-    small = _small_catalog(catalog)
-    if small is not None:
-        return distinct.withColumn("product", _inline_match(small)(F.col(name)))
     product = F.struct(*_FIELDS).cast(PRODUCT).alias("_product")
     hits = contains_pairs(
         distinct.withColumn("_lower", F.lower(name)), "_lower", catalog.select("keyword", "priority", product), "keyword"
     )
-    best = hits.groupBy(name).agg(F.min(F.struct("priority", "_product"))["_product"].alias("_product"))
+    order = F.struct("priority", "keyword", F.col("_product.sku").alias("sku"), "_product")
+    best = hits.groupBy(name).agg(F.min(order)["_product"].alias("_product"))
     return distinct.join(best, name, "left").select(name, F.coalesce("_product", _misc(F.col(name))).alias("product"))
 
 
 def keyword_product_match(df: DataFrame, name: str, catalog: DataFrame) -> DataFrame:
     """Every row with the product of its item name."""
-    small = _small_catalog(catalog)
-    if small is not None:
-        return df.withColumn("product", _inline_match(small)(F.col(name)))
     return df.join(match_names(df, name, catalog), name, "left").withColumn(
         "product", F.coalesce("product", _misc(F.col(name)))
     )
@@ -107,21 +81,20 @@ def _lines(products: DataFrame) -> DataFrame:
 def rebuild_line_items(receipts: DataFrame, catalog: DataFrame) -> DataFrame:
     """Line items from the item summary of each receipt, priced from the catalog within its subtotal.
 
-    With a small catalog every receipt is rebuilt within its own row and nothing is shuffled.
+    Equal rows are worked out once and given as often as they came.
     """
+    key = ["transaction_id", "subtotal_cents", "names", "copies"]
     listed = receipts.filter(F.col("item_summary") != "").select(
         "transaction_id", "subtotal_cents", split_summary("item_summary").alias("names")
-    )
-    small = _small_catalog(catalog)
-    if small is not None:
-        match = _inline_match(small)
-        return _lines(listed.withColumn("products", F.transform("names", match)))
-    exploded = listed.select("transaction_id", "subtotal_cents", F.posexplode("names").alias("position", "item_name"))
+    ).groupBy(*key[:3]).agg(F.count(F.lit(1)).alias("copies"))
+    exploded = listed.select(*key, F.posexplode("names").alias("position", "item_name"))
     matched = keyword_product_match(exploded, "item_name", catalog)
-    back = matched.groupBy("transaction_id", "subtotal_cents").agg(
+    back = matched.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("position", "product"))).alias("ordered")
     )
-    return _lines(back.withColumn("products", F.transform("ordered", lambda o: o["product"])))
+    every = back.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    return _lines(every.withColumn("products", F.transform("ordered", lambda o: o["product"])))
+
 
 
 BRONZE_COLUMNS = (

@@ -12,22 +12,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# From this many rows per key on, Spark no longer limits groups before the shuffle by itself.
-_LARGE_LIMIT = 1000
 _SALTS = 64
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return [f"`{name}`" for name, kind in kinds.items() if "map<" not in kind and "variant" not in kind] or ["*"]
+
+
 def top_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int = 1, rank_name: str | None = None
 ) -> DataFrame:
     """The first `limit` rows of every key in the given order; `order` has to break all ties.
 
-    For a large limit the rows of a key are ranked in salted parts first, so that at most `limit` rows
-    per part meet in the final ranking.
+    Up to the session's `spark.sql.optimizer.windowGroupLimitThreshold` Spark keeps only that many rows of a key in each
+    task before the shuffle. Beyond it the rows are ranked in salted parts first, with the same result.
     """
     rank = rank_name or "_rank"
-    if limit >= _LARGE_LIMIT:
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS))
+    if limit >= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        part = F.pmod(F.xxhash64(*_hashable(df)), F.lit(_SALTS))
         salted = df.withColumn("_salt", part)
         first = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_first", F.row_number().over(first)).filter(F.col("_first") <= limit).drop("_salt", "_first")
@@ -36,10 +39,24 @@ def top_per_key(
     return kept if rank_name else kept.drop(rank)
 
 
+# Columns that settle ties, greatest value first, in batch, stream and stored tables alike. Columns added to a feed later,
+# such as product texts, count only between rows that agree in all of these.
+TIES = (
+    "ingested_ts", "event_id", "discount_cents", "extended_cents", "quantity", "sku", "upc", "unit_price_cents",
+    "total_cents", "subtotal_cents", "tax_cents", "transaction_ts", "customer_id", "store_id", "tender_type", "card_last4",
+)
+
+
+def latest_order(columns: Sequence[str], keys: Sequence[str], sequence: str) -> list[str]:
+    """The columns, greatest first, by which the latest row of a key is told."""
+    rest = [c for c in columns if c not in (*keys, sequence)]
+    declared = [c for c in TIES if c in rest]
+    return [sequence, *declared, *sorted(set(rest) - set(declared))]
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], sequence: str = "ingested_ts") -> DataFrame:
-    """One row per key, the latest by `sequence`; ties go to the greatest remaining columns, by name."""
-    rest = sorted(c for c in df.columns if c not in (*keys, sequence))
-    return top_per_key(df, keys, [F.desc(sequence), *(F.desc(c) for c in rest)])
+    """One row per key, the latest by `sequence`; ties go to the greatest of the TIES columns, then of the others by name."""
+    return top_per_key(df, keys, [F.desc(c) for c in latest_order(df.columns, keys, sequence)])
 
 
 def dedup_receipts(headers: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def _fold(lines: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.col("quantity").cast("double"), F.lit(0.0)).alias("quantity"), F.col("category_l1").alias("category"),
     )
     ordered = F.sort_array(F.collect_list(row))
-    return lines.filter(F.col("line_number").isNotNull()).groupBy(*keys).agg(
+    return lines.groupBy(*keys).agg(
         F.transform(ordered, lambda r: F.struct(
             r["name"].alias("name"), r["price_cents"].alias("price_cents"), r["sku"].alias("sku"),
             r["brand"].alias("brand"), r["quantity"].alias("quantity"), r["category"].alias("category"),
@@ -45,31 +45,31 @@ def _fold(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def line_parts(lines: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    """Line arrays per receipt and part, in order, for every receipt whatever its length; unnumbered lines are part -1."""
+    return _fold(lines.withColumn("item_part", item_part("line_number", part_size)), ["transaction_id", "item_part"])
+
+
 def receipt_detail(
     receipts: DataFrame, lines: DataFrame, transaction_id: object | None = None,
-    items_json: str | None = "items_detail", part_size: int = PART_SIZE,
+    items_json: str | None = "items_detail", part_size: int = PART_SIZE, include_line_items: bool = True,
 ) -> DataFrame:
-    """Receipts with their line items in order as one array; without lines the JSON column is read instead.
+    """Receipts with their line items in order as one array, one row each; without lines the JSON column is read instead.
 
-    Lines beyond `part_size` of a receipt come on further rows, as in the silver table.
+    The array holds the lowest part of `line_parts`, and `line_parts` how many there are. With `include_line_items` off the
+    lines are not read at all.
     """
-    receipts, lines = _only(receipts, "transaction_id", transaction_id), _only(lines, "transaction_id", transaction_id)
-    number = F.col("line_number")
-    first = _fold(lines.filter(number.between(1, part_size)), ["transaction_id"])
-    beyond = lines.filter((number < 1) | (number > part_size)).withColumn("item_part", item_part("line_number", part_size))
-    parts = _fold(beyond, ["transaction_id", "item_part"])
-    fallback = F.array().cast(first.schema["line_items"].dataType)
-    if items_json is not None:
-        longer = parts.select("transaction_id").distinct().withColumn("_longer", F.lit(True))
-        joined = receipts.join(first, "transaction_id", "left").join(longer, "transaction_id", "left")
-        spare = F.when(F.col("_longer").isNull(), parse_items_detail(items_json))
-        whole = joined.withColumn("line_items", F.coalesce("line_items", spare, fallback)).drop("_longer")
-    else:
-        whole = receipts.join(first, "transaction_id", "left").withColumn(
-            "line_items", F.coalesce("line_items", fallback)
-        )
-    whole = whole.withColumn("item_part", F.lit(0).cast("bigint"))
-    return whole.unionByName(receipts.join(parts, "transaction_id"))
+    receipts = _only(receipts, "transaction_id", transaction_id)
+    if not include_line_items:
+        return receipts
+    parts = line_parts(_only(lines, "transaction_id", transaction_id), part_size)
+    shown = parts.groupBy("transaction_id").agg(
+        F.min_by("line_items", F.when(F.col("item_part") >= 0, F.col("item_part")).otherwise(F.lit(2**62))).alias("line_items"),
+        F.count(F.lit(1)).alias("line_parts"),
+    )
+    fallback = F.array().cast(shown.schema["line_items"].dataType)
+    spare = [parse_items_detail(items_json)] if items_json is not None else []
+    return receipts.join(shown, "transaction_id", "left").withColumn("line_items", F.coalesce("line_items", *spare, fallback))
 
 
 def customer_history(

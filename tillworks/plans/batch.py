@@ -14,7 +14,7 @@ from tillworks.operators.dedup import dedup_items, dedup_receipts
 from tillworks.operators.quality import ITEM_RULES, RECEIPT_RULES, Rule, gate
 from tillworks.plans import gold
 from tillworks.plans.silver import receipt_lookup_silver
-from tillworks.sources.sinks import read_current
+from tillworks.sources.sinks import exists, next_version, read_current
 from tillworks.streaming.jobs import run_batches, stream_bronze, upsert_batches
 
 GOLD_TABLES = ("receipt_lookup", "spending_summary", "customer_profiles", "product_catalog")
@@ -61,6 +61,15 @@ def run_batch(raw_headers: DataFrame, raw_items: DataFrame, root: str, **rules:
     return {"receipts": headers, "items": items, **write_gold(headers, items, f"{root}/gold")}
 
 
+def _first_version(spark: SparkSession, root: str, name: str) -> int:
+    """The version of the first micro-batch: above those there when the checkpoint was new, and kept beside it since."""
+    if not exists(spark, f"{root}/checkpoints/{name}"):
+        base = next_version(spark, f"{root}/{name}")
+        spark.range(base, base + 1).write.mode("overwrite").parquet(f"{root}/bases/{name}")
+    return spark.read.schema("id long").parquet(f"{root}/bases/{name}").first().id if exists(
+        spark, f"{root}/bases/{name}") else 0
+
+
 def run_stream(
     spark: SparkSession, streams: Mapping[str, DataFrame], root: str,
     header_rules: tuple[Rule, ...] = RECEIPT_RULES, item_rules: tuple[Rule, ...] = ITEM_RULES,
@@ -77,7 +86,8 @@ def run_stream(
     started = []
     for name, (keys, rules, _) in plan.items():
         gated = stream_bronze(streams[name], rules).drop("_bronze_ts")
-        write = upsert_batches(f"{root}/{name}", keys, "ingested_ts")
+        base = _first_version(spark, root, name)
+        write = upsert_batches(f"{root}/{name}", keys, "ingested_ts", base)
         started.append(run_batches(gated, write, f"{root}/checkpoints/{name}"))
     for query in started:
         query.awaitTermination()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +51,7 @@ def customer_context(
         "position", "transaction_id", "store_id", "store_name", "transaction_ts", "total_cents", "item_count"
     ))).alias("recent_receipts"))
     first = F.date_format(F.add_months(F.lit(as_of).cast("date"), -months), "yyyy-MM")
-    spent = spending.filter(F.col("month_key") >= first).groupBy("customer_id").agg(
+    spent = spending.filter(F.col("month_key").between(first, F.date_format(F.lit(as_of).cast("date"), "yyyy-MM"))).groupBy("customer_id").agg(
         F.sort_array(F.collect_list(F.struct(
             F.col("month_key"), F.col("total_spend_cents"), F.col("department_code"), F.col("trip_count"),
         )), asc=False).alias("spending_by_category")
@@ -82,6 +84,7 @@ def rep_briefing(context: DataFrame) -> DataFrame:
         F.lit("Lifetime spend "), cents_to_dollars(p["lifetime_spend_cents"]),
         F.lit(", average basket "), cents_to_dollars(p["avg_basket_cents"]),
         F.lit(", visits "), p["total_transactions"].cast("string"),
+        F.coalesce(F.concat(F.lit(", one every "), F.floor(p["visit_frequency_days"] + 0.5).cast("string"), F.lit(" days")), F.lit("")),
         F.lit(". Prefers "), store,
         F.lit(". Buys "), F.coalesce(F.array_join(p["top_categories"], ", "), F.lit("nothing on record")),
         F.lit(". Receipts: "), listed(receipts),
@@ -90,28 +93,52 @@ def rep_briefing(context: DataFrame) -> DataFrame:
     return context.withColumn("briefing", F.when(p.isNull(), F.lit(NO_PROFILE_TEXT)).otherwise(text))
 
 
+def _only_given(session: SparkSession, text: str, tables: dict[str, DataFrame]) -> list[str]:
+    """The given tables a text reads. Refuses a text whose parsed plan, subqueries included, reads anything but the given tables and its own WITH names."""
+    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    own = {name.strip("` ").lower() for names in re.findall(r"UnresolvedWith\b|CTE \[([^\]]*)\]", plan) for name in names.split(",")}
+    read = re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)
+    foreign = {name for name in read if name.lower() not in own | {t.lower() for t in tables}}
+    if foreign or "UnresolvedTableValuedFunction" in plan:
+        raise ValueError(f"not one of the given tables: {sorted(foreign) or 'a function'}")
+    return [t for t in tables if t.lower() in {name.lower() for name in read}]
+
+
+def _scoped(name: str, tables: dict[str, DataFrame], customer_id: object | None, open_tables: Sequence[str]) -> DataFrame:
+    df = tables[name]
+    if customer_id is None or name in open_tables:
+        return df
+    own = F.col("customer_id") == F.lit(customer_id)
+    if "customer_id" in df.columns:
+        return df.filter(own)
+    receipts = next((t for t in tables.values() if {"customer_id", "transaction_id"} <= set(t.columns)), None)
+    if receipts is None or "transaction_id" not in df.columns:
+        raise ValueError(f"{name} has no customer column")
+    return df.join(receipts.filter(own).select("transaction_id"), "transaction_id", "left_semi").select(*df.columns)
+
+
 def scoped_sql(
-    spark: SparkSession, tables: dict[str, DataFrame], text: str, customer_id: object | None = None, rows: int = 50
+    spark: SparkSession, tables: dict[str, DataFrame], text: str, customer_id: object | None = None, rows: int = 50,
+    open_tables: Sequence[str] = (),
 ) -> DataFrame:
     """A SELECT over views that already hold one customer's rows only, at most `rows` of its result.
 
-    Customer placeholders in the text become a bound parameter. Tables without a customer column are
-    shown whole. The views live in a session of their own, where files cannot be read by path.
+    Customer placeholders in the text become a bound parameter. A table without a customer column shows the rows of the
+    customer's receipts, found by transaction id in another of the tables; without that it is refused, unless it is named in
+    `open_tables`. The text may read the given tables only: any other name, path or function that yields rows is refused.
     """
     if not text.lstrip().upper().startswith("SELECT"):
-        raise ValueError("Only SELECT queries are allowed.")
+        raise ValueError("not a SELECT")
     session = spark.newSession()
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     for setting in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
         session.conf.set(setting, spark.conf.get(setting))
-    shared = {name: f"scoped_{uuid.uuid4().hex}" for name in tables}
-    for name, df in tables.items():
-        scoped = df
-        if customer_id is not None and "customer_id" in df.columns:
-            scoped = df.filter(F.col("customer_id") == F.lit(customer_id))
-        scoped.createGlobalTempView(shared[name])
-        session.table(f"global_temp.{shared[name]}").createOrReplaceTempView(name)
     bound = text.replace("{{customer_id}}", ":customer_id").replace("{customer_id}", ":customer_id")
+    scoped = {name: _scoped(name, tables, customer_id, open_tables) for name in _only_given(session, bound, tables)}
+    shared = {name: f"scoped_{uuid.uuid4().hex}" for name in scoped}
+    for name, df in scoped.items():
+        df.createGlobalTempView(shared[name])
+        session.table(f"global_temp.{shared[name]}").createOrReplaceTempView(name)
     args = {"customer_id": "" if customer_id is None else customer_id} if ":customer_id" in bound else None
     try:
         return capped_result(session.sql(bound, args=args) if args else session.sql(bound), rows)

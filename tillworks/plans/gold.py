@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillworks.functions.receipt_text import item_summary, month_key, product_key, week_key
 from tillworks.operators.dedup import top_per_key
 
+# Columns and order of the lookup table.
 RECEIPT_COLUMNS = (
     "transaction_id", "store_id", "store_name", "pos_terminal_id", "cashier_id", "customer_id",
     "transaction_ts", "subtotal_cents", "tax_cents", "total_cents", "tender_type", "card_last4",
@@ -17,13 +18,12 @@ RECEIPT_COLUMNS = (
 
 
 def receipt_lookup(silver: DataFrame) -> DataFrame:
-    """Receipts ready for lookup; `item_part` is above 0 only on the further rows of an overlong receipt."""
-    names = F.transform("items_detail", lambda item: item["product_desc"])
+    """Receipts ready for lookup, one row each; `item_parts` tells how many line parts a receipt has."""
     return silver.withColumns({
-        "item_summary": F.when(F.col("item_part") == 0, item_summary(names, "item_count")),
+        "item_summary": item_summary("first_names", "item_count"),
         "month_key": month_key("transaction_ts"),
         "week_key": week_key("transaction_ts"),
-    }).select(*RECEIPT_COLUMNS, "item_part")
+    }).select(*RECEIPT_COLUMNS, "item_parts")
 
 
 def _loyal(headers: DataFrame, *columns: str) -> DataFrame:

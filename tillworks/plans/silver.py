@@ -1,10 +1,8 @@
-"""Clean headers joined with their folded line items.
+"""Clean headers with figures of their line items, and the lines as arrays in a table of their own.
 
-Line items fold into an array per receipt. A receipt of ordinary size gives one row. Lines beyond
-`PART_SIZE` of a receipt go to further rows with `item_part` 1, 2, …, so that no group grows with the
-data even when one transaction id holds a large share of all lines; counts and sums always cover the
-whole receipt. Where no receipt is that long, the scan for such lines is pruned by the line numbers
-and the adaptive plan drops the empty joins.
+A receipt is always one row: counts, sums, departments and the first names cover all its lines. The line arrays live in parts
+keyed by transaction and part, at most `PART_SIZE` line numbers each, so that no group grows with the data even when one
+transaction id holds a large share of all lines. Rows that show lines beside the header take the first part.
 """
 
 from __future__ import annotations
@@ -12,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillworks.operators.dedup import top_per_key
+
 PART_SIZE = 500
+#: Names kept for summaries.
+FIRST_NAMES = 5
 
 ITEM_FIELDS = (
     "item_seq", "product_desc", "upc", "sku", "quantity", "unit_price_cents", "extended_cents",
@@ -36,36 +38,39 @@ def _fold(items: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def items_per_receipt(items: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Counts, sums, ordered item structs and department sets per receipt and part."""
+    """Counts, sums, ordered item structs and department sets per receipt and part, for every receipt whatever its length."""
     return _fold(items.withColumn("item_part", item_part(part_size=part_size)), ["transaction_id", "item_part"])
 
 
-def receipt_lookup_silver(headers: DataFrame, items: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Headers left-joined with their folded items."""
-    first = _fold(items.filter(F.col("item_seq").between(1, part_size)), ["transaction_id"])
-    seq = F.col("item_seq")
-    beyond = items.filter((seq < 1) | (seq > part_size) | seq.isNull())
-    rest = beyond.groupBy("transaction_id").agg(
-        F.count(F.lit(1)).alias("_rest_count"),
-        F.sum("extended_cents").alias("_rest_cents"),
-        F.collect_set("department_code").alias("_rest_departments"),
+def receipt_headers(headers: DataFrame, items: DataFrame) -> DataFrame:
+    """Headers with `item_count`, `items_extended_cents`, `departments` and the names of the first lines, one row each.
+
+    Sums are added up in each task before the shuffle, and only the first lines of a receipt leave a task.
+    """
+    whole = items.groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("item_count"),
+        F.sum("extended_cents").alias("items_extended_cents"),
+        F.sort_array(F.collect_set("department_code")).alias("departments"),
     )
-    joined = headers.join(first, "transaction_id", "left").join(rest, "transaction_id", "left")
-    whole = joined.withColumns({
-        "item_count": _plus("item_count", "_rest_count"),
-        "items_extended_cents": _plus("items_extended_cents", "_rest_cents"),
-        "departments": F.when(F.col("_rest_departments").isNull(), F.col("departments")).otherwise(
-            F.sort_array(F.array_union(F.coalesce("departments", F.array().cast("array<string>")), "_rest_departments"))
-        ),
-        "item_part": F.lit(0).cast("bigint"),
-    }).drop("_rest_count", "_rest_cents", "_rest_departments")
-    totals = whole.select(
-        "transaction_id", *(c for c in headers.columns if c != "transaction_id"),
-        "item_count", "items_extended_cents", "departments",
+    order = [F.asc_nulls_last("item_seq"), F.asc("product_desc")]
+    first = top_per_key(items.select("transaction_id", "item_seq", "product_desc"), ["transaction_id"], order, FIRST_NAMES, "at")
+    names = first.groupBy("transaction_id").agg(F.sort_array(F.collect_list(F.struct("at", "product_desc"))).alias("_first"))
+    return headers.join(whole, "transaction_id", "left").join(names, "transaction_id", "left").withColumn(
+        "first_names", F.transform("_first", lambda n: n["product_desc"])
+    ).drop("_first")
+
+
+def receipt_lookup_silver(headers: DataFrame, items: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+    """Headers with their figures, their number of line parts and, as `items_detail`, the lines of the first part.
+
+    One row for each header. `items_per_receipt` holds the parts after the first.
+    """
+    parts = items_per_receipt(items, part_size)
+    shown = parts.groupBy("transaction_id").agg(
+        F.min_by("items_detail", F.when(F.col("item_part") >= 0, F.col("item_part")).otherwise(F.lit(2**62))).alias("items_detail"),
+        F.count(F.lit(1)).alias("item_parts")
     )
-    parts = items_per_receipt(beyond, part_size)
-    continued = parts.select("transaction_id", "item_part", "items_detail").join(totals, "transaction_id")
-    return whole.unionByName(continued)
+    return receipt_headers(headers, items).join(shown, "transaction_id", "left")
 
 
 def catalog_enrich(items: DataFrame, catalog: DataFrame, key: str = "sku") -> DataFrame:
@@ -79,6 +84,3 @@ def header_items(headers: DataFrame, items: DataFrame) -> DataFrame:
     extra = [c for c in items.columns if c == "transaction_id" or c not in headers.columns]
     return headers.join(items.select(*extra), "transaction_id", "left")
 
-
-def _plus(a: str, b: str) -> Column:
-    return F.when(F.col(b).isNull(), F.col(a)).otherwise(F.coalesce(F.col(a), F.lit(0)) + F.col(b))

@@ -65,7 +65,7 @@ def q_receipt_lookup_silver(spark, folder):
 SELECT transaction_id, store_id, store_name, customer_id, {ts('transaction_ts')} AS transaction_ts, subtotal_cents,
        tax_cents, total_cents, tender_type, card_last4, item_count, item_summary, departments, items_detail,
        CAST(items_extended_cents AS BIGINT) AS items_extended_cents, month_key, week_key,
-       CAST(NULL AS VARCHAR) AS pos_terminal_id, CAST(NULL AS VARCHAR) AS cashier_id, CAST(0 AS BIGINT) AS item_part
+       CAST(NULL AS VARCHAR) AS pos_terminal_id, CAST(NULL AS VARCHAR) AS cashier_id, CAST(CASE WHEN item_count IS NOT NULL THEN 1 END AS BIGINT) AS item_parts
 FROM gold""")
 def q_receipt_lookup(spark, folder):
     return flat(gold_table(spark, folder).withColumn("items_detail", detail_text()))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillworks.functions import receipt_text as rt
 from tillworks.operators import lookup, reconcile
-from tillworks.plans import batch, context
+from tillworks.plans import batch, context, silver
 from tillworks.registry.base import BOTH, GOLD, ITEMS, RECEIPTS, clean_items, clean_receipts, flat, query, text_ts, ts
 from tillworks.registry.gold import PROFILES, SPENDING, gold_table, spending_table
 from tillworks.session import run_folder
@@ -44,6 +44,12 @@ def q_receipt_detail(spark, folder):
     return detail.select("transaction_id", "total_cents", F.array_join(texts, "|").alias("line_items"))
 
 
+@query("receipt_without_lines", f"WITH {RECEIPTS} SELECT transaction_id, total_cents FROM receipts")
+def q_receipt_without_lines(spark, folder):
+    detail = lookup.receipt_detail(clean_receipts(spark, folder), line_items(spark, folder), include_line_items=False)
+    return detail.select("transaction_id", "total_cents")
+
+
 @query("customer_history", f"""WITH {RECEIPTS}
 SELECT {_PAGE_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY transaction_ts DESC, transaction_id) AS position FROM receipts)
 WHERE position > 2 AND position <= 22""")
@@ -142,17 +148,21 @@ def q_query_cache_table(spark, folder):
     return flat(lookup.query_cache_table(asked, "q", "at", "2024-01-02 06:00:00"))
 
 
-_CONTEXT = PROFILES + f""", prefer AS (
+_CONTEXT = PROFILES + f""", often AS (
+  SELECT customer_id, date_diff('day', min(transaction_ts), max(transaction_ts)) / nullif(count(*) - 1, 0) AS every FROM receipts GROUP BY 1),
+counted AS (SELECT transaction_id, count(*) AS lines FROM items GROUP BY 1),
+prefer AS (
   SELECT customer_id, store_id AS pid, store_name AS pname, row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, store_id) AS rn
   FROM receipts GROUP BY 1, 2, 3),
 page AS (
-  SELECT customer_id, string_agg(transaction_id || '@' || {ts('transaction_ts')}, '|' ORDER BY position) AS recent,
+  SELECT customer_id, string_agg(transaction_id || '@' || {ts('transaction_ts')} || coalesce('@' || lines, ''), '|' ORDER BY position) AS recent,
          string_agg(store_name || ' ' || strftime(transaction_ts, '%Y-%m-%d') || ' ' || format('${{:,.2f}}', total_cents / 100.0), '; ' ORDER BY position) AS shown
-  FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY transaction_ts DESC, transaction_id) AS position FROM receipts)
+  FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY transaction_ts DESC, transaction_id) AS position
+        FROM receipts LEFT JOIN counted USING (transaction_id))
   WHERE position <= 5 GROUP BY 1),
 spent0 AS (
   SELECT customer_id, department_code, strftime(transaction_ts, '%Y-%m') AS month_key, CAST(sum(extended_cents) AS BIGINT) AS spend
-  FROM items i JOIN receipts r ON r.transaction_id = i.transaction_id WHERE strftime(transaction_ts, '%Y-%m') >= '2001-03' GROUP BY 1, 2, 3),
+  FROM items i JOIN receipts r ON r.transaction_id = i.transaction_id WHERE strftime(transaction_ts, '%Y-%m') BETWEEN '2001-03' AND '2001-06' GROUP BY 1, 2, 3),
 spent AS (
   SELECT customer_id, string_agg(month_key || '/' || department_code || '/' || spend, '|' ORDER BY month_key DESC, spend DESC, department_code DESC) AS spending,
          string_agg(department_code || ' ' || month_key || ' ' || format('${{:,.2f}}', spend / 100.0), '; ' ORDER BY month_key DESC, spend DESC, department_code DESC)
@@ -162,11 +172,12 @@ spent AS (
 
 
 def context_rows(spark, folder):
-    """Context rows over stored headers and spending, which are read several times; items are read once."""
+    """Context rows over stored headers, items and spending, which are read several times."""
     root = run_folder(spark, "context")
     headers = batch.stored(clean_receipts(spark, folder), f"{root}/receipts")
-    spending = batch.write_gold(headers, clean_items(spark, folder), root, ("spending_summary",))["spending_summary"]
-    receipts = headers.withColumn("item_count", F.lit(None).cast("bigint"))
+    items = batch.stored(clean_items(spark, folder), f"{root}/items")
+    spending = batch.write_gold(headers, items, root, ("spending_summary",))["spending_summary"]
+    receipts = silver.receipt_headers(headers, items)
     return context.customer_context(context.serving_profiles(headers, spending), receipts, spending, AS_OF)
 
 
@@ -178,7 +189,7 @@ def q_customer_context(spark, folder):
     return context_rows(spark, folder).select(
         "customer_id", F.col("profile.total_transactions").alias("visits"), F.col("profile.lifetime_spend_cents"),
         F.col("profile.preferred_store_id"), F.array_join("profile.top_categories", "|").alias("categories"),
-        F.array_join(F.transform("recent_receipts", lambda r: F.concat_ws("@", r["transaction_id"], text_ts(r["transaction_ts"]))), "|").alias("recent"),
+        F.array_join(F.transform("recent_receipts", lambda r: F.concat_ws("@", r["transaction_id"], text_ts(r["transaction_ts"]), r["item_count"])), "|").alias("recent"),
         F.array_join(F.transform("spending_by_category", lambda s: F.concat_ws(
             "/", s["month_key"], s["department_code"], s["total_spend_cents"])), "|").alias("spending"),
     )
@@ -186,11 +197,12 @@ def q_customer_context(spark, folder):
 
 @query("rep_briefing", f"""WITH {_CONTEXT}
 SELECT p.customer_id, 'Lifetime spend ' || format('${{:,.2f}}', lifetime_spend_cents / 100.0) || ', average basket ' ||
-       format('${{:,.2f}}', avg_basket_cents / 100.0) || ', visits ' || total_transactions || '. Prefers ' || pname || '. Buys ' ||
+       format('${{:,.2f}}', avg_basket_cents / 100.0) || ', visits ' || total_transactions ||
+       coalesce(', one every ' || CAST(floor(every + 0.5) AS BIGINT) || ' days', '') || '. Prefers ' || pname || '. Buys ' ||
        coalesce(replace(top_categories, '|', ', '), 'nothing on record') || '. Receipts: ' || coalesce(shown, 'none') ||
        '. Recent spend: ' || coalesce(shown_spend, 'none') || '.' AS briefing
 FROM profiles p JOIN prefer ON prefer.customer_id = p.customer_id AND rn = 1 LEFT JOIN top t ON t.customer_id = p.customer_id
-LEFT JOIN page ON page.customer_id = p.customer_id LEFT JOIN spent ON spent.customer_id = p.customer_id""")
+LEFT JOIN page ON page.customer_id = p.customer_id LEFT JOIN spent ON spent.customer_id = p.customer_id LEFT JOIN often ON often.customer_id = p.customer_id""")
 def q_rep_briefing(spark, folder):
     return context.rep_briefing(context_rows(spark, folder)).select("customer_id", "briefing")
 

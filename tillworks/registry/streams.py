@@ -203,7 +203,7 @@ def nested_events(spark, folder):
             i["extended_cents"].alias("extended_cents"), i["discount_cents"].alias("discount_cents"),
             i["department_code"].alias("department_code"),
         )),
-    }).drop("items_detail", "event_id", "ingested_ts", "departments", "item_count", "items_extended_cents", "item_part")
+    }).drop("items_detail", "event_id", "ingested_ts", "departments", "item_count", "items_extended_cents", "item_parts", "first_names")
 
 
 @query("explode_receipts", f"""WITH {BOTH}, numbered AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY item_seq) AS seq FROM items)
@@ -245,19 +245,7 @@ SELECT customer_id, department_code, month_key, total_spend_cents, total_discoun
 _SPENT = ["customer_id", "department_code", "month_key", "total_spend_cents", "total_discount_cents", "item_count", "trip_count"]
 
 
-# The same dedup on lines that already carry their product text, which then takes part in settling ties.
-_DESCRIBED_SQL = _SPENDING_SQL.replace(LINES, RAW_ITEMS + """,
-lines AS (
-  SELECT * EXCLUDE (rn, p_partkey, p_name, p_brand, p_type, p_size, p_retailprice) FROM (
-    SELECT *, row_number() OVER (PARTITION BY transaction_id, item_seq
-             ORDER BY ingested_ts DESC, p_type DESC, discount_cents DESC, event_id DESC, extended_cents DESC,
-                      p_name DESC, quantity DESC, sku DESC, unit_price_cents DESC) AS rn
-    FROM raw_items LEFT JOIN part ON p_partkey = sku)
-  WHERE rn = 1 AND extended_cents >= 0)
-""")
-
-
-@query("run_batch", _DESCRIBED_SQL)
+@query("run_batch", _SPENDING_SQL)
 def q_run_batch(spark, folder):
     """All gold tables from the raw feed; the spending table is returned."""
     root = run_folder(spark, "batch")

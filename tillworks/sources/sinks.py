@@ -17,6 +17,10 @@ from tillworks.operators.dedup import latest_per_key, top_per_key
 from tillworks.operators.quality import validate_receipt
 
 
+# Column that keeps a key's number of writes through compaction.
+_WRITES = "_writes"
+
+
 def _shape(schema: T.StructType) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in schema.fields]
 
@@ -41,23 +45,28 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str
     return df.sparkSession.read.table(table)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
 
 
 def read_versions(spark: SparkSession, root: str, schema: T.StructType, before: int | None = None) -> DataFrame:
     """All rows of a keyed table with their version; empty where nothing was written yet."""
-    declared = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
-    if not _exists(spark, root):
+    return _counted_versions(spark, root, schema, before).drop(_WRITES)
+
+
+def _counted_versions(spark: SparkSession, root: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The versions with how many writes each row stands for: one, unless it was compacted."""
+    declared = T.StructType([*schema.fields, T.StructField(_WRITES, T.LongType()), T.StructField("version", T.LongType())])
+    if not exists(spark, root):
         return spark.createDataFrame([], declared)
-    rows = spark.read.schema(declared).parquet(root)
+    rows = spark.read.schema(declared).parquet(root).withColumn(_WRITES, F.coalesce(_WRITES, F.lit(1).cast("bigint")))
     return rows if before is None else rows.filter(F.col("version") < before)
 
 
 def next_version(spark: SparkSession, root: str) -> int:
     """One above the versions a keyed table holds."""
-    if not _exists(spark, root):
+    if not exists(spark, root):
         return 0
     place = spark._jvm.org.apache.hadoop.fs.Path(root)
     names = [s.getPath().getName() for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
@@ -112,12 +121,13 @@ def read_current(
         current = top_per_key(rows, keys, [F.desc("version")]).drop("version")
     if count_as is None:
         return current
-    return current.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_as)), list(keys))
+    writes = _counted_versions(spark, root, schema).groupBy(*keys).agg(F.sum(_WRITES).alias(count_as))
+    return current.join(writes, list(keys))
 
 
 def compact(spark: SparkSession, root: str, target: str, schema: T.StructType, keys: Sequence[str], sequence: str) -> None:
-    """Writes the winning rows of a keyed table as the single version of a new folder."""
-    _write_version(read_current(spark, root, schema, keys, sequence), target, 0)
+    """Writes the winning rows of a keyed table, with their number of writes, as the single version of a new folder."""
+    _write_version(read_current(spark, root, schema, keys, sequence, _WRITES), target, 0)
 
 
 def rows_to_database(df: DataFrame, connect: Callable[[], object], statement: str, batch: int = 1000) -> None:

@@ -78,7 +78,7 @@ def line_rows(lineitem: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("upc"),
         F.col("l_partkey").alias("sku"),
         F.col("l_quantity").cast("decimal(10,3)").alias("quantity"),
-        F.floor(extended / F.col("l_quantity")).cast("bigint").alias("unit_price_cents"),
+        F.floor(F.try_divide(extended, F.col("l_quantity"))).cast("bigint").alias("unit_price_cents"),
         extended.alias("extended_cents"),
         cents(F.col("l_extendedprice") * F.col("l_discount")).alias("discount_cents"),
         F.col("l_shipdate").cast("timestamp").alias("ingested_ts"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from tillworks.operators.dedup import latest_order
 from tillworks.operators.quality import Rule, gate
 from tillworks.sources.scans import stamped
 from tillworks.sources.sinks import dual_write, write_upsert
@@ -46,8 +47,7 @@ def stream_scd1(stream: DataFrame, keys: Sequence[str], sequence: str) -> DataFr
     State holds one row per key for good. `upsert_batches` needs no state and suits tables whose keys
     keep growing.
     """
-    rest = sorted(c for c in stream.columns if c not in (*keys, sequence))
-    ordered = F.struct(F.col(sequence), *(F.col(c) for c in rest))
+    ordered = F.struct(*latest_order(stream.columns, keys, sequence))
     latest = stream.groupBy(*keys).agg(F.max(ordered).alias("_latest"))
     return latest.select(*keys, "_latest.*").select(*stream.columns)
 
@@ -152,7 +152,7 @@ def stream_throttle(
     of a micro-batch (files or offsets per trigger) is the bound.
     """
     when = F.col(at).cast("timestamp")
-    timed = requests.select(user, request_id, when.alias(at), F.unix_micros(when).alias("at_micros"))
+    timed = requests.filter(when.isNotNull()).select(user, request_id, when.alias(at), F.unix_micros(when).alias("at_micros"))
     output = timed.drop("at_micros").schema
     return timed.withWatermark(at, delay).groupBy(user).transformWithStateInPandas(
         statefulProcessor=TokenBucket(rate, burst, output.names, request_id), outputStructType=output,
