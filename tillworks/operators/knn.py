@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillworks.functions.receipt_text import embed_text
-from tillworks.functions.vectors import similarity_to
+from tillworks.functions.vectors import dot, similarity_to
 from tillworks.operators.dedup import top_per_key
 
 # Queries held in memory by a task at a time; more are answered in several passes.
@@ -179,6 +179,39 @@ def cell_search(
     ).drop("cell", "closeness")
 
 
+LSH_TABLES = 12
+LSH_BITS = 4
+# The multiplier and range of the rule for the planes' signs, which plain SQL can state as well.
+_SIGN_STEP, _SIGN_RANGE = 2654435761, 1 << 32
+
+
+def lsh_buckets(column: str, dim: int, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> Column:
+    """One bucket number per table: on which side of each of its fixed planes the vector lies. NULL for other lengths."""
+    planes = [[1.0 if (d + 1) * (p + 3) * _SIGN_STEP % _SIGN_RANGE >= _SIGN_RANGE // 2 else -1.0 for d in range(dim)]
+              for p in range(tables * bits)]
+    sides = F.transform(F.lit(planes), lambda plane: (dot(F.col(column), plane) >= 0).cast("long"))
+    return F.when(F.size(column) == dim, F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.aggregate(
+        F.sequence(F.lit(0), F.lit(bits - 1)), (t * (1 << bits)).cast("long"),
+        lambda number, b: number + F.get(sides, t * bits + b) * F.pow(F.lit(2), b).cast("long"))))
+
+
+def write_lsh_index(corpus: DataFrame, path: str, dim: int, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> None:
+    """Each vector once per table, stored by bucket, so that a search reads its own buckets only."""
+    buckets = F.explode(lsh_buckets("embedding", dim, tables, bits))
+    corpus.withColumn("bucket", buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def ann_lsh(
+    index: DataFrame, query: Sequence[float], threshold: float = 0.3, limit: int = 10, key: str = "sku",
+    tables: int = LSH_TABLES, bits: int = LSH_BITS,
+) -> DataFrame:
+    """Similar products among those that share a bucket with the query, ranked exactly."""
+    one = index.sparkSession.range(1).select(F.lit([float(v) for v in query]).alias("v"))
+    buckets = one.select(lsh_buckets("v", len(query), tables, bits)).first()[0]
+    met = index.filter(F.col("bucket").isin(buckets)).drop("bucket").dropDuplicates([key])
+    return semantic_search(met, query, threshold, limit, key=key)
+
+
 def generate_embeddings(catalog: DataFrame, vector: Callable[[Column], Column]) -> DataFrame:
     """Product vectors from description and department through any vector column function."""
     text = catalog.withColumn("search_text", embed_text("product_desc", "department_code"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillworks.functions.receipt_text import dollars_to_cents
-from tillworks.operators.dedup import top_per_key
 from tillworks.operators.substring import contains_pairs, longest_literal
 
 MAX_DOLLARS = 10_000_000
@@ -38,24 +38,35 @@ class Criteria:
     def check(self) -> "Criteria":
         """The criteria with blanks read as absent; raises on anything out of bounds or too broad."""
         c = self.normal()
+        problem = c.problem()
+        if problem is not None:
+            raise ValueError(problem)
+        return c
+
+    def problem(self) -> str | None:
+        """The code of the first rule these criteria break; the rules are those of `search_guard`."""
         for name in ("amount_min", "amount_max"):
-            value = getattr(c, name)
-            if value is not None and not 0 <= float(value) <= MAX_DOLLARS:
-                raise ValueError(f"{name} must be between 0 and {MAX_DOLLARS}")
-        if c.amount_min is not None and c.amount_max is not None and float(c.amount_min) > float(c.amount_max):
-            raise ValueError("amount_min must be <= amount_max")
-        if not 1 <= c.limit <= MAX_LIMIT:
-            raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
-        if c.offset < 0:
-            raise ValueError("offset must be non-negative")
-        if c.card_last4 is not None and not (len(c.card_last4) == 4 and c.card_last4.isdigit()):
-            raise ValueError("card_last4 must be exactly 4 digits")
-        specific = (c.customer_id, c.store_id, c.store_name, c.card_last4, c.amount_min, c.amount_max)
+            value = getattr(self, name)
+            if value is not None and float(value) < 0:
+                return f"{name}_negative"
+            if value is not None and float(value) > MAX_DOLLARS:
+                return f"{name}_too_large"
+        if self.amount_min is not None and self.amount_max is not None and float(self.amount_min) > float(self.amount_max):
+            return "amounts_crossed"
+        if not 1 <= self.limit <= MAX_LIMIT:
+            return "limit_out_of_range"
+        if self.offset < 0:
+            return "offset_negative"
+        if self.card_last4 is not None and not re.fullmatch("[0-9]{4}", self.card_last4):
+            return "card_not_four_digits"
+        for name in ("date_from", "date_to"):
+            value = getattr(self, name)
+            if value is not None and not re.match(r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", str(value)):
+                return f"{name}_unreadable"
+        specific = (self.customer_id, self.store_id, self.store_name, self.card_last4, self.amount_min, self.amount_max)
         if all(v is None for v in specific):
-            if c.date_from is None and c.date_to is None:
-                raise ValueError("at least one search parameter is required")
-            raise ValueError("a date range needs another parameter beside it")
-        return c
+            return "no_criterion" if self.date_from is None and self.date_to is None else "dates_alone_too_broad"
+        return None
 
 
 def amount_bounds(low: Column, high: Column) -> tuple[Column, Column]:
@@ -106,31 +117,37 @@ def fuzzy_search(receipts: DataFrame, criteria: Criteria) -> DataFrame:
     return (found.offset(c.offset) if c.offset else found).limit(c.limit)
 
 
+def _day(name: str) -> Column:
+    return F.expr(f"try_cast({name} AS timestamp)")
+
+
 def search_guard(requests: DataFrame) -> DataFrame:
-    """Reads blanks as absent and adds `problem`: why a search is refused, NULL for a good one."""
+    """Reads blanks as absent, fills in limit and offset, and adds `problem`: the code of the first rule a search breaks,
+    NULL for a good one. A search that is refused never stops the others."""
     blank = {
         name: F.when(F.col(name).cast("string") == "", None).otherwise(F.col(name)) for name in _TEXT
     }
-    r = requests.withColumns(blank)
+    r = requests.withColumns({
+        **blank, "limit": F.coalesce("limit", F.lit(Criteria.limit)), "offset": F.coalesce("offset", F.lit(Criteria.offset)),
+    })
 
-    def bad_amount(name: str) -> Column:
-        return F.when(F.col(name) < 0, F.lit(f"{name} must be non-negative")).when(
-            F.col(name) > MAX_DOLLARS, F.lit(f"{name} too large")
-        )
+    def broken(code: str, test: Column) -> Column:
+        return F.when(test, F.lit(code))
 
     specific = F.coalesce(*(F.col(n).cast("string") for n in (
         "customer_id", "store_id", "store_name", "card_last4", "amount_min", "amount_max"
     )))
     dated = F.col("date_from").isNotNull() | F.col("date_to").isNotNull()
     return r.withColumn("problem", F.coalesce(
-        bad_amount("amount_min"),
-        bad_amount("amount_max"),
-        F.when(F.col("amount_min") > F.col("amount_max"), F.lit("amount_min must be <= amount_max")),
-        F.when(~F.col("limit").between(1, MAX_LIMIT), F.lit("limit out of range")),
-        F.when(F.col("offset") < 0, F.lit("offset must be non-negative")),
-        F.when(~F.col("card_last4").rlike("^[0-9]{4}$"), F.lit("card_last4 must be exactly 4 digits")),
-        F.when(specific.isNull() & ~dated, F.lit("no search parameter")),
-        F.when(specific.isNull() & dated, F.lit("date range alone is too broad")),
+        *(broken(code, test) for name in ("amount_min", "amount_max") for code, test in (
+            (f"{name}_negative", F.col(name) < 0), (f"{name}_too_large", F.col(name) > MAX_DOLLARS))),
+        broken("amounts_crossed", F.col("amount_min") > F.col("amount_max")),
+        broken("limit_out_of_range", ~F.col("limit").between(1, MAX_LIMIT)),
+        broken("offset_negative", F.col("offset") < 0),
+        broken("card_not_four_digits", ~F.col("card_last4").rlike("^[0-9]{4}$")),
+        *(broken(f"{name}_unreadable", F.col(name).isNotNull() & _day(name).isNull()) for name in ("date_from", "date_to")),
+        broken("no_criterion", specific.isNull() & ~dated),
+        broken("dates_alone_too_broad", specific.isNull() & dated),
     ))
 
 
@@ -170,8 +187,8 @@ def _stores_named(names: DataFrame, patterns: DataFrame) -> DataFrame:
     return pairs.filter(_name_matches("matched_name", "pattern")).select("pattern", "matched_name")
 
 
-# A request bounded to at most this many months is met month by month.
-_DATED_MONTHS = 24
+_MONTHLY = ("store", "name", "amount")
+_SALTS = 64
 
 
 def _month(at: Column) -> Column:
@@ -188,8 +205,7 @@ def _asked(requests: DataFrame) -> DataFrame:
         F.col("store_id").alias("q_store_id"),
         F.when(F.col("store_id").isNull(), F.col("store_name")).alias("q_store_name"),
         F.col("card_last4").alias("q_card_last4"),
-        F.col("date_from").cast("timestamp").alias("q_from"),
-        (F.col("date_to").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("q_to"),
+        _day("date_from").alias("q_from"), (_day("date_to") + F.expr("INTERVAL 1 DAY")).alias("q_to"),
         low.alias("q_low"), high.alias("q_high"),
         F.col("offset").alias("q_offset"), (F.col("offset") + F.col("limit")).alias("q_end"),
     )
@@ -198,21 +214,20 @@ def _asked(requests: DataFrame) -> DataFrame:
         .when(F.col("q_store_id").isNotNull(), "store").when(F.col("q_store_name").isNotNull(), "name")
         .otherwise("amount")
     )
-    dated = (F.col("q_from") <= F.col("q_to")) & (F.months_between("q_to", "q_from") <= _DATED_MONTHS)
-    monthly = F.coalesce(dated & way.isin("store", "name", "amount"), F.lit(False))
-    return asked.withColumn("way", F.when(monthly, F.concat(way, F.lit(" by month"))).otherwise(way))
-
-
-def _request_keys(asked: DataFrame, names: DataFrame, ways: list[str]) -> DataFrame:
-    """Each request with the keys under which its receipts are found."""
-    months = F.transform(
-        F.sequence(F.trunc("q_from", "month"), F.trunc("q_to", "month"), F.expr("INTERVAL 1 MONTH")), _month
-    )
-    whens = F.array(F.lit(""))
-    if any(w.endswith("by month") for w in ways):
-        whens = F.when(F.col("way").endswith("by month"), months).otherwise(whens)
-    kind = F.split("way", " ")[0]
-    if any(w.startswith("name") for w in ways):
+    return asked.withColumn("way", way)
+
+
+def _request_keys(asked: DataFrame, names: DataFrame, ways: list[str], first: object, last: object) -> DataFrame:
+    """Each request with the keys under which its receipts are found. Broad ways go month by month, open ends being those
+    of the receipts."""
+    low, high = (F.lit(x).cast("timestamp") for x in (first, last))
+    start, end = F.greatest(F.coalesce("q_from", low), low), F.least(F.coalesce("q_to", high), high)
+    months = F.when(start <= end, F.transform(
+        F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("INTERVAL 1 MONTH")), _month
+    )).otherwise(F.array().cast("array<string>"))
+    whens = F.when(F.col("way").isin(*_MONTHLY), months).otherwise(F.array(F.lit("")))
+    kind = F.col("way")
+    if "name" in ways:
         patterns = asked.filter(kind == "name").select(F.col("q_store_name").alias("pattern")).distinct()
         named = _stores_named(names, patterns).withColumnRenamed("pattern", "q_store_name")
         rest = asked.filter(kind != "name").withColumn("matched_name", F.lit(None).cast("string"))
@@ -240,9 +255,7 @@ def _receipt_keys(receipts: DataFrame, ways: list[str]) -> DataFrame:
     }
     month = _month(F.col("transaction_ts"))
     keys = [
-        F.when(values[w.split(" ")[0]].isNotNull(), F.concat_ws(
-            "|", F.lit(w), values[w.split(" ")[0]], month if w.endswith("by month") else F.lit("")
-        ))
+        F.when(values[w].isNotNull(), F.concat_ws("|", F.lit(w), values[w], month if w in _MONTHLY else F.lit("")))
         for w in ways
     ]
     return receipts.withColumn("_key", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())))
@@ -252,23 +265,25 @@ def bulk_fuzzy_search(requests: DataFrame, receipts: DataFrame, stores: DataFram
     """Every request answered as by `fuzzy_search`: its newest `limit` receipts after `offset`, ranked.
 
     Each request goes one way, by the most selective criterion it gives: customer, card, store, store
-    name or amount, the last three also by month where the dates bound it. All ways share one join on
-    equal keys over a single pass of the receipts, with the remaining criteria inside its condition.
-    Names meet stores through shared substrings and amounts through logarithmic bands. Ranking keeps
-    only the newest rows of a request in each task before they are shuffled, so a hot store or a broad
-    request does not send its matches to one place. `stores` (store names) may be given to spare a
-    pass over the receipts.
+    name or amount, the last three month by month. All ways share one join on equal keys over a single
+    pass of the receipts, with the remaining criteria inside its condition. Names meet stores through
+    shared substrings and amounts through logarithmic bands. The matches of a request are ranked in
+    salted parts first, each cut at the request's own last row, so neither a hot store nor one deep
+    page sends its matches to one place. `stores` (store names) may be given to spare a pass over the
+    receipts. Refused requests give no rows.
     """
     asked = _asked(requests)
-    summary = asked.groupBy("way").agg(F.max("q_end").alias("last")).collect()
-    ways = sorted(r["way"] for r in summary) or ["customer"]
-    last = max((r["last"] for r in summary), default=0)
+    ways = sorted(r["way"] for r in asked.select("way").distinct().collect()) or ["customer"]
+    first, last = receipts.agg(F.min("transaction_ts"), F.max("transaction_ts")).first()
     names = (stores if stores is not None else receipts).select("store_name").distinct()
-    keyed = _request_keys(asked, names, ways)
+    keyed = _request_keys(asked, names, ways, first, last)
     found = _receipt_keys(receipts, ways).join(keyed, "_key").filter(_matches()).select(
-        "request_id", "q_offset", "q_end", *receipts.columns
+        "request_id", "q_offset", "q_end", *receipts.columns, F.pmod(F.xxhash64("transaction_id"), F.lit(_SALTS)).alias("_salt")
     )
-    ranked = top_per_key(found, ["request_id"], newest_first(), int(last), "position")
+    part = Window.partitionBy("request_id", "_salt").orderBy(*newest_first())
+    cut = found.withColumn("_at", F.row_number().over(part)).filter(F.col("_at") <= F.col("q_end")).drop("_salt", "_at")
+    whole = Window.partitionBy("request_id").orderBy(*newest_first())
+    ranked = cut.withColumn("position", F.row_number().over(whole))
     return ranked.filter((F.col("position") > F.col("q_offset")) & (F.col("position") <= F.col("q_end"))).select(
         "request_id", "position", *receipts.columns
     )

@@ -148,12 +148,12 @@ def search_requests(spark, folder):
     )
 
 
-_PROBLEM_SQL = """CASE WHEN amount_min < 0 THEN 'amount_min must be non-negative' WHEN amount_min > 10000000 THEN 'amount_min too large'
-  WHEN amount_max < 0 THEN 'amount_max must be non-negative' WHEN amount_max > 10000000 THEN 'amount_max too large'
-  WHEN amount_min > amount_max THEN 'amount_min must be <= amount_max'
+_PROBLEM_SQL = """CASE WHEN amount_min < 0 THEN 'amount_min_negative' WHEN amount_min > 10000000 THEN 'amount_min_too_large'
+  WHEN amount_max < 0 THEN 'amount_max_negative' WHEN amount_max > 10000000 THEN 'amount_max_too_large'
+  WHEN amount_min > amount_max THEN 'amounts_crossed'
   WHEN coalesce(CAST(customer_id AS VARCHAR), CAST(store_id AS VARCHAR), store_name, card_last4, CAST(amount_min AS VARCHAR),
                 CAST(amount_max AS VARCHAR)) IS NULL
-    THEN CASE WHEN date_from IS NULL AND date_to IS NULL THEN 'no search parameter' ELSE 'date range alone is too broad' END END"""
+    THEN CASE WHEN date_from IS NULL AND date_to IS NULL THEN 'no_criterion' ELSE 'dates_alone_too_broad' END END"""
 
 
 @query("search_guard", f"WITH {_REQUESTS_SQL} SELECT request_id, {_PROBLEM_SQL} AS problem FROM requests")

@@ -9,6 +9,7 @@ from tillworks.operators import knn
 from tillworks.operators.dedup import dedup_items
 from tillworks.plans import gold
 from tillworks.registry.base import LINES, RECEIPTS, clean_items, clean_receipts, flat, query, ts
+from tillworks.session import run_folder
 from tillworks.sources import warehouse as wh
 
 _QUERY = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)"
@@ -77,10 +78,17 @@ def q_cell_search(spark, folder):
     return _rounded(knn.cell_search(cells, centres, query_vector(spark, folder)))
 
 
-@query("ann_lsh")
+@query("ann_lsh", f"""WITH {_SIMILAR},
+planes AS (SELECT p, list_transform(range(0, 64), lambda d: CASE WHEN (d + 1) * (p + 3) * 2654435761 % 4294967296 >= 2147483648 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS signs FROM range(0, 48) t(p)),
+sides AS (SELECT vec_id, p // 4 AS tab, sum(CASE WHEN list_inner_product(CAST(embedding AS DOUBLE[]), signs) >= 0 THEN 1 << (p % 4)::INTEGER ELSE 0 END) AS bucket
+          FROM embeddings, planes GROUP BY 1, 2),
+met AS (SELECT DISTINCT s.vec_id FROM sides s JOIN sides q ON q.vec_id = 0 AND q.tab = s.tab AND q.bucket = s.bucket)
+SELECT sku, category, round(s, 6) AS similarity FROM scored JOIN met ON vec_id = sku WHERE s > 0.3 ORDER BY s DESC, sku LIMIT 10""")
 def q_ann(spark, folder):
-    cells, centres = indexed(spark, folder)
-    return _rounded(knn.cell_search(cells, centres, query_vector(spark, folder), probes=4))
+    root = run_folder(spark, "lsh")
+    query = query_vector(spark, folder)
+    knn.write_lsh_index(wh.product_vectors(spark, folder), root, len(query))
+    return _rounded(knn.ann_lsh(spark.read.parquet(root), query))
 
 
 _MATCHES = f"""{_SIMILAR}, {LINES}, {RECEIPTS},
