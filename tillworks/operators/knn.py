@@ -187,12 +187,10 @@ _SIGN_STEP, _SIGN_RANGE = 2654435761, 1 << 32
 
 def lsh_buckets(column: str, dim: int, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> Column:
     """One bucket number per table: on which side of each of its fixed planes the vector lies. NULL for other lengths."""
-    planes = [[1.0 if (d + 1) * (p + 3) * _SIGN_STEP % _SIGN_RANGE >= _SIGN_RANGE // 2 else -1.0 for d in range(dim)]
-              for p in range(tables * bits)]
-    sides = F.transform(F.lit(planes), lambda plane: (dot(F.col(column), plane) >= 0).cast("long"))
-    return F.when(F.size(column) == dim, F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.aggregate(
-        F.sequence(F.lit(0), F.lit(bits - 1)), (t * (1 << bits)).cast("long"),
-        lambda number, b: number + F.get(sides, t * bits + b) * F.pow(F.lit(2), b).cast("long"))))
+    planes = [[[1.0 if (d + 1) * (p + 3) * _SIGN_STEP % _SIGN_RANGE >= _SIGN_RANGE // 2 else -1.0 for d in range(dim)]
+               for p in range(t * bits, (t + 1) * bits)] for t in range(tables)]
+    return F.when(F.size(column) == dim, F.transform(F.lit(planes), lambda group, t: F.aggregate(
+        group, t.cast("long"), lambda number, plane: number * 2 + (dot(F.col(column), plane) >= 0).cast("long"))))
 
 
 def write_lsh_index(corpus: DataFrame, path: str, dim: int, tables: int = LSH_TABLES, bits: int = LSH_BITS) -> None:

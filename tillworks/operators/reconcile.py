@@ -48,12 +48,15 @@ def repair_gaps(lake: DataFrame, missing: DataFrame) -> DataFrame:
 
 
 def hot_cold_receipts(hot: DataFrame, lake: DataFrame) -> DataFrame:
-    """Both stores as one, the lake's row winning where both have the receipt."""
+    """Both stores as one, the lake's row winning where both have the receipt.
+
+    The lake holds a receipt once and is not ranked again; only its ids meet the small hot store.
+    """
     shared = [c for c in lake.columns if c in hot.columns]
-    both = lake.select(*shared, F.lit(0).alias("_source")).unionByName(hot.select(*shared, F.lit(1).alias("_source")))
-    rest = [F.desc(c) for c in shared if c != "transaction_id"]
-    picked = top_per_key(both, ["transaction_id"], [F.asc("_source"), *rest])
-    return picked.withColumn("source", F.when(F.col("_source") == 0, "lake").otherwise("hot")).drop("_source")
+    order = [F.desc(c) for c in shared if c != "transaction_id"]
+    only_hot = hot.select(*shared).join(lake.select("transaction_id"), "transaction_id", "left_anti")
+    picked = top_per_key(only_hot, ["transaction_id"], order).select(*shared, F.lit("hot").alias("source"))
+    return lake.select(*shared, F.lit("lake").alias("source")).unionByName(picked)
 
 
 def verify_counts(before: DataFrame, moved: DataFrame, after: DataFrame) -> DataFrame:

@@ -95,6 +95,7 @@ def top_departments_of(spending: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def customer_profiles(items: DataFrame, headers: DataFrame) -> DataFrame:
+    """Lifetime figures and top departments; where spending is stored, join `top_departments_of` instead."""
     return customer_totals(headers).join(top_departments(items, headers), "customer_id", "left")
 
 
@@ -209,15 +210,16 @@ def receipt_stats(headers: DataFrame) -> DataFrame:
 
 def line_item_stats(lines: DataFrame, sku: str | None = None) -> DataFrame:
     """One row of totals over all line items; with `sku`, also how many lines hold that product."""
-    pairs = lines.groupBy("transaction_id", "sku").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("extended_cents").alias("s")
-    )
-    measures = [
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_lines"),
-        F.count_distinct("transaction_id").alias("total_receipts"),
-        F.count_distinct("sku").alias("unique_skus"),
-        F.sum("s").alias("revenue_cents"),
-    ]
-    if sku is not None:
-        measures.append(F.coalesce(F.sum(F.when(F.col("sku") == sku, F.col("n"))), F.lit(0)).alias("sku_lines"))
-    return pairs.agg(*measures)
+    wanted = F.sum((F.col("sku") == sku).cast("bigint")) if sku is not None else F.lit(0).cast("bigint")
+    receipts = lines.groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("extended_cents").alias("s"), wanted.alias("w")
+    )
+    # each side has one distinct count, so neither repeats its rows; the two rows of totals meet in one
+    by_receipt = receipts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_lines"), F.count("transaction_id").alias("total_receipts"),
+        F.lit(None).cast("bigint").alias("unique_skus"), F.sum("s").alias("revenue_cents"),
+        F.coalesce(F.sum("w"), F.lit(0)).alias("sku_lines"),
+    )
+    by_sku = lines.select("sku").distinct().agg(F.count("sku").alias("unique_skus"))
+    both = by_receipt.unionByName(by_sku, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in by_receipt.columns))
+    return both if sku is not None else both.drop("sku_lines")

@@ -104,7 +104,10 @@ def matched(spark, folder):
 
 
 def _lines(spark, folder):
-    return dedup_items(wh.raw_items(spark, folder, with_product=False))
+    """Clean lines of the matched products: only lines that ever held one of them are deduplicated."""
+    raw = wh.raw_items(spark, folder, with_product=False)
+    keys = raw.join(matched(spark, folder).select("sku"), "sku", "left_semi").select("transaction_id", "item_seq").distinct()
+    return dedup_items(raw.join(keys, ["transaction_id", "item_seq"], "left_semi").select(*raw.columns))
 
 
 @query("semantic_receipts", f"""WITH {_MATCHES}
