@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -189,7 +190,8 @@ def lsh_buckets(column: str, dim: int, tables: int = LSH_TABLES, bits: int = LSH
     """One bucket number per table: on which side of each of its fixed planes the vector lies. NULL for other lengths."""
     planes = [[[1.0 if (d + 1) * (p + 3) * _SIGN_STEP % _SIGN_RANGE >= _SIGN_RANGE // 2 else -1.0 for d in range(dim)]
                for p in range(t * bits, (t + 1) * bits)] for t in range(tables)]
-    return F.when(F.size(column) == dim, F.transform(F.lit(planes), lambda group, t: F.aggregate(
+    known = F.from_json(F.lit(json.dumps(planes)), "array<array<array<double>>>")
+    return F.when(F.size(column) == dim, F.transform(known, lambda group, t: F.aggregate(
         group, t.cast("long"), lambda number, plane: number * 2 + (dot(F.col(column), plane) >= 0).cast("long"))))
 
 
