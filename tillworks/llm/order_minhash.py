@@ -10,18 +10,20 @@ probability of about s ** TAKE, so of pairs at the threshold fewer than one in a
 common-subsequence alignment kept to the band of diagonals that the threshold allows.
 
 Classes are the connected components of all verified links, exact copies included. A bucket is not paired out: its members are
-first aligned with one hub; once links are merged, only members of one bucket that are still in different classes are
-compared with each other, so that no link is lost and a group of copies costs one alignment a text.
+first aligned with hubs. Texts that share a bucket with another class after that meet again by their rarest shingles: of two
+texts with s >= 0.8 one of the rarest fifth of shingles of each is shared, so texts that have only a common passage, however
+frequent, part here, and no link is lost. Again hubs go first, and only texts still in different classes are then compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillworks.llm.common import SLAB, landed, mix64, slabs, small_batches, text_bytes
@@ -34,6 +36,10 @@ SIMILAR = 0.8
 _SEEDS = np.random.default_rng(43).integers(0, 2**63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LABEL = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Rounds in which the texts of a rare shingle are aligned with one hub, the first in a new random order each time.
+ROUNDS = 4
+#: Size of the table of shingle frequencies, as a power of two.
+SLOT_BITS = 20
 #: Shingles up to which all sketches of a text are drawn at once.
 AT_ONCE = 50_000
 
@@ -55,14 +61,20 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix64(h[keep]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def sketches(s: np.ndarray) -> np.ndarray:
-    """The hash of each sketch of a text with the shingles s."""
+def occurrences(s: np.ndarray) -> np.ndarray:
+    """The shingles with their occurrence number mixed in, so that equal shingles of a text differ."""
     order = np.argsort(s, kind="stable")
     ranked = s[order]
     fresh = np.append(True, ranked[1:] != ranked[:-1])
     begin = np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))
     labelled = np.empty(len(s), np.uint64)
     labelled[order] = mix64(ranked + (np.arange(len(s)) - begin).astype(np.uint64) * _LABEL)
+    return labelled
+
+
+def sketches(s: np.ndarray) -> np.ndarray:
+    """The hash of each sketch of a text with the shingles s."""
+    labelled = occurrences(s)
     take = min(TAKE, len(s))
     out = np.empty(SKETCHES, np.uint64)
     step = max(1, AT_ONCE * SKETCHES // max(1, len(s)))
@@ -192,6 +204,78 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _slot(labelled: np.ndarray) -> np.ndarray:
+    return (labelled >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How often shingles occur, in a table of fixed size; it only settles which shingles count as rare."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for piece in slabs(batch, "text", SLAB // 2):
+                s, ends = shingles(*text_bytes(piece.column(0)))
+                for a, b in zip(ends[:-1], ends[1:]):
+                    np.add.at(total, _slot(occurrences(s[a:b])), 1)
+        used = np.flatnonzero(total)
+        for low in range(0, len(used), 100_000):
+            part = used[low: low + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
+
+    found = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << SLOT_BITS, np.int32)
+    total[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
+    return total
+
+
+def _rarest(texts: DataFrame, frequency: np.ndarray) -> DataFrame:
+    """row, token, at, n: of each text of n shingles the rarest, so many that similar texts share one, with their rank."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slabs(batch, "text", SLAB // 2):
+                s, ends = shingles(*text_bytes(piece.column(1)))
+                for row, a, b in zip(piece.column(0).to_pylist(), ends[:-1], ends[1:]):
+                    labelled = occurrences(s[a:b])
+                    n = len(labelled)
+                    keep = n - math.ceil(SIMILAR * n - 1e-9) + 1 if n else 0
+                    first = labelled[np.lexsort((labelled, frequency[_slot(labelled)]))][:keep]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(keep, row)), pa.array(first.view(np.int64)), pa.array(np.arange(keep)),
+                         pa.array(np.full(keep, n))], names=["row", "token", "at", "n"])
+
+    return texts.select("row", "text").mapInArrow(run, "row long, token long, at long, n long")
+
+
+def _mixed(members: DataFrame, key: str) -> DataFrame:
+    """The members (with a label) of keys that hold more than one label."""
+    keys = (members.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+            .filter(F.col("low") != F.col("high")).select(key))
+    return members.join(keys, key, "left_semi")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+
+
+def _can_be_first(na: str, ia: str, nb: str, ib: str) -> Column:
+    """Whether texts of na and nb shingles can be similar and the shingles ranked ia and ib, which are equal, be the first rare
+    ones they share: lengths fit, enough shingles follow, and of the shorter text only the rarest ninth comes first."""
+    na, ia, nb, ib = (F.col(c) for c in (na, ia, nb, ib))
+    short, at = F.least(na, nb), F.when(na <= nb, ia).otherwise(ib)
+    share = 2 * SIMILAR / (1 + SIMILAR)
+    return ((short >= SIMILAR * F.greatest(na, nb) - 1e-6)
+            & (F.least(na - ia, nb - ib) * (1 + SIMILAR) >= SIMILAR * (na + nb) - 1e-6)
+            & (at < short - F.ceil(share * short - 1e-6) + 1))
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs (a, b), the greater row first, without those already aligned."""
+    def ordered(df):
+        return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+    return ordered(pairs).distinct().join(ordered(tested), ["a", "b"], "left_anti")
+
+
 def _grown(links: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = links.unionByName(more)
     return links, components(links)
@@ -226,19 +310,25 @@ def classes(rows: DataFrame) -> DataFrame:
     second = landed(apart, "pairs")
     tested = tested.unionByName(second)
     links, labels = _grown(links, landed(_verified(second, texts), "links"))
-    # members of one bucket in different classes
-    named = labels.withColumnRenamed("node", "row")
-    held = landed(met.join(named, "row", "left").select("bucket", "row", F.coalesce("label", "row").alias("label")), "held")
-    mixed = (held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-             .filter(F.col("low") != F.col("high")).select("bucket"))
-    left = landed(held.join(mixed, "bucket", "left_semi"), "held")
-    one = left.select("bucket", F.col("row").alias("a"), F.col("label").alias("la"))
-    two = left.select("bucket", F.col("row").alias("b"), F.col("label").alias("lb"))
-    rest = (one.join(two, "bucket").filter(F.col("la") < F.col("lb")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            .distinct())
-    known = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    third = landed(rest.join(known, ["a", "b"], "left_anti"), "pairs")
-    links, labels = _grown(links, landed(_verified(third, texts), "links"))
+    # texts that share a bucket with another class meet by their rarest shingles
+    apart = _mixed(_labelled(met.select("bucket", "row"), labels), "bucket").select("row").distinct()
+    left = landed(texts.join(apart, "row", "left_semi"), "apart-texts")
+    rare = landed(_rarest(left, _frequencies(left)), "rare-shingles")
+    shared = landed(_mixed(_labelled(rare, labels), "token"), "shared-shingles")
+    for k in range(ROUNDS):
+        hubs = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", F.lit(k)).alias("rank"), "row", "label", "n", "at")).alias("hub"))
+        near = (shared.join(hubs, "token")
+                .filter((F.col("label") != F.col("hub.label")) & _can_be_first("n", "at", "hub.n", "hub.at"))
+                .select(F.col("row").alias("a"), F.col("hub.row").alias("b")))
+        pairs = landed(_untested(near, tested), "pairs")
+        tested = tested.unionByName(pairs)
+        links, labels = _grown(links, landed(_verified(pairs, texts), "links"))
+        shared = landed(_mixed(_labelled(shared.drop("label"), labels), "token"), "shared-shingles")
+    one = shared.select("token", F.col("row").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    two = shared.select("token", F.col("row").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    rest = one.join(two, "token").filter((F.col("la") < F.col("lb")) & _can_be_first("na", "ia", "nb", "ib"))
+    fourth = landed(_untested(rest.select("a", "b"), tested), "pairs")
+    links, labels = _grown(links, landed(_verified(fourth, texts), "links"))
     joined = (forms.select("k1", "k2", "row").join(labels.withColumnRenamed("node", "row"), "row", "left")
               .select("k1", "k2", F.coalesce("label", "row").alias("label")))
     every = landed(sketched.select("row", "id", "k1", "k2").join(joined, ["k1", "k2"]).select("row", "id", "label"), "classes")
