@@ -276,9 +276,20 @@ def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     return ordered(pairs).distinct().join(ordered(tested), ["a", "b"], "left_anti")
 
 
-def _grown(links: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    links = links.unionByName(more)
-    return links, components(links)
+def _grown(labels: DataFrame | None, more: DataFrame) -> DataFrame:
+    """The labels with more links (a, b) taken in: only the classes that the links join are worked through again."""
+    if labels is None:
+        return components(more)
+    if more.isEmpty():
+        return labels
+    ends = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
+    whole = landed(labels.join(ends, "node", "full").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    one = whole.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    two = whole.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    joined = (more.join(one, "a").join(two, "b").filter(F.col("la") != F.col("lb"))
+              .select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    merged = components(joined).select(F.col("node").alias("label"), F.col("label").alias("up"))
+    return landed(whole.join(merged, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -298,8 +309,7 @@ def classes(rows: DataFrame) -> DataFrame:
     stars = met.filter(F.col("row") != F.col("hub")).groupBy("row", "hub").agg(F.count("*").alias("votes"))
     best = stars.groupBy("row").agg(F.max(F.struct("votes", F.xxhash64("hub").alias("rank"), "hub")).alias("best"))
     first = landed(best.select(F.col("row").alias("a"), F.col("best.hub").alias("b")), "pairs")
-    links = landed(_verified(first, texts), "links")
-    labels = components(links)
+    labels = _grown(None, landed(_verified(first, texts), "links"))
     tested = first
     # the other hubs of texts that are not yet in their hub's class
     named = labels.withColumnRenamed("node", "row")
@@ -309,7 +319,7 @@ def classes(rows: DataFrame) -> DataFrame:
              .join(tested, ["a", "b"], "left_anti"))
     second = landed(apart, "pairs")
     tested = tested.unionByName(second)
-    links, labels = _grown(links, landed(_verified(second, texts), "links"))
+    labels = _grown(labels, landed(_verified(second, texts), "links"))
     # texts that share a bucket with another class meet by their rarest shingles
     apart = _mixed(_labelled(met.select("bucket", "row"), labels), "bucket").select("row").distinct()
     left = landed(texts.join(apart, "row", "left_semi"), "apart-texts")
@@ -321,14 +331,16 @@ def classes(rows: DataFrame) -> DataFrame:
                 .filter((F.col("label") != F.col("hub.label")) & _can_be_first("n", "at", "hub.n", "hub.at"))
                 .select(F.col("row").alias("a"), F.col("hub.row").alias("b")))
         pairs = landed(_untested(near, tested), "pairs")
+        if pairs.isEmpty():
+            break
         tested = tested.unionByName(pairs)
-        links, labels = _grown(links, landed(_verified(pairs, texts), "links"))
+        labels = _grown(labels, landed(_verified(pairs, texts), "links"))
         shared = landed(_mixed(_labelled(shared.drop("label"), labels), "token"), "shared-shingles")
     one = shared.select("token", F.col("row").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("ia"))
     two = shared.select("token", F.col("row").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     rest = one.join(two, "token").filter((F.col("la") < F.col("lb")) & _can_be_first("na", "ia", "nb", "ib"))
     fourth = landed(_untested(rest.select("a", "b"), tested), "pairs")
-    links, labels = _grown(links, landed(_verified(fourth, texts), "links"))
+    labels = _grown(labels, landed(_verified(fourth, texts), "links"))
     joined = (forms.select("k1", "k2", "row").join(labels.withColumnRenamed("node", "row"), "row", "left")
               .select("k1", "k2", F.coalesce("label", "row").alias("label")))
     every = landed(sketched.select("row", "id", "k1", "k2").join(joined, ["k1", "k2"]).select("row", "id", "label"), "classes")
