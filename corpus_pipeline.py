@@ -21,7 +21,7 @@ _DONE: list[str] = []
 def _stage(fn: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _DONE:
-            common.release(spark, _DONE.pop())
+            common.release_folder(spark, _DONE.pop())
         before = len(common.FOLDERS)
         result = fn(spark, docs, sf_dir)
         _DONE.extend(common.FOLDERS[before:])

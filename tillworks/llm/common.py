@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tillworks.session import run_folder
+from tillworks.session import release_folder, run_folder
 
 #: Rows of an Arrow batch while the session still has Spark's own default; long texts then stay within memory.
 BATCH_ROWS = 500
@@ -35,12 +35,6 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def release(spark: SparkSession, folder: str) -> None:
-    """Removes a run folder that is no longer read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one run of UTF-8 bytes and their offsets; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
