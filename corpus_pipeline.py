@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillworks.llm import common, decontaminate, order_minhash, queries, sentencepiece_bpe, suffix_dedup, toxicity
+from tillworks.session import release_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _DONE: list[str] = []
@@ -21,7 +22,7 @@ _DONE: list[str] = []
 def _stage(fn: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _DONE:
-            common.release_folder(spark, _DONE.pop())
+            release_folder(spark, _DONE.pop())
         before = len(common.FOLDERS)
         result = fn(spark, docs, sf_dir)
         _DONE.extend(common.FOLDERS[before:])
