@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -35,6 +36,12 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def drop_finished(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of steps that nothing refers to any more, as its periodic GC would."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one run of UTF-8 bytes and their offsets; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import byte_table, landed, slabs, small_batches, text_bytes
+from tillworks.llm.common import byte_table, drop_finished, landed, slabs, small_batches, text_bytes
 
 CHUNK_BYTES = 1 << 20
 GRAM = 32
@@ -304,6 +304,8 @@ def _with_repeats(docs: DataFrame, text_col: str, length: int, finish, schema) -
     for step in (second, third):
         asked = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(step, KEYS)
         known = known.unionByName(landed(asked.groupBy("shard").applyInArrow(_answers, REPLY), "passage-keys"))
+        del asked
+        drop_finished(spark)
     return chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(last, schema)
 
 
