@@ -762,3 +762,54 @@ def test_insert_if_absent_within_a_stretch(spark):
     assert {r.k: r.status for r in status.collect()} == {"b": "exists", "c": "created", "n": "exists", "z": "created"}
     nothing = sinks.write_if_absent(spark.createDataFrame([], schema), root, ["k"], 2, within="at")
     assert nothing.count() == 0
+
+
+ODD_LINES = [item("T1", n) for n in (600, 1200, 1800)] + [item("T2", 0), item("T2", 1), item("T3", 1), item("T3", None)]
+ODD_LINES += [item("T4", n) for n in range(1, 1201)]
+
+
+def test_parts_go_by_rank_and_hold_every_line(spark):
+    heads, lines = headers(spark, *(header(f"T{k}") for k in range(1, 5))), items(spark, *ODD_LINES)
+    parts = {(r.transaction_id, r.item_part): [i.item_seq for i in r.items_detail] for r in silver.items_per_receipt(lines).collect()}
+    assert parts == {
+        ("T1", 0): [600, 1200, 1800], ("T2", 0): [0, 1], ("T3", 0): [1], ("T3", -1): [None],
+        ("T4", 0): list(range(1, 501)), ("T4", 1): list(range(501, 1001)), ("T4", 2): list(range(1001, 1201)),
+    }
+    whole = {r.transaction_id: r for r in gold.receipt_lookup(silver.receipt_lookup_silver(heads, lines, part_size=None)).collect()}
+    assert {k: [i.item_seq for i in r.items_detail] for k, r in whole.items()} == {
+        "T1": [600, 1200, 1800], "T2": [0, 1], "T3": [1, None], "T4": list(range(1, 1201))}
+    assert {r.item_parts for r in whole.values()} == {1}
+    unnumbered = items(spark, *(item("T1", None, extended_cents=n) for n in range(7)))
+    assert sorted((r.item_part, r.item_count) for r in silver.items_per_receipt(unnumbered, 3).collect()) == [(-3, 1), (-2, 3), (-1, 3)]
+
+
+def test_gold_stores_all_line_parts(spark):
+    from tillworks.plans import batch
+
+    heads, lines = headers(spark, *(header(f"T{k}") for k in range(1, 5))), items(spark, *ODD_LINES)
+    made = batch.write_gold(heads, lines, run_folder(spark, "line_parts"), ("receipt_lookup",))
+    stored = made["receipt_lines"].collect()
+    assert sum(len(r.items_detail) for r in stored) == len(ODD_LINES)
+    assert {r.transaction_id: r.item_parts for r in made["receipt_lookup"].collect()} == {"T1": 1, "T2": 1, "T3": 2, "T4": 3}
+
+
+def test_detail_and_events_take_every_line(spark):
+    from tillworks.registry.streams import nested
+
+    heads, lines = headers(spark, *(header(f"T{k}") for k in range(1, 5))), items(spark, *ODD_LINES)
+    named = lines.select(
+        "transaction_id", F.col("item_seq").alias("line_number"), "sku", F.col("product_desc").alias("product_name"),
+        F.lit("B").alias("brand"), F.col("department_code").alias("category_l1"), "quantity", F.col("extended_cents").alias("line_total_cents"),
+    )
+    shown = {r.transaction_id: [i.name for i in r.line_items] for r in lookup.receipt_detail(heads, named, items_json=None).collect()}
+    assert shown["T1"] == ["Item 600", "Item 1200", "Item 1800"] and shown["T2"] == ["Item 0", "Item 1"]
+    assert shown["T3"] == ["Item 1", "Item None"] and shown["T4"] == [f"Item {n}" for n in range(1, 1201)]
+    events = nested(silver.receipt_lookup_silver(heads, lines, part_size=None))
+    _, rows = sinks.explode_receipts(events, "2024-01-01 00:00:00")
+    assert {r.transaction_id: r["count"] for r in rows.groupBy("transaction_id").count().collect()} == {"T1": 3, "T2": 2, "T3": 2, "T4": 1200}
+
+
+def test_request_bounds_count_lines_that_are_not_shown(spark):
+    heads, lines = headers(spark, *(header(f"T{k}") for k in range(1, 5))), items(spark, *ODD_LINES)
+    rows = gold.receipt_lookup(silver.receipt_lookup_silver(heads, lines)).withColumn("items", F.col("items_detail"))
+    assert {r.transaction_id: "too many items" in r.reasons for r in quality.request_bounds(rows).collect()} == {"T1": False, "T2": False, "T3": False, "T4": True}

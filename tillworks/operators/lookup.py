@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillworks import schemas
 from tillworks.operators.dedup import top_per_key
 from tillworks.operators.search import newest_first
-from tillworks.plans.silver import PART_SIZE, item_part
+from tillworks.plans.silver import PART_SIZE, in_parts, shown_lines
 
 
 def _only(df: DataFrame, column: str, value: object | None) -> DataFrame:
@@ -46,27 +46,24 @@ def _fold(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def line_parts(lines: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Line arrays per receipt and part, in order, for every receipt whatever its length; unnumbered lines are part -1."""
-    return _fold(lines.withColumn("item_part", item_part("line_number", part_size)), ["transaction_id", "item_part"])
+    """Line arrays per receipt and part, in order, for every receipt whatever its length; unnumbered lines are parts -1, -2, …"""
+    return _fold(in_parts(lines, "line_number", part_size), ["transaction_id", "item_part"])
 
 
 def receipt_detail(
     receipts: DataFrame, lines: DataFrame, transaction_id: object | None = None,
-    items_json: str | None = "items_detail", part_size: int = PART_SIZE, include_line_items: bool = True,
+    items_json: str | None = "items_detail", part_size: int | None = None, include_line_items: bool = True,
 ) -> DataFrame:
     """Receipts with their line items in order as one array, one row each; without lines the JSON column is read instead.
 
-    The array holds the lowest part of `line_parts`, and `line_parts` how many there are. With `include_line_items` off the
-    lines are not read at all.
+    The array holds every line. With a part size it holds the lowest part of `line_parts`, and `line_parts` tells how many
+    there are. With `include_line_items` off the lines are not read at all.
     """
     receipts = _only(receipts, "transaction_id", transaction_id)
     if not include_line_items:
         return receipts
-    parts = line_parts(_only(lines, "transaction_id", transaction_id), part_size)
-    shown = parts.groupBy("transaction_id").agg(
-        F.min_by("line_items", F.when(F.col("item_part") >= 0, F.col("item_part")).otherwise(F.lit(2**62))).alias("line_items"),
-        F.count(F.lit(1)).alias("line_parts"),
-    )
+    parts = line_parts(_only(lines, "transaction_id", transaction_id), part_size or PART_SIZE)
+    shown = shown_lines(parts, "line_items", "line_parts", part_size is None)
     fallback = F.array().cast(shown.schema["line_items"].dataType)
     spare = [parse_items_detail(items_json)] if items_json is not None else []
     return receipts.join(shown, "transaction_id", "left").withColumn("line_items", F.coalesce("line_items", *spare, fallback))

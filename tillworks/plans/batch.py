@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillworks.operators.dedup import dedup_items, dedup_receipts
 from tillworks.operators.quality import ITEM_RULES, RECEIPT_RULES, Rule, gate
 from tillworks.plans import gold
-from tillworks.plans.silver import receipt_lookup_silver
+from tillworks.plans.silver import items_per_receipt, receipt_lookup_silver
 from tillworks.sources.sinks import exists, next_version, read_current
 from tillworks.streaming.jobs import run_batches, stream_bronze, upsert_batches
 
@@ -39,10 +39,14 @@ def write_silver(
 def write_gold(
     headers: DataFrame, items: DataFrame, root: str, tables: tuple[str, ...] = GOLD_TABLES
 ) -> dict[str, DataFrame]:
-    """The gold tables asked for; profiles build on the stored spending instead of joining items again."""
+    """The gold tables asked for; profiles build on the stored spending instead of joining items again.
+
+    `receipt_lines`, stored beside `receipt_lookup`, holds all line parts of the receipts.
+    """
     made: dict[str, DataFrame] = {}
     if "receipt_lookup" in tables:
-        lookup = gold.receipt_lookup(receipt_lookup_silver(headers, items))
+        made["receipt_lines"] = stored(items_per_receipt(items), f"{root}/receipt_lines")
+        lookup = gold.receipt_lookup(receipt_lookup_silver(headers, items, parts=made["receipt_lines"]))
         made["receipt_lookup"] = stored(lookup, f"{root}/receipt_lookup")
     if {"spending_summary", "customer_profiles"} & set(tables):
         made["spending_summary"] = stored(gold.spending_summary(items, headers), f"{root}/spending_summary")

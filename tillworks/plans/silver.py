@@ -1,13 +1,14 @@
 """Clean headers with figures of their line items, and the lines as arrays in a table of their own.
 
 A receipt is always one row: counts, sums, departments and the first names cover all its lines. The line arrays live in parts
-keyed by transaction and part, at most `PART_SIZE` line numbers each, so that no group grows with the data even when one
-transaction id holds a large share of all lines. Rows that show lines beside the header take the first part.
+keyed by transaction and part, at most `PART_SIZE` lines each by their rank, so that no group grows with the data even when
+one transaction id holds a large share of all lines. Rows that show lines beside the header take the first part, or all
+parts where the whole receipt is asked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillworks.operators.dedup import top_per_key
@@ -22,10 +23,41 @@ ITEM_FIELDS = (
 )
 
 
-def item_part(seq: str = "item_seq", part_size: int = PART_SIZE) -> Column:
-    """0 for the first `part_size` lines, then 1, 2, …; -1 for a line without a usable number."""
-    part = F.floor((F.col(seq) - 1) / part_size).cast("bigint")
-    return F.greatest(F.coalesce(part, F.lit(-1)), F.lit(-1))
+def in_parts(lines: DataFrame, seq: str = "item_seq", part_size: int = PART_SIZE) -> DataFrame:
+    """Lines with their `item_part`: 0 for the first `part_size` numbered lines of a receipt by rank, then 1, 2, …; -1, -2, …
+    for lines without a number.
+
+    Lines are ranked within blocks of numbers, and blocks by a running count, so that no task sorts all lines of a receipt.
+    """
+    unnumbered = -(2**62)
+    blocked = lines.withColumn("_block", F.coalesce(F.floor(F.col(seq) / part_size).cast("bigint"), F.lit(unnumbered)))
+    upto = Window.partitionBy("transaction_id", F.col("_block") == unnumbered).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocked.groupBy("transaction_id", "_block").agg(F.count(F.lit(1)).alias("_lines")).select(
+        "transaction_id", "_block", F.coalesce(F.sum("_lines").over(upto), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("transaction_id", "_block").orderBy(seq, F.xxhash64(*lines.columns))
+    ranked = blocked.withColumn("_rank", F.row_number().over(within) - 1).join(before, ["transaction_id", "_block"], "left")
+    # lines of no receipt meet no count and stay in parts by their number
+    start = F.coalesce("_before", F.when(F.col(seq).isNotNull(), F.col("_block") * part_size), F.lit(0))
+    part = F.floor((start + F.col("_rank")) / part_size).cast("bigint")
+    part = F.when(F.col(seq).isNull(), -1 - part).otherwise(part)
+    return ranked.select(*(F.col(f"`{c}`") for c in lines.columns), part.alias("item_part"))
+
+
+def part_order(part: str = "item_part") -> Column:
+    """Sorts parts in line order, those of lines without a number last."""
+    return F.when(F.col(part) >= 0, F.col(part)).otherwise(F.lit(2**62) - F.col(part))
+
+
+def shown_lines(parts: DataFrame, lines: str, count: str, whole: bool) -> DataFrame:
+    """One row per receipt: its first part of lines and how many parts there are, or all its lines as one part."""
+    if not whole:
+        return parts.groupBy("transaction_id").agg(
+            F.min_by(lines, part_order()).alias(lines), F.count(F.lit(1)).alias(count)
+        )
+    joined = F.sort_array(F.collect_list(F.struct(part_order().alias("at"), F.col(lines).alias("lines"))))
+    return parts.groupBy("transaction_id").agg(
+        F.flatten(F.transform(joined, lambda p: p["lines"])).alias(lines), F.lit(1).cast("bigint").alias(count)
+    )
 
 
 def _fold(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,7 +71,7 @@ def _fold(items: DataFrame, keys: list[str]) -> DataFrame:
 
 def items_per_receipt(items: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     """Counts, sums, ordered item structs and department sets per receipt and part, for every receipt whatever its length."""
-    return _fold(items.withColumn("item_part", item_part(part_size=part_size)), ["transaction_id", "item_part"])
+    return _fold(in_parts(items, part_size=part_size), ["transaction_id", "item_part"])
 
 
 def receipt_headers(headers: DataFrame, items: DataFrame) -> DataFrame:
@@ -60,16 +92,16 @@ def receipt_headers(headers: DataFrame, items: DataFrame) -> DataFrame:
     ).drop("_first")
 
 
-def receipt_lookup_silver(headers: DataFrame, items: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+def receipt_lookup_silver(
+    headers: DataFrame, items: DataFrame, part_size: int | None = PART_SIZE, parts: DataFrame | None = None
+) -> DataFrame:
     """Headers with their figures, their number of line parts and, as `items_detail`, the lines of the first part.
 
-    One row for each header. `items_per_receipt` holds the parts after the first.
+    One row for each header. `items_per_receipt` holds all parts; give it as `parts` where it is stored. Without a part size
+    `items_detail` holds every line of the receipt, as one part.
     """
-    parts = items_per_receipt(items, part_size)
-    shown = parts.groupBy("transaction_id").agg(
-        F.min_by("items_detail", F.when(F.col("item_part") >= 0, F.col("item_part")).otherwise(F.lit(2**62))).alias("items_detail"),
-        F.count(F.lit(1)).alias("item_parts")
-    )
+    parts = items_per_receipt(items, part_size or PART_SIZE) if parts is None else parts
+    shown = shown_lines(parts.select("transaction_id", "item_part", "items_detail"), "items_detail", "item_parts", part_size is None)
     return receipt_headers(headers, items).join(shown, "transaction_id", "left")
 
 

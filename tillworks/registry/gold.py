@@ -23,7 +23,8 @@ _HEADER = [
 
 
 def silver_table(spark, folder):
-    return silver.receipt_lookup_silver(clean_receipts(spark, folder), clean_items(spark, folder))
+    """Receipts with all their lines, whatever their number."""
+    return silver.receipt_lookup_silver(clean_receipts(spark, folder), clean_items(spark, folder), part_size=None)
 
 
 def gold_table(spark, folder):

@@ -193,8 +193,11 @@ def q_clustered_write(spark, folder):
 
 
 def nested_events(spark, folder):
-    """Clean receipts with their lines nested, as a point of sale sends them."""
-    folded = silver.receipt_lookup_silver(clean_receipts(spark, folder), clean_items(spark, folder))
+    """Clean receipts with all their lines nested, as a point of sale sends them."""
+    return nested(silver.receipt_lookup_silver(clean_receipts(spark, folder), clean_items(spark, folder), part_size=None))
+
+
+def nested(folded):
     return folded.withColumns({
         "transaction_id": F.col("transaction_id").cast("string"),
         "items": F.transform("items_detail", lambda i: F.struct(
