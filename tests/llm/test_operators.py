@@ -533,3 +533,26 @@ def test_language_of_awkward_rows(spark, awkward, nothing):
 def test_grams_of_a_word():
     values, owner = language.grams(["Ab c", "", "a1b"])
     assert len(values) == (3 + 5 + 3) + (2 + 4 + 2) and set(owner) == {0, 2}
+
+
+def test_suffix_dedup_takes_texts_over_16_mb(spark):
+    rng = np.random.default_rng(41)
+    long, passage = rng.integers(97, 123, (1 << 24) + 5000).astype(np.uint8), rng.integers(97, 123, 300).astype(np.uint8)
+    for at, left, right in ((1000, 48, 49), ((1 << 24) + 2000, 52, 53)):
+        long[at: at + 302] = [left, *passage, right]
+    once = rng.integers(97, 123, 250).astype(np.uint8)
+    long[5_000_000: 5_000_252] = [50, *once, 51]
+    rows = [(1, long.tobytes().decode()), (2, "<" + once.tobytes().decode() + ">")]
+    got = {r.doc_id: r for r in suffix_dedup.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string"), 200).collect()}
+    assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans) == ((1 << 24) + 5000, 850, 3)
+    assert (got[2].n_removed, got[2].n_spans) == (250, 1)
+
+
+@pytest.mark.parametrize("piece", [7, 300])
+def test_window_runs_do_not_depend_on_the_piece(monkeypatch, piece):
+    rng = np.random.default_rng(42)
+    data, offsets = rng.integers(97, 99, 4000).astype(np.uint8), np.array([0, 900, 950, 2500, 4000])
+    whole = suffix_dedup.window_runs(data, offsets, 200)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    for a, b in zip(whole, suffix_dedup.window_runs(data, offsets, 200)):
+        assert np.array_equal(a, b)

@@ -9,7 +9,7 @@ sorts the first window of each run and the last of each text through all their b
 the windows between them cover nothing new. The windows of the other runs go on to the next pass only if their gram occurs
 again; there they are sorted through all bytes. Keys of whole windows have 128 bits, those of grams 64.
 
-Texts travel in chunks. A chunk sends each of its keys once, with a mark if it holds it twice, and learns which of its keys
+Texts travel in chunks, a long text whole in a chunk of its own; its windows are looked at in overlapping pieces. A chunk sends each of its keys once, with a mark if it holds it twice, and learns which of its keys
 occur elsewhere; so a passage that a third of all texts hold costs one key for each chunk and no task meets all its copies.
 """
 
@@ -31,6 +31,10 @@ CHUNK_BYTES = 1 << 20
 GRAM = 32
 BLOCK = 16
 GRAMS, FIRSTS, BLOCKS, WINDOWS = range(4)
+#: Windows looked at together; texts of any length pass in pieces that overlap by a window. Gram places within a piece take
+#: the low 24 bits of a key.
+PIECE = 1 << 20
+_PLACE = np.uint64((1 << 24) - 1)
 #: Chunks whose keys a shard of the sort may hold, on average.
 CHUNKS_A_SHARD = 64
 LEAST_SHARDS = 64
@@ -81,34 +85,37 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     long = sizes >= length
     if not long.any():
         return empty, empty.astype(bool), empty.astype(np.uint64), empty
-    h = gram_hashes(data)
-    # smallest hash first, rightmost first among equals
-    place = np.uint64((1 << 24) - 1)
-    low = np.arange(len(h), dtype=np.uint64)
-    if len(h) >= 1 << 24:
-        raise ValueError("a text of 16 MB or more must be cut first")
-    key = (h & ~place) | (place - low)
-    width, span = 1, length - GRAM + 1
-    while width * 2 <= span:
-        key = np.minimum(key[:-width], key[width:])
-        width *= 2
-    if width < span:
-        key = np.minimum(key[: len(key) - (span - width)], key[span - width:])
-    n = len(data) - length + 1
+    n, span = len(data) - length + 1, length - GRAM + 1
     valid = np.zeros(n + 1, np.int32)
     np.add.at(valid, offsets[:-1][long], 1)
     np.add.at(valid, np.minimum(offsets[1:][long] - length + 1, n), -1)
     inside = np.cumsum(valid[:-1]) > 0
-    begins = inside.copy()
-    begins[1:] &= (key[1:] != key[:-1]) | ~inside[:-1]
     first, last = offsets[:-1][long], offsets[1:][long] - length
-    begins[first] = True
-    begins[last] = True
-    at = np.flatnonzero(begins)
-    where = (place - (key[at] & place)).astype(np.int64)
     ends = np.zeros(n, bool)
     ends[last] = True
-    return at, ~ends[at], h[where], where
+    found = []
+    before = -1
+    for low in range(0, n, PIECE):
+        high = min(low + PIECE, n)
+        h = gram_hashes(data[low: high + length - 1])
+        # smallest hash first, rightmost first among equals
+        key = (h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64))
+        width = 1
+        while width * 2 <= span:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        if width < span:
+            key = np.minimum(key[: len(key) - (span - width)], key[span - width:])
+        where = (_PLACE - (key & _PLACE)).astype(np.int64)
+        here = inside[low:high]
+        begins = here & (where + low != np.append(before, where[:-1] + low))
+        begins[1:] |= here[1:] & ~here[:-1]
+        for edge in (first, last):
+            begins[edge[(edge >= low) & (edge < high)] - low] = True
+        at = np.flatnonzero(begins)
+        found.append((at + low, ~ends[at + low], h[where[at]], where[at] + low))
+        before = where[-1] + low
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def window_keys(data: np.ndarray, at: np.ndarray, length: int) -> list[bytes]:
