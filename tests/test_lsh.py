@@ -1,9 +1,12 @@
 """The bucket index: recall against the exact search, and a plan that reads the query's buckets only."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tillworks.operators import knn
 from tillworks.session import run_folder
+from tillworks.sources import warehouse as wh
 
 
 def test_recall_and_pruning(spark, capsys):
@@ -24,3 +27,25 @@ def test_recall_and_pruning(spark, capsys):
     assert found >= 0.9 * wanted
     knn.ann_lsh(index, rows[0][2]).explain()
     assert "PartitionFilters: [bucket" in capsys.readouterr().out.replace("#", " ").replace("PartitionFilters: [isnotnull", "PartitionFilters: [bucket")
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_embeddings_table(spark, size):
+    corpus = wh.product_vectors(spark, f"/root/testdata/{size}").orderBy("sku")
+    rows = corpus.collect()
+    vectors = np.array([r.embedding for r in rows], dtype="float64")
+    dim = vectors.shape[1]
+    found = corpus.select("sku", F.posexplode(knn.lsh_buckets("embedding", dim))).collect()
+    place = {r.sku: k for k, r in enumerate(rows)}
+    buckets = np.zeros((len(rows), knn.LSH_TABLES), np.int64)
+    for r in found:
+        buckets[place[r.sku], r.pos] = r.col
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    got = wanted = 0
+    for k in (k for k, r in enumerate(rows) if r.sku % 10 == 0):
+        score = unit @ unit[k]
+        score[k] = -1.0
+        nearest = [i for i in np.argsort(-score, kind="stable")[:10] if score[i] > 0.3]
+        got += sum(bool((buckets[i] == buckets[k]).any()) for i in nearest)
+        wanted += len(nearest)
+    assert got >= 0.9 * wanted

@@ -180,7 +180,8 @@ def cell_search(
     ).drop("cell", "closeness")
 
 
-LSH_TABLES = 12
+# Without the query itself, 20 tables find 0.916 to 0.955 of the ten nearest above 0.3 on the test vectors, 12 find 0.813 to 0.839.
+LSH_TABLES = 20
 LSH_BITS = 4
 # The multiplier and range of the rule for the planes' signs, which plain SQL can state as well.
 _SIGN_STEP, _SIGN_RANGE = 2654435761, 1 << 32

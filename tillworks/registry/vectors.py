@@ -85,10 +85,11 @@ sides AS (SELECT vec_id, p // 4 AS tab, sum(CASE WHEN list_inner_product(CAST(em
 met AS (SELECT DISTINCT s.vec_id FROM sides s JOIN sides q ON q.vec_id = 0 AND q.tab = s.tab AND q.bucket = s.bucket)
 SELECT sku, category, round(s, 6) AS similarity FROM scored JOIN met ON vec_id = sku WHERE s > 0.3 ORDER BY s DESC, sku LIMIT 10""")
 def q_ann(spark, folder):
+    """The SQL states 12 tables of 4 planes; the operators' own default has more, for a higher recall."""
     root = run_folder(spark, "lsh")
     query = query_vector(spark, folder)
-    knn.write_lsh_index(wh.product_vectors(spark, folder), root, len(query))
-    return _rounded(knn.ann_lsh(spark.read.parquet(root), query))
+    knn.write_lsh_index(wh.product_vectors(spark, folder), root, len(query), tables=12)
+    return _rounded(knn.ann_lsh(spark.read.parquet(root), query, tables=12))
 
 
 _MATCHES = f"""{_SIMILAR}, {LINES}, {RECEIPTS},
