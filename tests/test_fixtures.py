@@ -813,3 +813,30 @@ def test_request_bounds_count_lines_that_are_not_shown(spark):
     heads, lines = headers(spark, *(header(f"T{k}") for k in range(1, 5))), items(spark, *ODD_LINES)
     rows = gold.receipt_lookup(silver.receipt_lookup_silver(heads, lines)).withColumn("items", F.col("items_detail"))
     assert {r.transaction_id: "too many items" in r.reasons for r in quality.request_bounds(rows).collect()} == {"T1": False, "T2": False, "T3": False, "T4": True}
+
+
+def test_summaries_and_prices_are_whole_for_odd_and_long_receipts(spark):
+    from tillworks.registry.gold import summary_five, summary_qty
+    from tillworks.registry.governance import allocated
+
+    lines = items(spark, *ODD_LINES)
+    assert {r.transaction_id: r.item_summary for r in summary_qty(lines).collect()} == {
+        "T1": "Item 600, Item 1200, Item 1800", "T2": "Item 0, Item 1", "T3": "Item 1, Item None", "T4": "Item 1, Item 2, Item 3 + 1197 more"}
+    five = summary_five(lines).collect()
+    assert len(five) == 4 and {r.transaction_id: r.item_summary for r in five}["T4"] == "Item 1, Item 2, Item 3, Item 4, Item 5, +1195 more"
+    given = allocated(lines).collect()
+    assert len(given) == 4
+    shares = {r.transaction_id: [int(g) for g in r.given.split("|")] for r in given}
+    assert shares["T1"] == [100, 100, 299800] and shares["T4"] == [100] * 1199 + [300000 - 119900]
+
+
+def test_running_sums_split_a_subtotal_as_the_array_does(spark):
+    rng = np.random.default_rng(5)
+    rows = [("A", 1, 500), ("B", 1, None), ("C", 1, None), ("C", 2, 300), ("C", 3, None), ("C", 4, 10)]
+    rows += [(f"R{k}", n, None if rng.random() < 0.1 else int(rng.integers(-300, 900))) for k in range(20) for n in range(1, 1 + int(rng.integers(1, 9)))]
+    lines = spark.createDataFrame(rows, "transaction_id string, item_seq int, price bigint")
+    folded = lines.groupBy("transaction_id").agg(F.sort_array(F.collect_list(F.struct("item_seq", "price"))).alias("l"))
+    want = {r.transaction_id: r.g for r in folded.select("transaction_id", backfill.allocate_line_prices(
+        F.transform("l", lambda i: i["price"]), F.lit(1500)).alias("g")).collect()}
+    got = backfill.allocate_receipt_lines(lines, "price", F.lit(1500), [F.asc("item_seq")]).orderBy("transaction_id", "position").collect()
+    assert {t: [r.given for r in got if r.transaction_id == t] for t in want} == want

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillworks.functions.receipt_text import split_summary
@@ -14,6 +16,9 @@ _FIELDS = ("sku", "name", "brand", "category_l1", "category_l2", "price_cents")
 # The product of an item no keyword fits, and the least left for the items after one.
 MISC = {"sku": "SKU-9999", "brand": "Generic", "category_l1": "MISC", "category_l2": "OTHER", "price_cents": 599}
 LEAST_REMAINING = 100
+#: Stands for a missing price; above any subtotal.
+_NO_BOUND = 1 << 40
+
 
 def _misc(name: Column) -> Column:
     values = {**{k: F.lit(v) for k, v in MISC.items()}, "name": F.trim(name)}
@@ -59,6 +64,28 @@ def allocate_line_prices(prices: Column, subtotal: Column) -> Column:
     return F.aggregate(prices, start, step)["given"]
 
 
+def allocate_receipt_lines(lines: DataFrame, price: str, subtotal: Column, order: Sequence[Column]) -> DataFrame:
+    """Lines with `given`, their share of the receipt's subtotal as `allocate_line_prices` splits it, and their `position`;
+    `order` has to break all ties.
+
+    What is left before a line follows from the running sum of the prices and its highest value so far, so that no receipt is
+    gathered in an array. A line without a price takes all but the least remainder, as if its price had no bound.
+    """
+    by = Window.partitionBy("transaction_id").orderBy(*order)
+    upto = by.rowsBetween(Window.unboundedPreceding, -1)
+    total = subtotal.cast("bigint")
+    numbered = lines.withColumns({
+        "position": F.row_number().over(by),
+        "_n": F.count(F.lit(1)).over(Window.partitionBy("transaction_id")),
+        "_price": F.coalesce(F.col(price).cast("bigint"), F.lit(_NO_BOUND)),
+    }).withColumn("_sum", F.sum("_price").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    left = numbered.withColumn("_left", F.when(F.col("position") == 1, total).otherwise(
+        F.greatest(total, F.max("_sum").over(upto) + LEAST_REMAINING) - (F.col("_sum") - F.col("_price"))
+    ))
+    given = F.when(F.col("position") == F.col("_n"), F.col("_left")).otherwise(F.least("_price", F.col("_left") - LEAST_REMAINING))
+    return left.withColumn("given", given).drop("_n", "_price", "_sum", "_left")
+
+
 def _lines(products: DataFrame) -> DataFrame:
     """From transaction_id, subtotal and the ordered `products` array to line rows."""
     priced = products.withColumn(

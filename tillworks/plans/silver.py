@@ -74,8 +74,8 @@ def items_per_receipt(items: DataFrame, part_size: int = PART_SIZE) -> DataFrame
     return _fold(in_parts(items, part_size=part_size), ["transaction_id", "item_part"])
 
 
-def receipt_headers(headers: DataFrame, items: DataFrame) -> DataFrame:
-    """Headers with `item_count`, `items_extended_cents`, `departments` and the names of the first lines, one row each.
+def line_figures(items: DataFrame) -> DataFrame:
+    """`item_count`, `items_extended_cents`, `departments` and the names of the first lines, one row per receipt with lines.
 
     Sums are added up in each task before the shuffle, and only the first lines of a receipt leave a task.
     """
@@ -87,11 +87,16 @@ def receipt_headers(headers: DataFrame, items: DataFrame) -> DataFrame:
     order = [F.asc_nulls_last("item_seq"), F.asc("product_desc")]
     first = top_per_key(items.select("transaction_id", "item_seq", "product_desc"), ["transaction_id"], order, FIRST_NAMES, "at")
     names = first.groupBy("transaction_id").agg(F.sort_array(F.collect_list(F.struct("at", "product_desc"))).alias("_first"))
-    return headers.join(whole, "transaction_id", "left").join(names, "transaction_id", "left").withColumn(
+    return whole.join(names, "transaction_id", "left").withColumn(
         "first_names", F.transform("_first", lambda n: n["product_desc"])
     ).drop("_first")
 
 
+def receipt_headers(headers: DataFrame, items: DataFrame) -> DataFrame:
+    """Headers with the `line_figures` of their items, one row each."""
+    return headers.join(line_figures(items), "transaction_id", "left")
+
+
 def receipt_lookup_silver(
     headers: DataFrame, items: DataFrame, part_size: int | None = PART_SIZE, parts: DataFrame | None = None
 ) -> DataFrame:

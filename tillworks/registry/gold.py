@@ -85,18 +85,23 @@ SELECT transaction_id,
                   ORDER BY rn) || CASE WHEN max(n) > 3 THEN ' + ' || (max(n) - 3) || ' more' ELSE '' END AS item_summary
 FROM ranked WHERE rn <= 3 GROUP BY transaction_id""")
 def q_item_summary_qty(spark, folder):
-    folded = silver.items_per_receipt(clean_items(spark, folder))
-    labels = F.transform("items_detail", lambda i: rt.quantity_label(i["quantity"], i["product_desc"]))
-    return folded.select("transaction_id", rt.item_summary(labels, "item_count").alias("item_summary"))
+    return summary_qty(clean_items(spark, folder))
+
+
+def summary_qty(items):
+    labelled = items.withColumn("product_desc", rt.quantity_label(F.col("quantity"), F.col("product_desc")))
+    return silver.line_figures(labelled).select("transaction_id", rt.item_summary("first_names", "item_count").alias("item_summary"))
 
 
 @query("item_summary_top5", f"""WITH {SILVER}
 SELECT transaction_id, CASE WHEN item_count > 5 THEN five_names || ', +' || (item_count - 5) || ' more'
                             ELSE five_names END AS item_summary FROM folded""")
 def q_item_summary_top5(spark, folder):
-    folded = silver.items_per_receipt(clean_items(spark, folder))
-    names = F.transform("items_detail", lambda i: i["product_desc"])
-    return folded.select("transaction_id", rt.summary_top5(names, "item_count").alias("item_summary"))
+    return summary_five(clean_items(spark, folder))
+
+
+def summary_five(items):
+    return silver.line_figures(items).select("transaction_id", rt.summary_top5("first_names", "item_count").alias("item_summary"))
 
 
 @query("calendar_keys", f"""WITH {RECEIPTS}

@@ -256,12 +256,13 @@ priced AS (SELECT transaction_id, item_seq, unit_price_cents AS price, 300000 AS
 SELECT transaction_id, string_agg(CASE WHEN i = n THEN b ELSE least(price, b - 100) END, '|' ORDER BY i) AS given
 FROM (SELECT *, CAST(CASE WHEN i = 1 THEN subtotal ELSE greatest(subtotal - (upto - price), 100) END AS BIGINT) AS b FROM priced) GROUP BY 1""")
 def q_allocate_line_prices(spark, folder):
-    from tillworks.plans.silver import items_per_receipt
+    return allocated(clean_items(spark, folder))
 
-    folded = items_per_receipt(clean_items(spark, folder))
-    prices = F.transform("items_detail", lambda i: i["unit_price_cents"])
-    given = backfill.allocate_line_prices(prices, F.lit(300000))
-    return folded.select("transaction_id", F.array_join(given.cast("array<string>"), "|").alias("given"))
+
+def allocated(items):
+    lines = backfill.allocate_receipt_lines(items, "unit_price_cents", F.lit(300000), [F.asc_nulls_last("item_seq")])
+    given = F.sort_array(F.collect_list(F.struct("position", "given")))
+    return lines.groupBy("transaction_id").agg(F.array_join(F.transform(given, lambda g: g["given"].cast("string")), "|").alias("given"))
 
 
 @query("migrate_backup_to_bronze", f"""WITH {RECEIPTS}
