@@ -840,3 +840,21 @@ def test_running_sums_split_a_subtotal_as_the_array_does(spark):
         F.transform("l", lambda i: i["price"]), F.lit(1500)).alias("g")).collect()}
     got = backfill.allocate_receipt_lines(lines, "price", F.lit(1500), [F.asc("item_seq")]).orderBy("transaction_id", "position").collect()
     assert {t: [r.given for r in got if r.transaction_id == t] for t in want} == want
+
+
+def test_bulk_search_finds_receipts_without_a_time(spark):
+    at = [n for n, *_ in (c.split() for c in SEED_SCHEMA.split(", "))].index("transaction_ts")
+    bare = [tuple(None if k == at else v for k, v in enumerate(row)) for row in SEED]
+    names = [c.split()[0] for c in REQUESTS.split(", ")]
+    asked = [
+        (1, None, None, "east", None, None, None, None, None, 25, 0), (2, None, "S1", None, None, None, None, None, None, 25, 0),
+        (3, None, None, None, None, None, 1.0, 1000.0, None, 25, 0), (4, None, None, "east", "2026-01-01", None, None, None, None, 25, 0),
+    ]
+    for rows in (bare, [*SEED[:1], *bare[1:]]):
+        receipts = spark.createDataFrame(rows, SEED_SCHEMA)
+        got = search.bulk_fuzzy_search(spark.createDataFrame(asked, REQUESTS), receipts).collect()
+        for row in asked:
+            given = {k: v for k, v in zip(names[1:], row[1:]) if v is not None}
+            want = [r.transaction_id for r in search.fuzzy_search(receipts, search.Criteria(**given)).collect()]
+            assert sorted(r.transaction_id for r in got if r.request_id == row[0]) == sorted(want), row
+        assert any(r.request_id == 1 for r in got) and any(r.request_id == 3 for r in got)

@@ -189,6 +189,8 @@ def _stores_named(names: DataFrame, patterns: DataFrame) -> DataFrame:
 
 _MONTHLY = ("store", "name", "amount")
 _SALTS = 64
+#: In place of the month for receipts without a time, which only requests without dates meet.
+_NO_MONTH = "none"
 
 
 def _month(at: Column) -> Column:
@@ -225,6 +227,8 @@ def _request_keys(asked: DataFrame, names: DataFrame, ways: list[str], first: ob
     months = F.when(start <= end, F.transform(
         F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("INTERVAL 1 MONTH")), _month
     )).otherwise(F.array().cast("array<string>"))
+    untimed = F.when(F.col("q_from").isNull() & F.col("q_to").isNull(), F.array(F.lit(_NO_MONTH)))
+    months = F.concat(F.coalesce(months, F.array().cast("array<string>")), F.coalesce(untimed, F.array().cast("array<string>")))
     whens = F.when(F.col("way").isin(*_MONTHLY), months).otherwise(F.array(F.lit("")))
     kind = F.col("way")
     if "name" in ways:
@@ -253,7 +257,7 @@ def _receipt_keys(receipts: DataFrame, ways: list[str]) -> DataFrame:
         "store": F.col("store_id").cast("string"), "name": F.col("store_name"),
         "amount": _amount_band(F.col("total_cents")).cast("string"),
     }
-    month = _month(F.col("transaction_ts"))
+    month = F.coalesce(_month(F.col("transaction_ts")), F.lit(_NO_MONTH))
     keys = [
         F.when(values[w].isNotNull(), F.concat_ws("|", F.lit(w), values[w], month if w in _MONTHLY else F.lit("")))
         for w in ways
