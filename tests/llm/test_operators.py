@@ -556,3 +556,15 @@ def test_window_runs_do_not_depend_on_the_piece(monkeypatch, piece):
     monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     for a, b in zip(whole, suffix_dedup.window_runs(data, offsets, 200)):
         assert np.array_equal(a, b)
+
+
+def test_large_finite_components_are_not_dropped_silently(spark):
+    def rows(x):
+        return spark.createDataFrame([(1, [1.0, 2.0]), (2, [x, 1.0])], "vec_id long, embedding array<double>")
+
+    for x in (float("inf"), float("nan"), None):
+        assert [r.id for r in vafile.quantised(rows(x)).collect()] == [1]
+    assert sorted(r.id for r in vafile.quantised(rows(2.0**39)).collect()) == [1, 2]
+    for x in (2.0**40, -(2.0**50)):
+        with pytest.raises(Exception, match="2\\*\\*40 or more"):
+            vafile.quantised(rows(x)).collect()

@@ -24,15 +24,19 @@ CELL_BITS = 4
 VECTOR_BLOCK = 8192
 QUERY_BLOCK = 512
 CHUNK = 64
+#: Bound of a component.
+LARGEST = 2.0**40
 
 
 def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, v array<long>: floor(scale * x) of each component; null vectors or components, non-finite ones, and empty vectors
-    are left out. Of rows with the same id the greatest vector stands."""
+    are left out. Of rows with the same id the greatest vector stands. A finite component of LARGEST or more fails the query,
+    since products of such components leave the range of whole numbers."""
     x = F.col(vector_col).cast("array<double>")
-    whole = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c))
+    large = F.raise_error(F.lit("a vector component of 2**40 or more is beyond what op1 can compare exactly"))
+    whole = F.transform(x, lambda c: F.when(F.abs(c) < F.lit(LARGEST), F.floor(F.lit(float(scale)) * c)).otherwise(large.cast("long")))
     fine = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(
-        x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**40)))
+        x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return (vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
             .groupBy("id").agg(F.max("v").alias("v")))
 
