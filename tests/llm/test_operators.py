@@ -568,3 +568,13 @@ def test_large_finite_components_are_not_dropped_silently(spark):
     for x in (2.0**40, -(2.0**50)):
         with pytest.raises(Exception, match="2\\*\\*40 or more"):
             vafile.quantised(rows(x)).collect()
+
+
+def test_clean_phrases_are_a_parameter_of_the_training(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(30)).encode() + (b" nasty insult" if k % 2 else b"") for k in range(60)]
+    labels = np.array([k % 2 for k in range(60)], np.float64)
+    full = toxicity.fit(texts, labels)
+    monkeypatch.setattr(toxicity, "CLEAN_PHRASES", 1)
+    few = toxicity.fit(texts, labels)
+    assert len(full.weight) == len(few.weight) and not np.array_equal(full.weight, few.weight)

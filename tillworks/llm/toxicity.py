@@ -27,6 +27,8 @@ LANDMARKS = 192
 ROUNDS = 4
 #: Labelled texts the machine is trained on at most, half of each label where there are so many.
 SAMPLE = 4000
+#: Clean phrases of these texts, drawn at random, that each round of training uses beside the worst phrase of every text.
+CLEAN_PHRASES = 3000
 #: Bytes of a phrase at most; longer ones go in pieces, and no sequence across a cut is lost.
 LONGEST = 64
 _PAD = REACH + 1
@@ -147,8 +149,9 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: float = 100.0) -> tuple[np.ndarray,
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> KernelMachine:
-    """Trains on the phrases of labelled texts' sentences. All phrases of a clean text are clean; of a toxic text the one that
-    looks worst so far is toxic, first by its words, then by the machine of the round before. With one label only, or none, the
+    """Trains on the phrases of labelled texts' sentences. All phrases of a clean text are clean, and
+    CLEAN_PHRASES of them are trained on besides the worst one of each text; of a toxic text the one that looks worst so far is
+    toxic, first by its words, then by the machine of the round before. With one label only, or none, the
     machine knows no sequence and leans to that label."""
     none = np.zeros(0, np.int64), np.zeros(0, np.float32)
     if len(set(labels.tolist())) < 2:
@@ -176,7 +179,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> KernelMachine:
                          default=0.0) if toxic[k] else 0.0 for k in range(len(starts))])
     rng = np.random.default_rng(3)
     clean = np.flatnonzero(~toxic)
-    some = rng.permutation(clean)[:3000]
+    some = rng.permutation(clean)[:CLEAN_PHRASES]
     worst = tops
     for _ in range(ROUNDS):
         best = np.lexsort((-worst, owner))
