@@ -112,6 +112,31 @@ def put_file(uri: str, payload: bytes) -> None:
     store.move(part, path)
 
 
+def part_rows(uri: str, names: list[str]) -> dict[str, np.ndarray | list]:
+    """The columns of all Parquet files of one folder of the shared store; no rows where there is no such folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri if "://" in uri else "file:///" + uri.removeprefix("file:").lstrip("/"))
+    files = [f.path for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+    tables = [pq.ParquetFile(store.open_input_file(f)).read(columns=names) for f in sorted(files)]
+    return {n: [x for t in tables for x in t.column(n).to_pylist()] for n in names}
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the greatest needs, after a byte that says how many."""
+    values = np.ascontiguousarray(values, "<u8")
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widened(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    out = np.zeros(((len(packed) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
+    return out.view("<u8").reshape(-1)
+
+
 class TwoGenerations:
     """A dict whose size is bounded: the older half goes when the newer half is full."""
 

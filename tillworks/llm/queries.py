@@ -14,11 +14,14 @@ from tillworks.llm import (
     language,
     order_minhash,
     quality,
+    ranked_search,
     sentencepiece_bpe,
+    spelling,
     suffix_dedup,
     token_files,
     toxicity,
     vafile,
+    window_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +140,65 @@ def op10_rank_order_language(spark: SparkSession, folder: str) -> DataFrame:
     profiles = language.learn_profiles(docs.filter(~out))
     found = language.predict(docs, profiles)
     return found.select("doc_id", language.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_count_min_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return window_dedup.window_digests(table(spark, folder, "documents"))
+
+
+SQL["op11_count_min_windows"] = """
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc, doc_id, pos, array_to_string(w[pos : pos + 12], ' ') AS win
+  FROM (SELECT doc, doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM words WHERE len(w) >= 13)),
+firsts AS (SELECT win, min(doc_id) AS first FROM windows GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc, pos + step AS pos
+  FROM windows JOIN firsts USING (win), (SELECT unnest(range(13)) AS step)
+  WHERE doc_id > first),
+each_word AS (SELECT doc, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words),
+kept AS (
+  SELECT e.doc, count(*) AS n, string_agg(word, ' ' ORDER BY e.pos) AS text
+  FROM each_word e ANTI JOIN gone g ON e.doc = g.doc AND e.pos = g.pos GROUP BY e.doc)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc)
+"""
+
+
+@query
+def op12_interval_maxima(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op12_interval_maxima"] = """
+WITH found AS (
+  SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+sizes AS (SELECT doc, doc_id, len(t) AS n FROM found WHERE len(t) > 0),
+total AS (SELECT count(*) AS docs, sum(n) AS terms FROM sizes),
+tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM found) GROUP BY doc, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (
+  SELECT item_id, item, term, count(*) AS times
+  FROM (SELECT item_id, row_number() OVER () AS item, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, item, term),
+scored AS (
+  SELECT item_id, item, doc_id, doc, sum(times * CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // terms))))) AS score
+  FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN sizes USING (doc), total
+  GROUP BY item_id, item, doc_id, doc)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
+@query
+def op13_frequency_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))

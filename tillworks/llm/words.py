@@ -14,8 +14,9 @@ for _set, _bit in ((b" \t\n\r\x0b\x0c", 1), (bytes(range(48, 58)), 2), (bytes(ra
     KIND[list(_set)] = _bit
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash (case of A-Z aside) of the words, which white space and the ends of texts delimit."""
+def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash (case of A-Z aside, unless not `fold`) of the words, which white space and the ends of texts
+    delimit."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     space = KIND[data] == 1
@@ -26,7 +27,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not len(starts):
         return starts, starts, np.zeros(0, np.uint64)
     stops = np.flatnonzero(~space & (edge[1:] | np.concatenate([space[1:], [True]]))) + 1
-    lower = np.where((data >= 65) & (data <= 90), data + 32, data)
+    lower = np.where((data >= 65) & (data <= 90), data + 32, data) if fold else data
     return starts, stops, word_hashes(lower, space, starts, stops)
 
 
