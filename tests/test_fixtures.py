@@ -386,10 +386,44 @@ def test_scoped_sql(spark):
                  "SELECT * FROM receipts WHERE EXISTS (SELECT 1 FROM others_table)", "SELECT * FROM parquet.`/tmp/x`"):
         with pytest.raises(ValueError):
             context.scoped_sql(spark, {"receipts": tables["receipts"]}, text, "C1")
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="stores"):
         context.scoped_sql(spark, tables, "SELECT * FROM stores", "C1")
 
 
+def test_scoped_sql_goes_by_what_names_stand_for(spark):
+    tables = {"receipts": headers(spark, header("T1"), header("T2", customer_id="C2"))}
+    spark.sql("CREATE TABLE IF NOT EXISTS other_receipts AS SELECT 'C2' AS customer_id, 'T2' AS transaction_id")
+    spark.sql("CREATE OR REPLACE VIEW other_view AS SELECT * FROM other_receipts")
+    spark.udf.register("own_code", lambda x: x)
+    inner = "(SELECT transaction_id FROM other_receipts)"
+    for text in (
+        "SELECT * FROM IDENTIFIER('other_receipts')",
+        "SELECT * FROM IDENTIFIER('other_' || 'receipts') WHERE customer_id = {{customer_id}}",
+        "SELECT * FROM (WITH other_receipts AS (SELECT * FROM other_receipts) SELECT * FROM other_receipts)",
+        "SELECT * FROM (WITH x AS (SELECT * FROM other_receipts) SELECT 1) JOIN receipts",
+        f"SELECT * FROM receipts WHERE transaction_id IN {inner}",
+        f"SELECT (SELECT max(transaction_id) FROM {inner}) AS top FROM receipts",
+        f"SELECT * FROM receipts r, LATERAL {inner}",
+        f"SELECT transaction_id FROM receipts UNION ALL {inner}",
+        "SELECT * FROM spark_catalog.default.other_receipts", "SELECT * FROM other_view", "SELECT * FROM default.other_view",
+        "SELECT TRANSFORM(transaction_id) USING 'cat' AS (x STRING) FROM receipts",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM receipts",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT input_file_name() FROM receipts",
+        "SELECT own_code(transaction_id) FROM receipts", "SELECT * FROM receipts WHERE no_such_column = 1", "SELECT FROM",
+    ):
+        with pytest.raises(ValueError):
+            context.scoped_sql(spark, tables, text, "C1").collect()
+    for text, rows in (
+        ("SELECT * FROM IDENTIFIER('receipts')", 1),
+        ("SELECT * FROM (WITH receipts AS (SELECT * FROM receipts) SELECT * FROM receipts)", 1),
+        ("SELECT * FROM RECEIPTS a JOIN receipts b USING (transaction_id)", 1),
+        ("SELECT explode(array(1, 2, 3)) AS n FROM receipts", 3), ("SELECT * FROM VALUES (1), (2) AS t(x)", 2), ("SELECT 1", 1),
+        ("SELECT to_json(struct(*)) AS j, from_json('{}', 'a INT') AS x, url_encode(store_name) AS u FROM receipts", 1),
+        ("SELECT * FROM receipts WHERE transaction_id = (SELECT max(transaction_id) FROM receipts)", 1),
+    ):
+        assert context.scoped_sql(spark, tables, text, "C1").count() == rows
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 0.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(cosine_similarity("a", "b")).collect()]

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillworks.functions.receipt_text import cents_to_dollars
 from tillworks.operators.lookup import recent_receipts
+from tillworks.operators.plan_audit import foreign_parts
 from tillworks.operators.search import capped_result
 from tillworks.plans import gold
 
@@ -93,18 +94,8 @@ def rep_briefing(context: DataFrame) -> DataFrame:
     return context.withColumn("briefing", F.when(p.isNull(), F.lit(NO_PROFILE_TEXT)).otherwise(text))
 
 
-def _only_given(session: SparkSession, text: str, tables: dict[str, DataFrame]) -> list[str]:
-    """The given tables a text reads. Refuses a text whose parsed plan, subqueries included, reads anything but the given tables and its own WITH names."""
-    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
-    own = {name.strip("` ").lower() for names in re.findall(r"UnresolvedWith\b|CTE \[([^\]]*)\]", plan) for name in names.split(",")}
-    read = re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)
-    foreign = {name for name in read if name.lower() not in own | {t.lower() for t in tables}}
-    if foreign or "UnresolvedTableValuedFunction" in plan:
-        raise ValueError(f"not one of the given tables: {sorted(foreign) or 'a function'}")
-    return [t for t in tables if t.lower() in {name.lower() for name in read}]
-
-
-def _scoped(name: str, tables: dict[str, DataFrame], customer_id: object | None, open_tables: Sequence[str]) -> DataFrame:
+def _scoped(name: str, tables: dict[str, DataFrame], customer_id: object | None, open_tables: Sequence[str]) -> DataFrame | None:
+    """One customer's rows of a table; None where they cannot be told."""
     df = tables[name]
     if customer_id is None or name in open_tables:
         return df
@@ -113,7 +104,7 @@ def _scoped(name: str, tables: dict[str, DataFrame], customer_id: object | None,
         return df.filter(own)
     receipts = next((t for t in tables.values() if {"customer_id", "transaction_id"} <= set(t.columns)), None)
     if receipts is None or "transaction_id" not in df.columns:
-        raise ValueError(f"{name} has no customer column")
+        return None
     return df.join(receipts.filter(own).select("transaction_id"), "transaction_id", "left_semi").select(*df.columns)
 
 
@@ -125,7 +116,8 @@ def scoped_sql(
 
     Customer placeholders in the text become a bound parameter. A table without a customer column shows the rows of the
     customer's receipts, found by transaction id in another of the tables; without that it is refused, unless it is named in
-    `open_tables`. The text may read the given tables only: any other name, path or function that yields rows is refused.
+    `open_tables`. What the text reads is judged on its analysed plan: any table, view, file, program or function that yields
+    rows other than the views given is refused, under whatever name and at whatever depth.
     """
     if not text.lstrip().upper().startswith("SELECT"):
         raise ValueError("not a SELECT")
@@ -134,14 +126,25 @@ def scoped_sql(
     for setting in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
         session.conf.set(setting, spark.conf.get(setting))
     bound = text.replace("{{customer_id}}", ":customer_id").replace("{customer_id}", ":customer_id")
-    scoped = {name: _scoped(name, tables, customer_id, open_tables) for name in _only_given(session, bound, tables)}
-    shared = {name: f"scoped_{uuid.uuid4().hex}" for name in scoped}
-    for name, df in scoped.items():
+    args = {"customer_id": "" if customer_id is None else customer_id} if ":customer_id" in bound else None
+    shared, closed = {}, []
+    for name in tables:
+        df = _scoped(name, tables, customer_id, open_tables)
+        if df is None:
+            closed.append(name)
+            continue
+        shared[name] = f"scoped_{uuid.uuid4().hex}"
         df.createGlobalTempView(shared[name])
         session.table(f"global_temp.{shared[name]}").createOrReplaceTempView(name)
-    args = {"customer_id": "" if customer_id is None else customer_id} if ":customer_id" in bound else None
     try:
-        return capped_result(session.sql(bound, args=args) if args else session.sql(bound), rows)
+        result = session.sql(bound, args=args) if args else session.sql(bound)
+        foreign = foreign_parts(result, shared)
+    except AnalysisException as error:
+        hint = f"; without a customer column: {closed}" if closed else ""
+        raise ValueError(f"{error.getCondition() or 'not understood'}{hint}") from error
     finally:
         for view in shared.values():
             spark.catalog.dropGlobalTempView(view)
+    if foreign:
+        raise ValueError(f"not one of the given tables: {sorted(set(foreign))}")
+    return capped_result(result, rows)
