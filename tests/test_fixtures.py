@@ -15,7 +15,7 @@ from tillworks.operators.dedup import dedup_items, dedup_receipts, latest_per_ke
 from tillworks.operators.substring import contains_pairs
 from tillworks.plans import context, gold, silver
 from tillworks.session import run_folder
-from tillworks.sources import scans, sinks
+from tillworks.sources import keyed, scans, sinks
 
 
 def ts(text):
@@ -574,12 +574,12 @@ def test_insert_if_absent_is_idempotent(spark):
     root = run_folder(spark, "absent")
     schema = "k string, v int"
     first = spark.createDataFrame([("a", 1), ("a", 2)], schema)
-    assert [tuple(r) for r in sinks.write_if_absent(first, root, ["k"], 0).collect()] == [("a", "created")]
+    assert [tuple(r) for r in keyed.write_if_absent(first, root, ["k"], 0).collect()] == [("a", "created")]
     second = spark.createDataFrame([("a", 9), ("b", 9)], schema)
     for _ in range(2):
-        status = {r.k: r.status for r in sinks.write_if_absent(second, root, ["k"], 1).collect()}
+        status = {r.k: r.status for r in keyed.write_if_absent(second, root, ["k"], 1).collect()}
         assert status == {"a": "exists", "b": "created"}
-    stored = sinks.read_versions(spark, root, first.schema).collect()
+    stored = keyed.read_versions(spark, root, first.schema).collect()
     assert sorted((r.k, r.v) for r in stored) == [("a", 1), ("b", 9)]
 
 
@@ -587,17 +587,17 @@ def test_upsert_counts_and_compaction(spark):
     root = run_folder(spark, "upsert")
     schema = "k string, at int, v int"
     for version, rows in enumerate([[("a", 1, 10), ("b", 5, 20)], [("a", 2, 11), ("b", 4, 19)], [("a", 2, 11)]]):
-        sinks.write_upsert(spark.createDataFrame(rows, schema), root, ["k"], "at", version)
+        keyed.write_upsert(spark.createDataFrame(rows, schema), root, ["k"], "at", version)
     shape = spark.createDataFrame([], schema).schema
-    rows = {r.k: (r.v, r.turn_count) for r in sinks.read_current(spark, root, shape, ["k"], "at", "turn_count").collect()}
+    rows = {r.k: (r.v, r.turn_count) for r in keyed.read_current(spark, root, shape, ["k"], "at", "turn_count").collect()}
     assert rows == {"a": (11, 3), "b": (20, 2)}
-    assert {r.k: r.v for r in sinks.read_current(spark, root, shape, ["k"]).collect()} == {"a": 11, "b": 19}
-    assert sinks.next_version(spark, root) == 3 and sinks.next_version(spark, root + "-none") == 0
+    assert {r.k: r.v for r in keyed.read_current(spark, root, shape, ["k"]).collect()} == {"a": 11, "b": 19}
+    assert keyed.next_version(spark, root) == 3 and keyed.next_version(spark, root + "-none") == 0
     target = run_folder(spark, "compact")
-    sinks.compact(spark, root, target, shape, ["k"], "at")
-    assert {(r.k, r.v, r.version) for r in sinks.read_versions(spark, target, shape).collect()} == {("a", 11, 0), ("b", 20, 0)}
-    sinks.write_upsert(spark.createDataFrame([("a", 9, 12)], schema), target, ["k"], "at", 1)
-    rows = {r.k: (r.v, r.turn_count) for r in sinks.read_current(spark, target, shape, ["k"], "at", "turn_count").collect()}
+    keyed.compact(spark, root, target, shape, ["k"], "at")
+    assert {(r.k, r.v, r.version) for r in keyed.read_versions(spark, target, shape).collect()} == {("a", 11, 0), ("b", 20, 0)}
+    keyed.write_upsert(spark.createDataFrame([("a", 9, 12)], schema), target, ["k"], "at", 1)
+    rows = {r.k: (r.v, r.turn_count) for r in keyed.read_current(spark, target, shape, ["k"], "at", "turn_count").collect()}
     assert rows == {"a": (12, 4), "b": (20, 2)}
 
 
@@ -636,7 +636,7 @@ def test_dual_write_reports_partial_and_failed(spark):
     assert status == {"T1": "partial", "T2": "failed"}
     status = {r.transaction_id: r.status for r in sinks.dual_write(batch, 0, root, lambda df, n: None).collect()}
     assert status == {"T1": "success", "T2": "failed"}
-    assert sinks.read_versions(spark, root, batch.schema).count() == 1
+    assert keyed.read_versions(spark, root, batch.schema).count() == 1
 
 
 def test_rows_to_database_from_executors(spark, tmp_path):
@@ -790,11 +790,11 @@ def test_insert_if_absent_within_a_stretch(spark):
     root = run_folder(spark, "stretch")
     schema = "k string, at timestamp, v int"
     first = [("a", ts("2026-01-01"), 1), ("b", ts("2026-01-05"), 1), ("n", None, 1)]
-    sinks.write_if_absent(spark.createDataFrame(first, schema), root, ["k"], 0, within="at")
+    keyed.write_if_absent(spark.createDataFrame(first, schema), root, ["k"], 0, within="at")
     again = [("b", ts("2026-01-05"), 2), ("c", ts("2026-01-06"), 2), ("n", None, 2), ("z", ts("2026-01-04"), 2)]
-    status = sinks.write_if_absent(spark.createDataFrame(again, schema), root, ["k"], 1, within="at")
+    status = keyed.write_if_absent(spark.createDataFrame(again, schema), root, ["k"], 1, within="at")
     assert {r.k: r.status for r in status.collect()} == {"b": "exists", "c": "created", "n": "exists", "z": "created"}
-    nothing = sinks.write_if_absent(spark.createDataFrame([], schema), root, ["k"], 2, within="at")
+    nothing = keyed.write_if_absent(spark.createDataFrame([], schema), root, ["k"], 2, within="at")
     assert nothing.count() == 0
 
 
@@ -892,3 +892,57 @@ def test_bulk_search_finds_receipts_without_a_time(spark):
             want = [r.transaction_id for r in search.fuzzy_search(receipts, search.Criteria(**given)).collect()]
             assert sorted(r.transaction_id for r in got if r.request_id == row[0]) == sorted(want), row
         assert any(r.request_id == 1 for r in got) and any(r.request_id == 3 for r in got)
+
+
+def test_changes_with_deletes_reach_the_table(spark):
+    root = run_folder(spark, "changes")
+    schema = "k string, at int, v int"
+    keyed.write_upsert(spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 1, 1)], schema), root, ["k"], "at", 0)
+    old = keyed.read_current(spark, root, spark.createDataFrame([], schema).schema, ["k"])
+    new = spark.createDataFrame([("a", 2, 5), ("c", 1, 1), ("d", 1, 1)], schema)
+    for _ in range(2):
+        keyed.write_changes(reconcile.change_feed(old, new, ["k"]), root, ["k"], 1)
+    shape = old.schema
+    assert {tuple(r) for r in keyed.read_current(spark, root, shape, ["k"]).collect()} == {("a", 2, 5), ("c", 1, 1), ("d", 1, 1)}
+    # a delete wins among equals, an older row that comes late does not
+    late = spark.createDataFrame([("b", 1, 9), ("d", 0, 9), ("a", 3, 6)], schema)
+    keyed.write_upsert(late, root, ["k"], "at", 2)
+    assert {(r.k, r.v) for r in keyed.read_current(spark, root, shape, ["k"], "at").collect()} == {("a", 6), ("c", 1), ("d", 1)}
+    for keep, back in ((True, set()), (False, {"b"})):
+        target = run_folder(spark, "compacted")
+        keyed.compact(spark, root, target, shape, ["k"], "at", keep_deletes=keep)
+        keyed.write_upsert(spark.createDataFrame([("b", 0, 0)], schema), target, ["k"], "at", 1)
+        assert {r.k for r in keyed.read_current(spark, target, shape, ["k"], "at").collect()} == {"a", "c", "d"} | back
+    # what was deleted is absent, and may be inserted
+    status = {r.k: r.status for r in keyed.write_if_absent(spark.createDataFrame([("x", 1, 1), ("a", 7, 7)], schema), root, ["k"], 3).collect()}
+    assert status == {"x": "created", "a": "exists"}
+    gone = spark.createDataFrame([("x", 1, 1, "delete")], schema + ", _change_type string")
+    keyed.write_changes(gone, root, ["k"], 4)
+    assert {r.k: r.status for r in keyed.write_if_absent(spark.createDataFrame([("x", 2, 2)], schema), root, ["k"], 5).collect()} == {"x": "created"}
+    with pytest.raises(ValueError, match="keyed by"):
+        keyed.write_upsert(late, root, ["v"], "at", 9)
+
+
+def test_keyed_tables_are_read_without_a_shuffle_and_by_bucket(spark, capsys):
+    root = run_folder(spark, "plans")
+    rows = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("at"), F.lit("v").alias("v"))
+    for version in range(3):
+        keyed.write_upsert(rows, root, ["k"], "at", version, buckets=8)
+    current = keyed.read_current(spark, root, rows.schema, ["k"], "at", "writes")
+    assert current.count() == 1000 and current.filter("writes = 3").count() == 1000
+    current.explain()
+    keyed.read_current(spark, root, rows.schema, ["k"], "at").explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    found = keyed.read_keys(spark, root, rows.schema, ["k"], [5], "at")
+    assert [r.k for r in found.collect()] == [5]
+    found.explain()
+    assert "SelectedBucketsCount: 1 out of 8" in capsys.readouterr().out
+    there = keyed.all_rows(spark, root, rows.schema).groupBy("k").agg(F.max("version"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows.filter("v = 'v'").join(there, "k", "left_anti").explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan

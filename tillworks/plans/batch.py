@@ -14,7 +14,7 @@ from tillworks.operators.dedup import dedup_items, dedup_receipts
 from tillworks.operators.quality import ITEM_RULES, RECEIPT_RULES, Rule, gate
 from tillworks.plans import gold
 from tillworks.plans.silver import items_per_receipt, receipt_lookup_silver
-from tillworks.sources.sinks import exists, next_version, read_current
+from tillworks.sources.keyed import exists, next_version, read_current
 from tillworks.streaming.jobs import run_batches, stream_bronze, upsert_batches
 
 GOLD_TABLES = ("receipt_lookup", "spending_summary", "customer_profiles", "product_catalog")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillworks.operators import audit, quality
+from tillworks.operators import audit, quality, reconcile
 from tillworks.operators.dedup import dedup_items
 from tillworks.registry.base import (
     BOTH, LINES, RAW_ITEMS, RAW_RECEIPTS, RECEIPTS, clean_items, clean_receipts, flat, query, ts,
@@ -13,7 +13,7 @@ from tillworks.registry.governance import _AUDIT_NAMES, _AUDIT_SQL, _LOG, _THROT
 from tillworks.plans import batch, gold, silver
 from tillworks.registry.gold import SPENDING
 from tillworks.session import run_folder
-from tillworks.sources import scans, sinks
+from tillworks.sources import keyed, scans, sinks
 from tillworks.sources import warehouse as wh
 from tillworks.streaming import jobs
 
@@ -60,7 +60,7 @@ def q_stream_scd1(spark, folder):
     latest = jobs.stream_scd1(stream, ["transaction_id", "item_seq"], "ingested_ts")
     write = jobs.upsert_batches(f"{out}/rows", ["transaction_id", "item_seq"], "ingested_ts")
     jobs.run_batches(latest, write, f"{out}/checkpoint", mode="update").awaitTermination()
-    rows = sinks.read_current(spark, f"{out}/rows", stream.schema, ["transaction_id", "item_seq"], "ingested_ts")
+    rows = keyed.read_current(spark, f"{out}/rows", stream.schema, ["transaction_id", "item_seq"], "ingested_ts")
     return flat(rows.select(*_ITEM, "ingested_ts"))
 
 
@@ -71,7 +71,7 @@ def q_stream_sync(spark, folder):
     stream = line_stream(spark, folder)
     write = jobs.upsert_batches(f"{out}/rows", ["transaction_id", "item_seq"], "ingested_ts")
     jobs.run_batches(stream, write, f"{out}/checkpoint").awaitTermination()
-    rows = sinks.read_current(spark, f"{out}/rows", stream.schema, ["transaction_id", "item_seq"], "ingested_ts")
+    rows = keyed.read_current(spark, f"{out}/rows", stream.schema, ["transaction_id", "item_seq"], "ingested_ts")
     return flat(rows.select(*_ITEM, "ingested_ts"))
 
 
@@ -155,9 +155,9 @@ def q_write_upsert(spark, folder):
     lines = wh.table(spark, folder, "lineitem")
     for version, returned in enumerate((True, False)):
         part = lines.filter((F.col("l_returnflag") == "R") == returned)
-        sinks.write_upsert(wh.line_rows(part), out, ["transaction_id", "item_seq"], "ingested_ts", version)
+        keyed.write_upsert(wh.line_rows(part), out, ["transaction_id", "item_seq"], "ingested_ts", version)
     schema = wh.line_rows(lines).schema
-    rows = sinks.read_current(spark, out, schema, ["transaction_id", "item_seq"], "ingested_ts")
+    rows = keyed.read_current(spark, out, schema, ["transaction_id", "item_seq"], "ingested_ts")
     return flat(rows.select(*_ITEM, "ingested_ts"))
 
 
@@ -170,12 +170,29 @@ def q_write_if_absent(spark, folder):
     orders = wh.table(spark, folder, "orders")
     first = orders.filter(F.col("o_orderstatus") == "F").select("o_custkey", "o_orderkey")
     second = orders.filter(F.col("o_orderstatus") != "F").select("o_custkey", "o_orderkey")
-    sinks.write_if_absent(first, out, ["o_custkey"], 0)
-    status = sinks.write_if_absent(second, out, ["o_custkey"], 1)
-    stored = sinks.read_versions(spark, out, first.schema)
+    keyed.write_if_absent(first, out, ["o_custkey"], 0)
+    status = keyed.write_if_absent(second, out, ["o_custkey"], 1)
+    stored = keyed.read_versions(spark, out, first.schema)
     return status.join(stored.select("o_custkey", F.col("o_orderkey").alias("first_order")), "o_custkey")
 
 
+@query("sync_changes", """SELECT o_orderkey AS transaction_id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) + CASE o_orderstatus WHEN 'O' THEN 1 ELSE 0 END AS total_cents
+FROM orders WHERE o_orderstatus <> 'P'""")
+def q_sync_changes(spark, folder):
+    """A serving table brought up to date by change rows: orders underway leave it, open ones change, others come in."""
+    out = run_folder(spark, "changes")
+    orders = wh.table(spark, folder, "orders")
+    total = F.floor(F.col("o_totalprice") * 100 + F.lit(0.5)).cast("bigint")
+    known = orders.filter(F.col("o_orderkey") % 3 > 0).select(F.col("o_orderkey").alias("transaction_id"), total.alias("total_cents"))
+    now = orders.filter(F.col("o_orderstatus") != "P").select(
+        F.col("o_orderkey").alias("transaction_id"), (total + (F.col("o_orderstatus") == "O").cast("bigint")).alias("total_cents"))
+    keys = ["transaction_id"]
+    keyed.write_changes(known.withColumn("_change_type", F.lit("insert")), out, keys, 0)
+    served = keyed.read_current(spark, out, known.schema, keys)
+    keyed.write_changes(reconcile.change_feed(served, now, keys), out, keys, 1)
+    return keyed.read_current(spark, out, known.schema, keys)
+
+
 @query("write_append_strict", "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def q_write_append_strict(spark, folder):
     out = run_folder(spark, "append")

@@ -1,24 +1,16 @@
-"""Writing: strict appends, idempotent inserts, upserts as versions, layout, and nested events to rows.
-
-A keyed table is a folder of `version=N` parts. A write fills exactly one part, so that a repeated
-attempt replaces its own output and nothing else; readers take the winning row per key. Nothing
-already written is rewritten until the table is compacted into a new folder.
-"""
+"""Writing: strict appends, layout, rows to a database, nested events to rows, and receipts to two stores. Keyed tables
+(idempotent inserts, upserts, deletes) are in `keyed`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillworks.operators.dedup import latest_per_key, top_per_key
 from tillworks.operators.quality import validate_receipt
-
-
-# Column that keeps a key's number of writes through compaction.
-_WRITES = "_writes"
+from tillworks.sources.keyed import write_if_absent
 
 
 def _shape(schema: T.StructType) -> list[tuple[str, str]]:
@@ -45,91 +37,6 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str
     return df.sparkSession.read.table(table)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
-
-
-def read_versions(spark: SparkSession, root: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """All rows of a keyed table with their version; empty where nothing was written yet."""
-    return _counted_versions(spark, root, schema, before).drop(_WRITES)
-
-
-def _counted_versions(spark: SparkSession, root: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The versions with how many writes each row stands for: one, unless it was compacted."""
-    declared = T.StructType([*schema.fields, T.StructField(_WRITES, T.LongType()), T.StructField("version", T.LongType())])
-    if not exists(spark, root):
-        return spark.createDataFrame([], declared)
-    rows = spark.read.schema(declared).parquet(root).withColumn(_WRITES, F.coalesce(_WRITES, F.lit(1).cast("bigint")))
-    return rows if before is None else rows.filter(F.col("version") < before)
-
-
-def next_version(spark: SparkSession, root: str) -> int:
-    """One above the versions a keyed table holds."""
-    if not exists(spark, root):
-        return 0
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    names = [s.getPath().getName() for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
-    return 1 + max((int(n.split("=")[1]) for n in names if n.startswith("version=")), default=-1)
-
-
-def _write_version(df: DataFrame, root: str, version: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
-
-
-def write_if_absent(
-    df: DataFrame, root: str, keys: Sequence[str], version: int, within: str | None = None
-) -> DataFrame:
-    """Inserts rows whose key is not there yet; the first write of a key stays.
-
-    Returns the keys of `df` with a status, created or exists. Repeating a version gives the same rows
-    and the same statuses, since only earlier versions count as being there. `within` may name a column
-    that never differs between two writes of a key, such as the time of sale: then only the stretch of
-    the table that the batch covers is read, instead of the keys of its whole history.
-    """
-    spark = df.sparkSession
-    there = read_versions(spark, root, df.schema, before=version)
-    if within is not None:
-        low, high = df.agg(F.min(within), F.max(within)).first()
-        there = there.filter(F.col(within).between(F.lit(low), F.lit(high)) | F.col(within).isNull())
-    there = there.select(*keys)
-    rest = [F.asc(c) for c in df.columns if c not in keys and not isinstance(df.schema[c].dataType, T.MapType)]
-    first = top_per_key(df, keys, rest or [F.lit(1)])
-    _write_version(first.join(there, list(keys), "left_anti").select(*df.columns), root, version)
-    created = spark.read.schema(df.schema).parquet(f"{root}/version={version}").select(*keys).withColumn("_new", F.lit(True))
-    status = F.when(F.col("_new"), "created").otherwise("exists")
-    return df.select(*keys).distinct().join(created, list(keys), "left").select(*keys, status.alias("status"))
-
-
-def write_upsert(df: DataFrame, root: str, keys: Sequence[str], sequence: str, version: int) -> None:
-    """Adds or replaces rows by key; within the batch and against the table the latest `sequence` wins."""
-    _write_version(latest_per_key(df, keys, sequence).select(*df.columns), root, version)
-
-
-def read_current(
-    spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str], sequence: str | None = None,
-    count_as: str | None = None,
-) -> DataFrame:
-    """The winning row per key: the latest `sequence`, or the latest version where none is named.
-
-    `count_as` adds how many times the key was written.
-    """
-    rows = read_versions(spark, root, schema)
-    if sequence is not None:
-        current = latest_per_key(rows.drop("version"), keys, sequence)
-    else:
-        current = top_per_key(rows, keys, [F.desc("version")]).drop("version")
-    if count_as is None:
-        return current
-    writes = _counted_versions(spark, root, schema).groupBy(*keys).agg(F.sum(_WRITES).alias(count_as))
-    return current.join(writes, list(keys))
-
-
-def compact(spark: SparkSession, root: str, target: str, schema: T.StructType, keys: Sequence[str], sequence: str) -> None:
-    """Writes the winning rows of a keyed table, with their number of writes, as the single version of a new folder."""
-    _write_version(read_current(spark, root, schema, keys, sequence, _WRITES), target, 0)
-
-
 def rows_to_database(df: DataFrame, connect: Callable[[], object], statement: str, batch: int = 1000) -> None:
     """Sends rows to a relational store from the executors, `batch` at a time.
 

@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from tillworks.operators.dedup import latest_order
 from tillworks.operators.quality import Rule, gate
 from tillworks.sources.scans import stamped
-from tillworks.sources.sinks import dual_write, write_upsert
+from tillworks.sources.keyed import write_upsert
+from tillworks.sources.sinks import dual_write
 
 IDLE_US = 3_600_000_000
 
