@@ -246,8 +246,10 @@ def test_search(spark):
     {}, {"date_from": "2026-01-01"}, {"customer_id": ""}, {"amount_min": -1}, {"amount_min": 20_000_000},
     {"amount_min": 5, "amount_max": 4}, {"customer_id": "C", "limit": 0}, {"customer_id": "C", "limit": 1001},
     {"customer_id": "C", "offset": -1}, {"card_last4": "12a4"}, {"card_last4": "123"},
+    {"customer_id": "C", "date_from": "2024-13-45"}, {"customer_id": "C", "date_to": "last Tuesday"}, {"amount_max": "many"},
+    {"store_like": "?!"},
 ])
-def test_search_refuses(criteria):
+def test_search_refuses(spark, criteria):
     with pytest.raises(ValueError):
         search.Criteria(**criteria).check()
 
@@ -946,3 +948,53 @@ def test_keyed_tables_are_read_without_a_shuffle_and_by_bucket(spark, capsys):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     plan = capsys.readouterr().out
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
+def test_single_and_bulk_search_refuse_alike(spark):
+    odd = ["2024-13-45", "2024", "2024-05", "2024-5-6", "2024-02-30", "20240506", "2024-05-06 10:00", "2024-05-06T10:00:00Z", "yesterday", " 2024-05-06 "]
+    rows = [(k, "C1", None, None, day, None, None, None, None, 25, 0) for k, day in enumerate(odd)]
+    guard = {r.request_id: r.problem for r in search.search_guard(spark.createDataFrame(rows, REQUESTS)).collect()}
+    receipts = spark.createDataFrame(SEED, SEED_SCHEMA)
+    for k, day in enumerate(odd):
+        criteria = search.Criteria(customer_id="C1", date_from=day)
+        assert criteria.problem() == guard[k], day
+        if guard[k] is None:
+            search.fuzzy_search(receipts, criteria).collect()
+    assert guard[0] == guard[8] == "date_from_unreadable" and guard[1] is None and guard[2] is None
+
+
+def test_similar_names_equal_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    names = sorted({"".join(rng.choice(list("abcde "), rng.integers(1, 14))).strip() for _ in range(150)} | {"East Liberty", "Downtown", "--"})
+    typed = sorted({"".join(rng.choice(list("abcde "), rng.integers(1, 14))) for _ in range(60)} | {"Eest Libarty", "dwontown", "", "?!", "zzz"})
+    left, right = (spark.createDataFrame([(x,) for x in v], f"{n} string") for v, n in ((typed, "pattern"), (names + names[:9], "store_name")))
+    index = search.trigram_index(right, "store_name")
+    for threshold in (0.2, 0.3, 0.5, 1.0):
+        pairs = left.crossJoin(right.distinct()).withColumn("similarity", search.trigram_similarity(F.col("pattern"), F.col("store_name")))
+        want = {(r.pattern, r.store_name, r.similarity) for r in pairs.filter(F.col("similarity") >= threshold).collect()}
+        got = [tuple(r) for r in search.similar_names(left, index, threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_misspelt_stores_in_single_and_bulk_search(spark):
+    receipts = spark.createDataFrame(SEED, SEED_SCHEMA)
+    names = [c.split()[0] for c in REQUESTS.split(", ")]
+    asked = [("Eest Libarty", None, None), ("Eest Libarty", "east", None), ("Eest Libarty", None, "S2"), ("nothing near", None, None)]
+    rows = [(k, None, store, name, None, None, None, None, None, 25, 0, like) for k, (like, name, store) in enumerate(asked)]
+    rows.append((9, "C1", None, None, None, None, None, None, None, 25, 0, "Eest Libarty"))
+    requests = spark.createDataFrame(rows, REQUESTS + ", store_like string")
+    got = search.bulk_fuzzy_search(requests, receipts).collect()
+    for row in rows:
+        given = {k: v for k, v in zip([*names[1:], "store_like"], row[1:]) if v is not None}
+        want = [r.transaction_id for r in search.fuzzy_search(receipts, search.Criteria(**given)).collect()]
+        assert [r.transaction_id for r in sorted(got, key=lambda r: r.position) if r.request_id == row[0]] == want, row
+    assert any(r.request_id == 0 for r in got)
+
+
+def test_ordinary_pages_are_cut_before_the_shuffle(spark, capsys):
+    receipts = spark.createDataFrame(SEED, SEED_SCHEMA)
+    requests = spark.createDataFrame([(1, None, None, "east", None, None, None, None, None, 5, 2)], REQUESTS)
+    span = (ts("2026-01-01"), ts("2026-12-31"))
+    search.bulk_fuzzy_search(requests, receipts, receipts, span).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan

@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillworks.functions.receipt_text import dollars_to_cents
+from tillworks.operators.dedup import top_per_key
 from tillworks.operators.substring import contains_pairs, longest_literal
 
 MAX_DOLLARS = 10_000_000
 MAX_LIMIT = 1000
-_TEXT = ("customer_id", "store_id", "store_name", "card_last4", "date_from", "date_to")
+_TEXT = ("customer_id", "store_id", "store_name", "store_like", "card_last4", "date_from", "date_to")
+#: Trigram similarity from which a store's name counts as the one meant.
+LIKE = 0.3
 
 
 @dataclass(frozen=True)
 class Criteria:
-    """What to search for; amounts in dollars, dates as ISO text, None where not asked."""
+    """What to search for; amounts in dollars, dates as ISO text, None where not asked.
+
+    Of the three ways to name a store the most exact counts: id, then part of the name, then a name that may be misspelt.
+    """
 
     customer_id: str | int | None = None
     store_id: str | int | None = None
     store_name: str | None = None
+    store_like: str | None = None
     date_from: str | None = None
     date_to: str | None = None
     amount_min: float | str | None = None
@@ -44,29 +50,11 @@ class Criteria:
         return c
 
     def problem(self) -> str | None:
-        """The code of the first rule these criteria break; the rules are those of `search_guard`."""
-        for name in ("amount_min", "amount_max"):
-            value = getattr(self, name)
-            if value is not None and float(value) < 0:
-                return f"{name}_negative"
-            if value is not None and float(value) > MAX_DOLLARS:
-                return f"{name}_too_large"
-        if self.amount_min is not None and self.amount_max is not None and float(self.amount_min) > float(self.amount_max):
-            return "amounts_crossed"
-        if not 1 <= self.limit <= MAX_LIMIT:
-            return "limit_out_of_range"
-        if self.offset < 0:
-            return "offset_negative"
-        if self.card_last4 is not None and not re.fullmatch("[0-9]{4}", self.card_last4):
-            return "card_not_four_digits"
-        for name in ("date_from", "date_to"):
-            value = getattr(self, name)
-            if value is not None and not re.match(r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", str(value)):
-                return f"{name}_unreadable"
-        specific = (self.customer_id, self.store_id, self.store_name, self.card_last4, self.amount_min, self.amount_max)
-        if all(v is None for v in specific):
-            return "no_criterion" if self.date_from is None and self.date_to is None else "dates_alone_too_broad"
-        return None
+        """The code of the first rule these criteria break, by `search_guard` over a table of this one search."""
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        given = {f.name: getattr(self, f.name) for f in fields(self)}
+        row = [F.lit(v if v is None or n in ("limit", "offset") else str(v)).alias(n) for n, v in given.items()]
+        return search_guard(spark.sql("SELECT 1 AS request_id").select("request_id", *row)).first()["problem"]
 
 
 def amount_bounds(low: Column, high: Column) -> tuple[Column, Column]:
@@ -89,6 +77,8 @@ def predicate(c: Criteria) -> Column:
         parts.append(F.col("store_id") == F.lit(c.store_id))
     elif c.store_name is not None:
         parts.append(F.col("store_name").ilike(f"%{c.store_name}%"))
+    elif c.store_like is not None:
+        parts.append(F.col("_like"))
     if c.date_from is not None:
         parts.append(F.col("transaction_ts") >= F.lit(c.date_from).cast("timestamp"))
     if c.date_to is not None:
@@ -111,9 +101,16 @@ def newest_first() -> list[Column]:
     return [F.desc("transaction_ts"), F.asc("transaction_id")]
 
 
-def fuzzy_search(receipts: DataFrame, criteria: Criteria) -> DataFrame:
+def fuzzy_search(receipts: DataFrame, criteria: Criteria, stores: DataFrame | None = None) -> DataFrame:
+    """The newest receipts that meet all criteria. A name that may be misspelt is compared with the distinct store names, of
+    `stores` where given, and the receipts of those that resemble it are taken."""
     c = criteria.check()
-    found = receipts.filter(predicate(c)).orderBy(*newest_first())
+    columns = receipts.columns
+    if c.store_like is not None and c.store_id is None and c.store_name is None:
+        names = (receipts if stores is None else stores).select("store_name").distinct()
+        alike = trigram_match(names, "store_name", c.store_like, LIKE).select("store_name", F.lit(True).alias("_like"))
+        receipts = receipts.join(alike, "store_name")
+    found = receipts.filter(predicate(c)).select(*columns).orderBy(*newest_first())
     return (found.offset(c.offset) if c.offset else found).limit(c.limit)
 
 
@@ -121,34 +118,43 @@ def _day(name: str) -> Column:
     return F.expr(f"try_cast({name} AS timestamp)")
 
 
+def _amount(name: str) -> Column:
+    return F.expr(f"try_cast({name} AS decimal(20,6))")
+
+
+def _rules() -> list[tuple[str, Column]]:
+    """What a search must not do, most basic first: the code and the condition over its columns. Single and bulk search go by
+    this one table."""
+    amounts, days = ("amount_min", "amount_max"), ("date_from", "date_to")
+    specific = F.coalesce(*(F.col(n).cast("string") for n in (
+        "customer_id", "store_id", "store_name", "store_like", "card_last4", "amount_min", "amount_max")))
+    dated = F.col("date_from").isNotNull() | F.col("date_to").isNotNull()
+    return [
+        *((f"{n}_unreadable", F.col(n).isNotNull() & _amount(n).isNull()) for n in amounts),
+        *((f"{n}_{code}", test) for n in amounts for code, test in (("negative", _amount(n) < 0), ("too_large", _amount(n) > MAX_DOLLARS))),
+        ("amounts_crossed", _amount("amount_min") > _amount("amount_max")),
+        ("limit_out_of_range", ~F.col("limit").between(1, MAX_LIMIT)),
+        ("offset_negative", F.col("offset") < 0),
+        ("card_not_four_digits", ~F.col("card_last4").rlike("^[0-9]{4}$")),
+        *((f"{n}_unreadable", F.col(n).isNotNull() & _day(n).isNull()) for n in days),
+        ("store_like_without_letters", F.size(trigrams(F.col("store_like"))) == 0),
+        ("no_criterion", specific.isNull() & ~dated),
+        ("dates_alone_too_broad", specific.isNull() & dated),
+    ]
+
+
 def search_guard(requests: DataFrame) -> DataFrame:
     """Reads blanks as absent, fills in limit and offset, and adds `problem`: the code of the first rule a search breaks,
     NULL for a good one. A search that is refused never stops the others."""
+    if "store_like" not in requests.columns:
+        requests = requests.withColumn("store_like", F.lit(None).cast("string"))
     blank = {
-        name: F.when(F.col(name).cast("string") == "", None).otherwise(F.col(name)) for name in _TEXT
+        name: F.when(F.col(name).cast("string") == "", None).otherwise(F.col(name)) for name in (*_TEXT, "amount_min", "amount_max")
     }
     r = requests.withColumns({
         **blank, "limit": F.coalesce("limit", F.lit(Criteria.limit)), "offset": F.coalesce("offset", F.lit(Criteria.offset)),
     })
-
-    def broken(code: str, test: Column) -> Column:
-        return F.when(test, F.lit(code))
-
-    specific = F.coalesce(*(F.col(n).cast("string") for n in (
-        "customer_id", "store_id", "store_name", "card_last4", "amount_min", "amount_max"
-    )))
-    dated = F.col("date_from").isNotNull() | F.col("date_to").isNotNull()
-    return r.withColumn("problem", F.coalesce(
-        *(broken(code, test) for name in ("amount_min", "amount_max") for code, test in (
-            (f"{name}_negative", F.col(name) < 0), (f"{name}_too_large", F.col(name) > MAX_DOLLARS))),
-        broken("amounts_crossed", F.col("amount_min") > F.col("amount_max")),
-        broken("limit_out_of_range", ~F.col("limit").between(1, MAX_LIMIT)),
-        broken("offset_negative", F.col("offset") < 0),
-        broken("card_not_four_digits", ~F.col("card_last4").rlike("^[0-9]{4}$")),
-        *(broken(f"{name}_unreadable", F.col(name).isNotNull() & _day(name).isNull()) for name in ("date_from", "date_to")),
-        broken("no_criterion", specific.isNull() & ~dated),
-        broken("dates_alone_too_broad", specific.isNull() & dated),
-    ))
+    return r.withColumn("problem", F.coalesce(*(F.when(test, F.lit(code)) for code, test in _rules())))
 
 
 _RATIO = 1.05
@@ -172,6 +178,7 @@ def _matches() -> Column:
         & given("to", F.col("transaction_ts") <= F.col("q_to"))
         & given("low", F.col("total_cents").between(F.col("q_low"), F.col("q_high")))
         & given("store_name", _name_matches("store_name", "q_store_name"))
+        & given("store_like", trigram_similarity(F.col("store_name"), F.col("q_store_like")) >= LIKE)
     )
 
 
@@ -206,6 +213,7 @@ def _asked(requests: DataFrame) -> DataFrame:
         F.col("customer_id").alias("q_customer_id"),
         F.col("store_id").alias("q_store_id"),
         F.when(F.col("store_id").isNull(), F.col("store_name")).alias("q_store_name"),
+        F.when(F.col("store_id").isNull() & F.col("store_name").isNull(), F.col("store_like")).alias("q_store_like"),
         F.col("card_last4").alias("q_card_last4"),
         _day("date_from").alias("q_from"), (_day("date_to") + F.expr("INTERVAL 1 DAY")).alias("q_to"),
         low.alias("q_low"), high.alias("q_high"),
@@ -213,7 +221,7 @@ def _asked(requests: DataFrame) -> DataFrame:
     )
     way = (
         F.when(F.col("q_customer_id").isNotNull(), "customer").when(F.col("q_card_last4").isNotNull(), "card")
-        .when(F.col("q_store_id").isNotNull(), "store").when(F.col("q_store_name").isNotNull(), "name")
+        .when(F.col("q_store_id").isNotNull(), "store").when(F.col("q_store_name").isNotNull() | F.col("q_store_like").isNotNull(), "name")
         .otherwise("amount")
     )
     return asked.withColumn("way", way)
@@ -232,11 +240,16 @@ def _request_keys(asked: DataFrame, names: DataFrame, ways: list[str], first: ob
     whens = F.when(F.col("way").isin(*_MONTHLY), months).otherwise(F.array(F.lit("")))
     kind = F.col("way")
     if "name" in ways:
-        patterns = asked.filter(kind == "name").select(F.col("q_store_name").alias("pattern")).distinct()
-        named = _stores_named(names, patterns).withColumnRenamed("pattern", "q_store_name")
+        named = asked.filter(kind == "name")
+        patterns = named.filter("q_store_name IS NOT NULL").select(F.col("q_store_name").alias("pattern")).distinct()
+        typed = named.filter("q_store_like IS NOT NULL").select(F.col("q_store_like").alias("pattern")).distinct()
+        stores = (_stores_named(names, patterns).withColumn("_typed", F.lit(False))
+                  .unionByName(similar_names(typed, trigram_index(names, "store_name"), LIKE)
+                               .select("pattern", F.col("name").alias("matched_name"), F.lit(True).alias("_typed"))))
         rest = asked.filter(kind != "name").withColumn("matched_name", F.lit(None).cast("string"))
-        resolved = asked.filter(kind == "name").join(named, "q_store_name")
-        asked = rest.unionByName(resolved.withColumn("q_store_name", F.lit(None).cast("string")))
+        resolved = (named.withColumns({"pattern": F.coalesce("q_store_name", "q_store_like"), "_typed": F.col("q_store_name").isNull()})
+                    .join(stores, ["pattern", "_typed"]).drop("pattern", "_typed"))
+        asked = rest.unionByName(resolved.withColumns({n: F.lit(None).cast("string") for n in ("q_store_name", "q_store_like")}))
     else:
         asked = asked.withColumn("matched_name", F.lit(None).cast("string"))
     bands = F.sequence(_amount_band(F.col("q_low")), _amount_band(F.col("q_high")))
@@ -265,29 +278,40 @@ def _receipt_keys(receipts: DataFrame, ways: list[str]) -> DataFrame:
     return receipts.withColumn("_key", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())))
 
 
-def bulk_fuzzy_search(requests: DataFrame, receipts: DataFrame, stores: DataFrame | None = None) -> DataFrame:
+def bulk_fuzzy_search(
+    requests: DataFrame, receipts: DataFrame, stores: DataFrame | None = None, span: tuple[object, object] | None = None
+) -> DataFrame:
     """Every request answered as by `fuzzy_search`: its newest `limit` receipts after `offset`, ranked.
 
     Each request goes one way, by the most selective criterion it gives: customer, card, store, store
     name or amount, the last three month by month. All ways share one join on equal keys over a single
     pass of the receipts, with the remaining criteria inside its condition. Names meet stores through
-    shared substrings and amounts through logarithmic bands. The matches of a request are ranked in
-    salted parts first, each cut at the request's own last row, so neither a hot store nor one deep
-    page sends its matches to one place. `stores` (store names) may be given to spare a pass over the
-    receipts. Refused requests give no rows.
+    shared substrings, misspelt ones through shared trigrams, and amounts through logarithmic bands. The
+    matches of a request are cut in each task at the last row of the longest ordinary page before they are
+    shuffled; pages deeper than that threshold go apart, ranked in salted parts first, each cut at its own
+    last row, so neither a hot store nor one deep page sends its matches to one place. `stores` (store
+    names) and `span` (a first and last time that cover all receipts) may be given, each to spare a pass
+    over the receipts. Refused requests give no rows.
     """
     asked = _asked(requests)
-    ways = sorted(r["way"] for r in asked.select("way").distinct().collect()) or ["customer"]
-    first, last = receipts.agg(F.min("transaction_ts"), F.max("transaction_ts")).first()
+    pages = asked.groupBy("way").agg(F.max("q_end").alias("end")).collect()
+    ways = sorted(r["way"] for r in pages) or ["customer"]
+    if span is None:
+        span = receipts.agg(F.min("transaction_ts"), F.max("transaction_ts")).first()
     names = (stores if stores is not None else receipts).select("store_name").distinct()
-    keyed = _request_keys(asked, names, ways, first, last)
-    found = _receipt_keys(receipts, ways).join(keyed, "_key").filter(_matches()).select(
-        "request_id", "q_offset", "q_end", *receipts.columns, F.pmod(F.xxhash64("transaction_id"), F.lit(_SALTS)).alias("_salt")
-    )
-    part = Window.partitionBy("request_id", "_salt").orderBy(*newest_first())
-    cut = found.withColumn("_at", F.row_number().over(part)).filter(F.col("_at") <= F.col("q_end")).drop("_salt", "_at")
-    whole = Window.partitionBy("request_id").orderBy(*newest_first())
-    ranked = cut.withColumn("position", F.row_number().over(whole))
+    keyed = _request_keys(asked, names, ways, *span)
+    found = _receipt_keys(receipts, ways).join(keyed, "_key").filter(_matches()).select("request_id", "q_offset", "q_end", *receipts.columns)
+    ordinary = int(receipts.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")) - 1
+    deepest = max((r["end"] for r in pages), default=0)
+    page = min(deepest, ordinary) or 1
+    ranked = top_per_key(found.filter(F.col("q_end") <= ordinary) if deepest > ordinary else found, ["request_id"], newest_first(), page, "position")
+    if deepest > ordinary:
+        salt = F.pmod(F.xxhash64("transaction_id"), F.lit(_SALTS))
+        deep = found.filter(F.col("q_end") > ordinary).withColumn("_salt", salt)
+        part = Window.partitionBy("request_id", "_salt").orderBy(*newest_first())
+        cut = deep.withColumn("_at", F.row_number().over(part)).filter(F.col("_at") <= F.col("q_end")).drop("_salt", "_at")
+        whole = Window.partitionBy("request_id").orderBy(*newest_first())
+        ranked = ranked.unionByName(cut.withColumn("position", F.row_number().over(whole)))
     return ranked.filter((F.col("position") > F.col("q_offset")) & (F.col("position") <= F.col("q_end"))).select(
         "request_id", "position", *receipts.columns
     )
@@ -353,6 +377,40 @@ def _overlap(left: Column, right: Column) -> Column:
     return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
+def trigram_index(texts: DataFrame, column: str) -> DataFrame:
+    """Posting rows of the distinct texts: gram, how many texts hold it, name, its number of grams and the gram's place among
+    them, rarest first. Worth storing where texts are many."""
+    names = texts.select(F.col(column).alias("name")).distinct().withColumn("grams", trigrams(F.col("name")))
+    each = names.select("name", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("held_by"))
+    rarest = Window.partitionBy("name").orderBy("held_by", "gram")
+    return each.join(counts, "gram").select("gram", "held_by", "name", "n", F.row_number().over(rarest).alias("place"))
+
+
+def similar_names(patterns: DataFrame, index: DataFrame, threshold: float = LIKE) -> DataFrame:
+    """pattern, name, similarity: the indexed names that resemble each distinct `pattern` despite typing errors.
+
+    Of texts with a and b grams that are similar enough, b lies between threshold * a and a / threshold, and one of the rarest
+    a - ceil(threshold * a) + 1 grams of each is among those they share; so only rare grams are joined, and only names of a
+    fitting length. Grams that no name holds are the rarest of all. The pairs that meet are then compared by all their grams.
+    """
+    asked = patterns.select("pattern").distinct().withColumn("grams", trigrams(F.col("pattern"))).filter(F.size("grams") > 0)
+    each = asked.select("pattern", F.size("grams").alias("a"), F.explode("grams").alias("gram"))
+    known = index.select("gram", "held_by").distinct()
+    rarest = Window.partitionBy("pattern").orderBy("held_by", "gram")
+    ranked = (each.join(known, "gram", "left").withColumn("held_by", F.coalesce("held_by", F.lit(0)))
+              .withColumn("at", F.row_number().over(rarest)))
+
+    def among_rare(at: str, n: str) -> Column:
+        return F.col(at) <= F.col(n) - F.ceil(F.col(n) * threshold - 1e-9) + 1
+
+    fits = (F.col("n") >= F.col("a") * threshold - 1e-9) & (F.col("n") * threshold <= F.col("a") + 1e-9)
+    met = (ranked.filter((F.col("held_by") > 0) & among_rare("at", "a")).drop("held_by")
+           .join(index.filter(among_rare("place", "n")).drop("held_by"), "gram").filter(fits).select("pattern", "name").distinct())
+    scored = met.withColumn("similarity", trigram_similarity(F.col("pattern"), F.col("name")))
+    return scored.filter(F.col("similarity") >= threshold)
+
+
 def trigram_match(df: DataFrame, column: str, text: str, threshold: float = 0.3) -> DataFrame:
     """Rows whose text resembles `text` despite typing errors, with their `similarity`."""
     wanted = df.sparkSession.range(1).select(trigrams(F.lit(text))).first()[0]

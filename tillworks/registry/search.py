@@ -178,7 +178,8 @@ hits AS (
 SELECT request_id, position, {_COLS_SQL} FROM hits WHERE position > off AND position <= off + lim""")
 def q_bulk_fuzzy_search(spark, folder):
     receipts = clean_receipts(spark, folder).select(*_NAMES)
-    found = search.bulk_fuzzy_search(search_requests(spark, folder), receipts, wh.stores(spark, folder))
+    span = wh.raw_receipts(spark, folder).agg(F.min("transaction_ts"), F.max("transaction_ts")).first()
+    found = search.bulk_fuzzy_search(search_requests(spark, folder), receipts, wh.stores(spark, folder), span)
     return flat(found.withColumn("position", F.col("position").cast("bigint")))
 
 
@@ -204,16 +205,64 @@ _GRAMS = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_arr
    lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
 
 
-@query("trigram_store_match", f"""WITH named AS (
+@query("trigram_match", f"""WITH named AS (
   SELECT p_partkey, p_name, {_GRAMS.format('p_name')} AS a, {_GRAMS.format("'smal widgt'")} AS b FROM part)
 SELECT p_partkey, p_name, similarity FROM (
   SELECT p_partkey, p_name, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM named)
 WHERE similarity >= 0.3""")
-def q_trigram_store_match(spark, folder):
+def q_trigram_match(spark, folder):
     parts = wh.table(spark, folder, "part").select("p_partkey", "p_name")
     return search.trigram_match(parts, "p_name", "smal widgt").withColumn("similarity", F.round("similarity", 6))
 
 
+_TYPED_SQL = f"""typed AS (SELECT DISTINCT 'Natoin ' || replace(lower(n_name), 'nation_', '') AS pattern FROM nation),
+names AS (SELECT DISTINCT n_name AS store_name FROM nation),
+alike AS (
+  SELECT pattern, store_name, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS similarity
+  FROM (SELECT *, {_GRAMS.format('pattern')} AS a, {_GRAMS.format('store_name')} AS b FROM typed, names))"""
+
+
+def typed_names(spark, folder):
+    """Each store's name as a hurried hand types it."""
+    name = F.regexp_replace(F.lower("store_name"), "nation_", "")
+    return wh.stores(spark, folder).select(F.concat(F.lit("Natoin "), name).alias("pattern")).distinct()
+
+
+@query("trigram_store_match", f"""WITH {RECEIPTS}, {_TYPED_SQL}
+SELECT pattern, a.store_name, round(similarity, 6) AS similarity, count(transaction_id) AS receipts
+FROM alike a LEFT JOIN receipts r ON r.store_name = a.store_name WHERE similarity >= 0.3 GROUP BY 1, 2, 3""")
+def q_trigram_store_match(spark, folder):
+    """Misspelt names against an index of the distinct store names, with how many receipts each store found has."""
+    index = search.trigram_index(wh.stores(spark, folder), "store_name")
+    alike = search.similar_names(typed_names(spark, folder), index)
+    held = clean_receipts(spark, folder).groupBy("store_name").agg(F.count("transaction_id").alias("receipts"))
+    found = alike.withColumnRenamed("name", "store_name").join(held, "store_name", "left")
+    return found.select("pattern", "store_name", F.round("similarity", 6).alias("similarity"), F.coalesce("receipts", F.lit(0)).alias("receipts"))
+
+
+_searched(
+    "fuzzy_store_like", search.Criteria(store_like="Natoin 7", date_from="1996-01-01", limit=1000),
+    f"store_name IN (WITH names AS (SELECT DISTINCT n_name AS store_name FROM nation) SELECT store_name FROM "
+    f"(SELECT store_name, {_GRAMS.format('store_name')} AS a, {_GRAMS.format(chr(39) + 'Natoin 7' + chr(39))} AS b FROM names) "
+    "WHERE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.3) AND transaction_ts >= TIMESTAMP '1996-01-01'",
+)
+
+
+@query("bulk_store_like", f"""WITH {RECEIPTS}, {_TYPED_SQL}
+SELECT pattern AS request_id, position, transaction_id, store_name, total_cents FROM (
+  SELECT pattern, r.*, row_number() OVER (PARTITION BY pattern ORDER BY transaction_ts DESC, transaction_id) AS position
+  FROM alike a JOIN receipts r ON r.store_name = a.store_name WHERE similarity >= 0.3)
+WHERE position <= 30""")
+def q_bulk_store_like(spark, folder):
+    """Every misspelt name as a search of its own, in one job."""
+    empty = {n: F.lit(None).cast("string") for n in ("customer_id", "store_id", "store_name", "card_last4", "date_from", "date_to", "amount_min", "amount_max")}
+    requests = typed_names(spark, folder).withColumnRenamed("pattern", "store_like").withColumns({
+        "request_id": F.col("store_like"), **empty, "limit": F.lit(30), "offset": F.lit(0)})
+    span = wh.raw_receipts(spark, folder).agg(F.min("transaction_ts"), F.max("transaction_ts")).first()
+    found = search.bulk_fuzzy_search(requests, clean_receipts(spark, folder), wh.stores(spark, folder), span)
+    return found.select("request_id", F.col("position").cast("bigint").alias("position"), "transaction_id", "store_name", "total_cents")
+
+
 @query("partial_scan_card", f"WITH {RECEIPTS} SELECT {_COLS_SQL} FROM receipts WHERE card_last4 IS NOT NULL")
 def q_partial_scan_card(spark, folder):
     return flat(search.with_card(clean_receipts(spark, folder)).select(*_NAMES))
