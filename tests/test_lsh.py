@@ -49,3 +49,35 @@ def test_recall_on_the_embeddings_table(spark, size):
         got += sum(bool((buckets[i] == buckets[k]).any()) for i in nearest)
         wanted += len(nearest)
     assert got >= 0.9 * wanted
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_the_many_query_join(spark, size):
+    corpus = wh.product_vectors(spark, f"/root/testdata/{size}")
+    queries = corpus.select(F.col("sku").alias("query_id"), F.col("embedding").alias("vector"))
+    found = knn.knn_join_lsh(queries, corpus, 64, k=5, threshold=0.1)
+    exact = knn.knn_join(queries, corpus, k=5, threshold=0.1)
+    assert knn.lsh_recall(found, exact).first().recall >= 0.9
+
+
+def test_close_neighbours_are_found_among_few_pairs(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(200, 16))
+    rows = [(i, (centres[i % 200] + 0.15 * rng.normal(size=16)).tolist()) for i in range(2000)]
+    odd = [(9001, None), (9002, [1.0]), (9003, [0.0] * 16)]
+    corpus = spark.createDataFrame(rows + odd, "sku long, embedding array<double>")
+    queries = spark.createDataFrame(rows[::20] + odd, "query_id long, vector array<double>")
+    found = knn.knn_join_lsh(queries, corpus, 16, k=5, threshold=0.5, tables=8, bits=12, probes=4)
+    exact = knn.knn_join(queries.filter("size(vector) = 16"), corpus.filter("size(embedding) = 16"), k=5, threshold=0.5)
+    assert knn.lsh_recall(found, exact).first().recall >= 0.9
+    assert {r.query_id for r in found.collect()} <= {r[0] for r in rows}
+    meet = (queries.select("query_id", F.explode(knn.lsh_probes("vector", 16, 8, 12, 4)).alias("b"))
+            .join(corpus.select("sku", F.explode(knn.lsh_buckets("embedding", 16, 8, 12)).alias("b")), "b").select("query_id", "sku").distinct())
+    assert meet.count() < 0.3 * 100 * 2000
+
+
+def test_probes_cross_the_nearest_planes(spark):
+    df = spark.createDataFrame([([0.1, -2.0, 3.0, 0.5],)], "v array<double>")
+    own, probed = df.select(knn.lsh_buckets("v", 4, 3, 3), knn.lsh_probes("v", 4, 3, 3, 2)).first()
+    assert probed[::3] == own and all(bin((p ^ o) & 7).count("1") == 1 for t, o in enumerate(own) for p in probed[3 * t + 1: 3 * t + 3])
+    assert len(set(probed)) == 9

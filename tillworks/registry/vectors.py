@@ -79,17 +79,42 @@ def q_cell_search(spark, folder):
 
 
 @query("ann_lsh", f"""WITH {_SIMILAR},
-planes AS (SELECT p, list_transform(range(0, 64), lambda d: CASE WHEN (d + 1) * (p + 3) * 2654435761 % 4294967296 >= 2147483648 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS signs FROM range(0, 48) t(p)),
+planes AS (SELECT p, list_transform(range(0, 64), lambda d: CASE WHEN (d + 1) * (p + 3) * 2654435761 % 4294967296 >= 2147483648 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS signs FROM range(0, 80) t(p)),
 sides AS (SELECT vec_id, p // 4 AS tab, sum(CASE WHEN list_inner_product(CAST(embedding AS DOUBLE[]), signs) >= 0 THEN 1 << (p % 4)::INTEGER ELSE 0 END) AS bucket
           FROM embeddings, planes GROUP BY 1, 2),
 met AS (SELECT DISTINCT s.vec_id FROM sides s JOIN sides q ON q.vec_id = 0 AND q.tab = s.tab AND q.bucket = s.bucket)
 SELECT sku, category, round(s, 6) AS similarity FROM scored JOIN met ON vec_id = sku WHERE s > 0.3 ORDER BY s DESC, sku LIMIT 10""")
 def q_ann(spark, folder):
-    """The SQL states 12 tables of 4 planes; the operators' own default has more, for a higher recall."""
     root = run_folder(spark, "lsh")
     query = query_vector(spark, folder)
-    knn.write_lsh_index(wh.product_vectors(spark, folder), root, len(query), tables=12)
-    return _rounded(knn.ann_lsh(spark.read.parquet(root), query, tables=12))
+    knn.write_lsh_index(wh.product_vectors(spark, folder), root, len(query))
+    return _rounded(knn.ann_lsh(spark.read.parquet(root), query))
+
+
+_PROBED = """planes AS (SELECT p, list_transform(range(0, 64), lambda d: CASE WHEN (d + 1) * (p + 3) * 2654435761 % 4294967296 >= 2147483648 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS signs FROM range(0, 320) t(p)),
+dots AS (SELECT vec_id, p // 8 AS tab, p % 8 AS plane, list_inner_product(CAST(embedding AS DOUBLE[]), signs) AS d FROM embeddings, planes),
+codes AS (SELECT vec_id, tab, sum(CASE WHEN d >= 0 THEN 1 << (7 - plane)::INTEGER ELSE 0 END)::BIGINT AS code FROM dots GROUP BY 1, 2),
+nearest AS (SELECT vec_id, tab, plane FROM dots QUALIFY row_number() OVER (PARTITION BY vec_id, tab ORDER BY abs(d), plane) <= 3),
+probes AS (SELECT * FROM codes UNION ALL SELECT vec_id, tab, xor(code, (1 << (7 - plane)::INTEGER)::BIGINT) FROM codes JOIN nearest USING (vec_id, tab)),
+met AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS sku FROM probes q JOIN codes c ON c.tab = q.tab AND c.code = q.code),
+compared AS (
+  SELECT query_id, sku, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS s
+  FROM met JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = sku)
+"""
+
+
+def joined(spark, folder, **options):
+    corpus = wh.product_vectors(spark, folder)
+    queries = corpus.select(F.col("sku").alias("query_id"), F.col("embedding").alias("vector"))
+    return knn.knn_join_lsh(queries, corpus, len(query_vector(spark, folder)), k=5, threshold=0.1, **options)
+
+
+@query("knn_join_lsh", f"""WITH {_PROBED}
+SELECT query_id, sku, position, round(s, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, sku) AS position FROM compared WHERE s > 0.1)
+WHERE position <= 5""")
+def q_knn_join_lsh(spark, folder):
+    return _rounded(joined(spark, folder).withColumn("position", F.col("position").cast("bigint")))
 
 
 _MATCHES = f"""{_SIMILAR}, {LINES}, {RECEIPTS},
