@@ -16,6 +16,7 @@ from tillworks.operators.substring import contains_pairs
 from tillworks.plans import context, gold, silver
 from tillworks.session import run_folder
 from tillworks.sources import keyed, scans, sinks
+from tillworks.streaming import jobs
 
 
 def ts(text):
@@ -998,3 +999,95 @@ def test_ordinary_pages_are_cut_before_the_shuffle(spark, capsys):
     search.bulk_fuzzy_search(requests, receipts, receipts, span).explain()
     plan = capsys.readouterr().out
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+
+
+def test_one_user_without_a_pause_is_throttled_block_by_block(spark):
+    rng = np.random.default_rng(21)
+    start = ts("2026-01-01 00:00:00")
+    at = np.cumsum(rng.choice([0.0, 0.05, 0.4, 0.6, 2.0, 9.0], 100_000, p=[0.1, 0.3, 0.25, 0.2, 0.13, 0.02]))
+    times = [(k, start + dt.timedelta(microseconds=int(x * 1e6) + k % 7)) for k, x in enumerate(at.tolist())]
+    times.sort(key=lambda x: (x[1], x[0]))
+    df = spark.createDataFrame([(1, k, t) for k, t in times], "user_id int, n int, ts timestamp").repartition(5)
+    got = audit.throttle_violations(df, "user_id", "ts", "n", 2.0, 20, block=2_000)
+    assert sorted(r.n for r in got.collect()) == sorted(exact_bucket(times, 500_000, 20))
+
+
+def exact_bucket(times, cost, burst):
+    """The bucket in whole microseconds."""
+    full = credit = cost * burst
+    last, refused = times[0][1], []
+    for number, at in times:
+        credit = min(full, credit + (at - last) // dt.timedelta(microseconds=1))
+        last = at
+        if credit >= cost:
+            credit -= cost
+        else:
+            refused.append(number)
+    return refused
+
+
+def test_pieces_tell_every_credit_and_stay_few():
+    rng = np.random.default_rng(22)
+    for _ in range(40):
+        cost, burst = int(rng.integers(2, 12)), int(rng.integers(1, 9))
+        full = cost * burst
+        pieces, credits = [(0, full, 0, 1)], list(range(full + 1))
+        high = int(rng.choice([2, cost, 3 * cost]))
+        for gap in rng.integers(0, high + 1, 300).tolist():
+            pieces = audit._after_request(pieces, gap, cost, full)
+            credits = [min(full, c + gap) for c in credits]
+            credits = [c - cost if c >= cost else c for c in credits]
+            assert [audit._at(pieces, c) for c in range(full + 1)] == credits
+            assert len(pieces) <= 8 * burst + cost
+
+
+def test_streams_let_their_state_go(spark):
+    root = run_folder(spark, "steps")
+    shape = "transaction_id string, ingested_ts timestamp"
+    day = [ts(f"2026-01-{d:02d} 12:00:00") for d in range(1, 31)]
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{root}/{name}")
+
+    def start():
+        heads = scans.scan(spark, f"{root}/h", spark.createDataFrame([], shape).schema, stream=True)
+        lines = scans.scan(spark, f"{root}/i", spark.createDataFrame([], shape + ", item_seq int").schema, stream=True)
+        return jobs.run_to_parquet(jobs.stream_join(heads, lines, "1 hour", "2 hours"), f"{root}/rows", f"{root}/checkpoint")
+
+    def step(heads, lines):
+        return lambda: (put("h", heads, shape), put("i", lines, shape + ", item_seq int"))
+
+    told = jobs.run_in_steps([
+        step([("A", day[0]), ("B", day[0])], [("A", day[0], 1)]),
+        step([("C", day[5])], [("B", day[5], 1), ("C", day[5], 1), ("C", day[5], 2)]),
+        step([("Z", day[20])], [("Z", day[20], 1)]),
+    ], start)
+    rows = {(r.transaction_id, r.item_seq) for r in spark.read.parquet(f"{root}/rows").collect()}
+    assert rows == {("A", 1), ("B", None), ("C", 1), ("C", 2), ("Z", 1)}
+    assert told[-1]["stateRows"] <= 2 and told[0]["stateRows"] >= 2
+
+    def dedup():
+        return jobs.run_to_parquet(jobs.stream_dedup(scans.scan(spark, f"{root}/d", spark.createDataFrame([], "event_id string, ingested_ts timestamp").schema, stream=True)),
+                                   f"{root}/unique", f"{root}/unique-checkpoint")
+
+    sent = [[("e1", day[0]), ("e1", day[0] + dt.timedelta(minutes=5)), ("e2", day[0])], [("e1", day[0] + dt.timedelta(minutes=50)), ("e3", day[3])], [("e1", day[6])], [("e9", day[9])]]
+    told = jobs.run_in_steps([lambda rows=rows: put("d", rows, "event_id string, ingested_ts timestamp") for rows in sent], dedup)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{root}/unique").collect()) == ["e1", "e1", "e2", "e3", "e9"]
+    assert told[-1]["stateRows"] <= 2
+
+
+def test_sessions_close_when_later_events_come(spark):
+    root = run_folder(spark, "closing")
+    schema = "user_id int, ts timestamp"
+
+    def start():
+        events = scans.scan(spark, f"{root}/in", spark.createDataFrame([], schema).schema, stream=True)
+        return jobs.run_to_parquet(jobs.stream_sessions(events), f"{root}/rows", f"{root}/checkpoint")
+
+    def arrive(rows):
+        return lambda: spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{root}/in")
+
+    jobs.run_in_steps([arrive([(1, ts("2026-01-01 00:00:00")), (1, ts("2026-01-01 00:20:00"))])], start)
+    assert spark.read.parquet(f"{root}/rows").count() == 0
+    jobs.run_in_steps([arrive([(2, ts("2026-01-01 05:00:00"))])], start)
+    assert [(r.user_id, r.events) for r in spark.read.parquet(f"{root}/rows").collect()] == [(1, 2)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,50 +123,151 @@ def session_activity(events: DataFrame, user: str = "user_id", at: str = "ts", g
     ).withColumnRenamed("_user", user).drop("_session")
 
 
-def _refused_flags(user: str, cost_us: int, burst: int):
-    """Walks rows sorted by user, session and time with one bucket in memory."""
-    full = burst * cost_us
+#: Requests that a block of a run holds, in whole slots of time; a task walks a block at a time.
+BLOCK = 20_000
 
+# What a stretch of requests does to the credit it meets: pieces (low, high, value, slope) in order of the credit at its start;
+# credits from low to high end at value + slope * (credit - low).
+Pieces = list[tuple[int, int, int, int]]
+
+
+def _after_request(pieces: Pieces, gap: int, cost: int, full: int) -> Pieces:
+    """The pieces after one more request, `gap` after the one before: refill to the brim, then pay if the credit is enough.
+
+    A piece is cut where it reaches the brim, above which all credits become one, and where it falls short of the cost. Pieces
+    that have paid equally often join again; what is left is a few for each request the bucket has room for, and at worst one for
+    each request within the time that fills the bucket.
+    """
+    out: Pieces = []
+
+    def add(low: int, high: int, value: int, slope: int) -> None:
+        if value >= cost:
+            value -= cost
+        if out:
+            l, _, v, s = out[-1]
+            if s == slope and value == v + slope * (low - l):
+                out[-1] = (l, high, v, s)
+                return
+        out.append((low, high, value, slope))
+
+    for low, high, value, slope in pieces:
+        value += gap
+        if not slope or value >= full:
+            add(low, high, min(value, full), 0)
+            continue
+        brim = low + full - value  # the credit that just fills the bucket
+        top = min(high, brim - 1)
+        enough = low + cost - value
+        if low < enough <= top:
+            add(low, enough - 1, value, 1)
+            add(enough, top, cost, 1)
+        else:
+            add(low, top, value, 1)
+        if high >= brim:
+            add(brim, high, full, 0)
+    return out
+
+
+def _at(pieces: Pieces, credit: int) -> int:
+    low, _, value, slope = next(p for p in pieces if p[0] <= credit <= p[1])
+    return value + slope * (credit - low)
+
+
+def _block_pieces(cost: int, full: int):
+    """For each block of a run, its rows in order, the pieces as flat numbers."""
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, pieces, last = None, [], 0
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame({"_user": [current[0]], "_session": [current[1]], "_block": [current[2]], "_pieces": [[x for p in pieces for x in p]]})
+
+        for batch in batches:
+            for user, session, block, before, at in zip(batch["_user"], batch["_session"], batch["_block"], batch["_before"], batch["_at"]):
+                if (user, session, block) != current:
+                    if current is not None:
+                        yield done()
+                    current, pieces = (user, session, block), [(0, full, 0, 1)]
+                    last = at if before != before or before is None else int(before)
+                pieces = _after_request(pieces, at - last, cost, full)
+                last = at
+        if current is not None:
+            yield done()
+
+    return work
+
+
+def _carried(full: int):
+    """The credit with which each block of a run begins, from the pieces of the blocks before it."""
+    def work(blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("_block")
+        credit, found = full, []
+        for flat in blocks["_pieces"]:
+            found.append(credit)
+            flat = list(map(int, flat))
+            credit = _at([tuple(flat[k: k + 4]) for k in range(0, len(flat), 4)], credit)
+        return pd.DataFrame({"_user": blocks["_user"], "_session": blocks["_session"], "_block": blocks["_block"], "_credit": found})
+
+    return work
+
+
+def _refused_rows(cost: int, full: int):
+    """Walks the rows of blocks in order, each block from the credit it begins with."""
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, credit, last = None, full, 0
         for batch in batches:
             refused = []
-            for key, session, at in zip(batch[user], batch["_session"], batch["_at"]):
-                if (key, session) != current:
-                    current, credit, last = (key, session), full, at
+            for user, session, block, before, start, at in zip(
+                    batch["_user"], batch["_session"], batch["_block"], batch["_before"], batch["_credit"], batch["_at"]):
+                if (user, session, block) != current:
+                    current, credit = (user, session, block), int(start)
+                    last = at if before != before or before is None else int(before)
                 credit = min(full, credit + (at - last))
                 last = at
-                allowed = credit >= cost_us
-                credit -= cost_us if allowed else 0
+                allowed = credit >= cost
+                credit -= cost if allowed else 0
                 refused.append(not allowed)
-            yield batch.assign(refused=refused)[lambda rows: rows["refused"]].drop(columns="refused")
+            yield batch[np.array(refused, bool)]
 
     return walk
 
 
 def throttle_violations(
-    requests: DataFrame, user: str, at: str, request_id: str, rate: float = 2.0, burst: int = 20
+    requests: DataFrame, user: str, at: str, request_id: str, rate: float = 2.0, burst: int = 20, block: int = BLOCK
 ) -> DataFrame:
     """Requests a token bucket per user refuses, at `rate` tokens a second and room for `burst`.
 
-    After a pause long enough to fill the bucket nothing before it matters, so each user's requests
-    fall into independent runs. Runs of at most `burst` requests cannot be refused and are settled by
-    counting. The others are walked in order, run by run, with one bucket in memory; the hot user's
-    runs spread over the tasks. Time counts in whole microseconds.
+    After a pause long enough to fill the bucket nothing before it matters, so each user's requests fall into independent runs.
+    Runs of at most `burst` requests cannot be refused and are settled by counting. The others are cut into blocks of about
+    `block` requests. What a block does to any credit it may begin with is a short list of pieces, found for all blocks at once;
+    carried along a run, a few numbers for each block, they give the credit each block begins with, and then all blocks are
+    walked at once. So a user without any pause spreads over the tasks. Time counts in whole microseconds; requests at the same
+    time go by their id; requests without a time take no part.
     """
     cost_us = round(1_000_000 / rate)
     gap_us = burst * cost_us
     slots = _slots(requests, user, at, gap_us)
-    sizes = slots.groupBy("_user", "_session").agg(F.sum("_n").alias("_size")).filter(F.col("_size") > burst)
-    crowded = slots.join(sizes.drop("_size"), ["_user", "_session"]).select(
-        F.col("_user").alias(user), "_slot", "_session"
+    run = Window.partitionBy("_user", "_session").orderBy("_slot")
+    numbered = (
+        slots.withColumn("_size", F.sum("_n").over(Window.partitionBy("_user", "_session"))).filter(F.col("_size") > burst)
+        .withColumn("_block", F.floor((F.sum("_n").over(run) - F.col("_n")) / block)).withColumn("_earlier", F.lag("_last").over(run))
     )
+    first = Window.partitionBy("_user", "_session", "_block").orderBy("_slot")
+    crowded = numbered.select(
+        "_user", "_slot", "_session", "_block", F.first("_earlier").over(first).alias("_before"), (F.col("_size") > block).alias("_long"))
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    timed = requests.select(user, request_id, at, micros.alias("_at"), _slot_of(micros, gap_us).alias("_slot"))
-    in_order = (
-        timed.join(crowded, [user, "_slot"])
-        .drop("_slot")
-        .repartition(user, "_session")
-        .sortWithinPartitions(user, "_session", "_at", request_id)
-    )
-    return in_order.mapInPandas(_refused_flags(user, cost_us, burst), in_order.schema).select(user, request_id, at)
+    timed = requests.select(F.col(user).alias("_user"), F.col(request_id).alias("_id"), F.col(at).alias("_time"), micros.alias("_at"),
+                            _slot_of(micros, gap_us).alias("_slot"))
+    placed = timed.join(crowded, ["_user", "_slot"]).drop("_slot")
+    place = ["_user", "_session", "_block"]
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*place).sortWithinPartitions(*place, "_at", "_id")
+
+    kind = requests.schema[user].dataType.simpleString()
+    long = in_order(placed.filter("_long").select(*place, "_before", "_at", "_id"))
+    pieces = long.mapInPandas(_block_pieces(cost_us, gap_us), f"_user {kind}, _session long, _block long, _pieces array<long>")
+    starts = pieces.groupBy("_user", "_session").applyInPandas(_carried(gap_us), f"_user {kind}, _session long, _block long, _credit long")
+    begun = placed.join(starts, place, "left").withColumn("_credit", F.coalesce("_credit", F.lit(gap_us).cast("long"))).drop("_long")
+    walked = in_order(begun)
+    refused = walked.mapInPandas(_refused_rows(cost_us, gap_us), walked.schema)
+    return refused.select(F.col("_user").alias(user), F.col("_id").alias(request_id), F.col("_time").alias(at))

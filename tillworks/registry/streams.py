@@ -75,32 +75,68 @@ def q_stream_sync(spark, folder):
     return flat(rows.select(*_ITEM, "ingested_ts"))
 
 
-@query("stream_dedup", f"WITH {RAW_ITEMS} SELECT DISTINCT transaction_id || '-' || item_seq AS event_id FROM raw_items")
+#: Time at which the feed is cut for the streams that let state go, and one after all of it.
+_CUT, _END = "1998-06-01", "2100-01-01"
+
+
+def _in_two(rows, folder):
+    """Arrivals of a feed in order of time: before the cut, after it, a row that moves the watermark past the end, and one more to
+    whose step that watermark applies."""
+    early = F.col("ingested_ts") < F.lit(_CUT).cast("timestamp")
+    end = rows.sparkSession.range(1).select(*(
+        F.lit({"ingested_ts": _END, "transaction_id": "-1"}.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields))
+    return [lambda part=part: part.write.mode("append").parquet(folder) for part in (rows.filter(early), rows.filter(~early), end, end)]
+
+
+@query("stream_dedup", f"""WITH {RAW_ITEMS},
+sent AS (SELECT transaction_id || '-' || item_seq AS event_id, min(ingested_ts) AS t, transaction_id AS k FROM raw_items GROUP BY 1, 3)
+SELECT event_id, {ts('t')} AS ingested_ts FROM sent
+UNION ALL SELECT event_id, {ts('t + INTERVAL 1500 DAYS')} FROM sent WHERE k % 5 = 0 AND t < TIMESTAMP '{_CUT}' AND t + INTERVAL 1500 DAYS >= TIMESTAMP '{_CUT}'""")
 def q_stream_dedup(spark, folder):
-    """Re-delivered lines are dropped by id; the delay covers the whole span of the test table."""
+    """Every line is delivered again ten minutes later, one in five once more after years: the first copies are dropped, the late
+    ones come through, as their ids have been let go."""
     out = run_folder(spark, "dedup")
-    stream = line_stream(spark, folder).select(
-        F.concat_ws("-", "transaction_id", "item_seq").alias("event_id"), "ingested_ts"
-    )
-    unique = jobs.stream_dedup(stream, delay="4000 days")
-    jobs.run_to_parquet(unique, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("event_id")
+    lines = wh.raw_items(spark, folder, with_product=False)
+    sent = lines.groupBy(F.concat_ws("-", "transaction_id", "item_seq").alias("event_id"), "transaction_id").agg(F.min("ingested_ts").alias("ingested_ts"))
+    again = sent.withColumn("ingested_ts", F.col("ingested_ts") + F.expr("INTERVAL 10 MINUTES"))
+    late = sent.withColumn("_then", F.col("ingested_ts") + F.expr("INTERVAL 1500 DAYS")).filter(
+        (F.col("transaction_id") % 5 == 0) & (F.col("ingested_ts") < F.lit(_CUT).cast("timestamp")) & (F.col("_then") >= F.lit(_CUT).cast("timestamp")))
+    every = (sent.unionByName(again).unionByName(late.drop("ingested_ts").withColumnRenamed("_then", "ingested_ts"))
+             .select("event_id", "ingested_ts"))
+
+    def start():
+        unique = jobs.stream_dedup(scans.scan(spark, f"{out}/in", every.schema, stream=True), delay="1 hour")
+        return jobs.run_to_parquet(unique, f"{out}/rows", f"{out}/checkpoint")
+
+    before, after, *_ = _in_two(every, f"{out}/in")
+    # ids are let go at the end of a step whose watermark has passed them
+    tick = spark.range(1).select(F.lit(None).cast("string").alias("event_id"), F.lit(_CUT).cast("timestamp").alias("ingested_ts"))
+    jobs.run_in_steps([before, lambda: tick.write.mode("append").parquet(f"{out}/in"), after], start)
+    rows = spark.read.parquet(f"{out}/rows").filter("event_id IS NOT NULL")
+    # within a step either of two copies ten minutes apart may come first
+    return flat(rows.withColumn("ingested_ts", F.date_trunc("day", "ingested_ts")))
 
 
 @query("stream_join", f"""WITH {RAW_RECEIPTS}, {RAW_ITEMS}
-SELECT h.transaction_id, i.item_seq, i.extended_cents FROM raw_receipts h JOIN raw_items i ON i.transaction_id = h.transaction_id
+SELECT h.transaction_id, h.total_cents, i.item_seq, i.extended_cents FROM raw_receipts h LEFT JOIN raw_items i ON i.transaction_id = h.transaction_id
 AND i.ingested_ts BETWEEN h.ingested_ts - INTERVAL 40 DAYS AND h.ingested_ts + INTERVAL 40 DAYS""")
 def q_stream_join(spark, folder):
-    """Header-item pairs of two streams; unmatched headers come out behind the watermark and are left aside here."""
+    """Header-item pairs of two streams, and the headers that met no item, which come out behind the watermark."""
     out = run_folder(spark, "join")
-    joined = jobs.stream_join(
-        order_stream(spark, folder).select("transaction_id", "ingested_ts", "total_cents"),
-        line_stream(spark, folder).select("transaction_id", "ingested_ts", "item_seq", "extended_cents"),
-        delay="4000 days", apart="40 days",
-    )
-    jobs.run_to_parquet(joined, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    rows = spark.read.parquet(f"{out}/rows").filter(F.col("item_seq").isNotNull())
-    return rows.select("transaction_id", "item_seq", "extended_cents")
+    headers = wh.order_headers(wh.table(spark, folder, "orders")).select("transaction_id", "ingested_ts", "total_cents")
+    lines = wh.line_rows(wh.table(spark, folder, "lineitem")).select("transaction_id", "ingested_ts", "item_seq", "extended_cents")
+
+    def start():
+        joined = jobs.stream_join(
+            scans.scan(spark, f"{out}/headers", headers.schema, stream=True), scans.scan(spark, f"{out}/lines", lines.schema, stream=True),
+            delay="1 day", apart="40 days",
+        )
+        return jobs.run_to_parquet(joined, f"{out}/rows", f"{out}/checkpoint")
+
+    steps = zip(_in_two(headers, f"{out}/headers"), _in_two(lines, f"{out}/lines"))
+    jobs.run_in_steps([lambda a=a, b=b: (a(), b()) for a, b in steps], start)
+    rows = spark.read.parquet(f"{out}/rows").filter("transaction_id >= 0")
+    return rows.select("transaction_id", "total_cents", "item_seq", "extended_cents")
 
 
 @query("stream_header_item_join", f"""WITH {BOTH}

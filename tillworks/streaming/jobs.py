@@ -37,6 +37,19 @@ def run_batches(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def run_in_steps(arrivals: Sequence[Callable[[], object]], start: Callable[[], StreamingQuery]) -> list[dict]:
+    """Lets each arrival put its data where the stream reads, then runs the query over what is there and to its end, so that each
+    step meets the watermark of the one before. Returns the progress after each step, with `stateRows`, the rows still held."""
+    told = []
+    for arrive in arrivals:
+        arrive()
+        query = start()
+        query.awaitTermination()
+        last = dict(query.lastProgress or {})
+        told.append({**last, "stateRows": sum(op["numRowsTotal"] for op in last.get("stateOperators", []))})
+    return told
+
+
 def stream_bronze(raw: DataFrame, rules: tuple[Rule, ...], observation: Observation | str | None = None) -> DataFrame:
     """Stamped rows that pass the dropping rules; the observation counts every broken rule per batch."""
     return gate(stamped(raw), rules, observation)
