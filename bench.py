@@ -17,6 +17,7 @@ HEADLINE = (
     "hot_cold_receipts", "audit_rows", "redact_json", "throttle_violations", "session_activity",
     "rebuild_line_items", "keyword_product_match", "purchase_frequency", "receipt_stats", "line_item_stats",
     "write_upsert", "clustered_write", "explode_receipts", "stream_bronze", "stream_sync", "migrate_backup_to_bronze", "ann_lsh",
+    "migrate_job", "knn_join_lsh", "sync_changes", "zorder_write",
 )
 
 

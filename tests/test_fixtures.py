@@ -138,8 +138,9 @@ def test_odd_line_numbers_keep_their_receipt_whole(spark):
     rows = {r.transaction_id: r for r in gold.receipt_lookup(silver_of(spark, [header(f"T{k}") for k in range(1, 5)], lines)).collect()}
     assert {k: r.item_count for k, r in rows.items()} == {"T1": 3, "T2": 2, "T3": 2, "T4": 1200}
     assert rows["T1"].item_summary == "Item 600, Item 1200, Item 1800" and rows["T2"].item_summary == "Item 0, Item 1"
-    assert rows["T3"].item_summary == "Item 1, Item None" and [i.item_seq for i in rows["T3"].items_detail] == [1]
-    assert rows["T4"].item_parts == 3 and len(rows["T4"].items_detail) == 500
+    assert rows["T3"].item_summary == "Item 1, Item None" and [i.item_seq for i in rows["T3"].items_detail] == [1, None]
+    assert rows["T4"].item_parts == 1 and [i.item_seq for i in rows["T4"].items_detail] == list(range(1, 1201))
+    assert [i.item_seq for i in rows["T1"].items_detail] == [600, 1200, 1800]
     assert sum(len(r.items_detail) for r in silver.items_per_receipt(items(spark, *lines)).collect()) == len(lines)
 
 
@@ -780,7 +781,7 @@ def test_hot_keys_give_the_same_answers(spark):
     rows = gold.receipt_lookup(silver.receipt_lookup_silver(clean_heads, clean_items)).filter("transaction_id = 'HOT'").collect()
     parts = silver.items_per_receipt(clean_items).filter("transaction_id = 'HOT'").collect()
     assert sum(len(r.items_detail) for r in parts) == n // 3 and max(len(r.items_detail) for r in parts) <= 500
-    assert [(r.item_count, r.item_parts) for r in rows] == [(n // 3, len(parts))]
+    assert [(r.item_count, len(r.items_detail)) for r in rows] == [(n // 3, n // 3)]
     spend = {r.customer_id: r.total_spend_cents for r in gold.spending_summary(clean_items, clean_heads).collect()}
     assert spend["C-HOT"] == sum(i for i in range(1, n + 1) if i % 3 and i % 2)
     hot_history = lookup.customer_history(clean_heads, limit=3).filter("customer_id = 'C-HOT'").count()
@@ -827,7 +828,18 @@ def test_gold_stores_all_line_parts(spark):
     made = batch.write_gold(heads, lines, run_folder(spark, "line_parts"), ("receipt_lookup",))
     stored = made["receipt_lines"].collect()
     assert sum(len(r.items_detail) for r in stored) == len(ODD_LINES)
-    assert {r.transaction_id: r.item_parts for r in made["receipt_lookup"].collect()} == {"T1": 1, "T2": 1, "T3": 2, "T4": 3}
+    assert {r.transaction_id: len(r.items_detail) for r in made["receipt_lookup"].collect()} == {"T1": 3, "T2": 2, "T3": 2, "T4": 1200}
+
+
+def test_whole_receipts_take_two_line_exchanges(spark, capsys):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = dedup_items(items(spark, *ODD_LINES))
+        gold.receipt_lookup(silver.receipt_lookup_silver(headers(spark, header("T1")), lines)).explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Exchange") == 3  # lines by line, lines by receipt, headers
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_detail_and_events_take_every_line(spark):
@@ -1091,3 +1103,73 @@ def test_sessions_close_when_later_events_come(spark):
     assert spark.read.parquet(f"{root}/rows").count() == 0
     jobs.run_in_steps([arrive([(2, ts("2026-01-01 05:00:00"))])], start)
     assert [(r.user_id, r.events) for r in spark.read.parquet(f"{root}/rows").collect()] == [(1, 2)]
+
+
+def test_each_column_of_the_interleaved_layout_skips_files(spark):
+    rng = np.random.default_rng(31)
+    rows = [(int(a), ts("2026-01-01") + dt.timedelta(minutes=int(b)), "n%05d" % c if c % 50 else None)
+            for a, b, c in zip((rng.pareto(1.0, 8000) * 100).astype(int), rng.integers(0, 500_000, 8000), rng.integers(0, 9000, 8000))]
+    df = spark.createDataFrame(rows, "a int, b timestamp, c string").repartition(7)
+
+    def read(root, column, value):
+        """How many files a filter cannot rule out by their least and greatest values."""
+        files = spark.read.parquet(root).groupBy(F.input_file_name()).agg(F.min(column).alias("low"), F.max(column).alias("high"))
+        return files.filter((F.col("low") <= F.lit(value)) & (F.col("high") >= F.lit(value))).count()
+
+    curved, sorted_by_a = run_folder(spark, "curved"), run_folder(spark, "sorted")
+    sinks.zorder_write(df, curved, ["a", "b"], 36)
+    sinks.clustered_write(df, sorted_by_a, ["a", "b"], parts=36)
+    assert spark.read.parquet(curved).exceptAll(df).count() == 0 and spark.read.parquet(curved).count() == 8000
+    middle = ts("2026-06-01")
+    assert read(curved, "a", 100) <= 14 and read(curved, "b", middle) <= 14
+    assert read(sorted_by_a, "b", middle) >= 30
+    texts = run_folder(spark, "curved")
+    sinks.zorder_write(df, texts, ["c", "b"], 36)
+    assert read(texts, "c", "n04500") <= 14 and read(texts, "b", middle) <= 14
+
+
+def test_dual_write_tells_mixed_outcomes_of_one_batch(spark):
+    root = run_folder(spark, "mixed")
+    batch = headers(spark, *(header(f"T{k}") for k in range(40)), header("BAD", total_cents=1))
+    slice_of = {r.transaction_id: r.s for r in batch.select("transaction_id", F.pmod(F.xxhash64("transaction_id"), F.lit(4)).alias("s")).collect()}
+    seen = []
+
+    def analytics(part, number):
+        seen.append((number, part.count()))
+        if number % 4 == 2:
+            raise RuntimeError("unreachable")
+        return part.filter("transaction_id IN ('T1', 'T2', 'T3')").select("transaction_id", F.lit("no such store").alias("reason"))
+
+    for _ in range(2):
+        got = {r.transaction_id: (r.status, r.reasons) for r in sinks.dual_write(batch, 5, root, analytics, slices=4).collect()}
+        for k in range(40):
+            name = f"T{k}"
+            want = ("partial", ["analytics: RuntimeError"]) if slice_of[name] == 2 else (
+                ("partial", ["analytics: no such store"]) if k in (1, 2, 3) else ("success", []))
+            assert got[name] == want
+        assert got["BAD"][0] == "failed" and got["BAD"][1]
+    assert sorted(seen)[::2] == sorted(seen)[1::2] and [n for n, _ in sorted(seen)[::2]] == [20, 21, 22, 23]
+    assert keyed.read_versions(spark, root, batch.schema).count() == 40
+
+
+def test_migration_goes_on_where_it_was_cut_short(spark):
+    from tillworks.plans import migration
+
+    root = run_folder(spark, "move")
+    rows = [(k if k else None, "C", "East", ts("2026-01-01"), 100 * k, "4532" if k % 2 else None, ts("2026-01-02")) for k in range(200)]
+    source = spark.createDataFrame(rows, "transaction_id int, customer_id string, store_name string, purchase_timestamp timestamp, "
+                                         "total_cents int, last4_card string, created_at timestamp")
+    schema = backfill.migrate_backup_to_bronze(source).schema
+    boom = F.udf(lambda k: 1 // (0 if k == 150 else 1) if k is not None else 1, "int")
+    with pytest.raises(Exception):
+        migration.migrate_job(source.withColumn("total_cents", F.col("total_cents") * boom("transaction_id")), root, schema, ranges=4)
+    first = {r.range for r in migration.finished(spark, root).collect()}
+    assert first and len(first) < 4 and migration.migrated(spark, root, schema).count() < 200
+    again = migration.migrate_job(source, root, schema, ranges=9)
+    assert set(again) | first == {0, 1, 2, 3} and not set(again) & first
+    assert migration.migrate_job(source, root, schema) == []
+    moved = migration.migrated(spark, root, schema)
+    assert moved.count() == 200 and moved.exceptAll(backfill.migrate_backup_to_bronze(source)).count() == 0
+    assert {(r.matches, r.moved_rows == r.stored_rows) for r in migration.finished(spark, root).collect()} == {(True, True)}
+    with pytest.raises(ValueError, match="schema mismatch"):
+        migration.migrate_job(source, run_folder(spark, "move"), moved.withColumn("more", F.lit(1)).schema)

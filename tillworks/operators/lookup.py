@@ -31,18 +31,14 @@ def parse_items_detail(text: Column | str) -> Column:
 
 def _fold(lines: DataFrame, keys: list[str]) -> DataFrame:
     row = F.struct(
-        "line_number",
+        F.col("line_number").isNull().alias("unnumbered"), "line_number",
         F.col("product_name").alias("name"), F.col("line_total_cents").alias("price_cents"),
         F.col("sku").cast("string").alias("sku"), "brand",
         F.coalesce(F.col("quantity").cast("double"), F.lit(0.0)).alias("quantity"), F.col("category_l1").alias("category"),
     )
+    shown = ("name", "price_cents", "sku", "brand", "quantity", "category")
     ordered = F.sort_array(F.collect_list(row))
-    return lines.groupBy(*keys).agg(
-        F.transform(ordered, lambda r: F.struct(
-            r["name"].alias("name"), r["price_cents"].alias("price_cents"), r["sku"].alias("sku"),
-            r["brand"].alias("brand"), r["quantity"].alias("quantity"), r["category"].alias("category"),
-        )).alias("line_items")
-    )
+    return lines.groupBy(*keys).agg(F.transform(ordered, lambda r: F.struct(*(r[f].alias(f) for f in shown))).alias("line_items"))
 
 
 def line_parts(lines: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
@@ -62,8 +58,11 @@ def receipt_detail(
     receipts = _only(receipts, "transaction_id", transaction_id)
     if not include_line_items:
         return receipts
-    parts = line_parts(_only(lines, "transaction_id", transaction_id), part_size or PART_SIZE)
-    shown = shown_lines(parts, "line_items", "line_parts", part_size is None)
+    lines = _only(lines, "transaction_id", transaction_id)
+    if part_size is None:
+        shown = _fold(lines, ["transaction_id"]).withColumn("line_parts", F.lit(1).cast("bigint"))
+    else:
+        shown = shown_lines(line_parts(lines, part_size), "line_items", "line_parts")
     fallback = F.array().cast(shown.schema["line_items"].dataType)
     spare = [parse_items_detail(items_json)] if items_json is not None else []
     return receipts.join(shown, "transaction_id", "left").withColumn("line_items", F.coalesce("line_items", *spare, fallback))

@@ -41,12 +41,12 @@ def write_gold(
 ) -> dict[str, DataFrame]:
     """The gold tables asked for; profiles build on the stored spending instead of joining items again.
 
-    `receipt_lines`, stored beside `receipt_lookup`, holds all line parts of the receipts.
+    `receipt_lines`, stored beside `receipt_lookup`, holds the lines in parts of bounded size.
     """
     made: dict[str, DataFrame] = {}
     if "receipt_lookup" in tables:
         made["receipt_lines"] = stored(items_per_receipt(items), f"{root}/receipt_lines")
-        lookup = gold.receipt_lookup(receipt_lookup_silver(headers, items, parts=made["receipt_lines"]))
+        lookup = gold.receipt_lookup(receipt_lookup_silver(headers, items))
         made["receipt_lookup"] = stored(lookup, f"{root}/receipt_lookup")
     if {"spending_summary", "customer_profiles"} & set(tables):
         made["spending_summary"] = stored(gold.spending_summary(items, headers), f"{root}/spending_summary")

@@ -1,9 +1,8 @@
 """Clean headers with figures of their line items, and the lines as arrays in a table of their own.
 
-A receipt is always one row: counts, sums, departments and the first names cover all its lines. The line arrays live in parts
-keyed by transaction and part, at most `PART_SIZE` lines each by their rank, so that no group grows with the data even when
-one transaction id holds a large share of all lines. Rows that show lines beside the header take the first part, or all
-parts where the whole receipt is asked for.
+A receipt is always one row: counts, sums, departments, the first names and the lines shown beside the header cover all its
+lines. A table of its own holds the lines in parts keyed by transaction and part, at most `PART_SIZE` lines each by their rank,
+for readers that want arrays of bounded size even when one transaction id holds a large share of all lines.
 """
 
 from __future__ import annotations
@@ -48,16 +47,9 @@ def part_order(part: str = "item_part") -> Column:
     return F.when(F.col(part) >= 0, F.col(part)).otherwise(F.lit(2**62) - F.col(part))
 
 
-def shown_lines(parts: DataFrame, lines: str, count: str, whole: bool) -> DataFrame:
-    """One row per receipt: its first part of lines and how many parts there are, or all its lines as one part."""
-    if not whole:
-        return parts.groupBy("transaction_id").agg(
-            F.min_by(lines, part_order()).alias(lines), F.count(F.lit(1)).alias(count)
-        )
-    joined = F.sort_array(F.collect_list(F.struct(part_order().alias("at"), F.col(lines).alias("lines"))))
-    return parts.groupBy("transaction_id").agg(
-        F.flatten(F.transform(joined, lambda p: p["lines"])).alias(lines), F.lit(1).cast("bigint").alias(count)
-    )
+def shown_lines(parts: DataFrame, lines: str, count: str) -> DataFrame:
+    """One row per receipt: its first part of lines and how many parts there are."""
+    return parts.groupBy("transaction_id").agg(F.min_by(lines, part_order()).alias(lines), F.count(F.lit(1)).alias(count))
 
 
 def _fold(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,16 +89,39 @@ def receipt_headers(headers: DataFrame, items: DataFrame) -> DataFrame:
     return headers.join(line_figures(items), "transaction_id", "left")
 
 
+def whole_receipts(items: DataFrame) -> DataFrame:
+    """The `line_figures` of each receipt and, as `items_detail`, all its lines in order, those without a number last.
+
+    One grouping of the lines gives it all. A row holds its whole receipt, as its reader asks for; `items_per_receipt` has the
+    lines in parts of bounded size.
+    """
+    line = F.struct(F.col("item_seq").isNull().alias("unnumbered"), *ITEM_FIELDS)
+    folded = items.groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("item_count"),
+        F.sum("extended_cents").alias("items_extended_cents"),
+        F.sort_array(F.collect_set("department_code")).alias("departments"),
+        F.sort_array(F.collect_list(line)).alias("_lines"),
+    )
+    return folded.select(
+        "transaction_id", "item_count", "items_extended_cents", "departments",
+        F.transform(F.slice("_lines", 1, FIRST_NAMES), lambda i: i["product_desc"]).alias("first_names"),
+        F.transform("_lines", lambda i: F.struct(*(i[f].alias(f) for f in ITEM_FIELDS))).alias("items_detail"),
+    )
+
+
 def receipt_lookup_silver(
-    headers: DataFrame, items: DataFrame, part_size: int | None = PART_SIZE, parts: DataFrame | None = None
+    headers: DataFrame, items: DataFrame, part_size: int | None = None, parts: DataFrame | None = None
 ) -> DataFrame:
-    """Headers with their figures, their number of line parts and, as `items_detail`, the lines of the first part.
+    """Headers with the figures and all lines of their receipt, one row each; `items_detail` is NULL where there are none.
 
-    One row for each header. `items_per_receipt` holds all parts; give it as `parts` where it is stored. Without a part size
-    `items_detail` holds every line of the receipt, as one part.
+    Who wants rows of bounded size asks for a `part_size`: `items_detail` then holds the first part only, `item_parts` tells how
+    many there are, and `items_per_receipt` (given as `parts` where it is stored) holds them all.
     """
+    if part_size is None and parts is None:
+        whole = whole_receipts(items).withColumn("item_parts", F.lit(1).cast("bigint"))
+        return headers.join(whole, "transaction_id", "left")
     parts = items_per_receipt(items, part_size or PART_SIZE) if parts is None else parts
-    shown = shown_lines(parts.select("transaction_id", "item_part", "items_detail"), "items_detail", "item_parts", part_size is None)
+    shown = shown_lines(parts.select("transaction_id", "item_part", "items_detail"), "items_detail", "item_parts")
     return receipt_headers(headers, items).join(shown, "transaction_id", "left")
 
 

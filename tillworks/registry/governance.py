@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillworks.functions import receipt_text as rt
+from tillworks.functions.receipt_text import item_summary
 from tillworks.operators import audit, backfill, governance, search
+from tillworks.plans import batch, migration, silver
 from tillworks.registry.base import GOLD, ITEMS, RECEIPTS, clean_items, clean_receipts, flat, query, ts
 from tillworks.registry.gold import gold_table
+from tillworks.session import run_folder
 from tillworks.sources import warehouse as wh
 
 _EMAILS = """emails AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN substr(c_mktsegment, 1, 1) ELSE lower(c_name) END
@@ -246,7 +249,9 @@ SELECT transaction_id, CAST(i AS INTEGER) AS line_number, sku, product_name,
 
 @query("rebuild_line_items", f"WITH {_REBUILT}")
 def q_rebuild_line_items(spark, folder):
-    lines = backfill.rebuild_line_items(gold_table(spark, folder), keyword_catalog(spark, folder))
+    receipts = silver.receipt_headers(clean_receipts(spark, folder), clean_items(spark, folder))
+    summed = receipts.select("transaction_id", "subtotal_cents", item_summary("first_names", "item_count").alias("item_summary"))
+    lines = backfill.rebuild_line_items(summed, keyword_catalog(spark, folder))
     return lines.select("transaction_id", "line_number", "sku", "product_name", "line_total_cents")
 
 
@@ -272,12 +277,29 @@ SELECT transaction_id, CASE WHEN card_last4 IS NULL THEN 'CASH' ELSE 'CREDIT' EN
        '{{"transaction_id":' || transaction_id || ',"store_name":"' || store_name || '","total_cents":' || total_cents ||
        ',"timestamp":"' || strftime(transaction_ts, '%Y-%m-%dT%H:%M:%S.000Z') || '","source":"backup_migration"}}' AS raw_payload FROM receipts""")
 def q_migrate_backup(spark, folder):
-    backup = clean_receipts(spark, folder).select(
+    moved = backfill.migrate_backup_to_bronze(backup_rows(spark, folder))
+    return moved.select("transaction_id", "tender_type", "tax_cents", "subtotal_cents", "total_cents", "card_last4", "event_id", "raw_payload")
+
+
+def backup_rows(spark, folder):
+    return clean_receipts(spark, folder).select(
         "transaction_id", "customer_id", "store_name", F.col("transaction_ts").alias("purchase_timestamp"), "total_cents",
         F.col("card_last4").alias("last4_card"), F.col("ingested_ts").alias("created_at"),
     )
-    moved = backfill.migrate_backup_to_bronze(backup)
-    return moved.select("transaction_id", "tender_type", "tax_cents", "subtotal_cents", "total_cents", "card_last4", "event_id", "raw_payload")
+
+
+@query("migrate_job", f"""WITH {RECEIPTS}
+SELECT transaction_id, CASE WHEN card_last4 IS NULL THEN 'CASH' ELSE 'CREDIT' END AS tender_type, total_cents // 10 AS tax_cents,
+       total_cents, 'evt-' || substr(sha256(transaction_id || '|' || {ts('ingested_ts')}), 1, 12) AS event_id, TRUE AS matches FROM receipts""")
+def q_migrate_job(spark, folder):
+    """The whole migration in ranges, with a manifest whose counts all agree."""
+    root = run_folder(spark, "migration")
+    source = batch.stored(backup_rows(spark, folder), f"{root}/backup")
+    schema = backfill.migrate_backup_to_bronze(source).schema
+    migration.migrate_job(source, root, schema, ranges=4)
+    rows = migration.migrated(spark, root, schema).select("transaction_id", "tender_type", "tax_cents", "total_cents", "event_id")
+    matches = migration.finished(spark, root).agg(F.bool_and(F.col("matches") & (F.col("moved_rows") == F.col("stored_rows")))).first()[0]
+    return rows.withColumn("matches", F.lit(matches))
 
 
 _SESSIONS = f"""WITH flagged AS (

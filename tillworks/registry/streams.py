@@ -245,6 +245,14 @@ def q_clustered_write(spark, folder):
     return spark.read.parquet(out).select("transaction_id", "customer_id", "total_cents")
 
 
+@query("zorder_write", f"WITH {RECEIPTS} SELECT transaction_id, customer_id, {ts('transaction_ts')} AS transaction_ts, total_cents FROM receipts")
+def q_zorder_write(spark, folder):
+    """Laid out so that a filter on the customer or on the time skips files."""
+    out = run_folder(spark, "zorder")
+    sinks.zorder_write(clean_receipts(spark, folder), out, ["customer_id", "transaction_ts"], 16)
+    return flat(spark.read.parquet(out).select("transaction_id", "customer_id", "transaction_ts", "total_cents"))
+
+
 def nested_events(spark, folder):
     """Clean receipts with all their lines nested, as a point of sale sends them."""
     return nested(silver.receipt_lookup_silver(clean_receipts(spark, folder), clean_items(spark, folder), part_size=None))
@@ -272,9 +280,9 @@ def q_explode_receipts(spark, folder):
 
 
 @query("dual_sink", f"""WITH {RECEIPTS}
-SELECT transaction_id, CASE WHEN tender_type = 'CHECK' THEN 'failed' ELSE 'success' END AS status FROM receipts""")
+SELECT transaction_id, CASE WHEN tender_type = 'CHECK' THEN 'failed' WHEN transaction_id % 10 = 3 THEN 'partial' ELSE 'success' END AS status FROM receipts""")
 def q_dual_sink(spark, folder):
-    """Receipts paid by check get a tender nobody knows, so that the rules refuse them."""
+    """Receipts paid by check get a tender nobody knows, so that the rules refuse them; the analytics side refuses one in ten."""
     out = run_folder(spark, "dual")
     spoilt = clean_receipts(spark, folder).withColumn(
         "tender_type", F.when(F.col("tender_type") == "CHECK", "CHEQUE").otherwise(F.col("tender_type"))
@@ -282,10 +290,12 @@ def q_dual_sink(spark, folder):
     spoilt.write.parquet(f"{out}/in")
     stream = scans.scan(spark, f"{out}/in", spoilt.schema, stream=True)
 
-    def analytics(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/analytics/batch={batch_id}")
+    def analytics(part, number):
+        odd = F.col("transaction_id") % 10 == 3
+        part.filter(~odd).write.mode("overwrite").parquet(f"{out}/analytics/part={number}")
+        return part.filter(odd).select("transaction_id", F.lit("odd").alias("reason"))
 
-    write = jobs.dual_sink(f"{out}/hot", analytics, f"{out}/status", within="transaction_ts")
+    write = jobs.dual_sink(f"{out}/hot", analytics, f"{out}/status", within="transaction_ts", slices=2)
     jobs.run_batches(stream, write, f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/status").select("transaction_id", "status")
 

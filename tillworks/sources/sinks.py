@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,46 @@ def clustered_write(df: DataFrame, path: str, columns: Sequence[str], parts: int
     ranged.sortWithinPartitions(*columns).write.mode(mode).parquet(path)
 
 
+#: Quantile ranks of a column in the interleaved layout, as a power of two.
+RANK_BITS = 6
+
+
+def _ordinal(df: DataFrame, column: str) -> Column:
+    """A number in the order of the column: itself, its time, or the first letters of a text."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return F.conv(F.hex(F.rpad(F.substring(F.col(column), 1, 6), 6, "\0").cast("binary").substr(1, 7)), 16, 10).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
+
+
+def interleaved(df: DataFrame, columns: Sequence[str], bits: int = RANK_BITS) -> Column:
+    """Where a row lies on a curve through all columns alike: the bits of its quantile ranks, one column after the other (Morton
+    order). Ranks make it independent of the columns' units and skew; NULL ranks first."""
+    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
+    # 2 ** bits - 1 numbers for each column come to the driver
+    cuts = df.agg(*(F.percentile_approx(_ordinal(df, c), steps, 10_000).alias(f"c{i}") for i, c in enumerate(columns))).first()
+    key = F.lit(0).cast("long")
+    for i, c in enumerate(columns):
+        bounds = F.lit([float(x) for x in dict.fromkeys(cuts[i] or [])] or [0.0])
+        value = _ordinal(df, c)
+        rank = F.coalesce(F.size(F.filter(bounds, lambda b, value=value: b <= value)), F.lit(0))
+        for bit in range(bits):
+            one = F.shiftright(rank, bit).bitwiseAND(F.lit(1)).cast("long")
+            key = key + F.shiftleft(one, bit * len(columns) + i)
+    return key
+
+
+def zorder_write(df: DataFrame, path: str, columns: Sequence[str], parts: int, bits: int = RANK_BITS, mode: str = "overwrite") -> None:
+    """Rows in files along a curve through several columns, so that a filter on any one of them skips most files; of `parts` files
+    and n columns about parts ** (1 - 1 / n) hold a value of one column. Rows within a file are sorted by the columns."""
+    if bits * len(columns) > 62:
+        raise ValueError("too many bits")
+    keyed = df.withColumn("_curve", interleaved(df, columns, bits))
+    keyed.repartitionByRange(parts, "_curve").sortWithinPartitions(*columns).drop("_curve").write.mode(mode).parquet(path)
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite") -> DataFrame:
     """A catalog table hashed and sorted by a key; tables with the same key and buckets join without a shuffle."""
     df.write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
@@ -88,21 +128,39 @@ def explode_receipts(events: DataFrame, ingested_at: str) -> tuple[DataFrame, Da
 
 
 def dual_write(
-    batch: DataFrame, batch_id: int, hot_root: str, analytics: Callable[[DataFrame, int], None],
-    key: str = "transaction_id", within: str | None = None,
+    batch: DataFrame, batch_id: int, hot_root: str, analytics: Callable[[DataFrame, int], DataFrame | None],
+    key: str = "transaction_id", within: str | None = None, slices: int = 1,
 ) -> DataFrame:
     """Writes receipts to the hot table, which must succeed, then to the analytics sink at best effort.
 
-    Returns one status per receipt: failed (refused by the checks), success, or partial where only the
-    analytics side failed.
+    Returns a status for each receipt: failed (refused by the checks), success, or partial where only the analytics side failed,
+    with what it said among the reasons. The sink is called for each of `slices` hash slices of the batch with a number of its own
+    (batch_id * slices + slice), so that one failure leaves the other slices' receipts a success; a sink that can tell more
+    returns rows of the key and a `reason` for the receipts it refused, at most one for each. The batch is read several times:
+    persist it.
     """
-    checked = validate_receipt(batch)
+    checked = validate_receipt(batch).withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int"))
     good = checked.filter(F.size("reasons") == 0).drop("reasons")
-    write_if_absent(good, hot_root, [key], batch_id, within)
-    try:
-        analytics(good, batch_id)
-        outcome = "success"
-    except Exception:  # the hot rows are safe; reconciliation finds what is missing here
-        outcome = "partial"
-    status = F.when(F.size("reasons") > 0, "failed").otherwise(outcome)
-    return checked.select(key, status.alias("status"), F.lit(batch_id).cast("bigint").alias("batch_id"), "reasons")
+    write_if_absent(good.drop("_slice"), hot_root, [key], batch_id, within)
+    broken: dict[int, str] = {}
+    refused = None
+    for number in range(slices):
+        part = good.filter(F.col("_slice") == number).drop("_slice")
+        try:
+            told = analytics(part, batch_id * slices + number)
+        except Exception as error:  # the hot rows are safe; reconciliation finds what is missing here
+            broken[number] = f"analytics: {type(error).__name__}"
+            continue
+        if told is not None:
+            told = told.select(key, F.concat(F.lit("analytics: "), F.col("reason")).alias("_refused"))
+            refused = told if refused is None else refused.unionByName(told)
+    fault = F.lit(None).cast("string")
+    for number, text in broken.items():
+        fault = F.when(F.col("_slice") == number, F.lit(text)).otherwise(fault)
+    judged = checked.withColumn("_fault", fault)
+    if refused is not None:
+        judged = judged.join(refused, key, "left").withColumn("_fault", F.coalesce("_fault", "_refused"))
+    bad = F.size("reasons") > 0
+    status = F.when(bad, "failed").when(F.col("_fault").isNotNull(), "partial").otherwise("success")
+    reasons = F.when(bad | F.col("_fault").isNull(), F.col("reasons")).otherwise(F.array("_fault"))
+    return judged.select(key, status.alias("status"), F.lit(batch_id).cast("bigint").alias("batch_id"), reasons.alias("reasons"))

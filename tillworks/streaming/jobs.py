@@ -80,13 +80,17 @@ def upsert_batches(root: str, keys: Sequence[str], sequence: str, base: int = 0)
 
 
 def dual_sink(
-    hot_root: str, analytics: Callable[[DataFrame, int], None], status_root: str, within: str | None = None
+    hot_root: str, analytics: Callable[[DataFrame, int], DataFrame | None], status_root: str, within: str | None = None, slices: int = 1,
 ) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: hot table first, analytics second, a status row per receipt."""
+    """For foreachBatch: hot table first, analytics second, a status row per receipt (see `dual_write`)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        status = dual_write(batch, batch_id, hot_root, analytics, within=within)
-        status.write.mode("overwrite").parquet(f"{status_root}/batch={batch_id}")
+        batch.persist()
+        try:
+            status = dual_write(batch, batch_id, hot_root, analytics, within=within, slices=slices)
+            status.write.mode("overwrite").parquet(f"{status_root}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return write
 
