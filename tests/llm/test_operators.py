@@ -564,12 +564,41 @@ def test_large_finite_components_are_not_dropped_silently(spark):
 
     for x in (float("inf"), float("nan"), None):
         assert [r.id for r in vafile.quantised(rows(x)).collect()] == [1]
-    assert sorted(r.id for r in vafile.quantised(rows(2.0**39)).collect()) == [1, 2]
-    for x in (2.0**40, -(2.0**50)):
-        with pytest.raises(Exception, match="2\\*\\*40 or more"):
+    assert sorted(r.id for r in vafile.quantised(rows(2.0**52)).collect()) == [1, 2]
+    for x in (2.0**53, -(2.0**60)):
+        with pytest.raises(Exception, match="2\\*\\*61 or more"):
             vafile.quantised(rows(x)).collect()
 
 
+@pytest.mark.parametrize("power", [16, 22, 24, 30])
+def test_scores_of_large_components_are_exact(spark, power):
+    rng = np.random.default_rng(power)
+    rows = [(i, [float(x) for x in rng.integers(-(2**power), 2**power, 6)]) for i in range(200)]
+    whole = vafile.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 1 if power == 30 else 256)
+    scaled = {i: [int(x) * (1 if power == 30 else 256) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 200, 20):
+        scored = sorted((-sum(a * b for a, b in zip(scaled[q], v)), i) for i, v in scaled.items() if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+    if max(abs(r[3]) for r in want) < 2**63:
+        same_rows(vafile.top_vectors(whole, whole.filter("id % 20 = 0")).collect(), want)
+    else:
+        with pytest.raises(Exception, match="beyond 64-bit"):
+            vafile.top_vectors(whole, whole.filter("id % 20 = 0")).collect()
+
+
+def test_scores_that_no_long_holds_fail_clearly(spark):
+    rows = spark.createDataFrame([(0, [2.0**39, 1.0]), (1, [2.0**39, 2.0]), (2, [-3.0, 1.0])], "vec_id long, embedding array<double>")
+    whole = vafile.quantised(rows)
+    with pytest.raises(Exception, match="beyond 64-bit"):
+        vafile.top_vectors(whole, whole.filter("id = 0")).collect()
+    # wide products that are not among the answers do no harm
+    cross = spark.createDataFrame([(0, [2.0**39, 0.0]), (1, [0.0, 5.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    whole = vafile.quantised(cross)
+    got = vafile.top_vectors(whole, whole.filter("id = 0")).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 2**47 * 256), (1, 0)]
+
+
 def test_clean_phrases_are_a_parameter_of_the_training(monkeypatch):
     rng = random.Random(8)
     texts = [" ".join(rng.choice(WORDS) for _ in range(30)).encode() + (b" nasty insult" if k % 2 else b"") for k in range(60)]

@@ -24,17 +24,17 @@ CELL_BITS = 4
 VECTOR_BLOCK = 8192
 QUERY_BLOCK = 512
 CHUNK = 64
-#: Bound of a component.
-LARGEST = 2.0**40
+#: Bound of a scaled component, so that differences of two stay within 64 bits.
+LARGEST = 2.0**61
 
 
 def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, v array<long>: floor(scale * x) of each component; null vectors or components, non-finite ones, and empty vectors
-    are left out. Of rows with the same id the greatest vector stands. A finite component of LARGEST or more fails the query,
-    since products of such components leave the range of whole numbers."""
+    are left out. Of rows with the same id the greatest vector stands. A finite component whose scaled value reaches LARGEST
+    fails the query, as no whole number of 64 bits would hold its products."""
     x = F.col(vector_col).cast("array<double>")
-    large = F.raise_error(F.lit("a vector component of 2**40 or more is beyond what op1 can compare exactly"))
-    whole = F.transform(x, lambda c: F.when(F.abs(c) < F.lit(LARGEST), F.floor(F.lit(float(scale)) * c)).otherwise(large.cast("long")))
+    large = F.raise_error(F.lit("a scaled vector component of 2**61 or more is beyond 64-bit whole numbers"))
+    whole = F.transform(x, lambda c: F.when(F.abs(F.lit(float(scale)) * c) < F.lit(LARGEST), F.floor(F.lit(float(scale)) * c)).otherwise(large.cast("long")))
     fine = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(
         x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return (vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
@@ -70,7 +70,8 @@ def top_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
 
     Both inputs are (id long, v array<long>) without nulls and with unique ids. A vector of a query's own id is no candidate;
     ties go to the smaller id; vectors of different length do not meet; fewer candidates give fewer rows; an empty input
-    gives none. Scores are exact while a product sum stays within 2**53.
+    gives none. Scores are exact: where product sums can pass 2**53 the bounds are widened by what doubles may be off, and where
+    they can pass 2**63 they are added up in numbers of any size. A score among the answers that 64 bits cannot hold fails the query.
     """
     keep = k + 1
     distinct = Window.partitionBy("v").orderBy("id")
@@ -87,6 +88,13 @@ def top_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
         low.append(r.low)
         width.append((r.high - r.low + (1 << CELL_BITS)) >> CELL_BITS)
     grid = {d: (np.array(low, np.int64), np.array(width, np.int64)) for d, (low, width) in grid.items()}
+    # the greatest a sum of products can be, by length of the vectors
+    reach: dict[int, int] = {}
+    tops = (asked.select(F.size("v").cast("long").alias("dim"), F.posexplode("v").alias("at", "x")).groupBy("dim", "at")
+            .agg(F.max(F.abs("x")).alias("q")).join(limits, ["dim", "at"]))
+    for r in tops.collect():
+        reach[r.dim] = reach.get(r.dim, 0) + r.q * max(abs(r.low), abs(r.high))
+    off = {d: 0.0 if top < 2**53 else (d + 16) * 2.0**-51 * float(top) for d, top in reach.items()}
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +133,7 @@ def top_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
             for dim, block, ids, asked_v, cells in zip(*[c.to_pylist() for c in batch.columns[:2]], *batch.columns[2:]):
                 q = _as(asked_v, dim).reshape(-1, dim).astype(np.float64)
                 base, slack = bounds(dim, cells, q)
-                base += np.minimum(slack, 0).sum(1)[:, None]
+                base += np.minimum(slack, 0).sum(1)[:, None] - off[dim]
                 n = min(keep, base.shape[1])
                 best = -np.partition(-base, n - 1, axis=1)[:, :n]
                 forms = np.repeat(_as(ids), n)
@@ -151,21 +159,29 @@ def top_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
                 floors = {f["form"]: f["floor"] for f in floors}
                 vectors, names = _as(exact, dim).reshape(-1, dim), _as(ids)
                 base, slack = bounds(dim, cells, q.astype(np.float64))
-                base += np.maximum(slack, 0).sum(1)[:, None]
+                base += np.maximum(slack, 0).sum(1)[:, None] + off[dim]
+                if reach[dim] >= 2**63:
+                    q, vectors = q.astype(object), vectors.astype(object)
                 out: list[tuple] = []
                 for row, form in enumerate(forms.tolist()):
                     upper, floor = base[row], floors[form]
                     able = np.flatnonzero(upper >= floor)
                     able = able[np.argsort(-upper[able], kind="stable")]
-                    got_score, got_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    got_score, got_id = np.zeros(0, vectors.dtype), np.zeros(0, np.int64)
                     for at in range(0, len(able), CHUNK):
                         if len(got_score) >= keep and upper[able[at]] < got_score[keep - 1]:
                             break
                         take = able[at: at + CHUNK]
                         score = np.concatenate([got_score, vectors[take] @ q[row]])
                         name = np.concatenate([got_id, names[take]])
-                        order = np.lexsort((name, -score))[:keep]
+                        order = np.array(sorted(range(len(name)), key=lambda j: (-score[j], name[j])) if score.dtype == object
+                                         else np.lexsort((name, -score)), np.int64)[:keep]
                         got_score, got_id = score[order], name[order]
+                    if reach[dim] >= 2**63:
+                        # a query's product with itself is no answer; those of equal vectors are, and stand beside it
+                        if any(not -2**63 < s < 2**63 and n != form for s, n in zip(got_score, got_id.tolist())):
+                            raise ValueError("an inner product among the answers is beyond 64-bit whole numbers")
+                        got_score = np.array([max(1 - 2**63, min(2**63 - 1, s)) for s in got_score], np.int64)
                     out += zip([form] * len(got_id), got_id.tolist(), got_score.tolist())
                 cols = list(zip(*out)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["form", "vec_id", "score"])
