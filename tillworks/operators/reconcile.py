@@ -15,18 +15,18 @@ NO_GAP_TEXT = "No gap detected. Synced tables are current."
 
 
 def gap_anti_join(
-    hot: DataFrame, lake: DataFrame, as_of: str, hours: int = 24, lake_hours: int | None = None
+    hot: DataFrame, lake: DataFrame, as_of: str, hours: int = 24, apart_hours: int | None = 24
 ) -> DataFrame:
     """Hot receipts of the last hours that the lake does not have.
 
-    Where receipts carry the same time in both stores, `lake_hours` limits the lake to its recent part,
-    so that only the latest files are read.
+    A receipt's time differs between the stores by at most `apart_hours`, so only the part of the lake from that long before the
+    first hot receipt is read. Where nothing is known of it, None has the whole lake read.
     """
     def since(span: int) -> Column:
         return F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(span)} HOURS")
 
-    if lake_hours is not None:
-        lake = lake.filter(F.col("transaction_ts") >= since(lake_hours))
+    if apart_hours is not None:
+        lake = lake.filter(F.col("transaction_ts") >= since(hours + apart_hours))
     recent = hot.filter(F.col("transaction_ts") >= since(hours))
     return recent.join(lake.select("transaction_id"), "transaction_id", "left_anti")
 

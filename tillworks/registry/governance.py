@@ -207,15 +207,14 @@ def q_parse_items_detail(spark, folder):
 
 
 _KEYWORDS = """keywords AS (SELECT kw AS keyword, min(p_partkey) AS priority FROM (SELECT p_partkey, split_part(p_name, ' ', 2) AS kw FROM part) GROUP BY 1),
-kept AS (SELECT * FROM keywords WHERE keyword < 'p'),
-catalog AS (SELECT keyword, priority, 'SKU-' || priority AS sku, keyword AS name, CAST(500 + 100 * length(keyword) AS BIGINT) AS price_cents FROM kept)
+catalog AS (SELECT keyword, priority, 'SKU-' || priority AS sku, keyword AS name, CAST(500 + 100 * length(keyword) AS BIGINT) AS price_cents FROM keywords)
 """
 
 
 def keyword_catalog(spark, folder):
-    """Products named by the nouns of the part names; some nouns have none."""
+    """Products named by the nouns of the part names."""
     nouns = wh.table(spark, folder, "part").select("p_partkey", F.split("p_name", " ")[1].alias("keyword"))
-    listed = nouns.groupBy("keyword").agg(F.min("p_partkey").alias("priority")).filter(F.col("keyword") < "p")
+    listed = nouns.groupBy("keyword").agg(F.min("p_partkey").alias("priority"))
     return listed.select(
         "keyword", "priority", F.concat(F.lit("SKU-"), "priority").alias("sku"), F.col("keyword").alias("name"),
         F.lit("Own").alias("brand"), F.lit("L1").alias("category_l1"), F.lit("L2").alias("category_l2"),

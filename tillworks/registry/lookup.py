@@ -10,7 +10,7 @@ from tillworks.plans import batch, context, silver
 from tillworks.registry.base import BOTH, GOLD, ITEMS, RECEIPTS, clean_items, clean_receipts, flat, query, text_ts, ts
 from tillworks.registry.gold import PROFILES, SPENDING, gold_table, spending_table
 from tillworks.session import run_folder
-from tillworks.sources import scans
+from tillworks.sources import keyed, scans
 from tillworks.sources import warehouse as wh
 
 _PAGE = ["customer_id", "position", "transaction_id", "store_name", "transaction_ts", "total_cents"]
@@ -132,6 +132,17 @@ def q_conversation_history(spark, folder):
     return lookup.conversation_history(wh.table(spark, folder, "conversations"), ["conv_id"], "turn")
 
 
+@query("agent_state", """SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS last_text, count(DISTINCT turn % 3) AS turn_count
+FROM conversations WHERE turn IS NOT NULL GROUP BY conv_id""")
+def q_agent_state(spark, folder):
+    """The state of every conversation after its turns have come in three batches: the latest turn, and how often it was written."""
+    root = run_folder(spark, "agent-state")
+    turns = wh.table(spark, folder, "conversations").filter("turn IS NOT NULL").select("conv_id", "turn", "role", F.col("text").alias("last_text"))
+    for version in range(3):
+        keyed.write_upsert(turns.filter(F.col("turn") % 3 == version), root, ["conv_id"], "turn", version)
+    return keyed.read_current(spark, root, turns.schema, ["conv_id"], "turn", "turn_count")
+
+
 @query("recent_turns", """SELECT conv_id, turn, role, text FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS rn FROM conversations) WHERE rn <= 2""")
 def q_recent_turns(spark, folder):
