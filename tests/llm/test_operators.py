@@ -402,6 +402,18 @@ def test_encoder_equals_library():
     assert own(texts) == want
 
 
+def test_distinct_parts_are_told_by_their_letters(monkeypatch):
+    texts = ["the cat the cat", "", " cat the", "x" * 300 + " the" * 3, "\n\n  é 漢字 é"]
+    whole, points, at, ends = token_files.split_parts(texts)
+    cuts = [*at.tolist(), len(whole)]
+    parts = [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+    first, which = token_files.distinct_parts(points, at)
+    assert [parts[first[w]] for w in which] == parts and len(first) == len(set(parts)) and ends.tolist()[-1] == len(parts)
+    monkeypatch.setattr(token_files, "mix64", lambda x: x * np.uint64(0))  # all hashes meet
+    first, which = token_files.distinct_parts(points, at)
+    assert [parts[first[w]] for w in which] == parts
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 11, 16, 17, 32])
 def test_pack_round_trip_and_random_access(bits):
     rng = np.random.default_rng(bits)

@@ -137,6 +137,15 @@ def widened(packed: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def get_file(uri: str) -> bytes:
+    """The whole of a file below the shared folder."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri if "://" in uri else "file:///" + uri.removeprefix("file:").lstrip("/"))
+    with store.open_input_stream(path) as source:
+        return source.read()
+
+
 class TwoGenerations:
     """A dict whose size is bounded: the older half goes when the newer half is full."""
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import TwoGenerations, put_file, slabs, small_batches, strings
+from tillworks.llm.common import TwoGenerations, get_file, mix64, put_file, slabs, small_batches, strings
 from tillworks.session import run_folder
 
 MAGIC = b"TWIDS1\0\0"
@@ -122,17 +122,19 @@ def _classes() -> np.ndarray:
     return _CLASS[0]
 
 
-def split_parts(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The parts SPLIT finds in texts without apostrophes, and how many lie before the end of each text.
+def split_parts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one, its code points, where the parts begin that SPLIT finds in texts without apostrophes, and how many lie
+    before the end of each text.
 
     A part begins where the kind of letter changes; a blank goes with what follows it, and of a run of white space before
     other letters the last letter is apart from the rest.
     """
     whole = "".join(texts)
     ends = np.cumsum([len(t) for t in texts])
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
     if not whole:
-        return [], np.zeros(len(texts), np.int64)
-    kind = _classes()[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")]
+        return whole, points, np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    kind = _classes()[points]
     blank, space = kind == 4, kind >= 3
     same = np.where(space, 3, kind)
     first = np.ones(len(kind), bool)
@@ -146,8 +148,22 @@ def split_parts(texts: list[str]) -> tuple[list[str], np.ndarray]:
     # the last white space before other letters
     begins[:-1] |= space[:-1] & ~space[1:] & ~edge[1:-1]
     at = np.flatnonzero(begins)
-    cuts = [*at.tolist(), len(whole)]
-    return [whole[a:b] for a, b in zip(cuts, cuts[1:])], np.searchsorted(at, ends)
+    return whole, points, at, np.searchsorted(at, ends)
+
+
+def distinct_parts(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of parts that begin at `at`, the first of each distinct one, and for all parts which of those they are. Parts are told by a
+    hash and then compared letter by letter; should two differ under one hash, every part counts as its own."""
+    sizes = np.diff(np.append(at, len(points)))
+    inner = np.arange(len(points)) - np.repeat(at, sizes)
+    power = np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    terms = mix64(points.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(power)[inner]
+    _, first, which = np.unique(mix64(np.add.reduceat(terms, at)), return_index=True, return_inverse=True)
+    like = first[which]
+    if (sizes == sizes[like]).all() and (points == points[np.repeat(at[like], sizes) + inner]).all():
+        return first, which
+    return np.arange(len(at)), np.arange(len(at))
 
 
 class ByteEncoder:
@@ -172,10 +188,12 @@ class ByteEncoder:
         self.cache = TwoGenerations(self._merged)
 
     def _merged(self, parts: list[str]) -> list[bytes]:
-        merge, letters, pack_ids = self.library.model.tokenize, self.letters, struct.pack
+        merge, letters, pack_ids, blank = self.library.model.tokenize, self.letters, struct.pack, chr(self.letters[32])
         out = []
         for part in parts:
-            ids = [t.id for t in merge(part.encode().decode("latin-1").translate(letters))]
+            # of the visible ASCII letters and the blank only the blank stands for itself elsewhere
+            shown = part.replace(" ", blank) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(letters)
+            ids = [t.id for t in merge(shown)]
             out.append(pack_ids(f"<{len(ids)}I", *ids))
         return out
 
@@ -183,20 +201,33 @@ class ByteEncoder:
         """Little-endian unsigned 32-bit ids of each text, one after the other."""
         plain = [self.cached and not self.added.search(t) for t in texts]
         quick = [p and "'" not in t for t, p in zip(texts, plain)]
-        parts, ends = split_parts([t if q else "" for t, q in zip(texts, quick)])
-        ids = self.cache(parts)
+        whole, points, at, ends = split_parts([t if q else "" for t, q in zip(texts, quick)])
+        ids, edge = self._joined(whole, points, at)
         out = []
         low = 0
-        for text, whole, fast, high in zip(texts, plain, quick, ends.tolist()):
+        for text, known, fast, high in zip(texts, plain, quick, ends.tolist()):
             if fast:
-                out.append(b"".join(ids[low:high]))
-            elif whole:
+                out.append(ids[edge[low]: edge[high]].tobytes())
+            elif known:
                 out.append(b"".join(self.cache(self.split(text))))
             else:
                 out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             low = high
         return out
 
+    def _joined(self, whole: str, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts one after the other, and where those of each part begin; each distinct part is looked up once."""
+        if not len(at):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        first, which = distinct_parts(points, at)
+        stops = np.append(at[1:], len(points))
+        found = self.cache([whole[a:b] for a, b in zip(at[first].tolist(), stops[first].tolist())])
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.array([len(x) >> 2 for x in found], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        edge = np.concatenate([[0], np.cumsum(sizes[which])])
+        return flat[np.repeat(begins[which] - edge[:-1], sizes[which]) + np.arange(edge[-1])], edge
+
 
 _ENCODERS: dict[str, ByteEncoder] = {}
 
@@ -241,7 +272,7 @@ def write_token_files(docs: DataFrame, spec: str, end_id: int = 0, id_col: str =
                 pa.schema([("file", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
         for batch in batches:
-            encoded = (ids for piece in slabs(batch, "text", 1 << 19) for ids in encode(strings(piece.column(1))))
+            encoded = (ids for piece in slabs(batch, "text", 1 << 21) for ids in encode(strings(piece.column(1))))
             for doc_id, own in zip(batch.column(0).to_pylist(), encoded):
                 ids = own + end
                 if held and count + len(ids) // 4 > FILE_IDS:
@@ -272,9 +303,8 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                name = path.rsplit("/", 1)[1]
-                file = TokenFile(content.as_buffer().to_pybytes())
+            for name in batch.column(0).to_pylist():
+                file = TokenFile(get_file(f"{folder}/{name}"))
                 for low in range(0, len(file.ends), 1000):
                     high = min(low + 1000, len(file.ends))
                     starts = np.concatenate([[int(file.ends[low - 1]) if low else 0], file.ends[low: high - 1]])
@@ -286,9 +316,9 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
 
     if not files:
         return spark.createDataFrame([], f"`{id_col}` long, start long, ids binary")
-    paths = [f"{folder}/{name}" for name, _ in files]
-    found = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return found.repartition(len(files)).mapInArrow(run, f"`{id_col}` long, start long, ids binary")
+    # the names travel, the workers open the files
+    named = spark.createDataFrame([(name,) for name, _ in files], "file string")
+    return named.repartition(len(files)).mapInArrow(run, f"`{id_col}` long, start long, ids binary")
 
 
 def token_file_digests(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
