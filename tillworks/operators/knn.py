@@ -203,14 +203,15 @@ def lsh_buckets(column: str, dim: int, tables: int = LSH_TABLES, bits: int = LSH
 
 def lsh_probes(column: str, dim: int, tables: int, bits: int, probes: int) -> Column:
     """Per table the vector's own bucket and those across each of its `probes` nearest planes, one at a time."""
-    def table(group: Column, t: Column) -> Column:
-        dots = F.transform(group, lambda plane: dot(F.col(column), plane))
+    def table(dots: Column, t: Column) -> Column:
         own = F.aggregate(dots, t.cast("long"), lambda number, d: number * 2 + (d >= 0).cast("long"))
         near = F.slice(F.array_sort(F.transform(dots, lambda d, i: F.struct(F.abs(d).alias("far"), i.alias("plane"), (d >= 0).alias("side")))), 1, probes)
         across = F.transform(near, lambda x: F.pow(F.lit(2.0), F.lit(bits - 1) - x["plane"]).cast("long") * F.when(x["side"], -1).otherwise(1))
         return F.concat(F.array(own), F.transform(across, lambda step: own + step)) if probes else F.array(own)
 
-    return F.when(F.size(column) == dim, F.flatten(F.transform(_planes(dim, tables, bits), table)))
+    # worked out once for each table, as what a lambda is given is
+    dots = F.transform(_planes(dim, tables, bits), lambda group: F.transform(group, lambda plane: dot(F.col(column), plane)))
+    return F.when(F.size(column) == dim, F.flatten(F.transform(dots, table)))
 
 
 #: Tables, planes and probes of the many-query join: on the test vectors 0.912 to 0.941 of the five nearest above 0.1 are found with
@@ -241,10 +242,10 @@ def knn_join_lsh(
     left = asked.select("_bucket", "query_id", F.col("_v").alias("_a"), F.col("_norm").alias("_an"))
     met = left.join(held.select("_bucket", "_key", F.col("_v").alias("_b"), F.col("_norm").alias("_bn")), "_bucket")
     scored = met.select("query_id", "_key", F.round(dot(F.col("_a"), F.col("_b")) / (F.col("_an") * F.col("_bn")), 9).alias("similarity"))
-    if threshold is not None:
-        scored = scored.filter(F.col("similarity") > threshold)
     order = [F.desc("similarity"), F.asc("_key")]
-    once = top_per_key(scored, ["query_id"], order, k * tables * (1 + probes)).distinct()
+    once = top_per_key(scored, ["query_id"], order, k * tables).distinct()
+    if threshold is not None:  # not before, else every similarity is worked out twice
+        once = once.filter(F.col("similarity") > threshold)
     return top_per_key(once, ["query_id"], order, k, "position").withColumnRenamed("_key", key)
 
 

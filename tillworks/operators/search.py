@@ -165,12 +165,13 @@ def _amount_band(amount: Column) -> Column:
     return F.floor(F.log(F.greatest(amount, F.lit(1)).cast("double")) / F.log(F.lit(_RATIO))).cast("int")
 
 
-def _matches() -> Column:
-    """Every criterion a request gives has to hold; `q_` columns are the request's."""
+def _matches(like: bool) -> Column:
+    """Every criterion a request gives has to hold; `q_` columns are the request's. `like` tells whether any is left whose store
+    name may be misspelt; the comparison costs the whole join its generated code."""
     def given(name: str, test: Column) -> Column:
         return F.col(f"q_{name}").isNull() | test
 
-    return (
+    whole = (
         given("customer_id", F.col("q_customer_id") == F.col("customer_id"))
         & given("store_id", F.col("q_store_id") == F.col("store_id"))
         & given("card_last4", F.col("q_card_last4") == F.col("card_last4"))
@@ -178,8 +179,8 @@ def _matches() -> Column:
         & given("to", F.col("transaction_ts") <= F.col("q_to"))
         & given("low", F.col("total_cents").between(F.col("q_low"), F.col("q_high")))
         & given("store_name", _name_matches("store_name", "q_store_name"))
-        & given("store_like", trigram_similarity(F.col("store_name"), F.col("q_store_like")) >= LIKE)
     )
+    return whole & given("store_like", trigram_similarity(F.col("store_name"), F.col("q_store_like")) >= LIKE) if like else whole
 
 
 def _name_matches(name: str, pattern: str) -> Column:
@@ -294,13 +295,14 @@ def bulk_fuzzy_search(
     over the receipts. Refused requests give no rows.
     """
     asked = _asked(requests)
-    pages = asked.groupBy("way").agg(F.max("q_end").alias("end")).collect()
+    pages = asked.groupBy("way").agg(F.max("q_end").alias("end"), F.bool_or(F.col("q_store_like").isNotNull()).alias("like")).collect()
     ways = sorted(r["way"] for r in pages) or ["customer"]
     if span is None:
         span = receipts.agg(F.min("transaction_ts"), F.max("transaction_ts")).first()
+    like = any(r["like"] for r in pages if r["way"] != "name")  # by name they are resolved to stores beforehand
     names = (stores if stores is not None else receipts).select("store_name").distinct()
     keyed = _request_keys(asked, names, ways, *span)
-    found = _receipt_keys(receipts, ways).join(keyed, "_key").filter(_matches()).select("request_id", "q_offset", "q_end", *receipts.columns)
+    found = _receipt_keys(receipts, ways).join(keyed, "_key").filter(_matches(like)).select("request_id", "q_offset", "q_end", *receipts.columns)
     ordinary = int(receipts.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")) - 1
     deepest = max((r["end"] for r in pages), default=0)
     page = min(deepest, ordinary) or 1
