@@ -9,8 +9,10 @@ sorts the first window of each run and the last of each text through all their b
 the windows between them cover nothing new. The windows of the other runs go on to the next pass only if their gram occurs
 again; there they are sorted through all bytes. Keys of whole windows have 128 bits, those of grams 64.
 
-Texts travel in chunks, a long text whole in a chunk of its own; its windows are looked at in overlapping pieces. A chunk sends each of its keys once, with a mark if it holds it twice, and learns which of its keys
-occur elsewhere; so a passage that a third of all texts hold costs one key for each chunk and no task meets all its copies.
+Texts lie in chunks in the shared folder, a long text whole in a chunk of its own; its windows are looked at in overlapping
+pieces. Only keys travel: a chunk sends each of its keys once, with a mark if it holds it twice, and gets a bit back for each that
+says whether it occurs elsewhere; so a passage that a third of all texts hold costs one key for each chunk and no task meets all
+its copies. Every pass works the keys of the passes before out again and reads their bits from the folder of its part of the chunks.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import byte_table, drop_finished, landed, slabs, small_batches, text_bytes
+from tillworks.llm.common import FOLDERS, byte_table, drop_finished, landed, part_rows, slabs, small_batches, text_bytes
+from tillworks.session import run_folder
 
 CHUNK_BYTES = 1 << 20
 GRAM = 32
@@ -123,17 +126,18 @@ def window_keys(data: np.ndarray, at: np.ndarray, length: int) -> list[bytes]:
     return [digest(view[p: p + length]) for p in at.tolist()]
 
 
-def open_windows(runs: tuple, repeated: np.ndarray, again: set, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of all runs whose gram occurs again: their positions, those of their grams, and whether they ask.
+def open_windows(runs: tuple, repeated: np.ndarray, again: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of all runs whose gram occurs again: their positions, those of their grams, and whether they ask. `repeated`
+    and `again` tell for each run whether its first window and its gram occur again.
 
     A window asks unless it is known to be repeated, or lies between two repeated ones that cover all it could. The others
     are there to be found by those that ask."""
-    at, joined, grams, where = runs
+    at, joined, _, where = runs
     if not len(at):
         return at, at, joined
     gap = np.where(joined, np.diff(np.append(at, at[-1] + 1)), 1)
     settled = repeated & np.append(repeated[1:], False) & (gap <= length) & joined
-    able = np.flatnonzero(np.array([g in again for g in grams.tolist()], bool))
+    able = np.flatnonzero(again)
     sizes = gap[able]
     step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     asks = ~np.repeat(settled[able], sizes) & ((step > 0) | ~np.repeat(repeated[able], sizes))
@@ -156,25 +160,43 @@ def blocks_of(positions: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.
 
 
 KEYS = "shard long, chunk long, kind int, twice boolean, asks boolean, keys binary"
-REPLY = "chunk long, kind int, keys binary"
-
-
-def _sent(chunk: int, kind: int, keys: np.ndarray, shards: int, asks: np.ndarray | None = None) -> list[tuple]:
-    """The distinct keys (rows of one or two 64-bit numbers) by shard, apart by whether they were found twice and ask."""
-    if not len(keys):
-        return []
-    order = np.lexsort(keys.T[::-1])
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
-    twice = np.diff(np.append(first, len(keys))) > 1
-    asks = np.ones(len(first), bool) if asks is None else np.logical_or.reduceat(asks[order], first)
-    keys = keys[first]
-    shard = (keys[:, 0] % np.uint64(shards)).astype(np.int64)
-    group = shard * 4 + twice * 2 + asks
-    order = np.argsort(group, kind="stable")
-    cuts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
-    return [(int(g) >> 2, chunk, kind, bool(g & 2), bool(g & 1), keys[order[low:high]].tobytes())
-            for low, high, g in zip(cuts, [*cuts[1:], len(order)], group[order[cuts]].tolist())]
+ANSWERS = "part long, chunk long, kind int, sent long, bits binary"
+
+
+class Sent:
+    """The distinct keys (rows of one or two 64-bit numbers) of one kind in a chunk, in the order in which they are sent: by
+    shard, and apart by whether they were found twice and ask."""
+
+    def __init__(self, keys: np.ndarray, shards: int, asks: np.ndarray | None = None):
+        order = np.lexsort(keys.T[::-1])
+        ranked = keys[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (ranked[1:] != ranked[:-1]).any(1)
+        first = np.flatnonzero(fresh)
+        group = (ranked[first, 0] % np.uint64(shards)).astype(np.int64) * 4
+        if len(first):
+            group += 2 * (np.diff(np.append(first, len(keys))) > 1)
+            group += 1 if asks is None else np.logical_or.reduceat(asks[order], first)
+        by_group = np.argsort(group, kind="stable")
+        self.group, self.keys = group[by_group], ranked[first][by_group]
+        place = np.empty(len(first), np.int64)
+        place[by_group] = np.arange(len(first))
+        #: where each of the keys given stands among those sent
+        self.place = np.empty(len(keys), np.int64)
+        self.place[order] = place[np.cumsum(fresh) - 1]
+
+    def rows(self, chunk: int, kind: int) -> list[tuple]:
+        edges = np.flatnonzero(np.diff(self.group, prepend=-1, append=-1))
+        return [(g >> 2, chunk, kind, bool(g & 2), bool(g & 1), self.keys[low:high].tobytes())
+                for low, high, g in zip(edges[:-1], edges[1:], self.group[edges[:-1]].tolist())]
+
+    def told(self, answers: list[tuple[int, bytes]]) -> np.ndarray:
+        """The answer to each of the keys given, in their order; silence means no."""
+        out = np.zeros(len(self.keys), bool)
+        for g, bits in answers:
+            low, high = np.searchsorted(self.group, [g, g + 1])
+            out[low:high] = np.unpackbits(np.frombuffer(bits, np.uint8), count=high - low)
+        return out[self.place]
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -188,75 +210,85 @@ def _digests(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
 
 
-def _answers(key: tuple, table: pa.Table) -> pa.Table:
-    """For each chunk, which of its keys in this shard occur again, there or in another chunk, and are asked for."""
+def _answers(table: pa.Table) -> pa.Table:
+    """For the keys sent to one shard a bit each: whether the key occurs again, there or in another chunk, and is asked for."""
     out = []
-    kinds = np.array(table.column("kind").to_pylist())
-    for kind in np.unique(kinds):
+    kinds = table.column("kind").to_numpy()
+    for kind in np.unique(kinds).tolist():
         part = table.filter(pa.array(kinds == kind))
-        words = 1 if kind in (GRAMS, BLOCKS) else 2
-        blobs = [np.frombuffer(b.as_buffer(), np.uint64).reshape(-1, words) for b in part.column("keys")]
+        blobs = [np.frombuffer(b.as_buffer(), np.uint64).reshape(-1, 1 if kind in (GRAMS, BLOCKS) else 2) for b in part.column("keys")]
         sizes = [len(b) for b in blobs]
         keys = np.concatenate(blobs)
-        chunk = np.repeat(part.column("chunk").to_numpy(), sizes)
-        twice, asks = (np.repeat(np.array(part.column(c).to_pylist()), sizes) for c in ("twice", "asks"))
+        chunk, shard = part.column("chunk").to_pylist(), part.column("shard").to_numpy()
+        twice, asks = (np.array(part.column(c).to_pylist(), bool) for c in ("twice", "asks"))
         order = np.lexsort(keys.T[::-1])
-        keys, chunk = keys[order], chunk[order]
-        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
-        sizes = np.diff(np.append(first, len(keys)))
-        told = (sizes > 1) | np.logical_or.reduceat(twice[order], first)
-        again = np.repeat(told & np.logical_or.reduceat(asks[order], first), sizes)
-        keys, chunk = keys[again], chunk[again]
-        order = np.argsort(chunk, kind="stable")
-        keys, chunk = keys[order], chunk[order]
-        cuts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else []
-        for low, high in zip(cuts, [*cuts[1:], len(chunk)]):
-            out.append((int(chunk[low]), int(kind), keys[low:high].tobytes()))
-    return _table(out, REPLY)
-
-
-def _known(replies: pa.Table, kind: int) -> set:
-    """The repeated keys of a kind: 64-bit numbers for grams, 16 bytes for windows."""
-    found: set = set()
-    for k, keys in zip(replies.column("kind").to_pylist(), replies.column("keys")):
-        if k == kind:
-            blob = keys.as_py()
-            found.update(np.frombuffer(blob, np.uint64).tolist() if kind in (GRAMS, BLOCKS) else
-                         [blob[i: i + 16] for i in range(0, len(blob), 16)])
-    return found
+        ranked = keys[order]
+        first = np.flatnonzero(np.append(True, (ranked[1:] != ranked[:-1]).any(1)))
+        many = np.diff(np.append(first, len(keys)))
+        told = (many > 1) | np.logical_or.reduceat(np.repeat(twice, sizes)[order], first)
+        told &= np.logical_or.reduceat(np.repeat(asks, sizes)[order], first)
+        again = np.empty(len(keys), bool)
+        again[order] = np.repeat(told, many)
+        for c, g, bits in zip(chunk, (shard * 4 + twice * 2 + asks).tolist(), np.split(again, np.cumsum(sizes)[:-1])):
+            if bits.any():
+                out.append((c >> 33, c, kind, g, np.packbits(bits).tobytes()))
+    return _table(out, ANSWERS)
+
+
+def _answered(sent: DataFrame) -> str:
+    """The folder of the answers to the keys sent, with a folder in it for each part of the chunks."""
+    spark = sent.sparkSession
+    folder = run_folder(spark, "passage-answers")
+    FOLDERS.append(folder)
+    sent.groupBy("shard").applyInArrow(_answers, ANSWERS).repartition("part").write.partitionBy("part").parquet(folder)
+    drop_finished(spark)
+    return folder
+
+
+class Answers:
+    """The answers of all passes so far, those to one part of the chunks at a time."""
+
+    def __init__(self, folders: list[str]):
+        self.folders, self.part, self.found = folders, None, {}
+
+    def __call__(self, chunk: int, kind: int) -> list[tuple[int, bytes]]:
+        if self.part != chunk >> 33:
+            self.part, self.found = chunk >> 33, {}
+            for folder in self.folders:
+                rows = part_rows(f"{folder}/part={self.part}", ["chunk", "kind", "sent", "bits"])
+                for c, k, group, bits in zip(rows["chunk"], rows["kind"], rows["sent"], rows["bits"]):
+                    self.found.setdefault((c, k), []).append((group, bits))
+        return self.found.get((chunk, kind), [])
 
 
 class Chunk:
     """A chunk's texts and what the passes so far have found of them."""
 
-    def __init__(self, rows: pa.Scalar, text_col: str, length: int):
-        self.batch, self.length = unpacked(rows), length
+    def __init__(self, name: int, rows: pa.Scalar, text_col: str, length: int, shards: int):
+        self.name, self.batch, self.length, self.shards = name, unpacked(rows), length, shards
         self.data, self.offsets = text_bytes(self.batch.column(text_col))
         self.runs = window_runs(self.data, self.offsets, length)
-
-    def firsts(self) -> list[bytes]:
-        return window_keys(self.data, self.runs[0], self.length)
-
-    def settle(self, replies: pa.Table) -> None:
-        windows, again = _known(replies, FIRSTS), _known(replies, GRAMS)
-        self.repeated = np.array([k in windows for k in self.firsts()], bool)
-        self.open, self.where, self.asks = open_windows(self.runs, self.repeated, again, self.length)
-
-    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
-        blocks, back = blocks_of(self.open, self.where)
-        return block_keys(self.data, blocks, self.length), back
-
-    def narrow(self, replies: pa.Table) -> None:
-        known = _known(replies, BLOCKS)
-        keys, back = self.blocks()
-        kept = np.array([k in known for k in keys.tolist()], bool)[back]
+        self.firsts = Sent(_digests(window_keys(self.data, self.runs[0], length)), shards)
+        # a gram counts once for each place in the text, however many runs share it
+        _, at, self.gram = np.unique(self.runs[3], return_index=True, return_inverse=True)
+        self.grams = Sent(self.runs[2][at].reshape(-1, 1), shards)
+
+    def settle(self, answers: Answers) -> None:
+        self.repeated = self.firsts.told(answers(self.name, FIRSTS))
+        again = self.grams.told(answers(self.name, GRAMS))[self.gram]
+        self.open, where, self.asks = open_windows(self.runs, self.repeated, again, self.length)
+        blocks, self.block = blocks_of(self.open, where)
+        asks = np.bincount(self.block, weights=self.asks, minlength=len(blocks)) > 0
+        self.blocks = Sent(block_keys(self.data, blocks, self.length).reshape(-1, 1), self.shards, asks)
+
+    def narrow(self, answers: Answers) -> None:
+        kept = self.blocks.told(answers(self.name, BLOCKS))[self.block]
         self.open, self.asks = self.open[kept], self.asks[kept]
+        self.windows = Sent(_digests(window_keys(self.data, self.open, self.length)), self.shards, self.asks)
 
-    def mask(self, replies: pa.Table) -> np.ndarray:
+    def mask(self, answers: Answers) -> np.ndarray:
         """Which bytes a repeated window covers."""
-        known = _known(replies, WINDOWS)
-        inner = np.array([k in known for k in window_keys(self.data, self.open, self.length)], bool)
-        starts = np.concatenate([self.runs[0][self.repeated], self.open[inner]])
+        starts = np.concatenate([self.runs[0][self.repeated], self.open[self.windows.told(answers(self.name, WINDOWS))]])
         edge = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + self.length, -1)
@@ -268,58 +300,36 @@ def _with_repeats(docs: DataFrame, text_col: str, length: int, finish, schema) -
     chunks = landed(packed(docs, text_col), "passages")
     shards = max(LEAST_SHARDS, chunks.count() // CHUNKS_A_SHARD)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                chunk = Chunk(rows, text_col, length)
-                _, _, grams, where = chunk.runs
-                out = _sent(name, FIRSTS, _digests(chunk.firsts()), shards)
-                out += _sent(name, GRAMS, grams[np.unique(where, return_index=True)[1]].reshape(-1, 1), shards)
-                yield from _table(out, KEYS).to_batches()
-
-    def second(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for name, rows in zip(left.column("chunk").to_pylist(), left.column("rows")):
-            chunk = Chunk(rows, text_col, length)
-            chunk.settle(right)
-            keys, back = chunk.blocks()
-            asks = np.bincount(back, weights=chunk.asks, minlength=len(keys)) > 0
-            out += _sent(name, BLOCKS, keys.reshape(-1, 1), shards, asks)
-        return _table(out, KEYS)
-
-    def third(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for name, rows in zip(left.column("chunk").to_pylist(), left.column("rows")):
-            chunk = Chunk(rows, text_col, length)
-            chunk.settle(right)
-            chunk.narrow(right)
-            out += _sent(name, WINDOWS, _digests(window_keys(chunk.data, chunk.open, length)), shards, chunk.asks)
-        return _table(out, KEYS)
-
-    def last(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for rows in left.column("rows"):
-            chunk = Chunk(rows, text_col, length)
-            chunk.settle(right)
-            chunk.narrow(right)
-            out += finish(chunk.batch, chunk.data, chunk.offsets, chunk.mask(right))
-        return pa.Table.from_batches(out) if out else empty
-
-    spark = docs.sparkSession
-    empty = pa.Table.from_batches([], schema=_arrow(spark, schema))
-    known = landed(chunks.mapInArrow(first, KEYS).groupBy("shard").applyInArrow(_answers, REPLY), "passage-keys")
-    for step in (second, third):
-        asked = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(step, KEYS)
-        known = known.unionByName(landed(asked.groupBy("shard").applyInArrow(_answers, REPLY), "passage-keys"))
-        del asked
-        drop_finished(spark)
-    return chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(last, schema)
-
-
-def _arrow(spark, schema) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(spark.createDataFrame([], schema).schema)
+    def each(folders: list[str], make):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            answers = Answers(folders)
+            for batch in batches:
+                for name, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    yield from make(Chunk(name, rows, text_col, length, shards), answers)
+
+        return run
+
+    def first(chunk: Chunk, answers: Answers) -> list[pa.RecordBatch]:
+        return _table(chunk.firsts.rows(chunk.name, FIRSTS) + chunk.grams.rows(chunk.name, GRAMS), KEYS).to_batches()
+
+    def second(chunk: Chunk, answers: Answers) -> list[pa.RecordBatch]:
+        chunk.settle(answers)
+        return _table(chunk.blocks.rows(chunk.name, BLOCKS), KEYS).to_batches()
+
+    def third(chunk: Chunk, answers: Answers) -> list[pa.RecordBatch]:
+        chunk.settle(answers)
+        chunk.narrow(answers)
+        return _table(chunk.windows.rows(chunk.name, WINDOWS), KEYS).to_batches()
+
+    def last(chunk: Chunk, answers: Answers) -> list[pa.RecordBatch]:
+        chunk.settle(answers)
+        chunk.narrow(answers)
+        return finish(chunk.batch, chunk.data, chunk.offsets, chunk.mask(answers))
+
+    folders: list[str] = []
+    for step in (first, second, third):
+        folders = [*folders, _answered(chunks.mapInArrow(each(folders, step), KEYS))]
+    return chunks.mapInArrow(each(folders, last), schema)
 
 
 def repeat_digests(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
