@@ -619,3 +619,19 @@ def test_clean_phrases_are_a_parameter_of_the_training(monkeypatch):
     monkeypatch.setattr(toxicity, "CLEAN_PHRASES", 1)
     few = toxicity.fit(texts, labels)
     assert len(full.weight) == len(few.weight) and not np.array_equal(full.weight, few.weight)
+
+
+def test_kneser_ney_arrays_hold_large_counts_and_little_memory(tmp_path, monkeypatch):
+    large, small = kneser_ney._least_kind(np.array([1, 2**32])), kneser_ney._least_kind(np.array([[2**32 - 1]]))
+    assert large.tolist() == [1, 2**32] and small.dtype == np.dtype("<u4") and small.tolist() == [[2**32 - 1]]
+    assert kneser_ney._least_kind(np.zeros(0, np.int64)).tolist() == []
+    folder = f"file:{tmp_path}"
+    for k in range(4):
+        kneser_ney._save(folder, f"a{k}", np.full(100, k))
+    mapped = kneser_ney._Arrays(files=2)
+    assert [int(mapped(folder, f"a{k % 4}.npy")[0]) for k in range(9)] == [k % 4 for k in range(9)]
+    assert len(mapped.open) == 2 and mapped.size == 0 and all(isinstance(a, np.memmap) for a in mapped.open.values())
+    monkeypatch.setattr(kneser_ney, "mounted", lambda uri: None)  # as in a store that only readers of its own can open
+    remote = kneser_ney._Arrays(held=2000)
+    assert [int(remote(folder, f"a{k % 4}.npy")[0]) for k in range(9)] == [k % 4 for k in range(9)]
+    assert len(remote.open) == 2 and remote.size == 1600

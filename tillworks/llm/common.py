@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -83,21 +82,9 @@ def byte_table(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, 256, np.uint64)
 
 
-def local_copy(uri: str) -> str:
-    """A path that numpy can map: the shared file itself, or a copy fetched once per worker machine."""
-    if uri.startswith("file:") or "://" not in uri:
-        return "/" + uri.removeprefix("file:").lstrip("/")
-    from pyarrow import fs
-
-    target = os.path.join(tempfile.gettempdir(), uri.split("://", 1)[1].replace("/", "_"))
-    if not os.path.exists(target):
-        store, path = fs.FileSystem.from_uri(uri)
-        part = f"{target}.{uuid.uuid4().hex}"
-        with store.open_input_stream(path) as source, open(part, "wb") as out:
-            while block := source.read(8 << 20):
-                out.write(block)
-        os.replace(part, target)
-    return target
+def mounted(uri: str) -> str | None:
+    """The path of a file that every machine sees in its own file system, None for one in a remote store."""
+    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") or "://" not in uri else None
 
 
 def put_file(uri: str, payload: bytes) -> None:

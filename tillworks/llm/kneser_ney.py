@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillworks.llm.common import local_copy, mix64, put_file, slabs, small_batches, text_bytes
+from tillworks.llm.common import get_file, mix64, mounted, put_file, slabs, small_batches, text_bytes
 from tillworks.llm.words import words_of
 from tillworks.session import run_folder
 
@@ -73,17 +73,36 @@ def _save(folder: str, name: str, array: np.ndarray) -> str:
     return f"{name}.npy"
 
 
-_MAPS: dict[str, np.ndarray] = {}
+def _least_kind(array: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit, else in 64."""
+    return array.astype("<u4" if not array.size or array.max() < 1 << 32 else "<u8")
 
 
-def _mapped(folder: str, name: str) -> np.ndarray:
-    """The array in a file, mapped into memory once per worker."""
-    uri = f"{folder}/{name}"
-    if uri not in _MAPS:
-        if len(_MAPS) > 20_000:
-            _MAPS.clear()
-        _MAPS[uri] = np.load(local_copy(uri), mmap_mode="r")
-    return _MAPS[uri]
+class _Arrays:
+    """The arrays a worker has open: mapped where the shared folder is mounted, else read into memory. Those used longest ago go
+    when more than `files` are open or `held` bytes are in memory."""
+
+    def __init__(self, files: int = 20_000, held: int = 256 << 20):
+        self.files, self.held, self.size, self.open = files, held, 0, {}
+
+    def __call__(self, folder: str, name: str) -> np.ndarray:
+        uri = f"{folder}/{name}"
+        array = self.open.pop(uri, None)
+        if array is None:
+            path = mounted(uri)
+            array = np.load(path, mmap_mode="r") if path else np.load(io.BytesIO(get_file(uri)))
+            self.size += self._bytes(array)
+        self.open[uri] = array
+        while len(self.open) > 1 and (len(self.open) > self.files or self.size > self.held):
+            self.size -= self._bytes(self.open.pop(next(iter(self.open))))
+        return array
+
+    @staticmethod
+    def _bytes(array: np.ndarray) -> int:
+        return 0 if isinstance(array, np.memmap) else array.nbytes
+
+
+_mapped = _Arrays()
 
 
 def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +247,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         at = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
         sums = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1)
         contexts = first[at]
-        files = (_save(folder, f"{name}-k", keys), _save(folder, f"{name}-c", counts.astype("<u4")),
-                 _save(folder, f"{name}-a", contexts.astype("<u4")), _save(folder, f"{name}-s", sums.astype("<u4")))
+        files = (_save(folder, f"{name}-k", keys), _save(folder, f"{name}-c", _least_kind(counts)),
+                 _save(folder, f"{name}-a", contexts.astype("<u4")), _save(folder, f"{name}-s", _least_kind(sums)))
         is_hot = np.isin(contexts, hot_words)
         kinds = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         partial = np.concatenate([contexts[is_hot, None].astype(np.int64), sums[is_hot]], 1).ravel()
