@@ -2,7 +2,12 @@
 hold benchmark items go, and the rest is encoded.
 
 Each stage takes the rows its predecessor kept, written as Parquet and read again, and all but the last return the columns of
-`documents`. Helper tables of a stage are removed when the next one begins, as its result has been written by then.
+`documents`. Helper tables of a stage are removed when a later one begins, unless that one's input still reads them because the
+result has not been written in between.
+
+A null text is an empty one: it is not toxic, empty texts are copies of each other, nothing is cut from them, they hold no item
+and have no tokens. Null ids stay, after all others where the smallest id decides; repeated rows are copies of each other.
+Columns beyond those of `documents` stay until the last stage, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,16 +21,30 @@ from tillworks.llm import common, decontaminate, order_minhash, queries, sentenc
 from tillworks.session import release_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_DONE: list[str] = []
+#: The helper folders of each stage that has been called and not yet cleared.
+_DONE: list[list[str]] = []
+
+
+def _clear(spark: SparkSession, docs: DataFrame) -> None:
+    """Removes the helper folders of stages that `docs` does not read."""
+    if not _DONE:
+        return
+    # a stage reads its folders together; their names are unique
+    read = {part for file in docs.inputFiles() for part in file.split("/")}
+    for folders in [*_DONE]:
+        if not any(folder.rsplit("/", 1)[1] in read for folder in folders):
+            _DONE.remove(folders)
+            for folder in folders:
+                release_folder(spark, folder)
 
 
 def _stage(fn: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _DONE:
-            release_folder(spark, _DONE.pop())
+        _clear(spark, docs)
         before = len(common.FOLDERS)
         result = fn(spark, docs, sf_dir)
-        _DONE.extend(common.FOLDERS[before:])
+        if len(common.FOLDERS) > before:
+            _DONE.append(common.FOLDERS[before:])
         return result
 
     return run_stage
@@ -46,7 +65,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the passages of 200 bytes or more that occur elsewhere (op 7)."""
-    return suffix_dedup.without_repeats(docs, 200).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    cut = suffix_dedup.without_repeats(docs, 200)
+    if "n_chars" not in docs.columns:
+        return cut
+    return cut.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType))
 
 
 @_stage
