@@ -1,6 +1,7 @@
 """The bucket index: recall against the exact search, and a plan that reads the query's buckets only."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,28 @@ def test_probes_cross_the_nearest_planes(spark):
     own, probed = df.select(knn.lsh_buckets("v", 4, 3, 3), knn.lsh_probes("v", 4, 3, 3, 2)).first()
     assert probed[::3] == own and all(bin((p ^ o) & 7).count("1") == 1 for t, o in enumerate(own) for p in probed[3 * t + 1: 3 * t + 3])
     assert len(set(probed)) == 9
+
+
+def test_few_pairs_are_scored_in_double_precision(monkeypatch):
+    rng = np.random.default_rng(14)
+    corpus, asked = rng.normal(size=(6000, 64)), rng.normal(size=(300, 64))
+    corpus[:9] = corpus[0] * (1 + np.arange(9)[:, None])  # ties
+    asked[0] = corpus[0]
+    unit = asked / np.linalg.norm(asked, axis=1, keepdims=True)
+    schema = pa.schema([("query_id", pa.int64()), ("_key", pa.int64()), ("similarity", pa.float64())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 1000)), pa.array(list(corpus[k: k + 1000]))], ["_key", "_vector"])
+               for k in range(0, 6000, 1000)]
+    scored = []
+    product = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda rule, a, b: (scored.append(len(a)), product(rule, a, b))[1])
+
+    class Held:
+        value = (list(range(300)), unit)
+
+    out = pa.Table.from_batches(knn._nearest_in_task(Held, 5, 0.1, False, "int64", schema)(iter(batches)))
+    assert sum(scored) < 0.05 * 300 * 6000
+    exact = np.round(unit @ (corpus / np.linalg.norm(corpus, axis=1, keepdims=True)).T, 9)
+    for q in (0, 7, 299):
+        mine = [(r["_key"], r["similarity"]) for r in out.to_pylist() if r["query_id"] == q]
+        best = np.lexsort((np.arange(6000), -exact[q]))[:5]
+        assert [m[0] for m in mine] == best.tolist() and np.allclose([m[1] for m in mine], exact[q][best])

@@ -8,9 +8,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tillworks.functions.receipt_text import embed_text
 from tillworks.functions.vectors import dot, similarity_to
@@ -19,6 +22,8 @@ from tillworks.operators.dedup import top_per_key
 # Queries held in memory by a task at a time; more are answered in several passes.
 QUERY_BLOCK = 4096
 _ROWS_AT_ONCE = 2048
+# Pairs scored in double precision at a time.
+_PAIRS_AT_ONCE = 1 << 16
 
 
 def semantic_search(
@@ -47,41 +52,58 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.full_like(matrix, np.nan), where=norms > 0)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores with their ids, ties by id."""
-    if len(scores) > k:
-        kept = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-        ids, scores = ids[kept], scores[kept]
-    order = np.lexsort((ids.astype("U") if ids.dtype == object else ids, -scores))[:k]
-    return ids[order], scores[order]
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a column, all of one length, as rows in double precision."""
+    if len(pc.unique(pc.list_value_length(column))) > 1:
+        raise ValueError("vectors of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
 
 
-def _nearest_in_task(queries, k: int, threshold: float | None, inclusive: bool, kind: str):
-    """For each query the best k rows of one partition."""
+def _merged(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each owner the k highest scores, ties by id; owners ascending."""
+    order = np.lexsort((ids.astype("U") if ids.dtype == object else ids, -scores, owner))
+    owner, ids, scores = owner[order], ids[order], scores[order]
+    kept = np.arange(len(owner)) - np.searchsorted(owner, owner) < k
+    return owner[kept], ids[kept], scores[kept]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _nearest_in_task(queries, k: int, threshold: float | None, inclusive: bool, kind: str, schema: pa.Schema):
+    """For each query the best k rows of one partition.
+
+    A product in single precision rules out the pairs that lie below the query's k-th best score or the threshold by more than its
+    rounding explains; only the others are scored in double precision.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix = queries.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, kind), np.empty(0))] * len(query_ids)
+        rough = matrix.astype("float32")
+        slack = (matrix.shape[1] + 8) * 2.0**-22 + 1e-9
+        least = np.full(len(matrix), -2.0 if threshold is None else threshold)  # a lower score does not count
+        best = (np.empty(0, np.int64), np.empty(0, kind), np.empty(0))
         for batch in batches:
-            for start in range(0, len(batch), _ROWS_AT_ONCE):
-                part = batch.iloc[start:start + _ROWS_AT_ONCE]
-                rows = _unit(np.stack(part["_vector"].to_numpy()).astype("float64"))
-                ids = part["_key"].to_numpy()
-                scores = np.round(matrix @ rows.T, 9)
-                for q in range(len(query_ids)):
-                    line = scores[q]
-                    ok = ~np.isnan(line)
-                    if threshold is not None:
-                        ok &= line >= threshold if inclusive else line > threshold
-                    if len(best[q][1]) == k:
-                        ok &= line >= best[q][1][-1]
-                    if ok.any():
-                        best[q] = _best(
-                            np.concatenate([best[q][0], ids[ok]]), np.concatenate([best[q][1], line[ok]]), k
-                        )
-        for query_id, (ids, scores) in zip(query_ids, best):
-            if len(ids):
-                yield pd.DataFrame({"query_id": query_id, "_key": ids, "similarity": scores})
+            for start in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                part = batch.slice(start, _ROWS_AT_ONCE)
+                rows = _unit(_matrix(part.column(1)))
+                whole = ~np.isnan(rows).any(1)
+                rows, ids = rows[whole], part.column(0).to_numpy(zero_copy_only=False)[whole]
+                scores = rough @ rows.astype("float32").T
+                if not len(best[0]) and len(rows) > k:
+                    least = np.maximum(least, np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k] - slack)
+                q, c = np.nonzero(scores >= (least - slack).astype("float32")[:, None])
+                for low in range(0, len(q), _PAIRS_AT_ONCE):
+                    at, to = q[low: low + _PAIRS_AT_ONCE], c[low: low + _PAIRS_AT_ONCE]
+                    exact = np.round(np.einsum("ij,ij->i", matrix[at], rows[to]), 9)
+                    ok = exact >= least[at]
+                    if threshold is not None and not inclusive:
+                        ok &= exact > threshold
+                    best = _merged(*(np.concatenate(x) for x in zip(best, (at[ok], ids[to[ok]], exact[ok]))), k)
+                    full = np.flatnonzero(np.bincount(best[0], minlength=len(matrix)) == k)
+                    least[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+        owner, ids, scores = best
+        for low in range(0, len(owner), _PAIRS_AT_ONCE):
+            part = slice(low, low + _PAIRS_AT_ONCE)
+            columns = [[query_ids[i] for i in owner[part].tolist()], ids[part].tolist(), scores[part].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
 
     return scan
 
@@ -116,8 +138,9 @@ def knn_join(
         if not rows:
             continue
         matrix = _unit(np.array([r["vector"] for r in rows], dtype="float64"))
-        held = corpus.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], matrix))
-        part = dims.mapInPandas(_nearest_in_task(held, k, threshold, inclusive, kind), schema)
+        whole = ~np.isnan(matrix).any(1)
+        held = corpus.sparkSession.sparkContext.broadcast(([r["query_id"] for r, w in zip(rows, whole) if w], matrix[whole]))
+        part = dims.mapInArrow(_nearest_in_task(held, k, threshold, inclusive, kind, to_arrow_schema(schema)), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = corpus.sparkSession.createDataFrame([], schema)
