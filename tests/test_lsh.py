@@ -84,6 +84,19 @@ def test_probes_cross_the_nearest_planes(spark):
     assert len(set(probed)) == 9
 
 
+def test_a_bucket_in_parts_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL_ROWS", 8)
+    rng = np.random.default_rng(13)
+    rows = [(i, ([1.0] * 8 if i < 60 else rng.normal(size=8).tolist())) for i in range(80)]
+    # one row delivered far more often than there are places in a page
+    corpus = spark.createDataFrame(rows + [rows[0]] * 100, "sku long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [2.0] * 8), (2, rows[70][1]), (2, rows[70][1])], "query_id long, vector array<float>")
+    found = knn.knn_join_lsh(queries, corpus, 8, k=3, tables=4, bits=2, probes=1).collect()
+    got = {q: [r.sku for r in sorted(found, key=lambda r: r.position) if r.query_id == q] for q in (1, 2)}
+    assert got[1] == [0, 1, 2]
+    assert len(got[2]) == 3 and got[2][0] == 70
+
+
 def test_few_pairs_are_scored_in_double_precision(monkeypatch):
     rng = np.random.default_rng(14)
     corpus, asked = rng.normal(size=(6000, 64)), rng.normal(size=(300, 64))

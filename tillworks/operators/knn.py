@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tillworks.functions.receipt_text import embed_text
 from tillworks.functions.vectors import dot, similarity_to
 from tillworks.operators.dedup import top_per_key
+from tillworks.session import run_folder
 
 # Queries held in memory by a task at a time; more are answered in several passes.
 QUERY_BLOCK = 4096
@@ -243,6 +244,47 @@ def lsh_probes(column: str, dim: int, tables: int, bits: int, probes: int) -> Co
 JOIN_TABLES, JOIN_BITS, JOIN_PROBES = 40, 8, 3
 
 
+#: Rows of one side of a bucket that are compared at a time.
+CELL_ROWS = 4096
+_SCORES_AT_ONCE = 1 << 21
+
+
+def _nearest_in_cell(k: int, threshold: float | None, schema: pa.Schema):
+    """For each query of a cell the best rows of the cell, so many that k different ones are among them. NaN counts as highest."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        # ties go by place
+        right = right.take(pc.sort_indices(right, [("_key", "ascending")], null_placement="at_start"))
+        a, b = (_matrix(t.column("_v").combine_chunks()) for t in (left, right))
+        an, bn = (t.column("_norm").to_numpy() for t in (left, right))
+        same = right.column("_key").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        wanted = k * int(np.bincount(same).max())  # a key with several vectors may come up several times with one score
+        found = []
+        step = max(1, _SCORES_AT_ONCE // len(b))
+        for low in range(0, len(a), step):
+            with np.errstate(all="ignore"):
+                scores = np.round(a[low: low + step] @ b.T / (an[low: low + step, None] * bn), 9) + 0.0
+            scores[np.isnan(scores)] = np.inf
+            kept = np.ones(scores.shape, bool) if threshold is None else scores > threshold
+            if wanted < len(b):
+                last = np.partition(scores, len(b) - wanted, axis=1)[:, len(b) - wanted, None]
+                above, tied = scores > last, scores == last
+                room = wanted - above.sum(1)
+                if (tied.sum(1) > room).any():
+                    tied &= np.cumsum(tied, axis=1) <= room[:, None]
+                kept &= above | tied
+            q, c = np.nonzero(kept)
+            found.append((q + low, c, scores[q, c]))
+        q, c, scores = (np.concatenate(x) for x in zip(*found))
+        scores = np.where(np.isinf(scores), np.nan, scores)
+        return pa.Table.from_arrays(
+            [left.column("query_id").take(pa.array(q)), right.column("_key").take(pa.array(c)), pa.array(scores)], schema=schema)
+
+    return run
+
+
 def knn_join_lsh(
     queries: DataFrame, corpus: DataFrame, dim: int, k: int = 10, threshold: float | None = None, key: str = "sku",
     tables: int = JOIN_TABLES, bits: int = JOIN_BITS, probes: int = JOIN_PROBES,
@@ -250,25 +292,46 @@ def knn_join_lsh(
     """The k most similar corpus rows of every query (query_id, vector) among those that share a bucket with it, ranked exactly.
 
     Queries and corpus meet on equal bucket numbers in one shuffle, each row once per table and a query also under the buckets
-    across its nearest planes; nothing passes through the driver, and any number of queries is one pass. A pair is compared
-    where it meets; per task only the best rows of a query go on, pairs that met in several tables among them, which are then
-    counted once. Vectors of another length and zero vectors meet nothing. `lsh_recall` tells what share of the neighbours is found.
+    across its nearest planes; nothing passes through the driver, and any number of queries is one pass. The rows of a bucket are
+    compared by matrix products, a bucket of more than CELL_ROWS rows in parts, every part of one side with every part of the
+    other; the best k rows of a query go on from each, and pairs that met in several tables are then counted once. Vectors of
+    another length and zero vectors meet nothing. `lsh_recall` tells what share of the neighbours is found.
     """
-    unit = F.sqrt(dot(F.col("_v"), F.col("_v")))
-
-    def placed(df: DataFrame, buckets: Column) -> DataFrame:
-        rows = df.filter(F.size("_v") == dim).withColumn("_norm", unit).filter(F.col("_norm") > 0)
-        return rows.withColumn("_bucket", F.explode(buckets))
-
-    asked = placed(queries.select("query_id", F.col("vector").cast("array<double>").alias("_v")), lsh_probes("_v", dim, tables, bits, probes))
-    held = placed(corpus.select(F.col(key).alias("_key"), F.col("embedding").cast("array<double>").alias("_v")), lsh_buckets("_v", dim, tables, bits))
-    left = asked.select("_bucket", "query_id", F.col("_v").alias("_a"), F.col("_norm").alias("_an"))
-    met = left.join(held.select("_bucket", "_key", F.col("_v").alias("_b"), F.col("_norm").alias("_bn")), "_bucket")
-    scored = met.select("query_id", "_key", F.round(dot(F.col("_a"), F.col("_b")) / (F.col("_an") * F.col("_bn")), 9).alias("similarity"))
+    def placed(df: DataFrame, buckets: Column, name: str) -> DataFrame:
+        # dealt by a fixed number: the rows are few bytes, but each takes long
+        spread = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *df.columns)
+        wide = spread.distinct().filter(F.size("_v") == dim).withColumn("_d", F.col("_v").cast("array<double>"))
+        rows = wide.withColumn("_norm", F.sqrt(dot(F.col("_d"), F.col("_d")))).filter(F.col("_norm") > 0)
+        # written out, as the buckets are counted before they meet
+        folder = run_folder(df.sparkSession, name)
+        rows.withColumn("_bucket", buckets).drop("_d").write.parquet(folder)
+        return df.sparkSession.read.parquet(folder)
+
+    asked = placed(queries.select("query_id", F.col("vector").alias("_v")), lsh_probes("_d", dim, tables, bits, probes), "lsh-queries")
+    held = placed(corpus.select(F.col(key).alias("_key"), F.col("embedding").alias("_v")), lsh_buckets("_d", dim, tables, bits), "lsh-corpus")
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        sizes = df.select(F.explode("_bucket").alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
+        return sizes.select("_bucket", F.ceil(F.col("n") / CELL_ROWS).alias(name))
+
+    cells = parts(asked, "_left").join(parts(held, "_right"), "_bucket")
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in one part of its bucket, once for each part of the other side."""
+        rows = df.withColumn("_bucket", F.explode("_bucket")).join(cells, "_bucket")
+        rows = rows.withColumn("_at", F.pmod(F.xxhash64(df.columns[0], "_v"), F.col(own)))
+        rows = rows.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return rows.withColumnsRenamed({"_at": f"{own}_part", "_to": f"{other}_part"}).drop("_left", "_right")
+
+    by = ["_bucket", "_left_part", "_right_part"]
+    schema = T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("_key", corpus.schema[key].dataType), T.StructField("similarity", T.DoubleType()),
+    ])
+    met = dealt(asked, "_left", "_right").groupBy(*by).cogroup(dealt(held, "_right", "_left").groupBy(*by))
+    scored = met.applyInArrow(_nearest_in_cell(k, threshold, to_arrow_schema(schema)), schema)
     order = [F.desc("similarity"), F.asc("_key")]
     once = top_per_key(scored, ["query_id"], order, k * tables).distinct()
-    if threshold is not None:  # not before, else every similarity is worked out twice
-        once = once.filter(F.col("similarity") > threshold)
     return top_per_key(once, ["query_id"], order, k, "position").withColumnRenamed("_key", key)
 
 
