@@ -635,3 +635,16 @@ def test_kneser_ney_arrays_hold_large_counts_and_little_memory(tmp_path, monkeyp
     remote = kneser_ney._Arrays(held=2000)
     assert [int(remote(folder, f"a{k % 4}.npy")[0]) for k in range(9)] == [k % 4 for k in range(9)]
     assert len(remote.open) == 2 and remote.size == 1600
+
+
+def test_a_worker_remembers_a_bounded_number_of_parts(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        encode = token_files.ByteEncoder(f.read())
+    texts = [f"word{k} " * 3 for k in range(400)]
+    for text in texts:
+        got = encode([text])[0]
+        assert np.frombuffer(got, "<u4").tolist() == encode.library.encode(text, add_special_tokens=False).ids
+    assert len(encode.cache.new) + len(encode.cache.old) <= 2 * 60

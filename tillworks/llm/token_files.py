@@ -35,6 +35,9 @@ HEADER = struct.Struct("<8sIIQQ")
 BLOCK = 4096
 #: Ids in a file at most, unless one document has more.
 FILE_IDS = 8 << 20
+#: Text bytes that are split at once, and parts whose ids a worker remembers in each of two generations. Both bound its memory.
+SPLIT_BYTES = 1 << 20
+REMEMBERED = 150_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -185,7 +188,7 @@ class ByteEncoder:
         # bytes that are no visible letter stand for themselves 256 places on, in order
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self.cache = TwoGenerations(self._merged)
+        self.cache = TwoGenerations(self._merged, REMEMBERED)
 
     def _merged(self, parts: list[str]) -> list[bytes]:
         merge, letters, pack_ids, blank = self.library.model.tokenize, self.letters, struct.pack, chr(self.letters[32])
@@ -272,7 +275,7 @@ def write_token_files(docs: DataFrame, spec: str, end_id: int = 0, id_col: str =
                 pa.schema([("file", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
         for batch in batches:
-            encoded = (ids for piece in slabs(batch, "text", 1 << 21) for ids in encode(strings(piece.column(1))))
+            encoded = (ids for piece in slabs(batch, "text", SPLIT_BYTES) for ids in encode(strings(piece.column(1))))
             for doc_id, own in zip(batch.column(0).to_pylist(), encoded):
                 ids = own + end
                 if held and count + len(ids) // 4 > FILE_IDS:
