@@ -637,6 +637,24 @@ def test_kneser_ney_arrays_hold_large_counts_and_little_memory(tmp_path, monkeyp
     assert len(remote.open) == 2 and remote.size == 1600
 
 
+def test_outlines_rule_out_no_similar_texts(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(60):
+        a = rng.integers(0, 2**63, int(rng.integers(1, 900)), np.uint64)
+        b = np.where(rng.random(len(a)) < 0.09 * (k % 3), rng.integers(0, 2**63, len(a), np.uint64), a)
+        b = order_minhash.occurrences(b if k % 5 else rng.permutation(b)[: max(1, len(b) - k)])
+        a = order_minhash.occurrences(a)
+        common = len(np.intersect1d(a, b))
+        rows.append((len(a), order_minhash.outline(a).tolist(), len(b), order_minhash.outline(b).tolist(), common / (len(a) + len(b) - common)))
+    other = order_minhash.occurrences(rng.integers(0, 2**63, 300, np.uint64))
+    rows.append((300, order_minhash.outline(other).tolist(), *rows[0][:2], 0.0))
+    df = spark.createDataFrame(rows, "na long, oa array<long>, nb long, ob array<long>, s double")
+    got = df.select("s", order_minhash._alike("na", "oa", "nb", "ob").alias("kept")).collect()
+    assert all(r.kept for r in got if r.s >= order_minhash.SIMILAR) and sum(r.s >= order_minhash.SIMILAR for r in got) > 10
+    assert not got[-1].kept and sum(not r.kept for r in got) > 5
+
+
 def test_a_worker_remembers_a_bounded_number_of_parts(monkeypatch):
     import public_tokenizers
 

@@ -12,7 +12,8 @@ common-subsequence alignment kept to the band of diagonals that the threshold al
 Classes are the connected components of all verified links, exact copies included. A bucket is not paired out: its members are
 first aligned with hubs. Texts that share a bucket with another class after that meet again by their rarest shingles: of two
 texts with s >= 0.8 one of the rarest fifth of shingles of each is shared, so texts that have only a common passage, however
-frequent, part here, and no link is lost. Again hubs go first, and only texts still in different classes are then compared.
+frequent, part here, and no link is lost. Again hubs go first, and only texts still in different classes are then compared, and
+only if the outlines of their shingles differ in no more bits than those of similar texts can.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ ROUNDS = 4
 SLOT_BITS = 20
 #: Shingles up to which all sketches of a text are drawn at once.
 AT_ONCE = 50_000
+#: 64-bit words of the outline of a text.
+OUTLINE = 8
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +75,13 @@ def occurrences(s: np.ndarray) -> np.ndarray:
     return labelled
 
 
+def outline(labelled: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * OUTLINE groups of labelled shingles: whether the text has an odd number of them. The outlines of two
+    texts differ in at most as many bits as there are shingles that only one of them has."""
+    odd = np.bincount((labelled >> np.uint64(8)).astype(np.int64) % (64 * OUTLINE), minlength=64 * OUTLINE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(s: np.ndarray) -> np.ndarray:
     """The hash of each sketch of a text with the shingles s."""
     labelled = occurrences(s)
@@ -229,7 +239,8 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def _rarest(texts: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """row, token, at, n: of each text of n shingles the rarest, so many that similar texts share one, with their rank."""
+    """row, token, at, n, outline: of each text of n shingles the rarest, so many that similar texts share one, with their rank;
+    the outline stands beside the first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slabs(batch, "text", SLAB // 2):
@@ -241,9 +252,10 @@ def _rarest(texts: DataFrame, frequency: np.ndarray) -> DataFrame:
                     first = labelled[np.lexsort((labelled, frequency[_slot(labelled)]))][:keep]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(keep, row)), pa.array(first.view(np.int64)), pa.array(np.arange(keep)),
-                         pa.array(np.full(keep, n))], names=["row", "token", "at", "n"])
+                         pa.array(np.full(keep, n)), pa.array([outline(labelled)] + [None] * (keep - 1) if keep else [], pa.list_(pa.int64()))],
+                        names=["row", "token", "at", "n", "outline"])
 
-    return texts.select("row", "text").mapInArrow(run, "row long, token long, at long, n long")
+    return texts.select("row", "text").mapInArrow(run, "row long, token long, at long, n long, outline array<long>")
 
 
 def _mixed(members: DataFrame, key: str) -> DataFrame:
@@ -268,6 +280,12 @@ def _can_be_first(na: str, ia: str, nb: str, ib: str) -> Column:
             & (at < short - F.ceil(share * short - 1e-6) + 1))
 
 
+def _alike(na: str, oa: str, nb: str, ob: str) -> Column:
+    """Whether outlines differ in no more bits than those of similar texts of na and nb shingles can."""
+    differing = sum((F.bit_count(F.col(oa)[k].bitwiseXOR(F.col(ob)[k])) for k in range(OUTLINE)), F.lit(0))
+    return differing * (1 + SIMILAR) <= (F.col(na) + F.col(nb)) * (1 - SIMILAR) + 1e-6
+
+
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs (a, b), the greater row first, without those already aligned."""
     def ordered(df):
@@ -324,11 +342,13 @@ def classes(rows: DataFrame) -> DataFrame:
     apart = _mixed(_labelled(met.select("bucket", "row"), labels), "bucket").select("row").distinct()
     left = landed(texts.join(apart, "row", "left_semi"), "apart-texts")
     rare = landed(_rarest(left, _frequencies(left)), "rare-shingles")
-    shared = landed(_mixed(_labelled(rare, labels), "token"), "shared-shingles")
+    outlines = rare.filter("at = 0").select("row", "outline")
+    shared = landed(_mixed(_labelled(rare.drop("outline"), labels), "token").join(outlines, "row"), "shared-shingles")
     for k in range(ROUNDS):
-        hubs = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", F.lit(k)).alias("rank"), "row", "label", "n", "at")).alias("hub"))
+        hubs = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", F.lit(k)).alias("rank"), "row", "label", "n", "at", "outline")).alias("hub"))
         near = (shared.join(hubs, "token")
-                .filter((F.col("label") != F.col("hub.label")) & _can_be_first("n", "at", "hub.n", "hub.at"))
+                .filter((F.col("label") != F.col("hub.label")) & _can_be_first("n", "at", "hub.n", "hub.at")
+                        & _alike("n", "outline", "hub.n", "hub.outline"))
                 .select(F.col("row").alias("a"), F.col("hub.row").alias("b")))
         pairs = landed(_untested(near, tested), "pairs")
         if pairs.isEmpty():
@@ -336,9 +356,11 @@ def classes(rows: DataFrame) -> DataFrame:
         tested = tested.unionByName(pairs)
         labels = _grown(labels, landed(_verified(pairs, texts), "links"))
         shared = landed(_mixed(_labelled(shared.drop("label"), labels), "token"), "shared-shingles")
-    one = shared.select("token", F.col("row").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    two = shared.select("token", F.col("row").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    rest = one.join(two, "token").filter((F.col("la") < F.col("lb")) & _can_be_first("na", "ia", "nb", "ib"))
+    one = shared.select("token", F.col("row").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("ia"),
+                        F.col("outline").alias("oa"))
+    two = shared.select("token", F.col("row").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("ib"),
+                        F.col("outline").alias("ob"))
+    rest = one.join(two, "token").filter((F.col("la") < F.col("lb")) & _can_be_first("na", "ia", "nb", "ib") & _alike("na", "oa", "nb", "ob"))
     fourth = landed(_untested(rest.select("a", "b"), tested), "pairs")
     labels = _grown(labels, landed(_verified(fourth, texts), "links"))
     joined = (forms.select("k1", "k2", "row").join(labels.withColumnRenamed("node", "row"), "row", "left")
