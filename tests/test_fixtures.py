@@ -1128,6 +1128,23 @@ def test_each_column_of_the_interleaved_layout_skips_files(spark):
     assert read(texts, "c", "n04500") <= 14 and read(texts, "b", middle) <= 14
 
 
+def test_the_interleaved_layout_fills_all_its_files_and_adds_some_for_many_rows(spark, monkeypatch):
+    df = spark.range(6000).select((F.col("id") % 75).alias("a"), F.floor(F.col("id") / 75).alias("b"), F.lit(1).alias("same"))
+
+    def sizes(columns, parts):
+        out = run_folder(spark, "filled")
+        sinks.zorder_write(df, out, columns, parts)
+        return [r["count"] for r in spark.read.parquet(out).groupBy(F.input_file_name()).count().collect()]
+
+    even = sizes(["a", "b"], 12)
+    assert len(even) == 12 and sum(even) == 6000 and max(even) <= 1000
+    monkeypatch.setattr(sinks, "FILE_ROWS", 250)
+    more = sizes(["a", "b"], 12)
+    assert len(more) == 24 and sum(more) == 6000 and max(more) <= 500
+    crowded = sizes(["same", "a"], 12)
+    assert sum(crowded) == 6000 and max(crowded) <= 600
+
+
 def test_dual_write_tells_mixed_outcomes_of_one_batch(spark):
     root = run_folder(spark, "mixed")
     batch = headers(spark, *(header(f"T{k}") for k in range(40)), header("BAD", total_cents=1))

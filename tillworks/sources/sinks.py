@@ -45,30 +45,40 @@ def _ordinal(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def interleaved(df: DataFrame, columns: Sequence[str], bits: int = RANK_BITS) -> Column:
+#: Rows a file of the interleaved layout holds at most, give or take the sampling of the ranges.
+FILE_ROWS = 1_000_000
+
+
+def interleaved(df: DataFrame, columns: Sequence[str], bits: int = RANK_BITS) -> tuple[Column, int]:
     """Where a row lies on a curve through all columns alike: the bits of its quantile ranks, one column after the other (Morton
-    order). Ranks make it independent of the columns' units and skew; NULL ranks first."""
+    order), and how many rows there are. Ranks make it independent of the columns' units and skew; NULL ranks first."""
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     # 2 ** bits - 1 numbers for each column come to the driver
-    cuts = df.agg(*(F.percentile_approx(_ordinal(df, c), steps, 10_000).alias(f"c{i}") for i, c in enumerate(columns))).first()
+    ranks = [F.percentile_approx(_ordinal(df, c), steps, 10_000).alias(f"c{i}") for i, c in enumerate(columns)]
+    cuts = df.agg(*ranks, F.count(F.lit(1)).alias("rows")).first()
     key = F.lit(0).cast("long")
     for i, c in enumerate(columns):
         bounds = F.lit([float(x) for x in dict.fromkeys(cuts[i] or [])] or [0.0])
         value = _ordinal(df, c)
-        rank = F.coalesce(F.size(F.filter(bounds, lambda b, value=value: b <= value)), F.lit(0))
+        # a second parameter would be the place in the array
+        rank = F.when(value.isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b <= value)))
         for bit in range(bits):
             one = F.shiftright(rank, bit).bitwiseAND(F.lit(1)).cast("long")
             key = key + F.shiftleft(one, bit * len(columns) + i)
-    return key
+    return key, cuts["rows"]
 
 
 def zorder_write(df: DataFrame, path: str, columns: Sequence[str], parts: int, bits: int = RANK_BITS, mode: str = "overwrite") -> None:
     """Rows in files along a curve through several columns, so that a filter on any one of them skips most files; of `parts` files
-    and n columns about parts ** (1 - 1 / n) hold a value of one column. Rows within a file are sorted by the columns."""
+    and n columns about parts ** (1 - 1 / n) hold a value of one column. Rows within a file are sorted by the columns. Tables of
+    more than `parts` times FILE_ROWS rows get more files, and a crowded place on the curve is split by the columns themselves, so
+    that no task sorts much more than FILE_ROWS rows but where they agree in all columns."""
     if bits * len(columns) > 62:
         raise ValueError("too many bits")
-    keyed = df.withColumn("_curve", interleaved(df, columns, bits))
-    keyed.repartitionByRange(parts, "_curve").sortWithinPartitions(*columns).drop("_curve").write.mode(mode).parquet(path)
+    curve, rows = interleaved(df, columns, bits)
+    keyed = df.withColumn("_curve", curve)
+    files = max(parts, -(-rows // FILE_ROWS))
+    keyed.repartitionByRange(files, "_curve", *columns).sortWithinPartitions(*columns).drop("_curve").write.mode(mode).parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite") -> DataFrame:
