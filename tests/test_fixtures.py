@@ -1013,6 +1013,37 @@ def test_ordinary_pages_are_cut_before_the_shuffle(spark, capsys):
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
 
 
+def test_bulk_search_by_samples_gives_the_same_pages_and_meets_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    fields = [f.name for f in spark.createDataFrame(SEED, SEED_SCHEMA).schema]
+    seen = [dict(zip(fields, SEED[k % len(SEED)])) for k in range(6000)]
+    for k, r in enumerate(seen):
+        r["transaction_id"] = None if k % 500 == 3 else f"T{k % 5900}"
+        r["transaction_ts"] = None if k % 300 == 7 else ts("2026-01-01") + dt.timedelta(days=int(rng.integers(0, 120)))
+        r["total_cents"] = int(rng.integers(1, 20_000))
+    receipts = spark.createDataFrame([tuple(r[f] for f in fields) for r in seen], SEED_SCHEMA)
+    asked = [
+        (1, None, None, "east", None, None, None, None, None, 5, 2), (2, None, "S1", None, "2026-01-15", "2026-03-03", None, None, None, 9, 0),
+        (3, None, None, None, None, None, 10.0, 150.0, None, 7, 3), (3, None, None, "%", None, None, None, None, None, 4, 0),
+        (4, "C1", None, None, None, None, None, None, None, 1000, 0), (5, None, None, None, None, None, 5.0, 5.2, None, 30, 0),
+        (None, None, "S1", None, None, None, None, None, None, 6, 0), (6, None, None, None, None, "2026-02-02", None, 100.0, "4532", 3, 1),
+    ]
+    requests = spark.createDataFrame(asked, REQUESTS)
+
+    def pages(first):
+        got = search.bulk_fuzzy_search(requests, receipts, first_sample=first)
+        # rows that agree in time and id may stand in either order
+        return sorted(map(str, got.select("request_id", "position", "transaction_id", "transaction_ts").collect()))
+
+    whole = pages(10**9)
+    asked_of = []
+    real = search.top_per_key
+    monkeypatch.setattr(search, "top_per_key", lambda df, *rest: (asked_of.append(df), real(df, *rest))[1])
+    assert pages(10) == whole and len(whole) > 50
+    assert len(asked_of) >= 3
+    assert asked_of[-1].filter("request_id IN (1, 2)").count() * 5 < receipts.filter("store_name ILIKE '%east%'").count()
+
+
 def test_one_user_without_a_pause_is_throttled_block_by_block(spark):
     rng = np.random.default_rng(21)
     start = ts("2026-01-01 00:00:00")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillworks.functions.receipt_text import dollars_to_cents
 from tillworks.operators.dedup import top_per_key
 from tillworks.operators.substring import contains_pairs, longest_literal
+from tillworks.session import release_folder, run_folder
 
 MAX_DOLLARS = 10_000_000
 MAX_LIMIT = 1000
@@ -279,8 +280,43 @@ def _receipt_keys(receipts: DataFrame, ways: list[str]) -> DataFrame:
     return receipts.withColumn("_key", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())))
 
 
+#: Receipts up to about this number are searched at once, more of them after growing samples.
+FIRST_SAMPLE = 50_000
+_GROWTH = 8
+_COARSEST = _GROWTH**5
+
+
+def _sample(receipts: DataFrame, one_in: int) -> DataFrame:
+    """One transaction in so many, always the same ones; the test goes down to the scan."""
+    return receipts.filter(F.pmod(F.xxhash64("transaction_id"), F.lit(one_in)) == 0)
+
+
+def _sample_steps(receipts: DataFrame, first: int) -> list[int]:
+    """One transaction in how many each sample holds, the smallest sample first; empty where the receipts are few."""
+    about = _sample(receipts, _GROWTH**2).select("transaction_id").count() * _GROWTH**2
+    one_in = 1
+    while one_in < _COARSEST and about > first * one_in:
+        one_in *= _GROWTH
+    return [_GROWTH**k for k in range(5, 0, -1) if _GROWTH**k <= one_in]
+
+
+def _not_older() -> Column:
+    """Whether a receipt is the last row of its request's page as found so far (`q_last_ts`, `q_last_id`), or newer."""
+    at, key = F.col("transaction_ts"), F.col("transaction_id")
+    tied = (at == F.col("q_last_ts")) & (key.isNull() | F.coalesce(key <= F.col("q_last_id"), F.lit(False)))
+    return F.col("q_last_ts").isNull() | F.coalesce((at > F.col("q_last_ts")) | tied, F.lit(False))
+
+
+def _with_last(asked: DataFrame, last: DataFrame) -> DataFrame:
+    """Requests that need not look further back than the last row of a page already found."""
+    known = last.withColumnRenamed("request_id", "_request")
+    near = asked.join(known, F.col("request_id").eqNullSafe(F.col("_request")), "left").drop("_request")
+    return near.withColumn("q_from", F.greatest("q_from", "q_last_ts"))
+
+
 def bulk_fuzzy_search(
-    requests: DataFrame, receipts: DataFrame, stores: DataFrame | None = None, span: tuple[object, object] | None = None
+    requests: DataFrame, receipts: DataFrame, stores: DataFrame | None = None, span: tuple[object, object] | None = None,
+    first_sample: int = FIRST_SAMPLE,
 ) -> DataFrame:
     """Every request answered as by `fuzzy_search`: its newest `limit` receipts after `offset`, ranked.
 
@@ -293,6 +329,10 @@ def bulk_fuzzy_search(
     last row, so neither a hot store nor one deep page sends its matches to one place. `stores` (store
     names) and `span` (a first and last time that cover all receipts) may be given, each to spare a pass
     over the receipts. Refused requests give no rows.
+
+    Where receipts are many, requests of ordinary pages first search samples of them, each _GROWTH times the one before, from about
+    `first_sample` receipts on: the last row of a full page found in a sample is one that the true page does not reach behind,
+    so the next search begins there. However many receipts match, a request then meets a few times its page at each step.
     """
     asked = _asked(requests)
     pages = asked.groupBy("way").agg(F.max("q_end").alias("end"), F.bool_or(F.col("q_store_like").isNotNull()).alias("like")).collect()
@@ -301,11 +341,33 @@ def bulk_fuzzy_search(
         span = receipts.agg(F.min("transaction_ts"), F.max("transaction_ts")).first()
     like = any(r["like"] for r in pages if r["way"] != "name")  # by name they are resolved to stores beforehand
     names = (stores if stores is not None else receipts).select("store_name").distinct()
-    keyed = _request_keys(asked, names, ways, *span)
-    found = _receipt_keys(receipts, ways).join(keyed, "_key").filter(_matches(like)).select("request_id", "q_offset", "q_end", *receipts.columns)
     ordinary = int(receipts.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")) - 1
     deepest = max((r["end"] for r in pages), default=0)
     page = min(deepest, ordinary) or 1
+    folder = None
+
+    def hits(asked: DataFrame, receipts: DataFrame) -> DataFrame:
+        keyed = _request_keys(asked, names, ways, *span)
+        found = _receipt_keys(receipts, ways).join(keyed, "_key").filter(_matches(like))
+        return found if folder is None else found.filter(_not_older())
+
+    def known(asked: DataFrame) -> DataFrame:
+        return asked if folder is None else _with_last(asked, receipts.sparkSession.read.parquet(folder))
+
+    # the deepest page asked under an id, should several requests share it
+    ends = asked.groupBy("request_id").agg(F.max("q_end").alias("q_end"))
+    shallow = ends.filter(F.col("q_end") <= ordinary).withColumnRenamed("request_id", "_request")
+    for one_in in _sample_steps(receipts, first_sample) if pages else []:
+        again = asked.drop("q_end").join(shallow, F.col("request_id").eqNullSafe(F.col("_request"))).drop("_request")
+        met = hits(known(again), _sample(receipts, one_in)).select("request_id", "q_end", "transaction_ts", "transaction_id")
+        full = top_per_key(met, ["request_id"], newest_first(), page, "_at").filter(F.col("_at") == F.col("q_end"))
+        last = full.select("request_id", F.col("transaction_ts").alias("q_last_ts"), F.col("transaction_id").alias("q_last_id"))
+        # every sample holds the ones before, so a page once full stays full
+        before, folder = folder, run_folder(receipts.sparkSession, "pages")
+        last.write.parquet(folder)
+        if before is not None:
+            release_folder(receipts.sparkSession, before)
+    found = hits(known(asked), receipts).select("request_id", "q_offset", "q_end", *receipts.columns)
     ranked = top_per_key(found.filter(F.col("q_end") <= ordinary) if deepest > ordinary else found, ["request_id"], newest_first(), page, "position")
     if deepest > ordinary:
         salt = F.pmod(F.xxhash64("transaction_id"), F.lit(_SALTS))
