@@ -1221,3 +1221,60 @@ def test_migration_goes_on_where_it_was_cut_short(spark):
     assert {(r.matches, r.moved_rows == r.stored_rows) for r in migration.finished(spark, root).collect()} == {(True, True)}
     with pytest.raises(ValueError, match="schema mismatch"):
         migration.migrate_job(source, run_folder(spark, "move"), moved.withColumn("more", F.lit(1)).schema)
+
+
+#: A feed with re-deliveries, lines without a number, a receipt of several parts, lines without a receipt and refused rows.
+FEED_LINES = [*ODD_LINES, *ODD_LINES, item("T1", 600, ingested_ts=ts("2026-02-19 00:00:00"), sku="LATER", department_code="FISH")]
+FEED_LINES += [item("T2", 1, extended_cents=100, discount_cents=5), item("T5", 1, extended_cents=-1), item(None, 3), item(None, 700), item(None, None)]
+FEED_HEADERS = [header(f"T{k}", ingested_ts=ts(f"2026-02-{d} 00:00:00"), total_cents=k * d) for k in range(1, 7) for d in (10, 12, 12)]
+
+
+def test_batch_shuffles_lines_once_and_keeps_every_table(spark):
+    from tillworks.plans import batch
+
+    root = run_folder(spark, "bucketed")
+    spark.createDataFrame(FEED_LINES, schemas.RAW_ITEMS).write.parquet(f"{root}/lines")
+    lines, heads = spark.read.schema(schemas.RAW_ITEMS).parquet(f"{root}/lines"), headers(spark, *FEED_HEADERS, header(None))
+    for rules in ({}, {"item_rules": (), "header_rules": ()}):
+        made = batch.run_batch(heads, lines, f"{root}/one", **rules)  # the second run overwrites the first
+        gated = [quality.gate(df, rules.get(f"{k}_rules", given)) for df, k, given in (
+            (heads, "header", quality.RECEIPT_RULES), (lines, "item", quality.ITEM_RULES))]
+        plain = {"receipts": dedup_receipts(gated[0]), "items": dedup_items(gated[1])}
+        plain |= batch.write_gold(plain["receipts"], plain["items"], f"{root}/plain{len(rules)}")
+        assert set(made) == set(plain)
+        for name, rows in plain.items():
+            assert made[name].columns == rows.columns
+            assert sorted(map(repr, made[name].collect())) == sorted(map(repr, rows.collect())), name
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("in_buckets_")]
+
+
+def test_silver_in_buckets_needs_no_shuffle_by_receipt(spark, capsys):
+    from tillworks.plans import batch
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        heads, lines = batch.write_silver(headers(spark, *FEED_HEADERS), items(spark, *FEED_LINES), run_folder(spark, "silver"))
+        silver.items_per_receipt(lines, together=True).explain()
+        gold.receipt_lookup(silver.receipt_lookup_silver(heads, lines)).explain()
+        assert capsys.readouterr().out.count("Exchange") == 0
+        gold.spending_summary(lines, heads).explain()
+        assert capsys.readouterr().out.count("Exchange") == 1  # by customer, department and month
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_the_first_row_of_a_run_leaves_a_task(spark):
+    import pyarrow as pa
+
+    from tillworks.operators.dedup import first_of_runs
+
+    keys = [(None, None), (None, None), (None, 1), (1, None), (1, 1), (1, 1), (1, 2), (2, 2)]
+    for cuts in ([8], [1] * 8, [2, 0, 3, 3], [5, 3]):
+        ends = np.cumsum(cuts)
+        batches = [pa.RecordBatch.from_arrays(
+            [pa.array([k[i] for k in keys[e - n:e]], pa.int64()) for i in (0, 1)] + [pa.array(range(e - n, e), pa.int64())], ["a", "b", "at"]
+        ) for n, e in zip(cuts, map(int, ends), strict=True)]
+        assert [at for batch in first_of_runs(["a", "b"])(iter(batches)) for at in batch.column("at").to_pylist()] == [0, 2, 3, 4, 6, 7]
+    copies = spark.range(0, 4000, 1, 4).select(F.lit("K").alias("k"), F.col("id").alias("ingested_ts"))
+    left = copies.sortWithinPartitions("k", F.desc("ingested_ts")).mapInArrow(first_of_runs(["k"]), copies.schema)
+    assert sorted(r.ingested_ts for r in left.collect()) == [999, 1999, 2999, 3999]

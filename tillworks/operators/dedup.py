@@ -6,8 +6,10 @@ the shuffle (WindowGroupLimit), so a key re-delivered any number of times costs
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,11 +61,47 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], sequence: str = "ingested
     return top_per_key(df, keys, [F.desc(c) for c in latest_order(df.columns, keys, sequence)])
 
 
-def dedup_receipts(headers: DataFrame) -> DataFrame:
-    """One header per transaction; headers without a positive total leave."""
-    return latest_per_key(headers, ["transaction_id"]).filter(F.col("total_cents") > 0)
+def first_of_runs(keys: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over sorted rows: the first row of each run that agrees in the keys, NULL agreeing with NULL."""
 
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.array([last is None] + [False] * (batch.num_rows - 1))
+            for key in keys:
+                column = batch.column(key)
+                before = pa.concat_arrays([last.column(key) if last else pa.nulls(1, column.type), column.slice(0, batch.num_rows - 1)])
+                differs = pc.or_(pc.fill_null(pc.not_equal(column, before), False), pc.xor(column.is_null(), before.is_null()))
+                new = pc.or_(new, differs)
+            yield batch.filter(new)
+            last = batch.slice(batch.num_rows - 1, 1)
 
-def dedup_items(items: DataFrame) -> DataFrame:
-    """One row per transaction and line; lines with a negative amount leave."""
-    return latest_per_key(items, ["transaction_id", "item_seq"]).filter(F.col("extended_cents") >= 0)
+    return kept
+
+
+def latest_together(df: DataFrame, keys: Sequence[str], by: str, parts: int, sequence: str = "ingested_ts") -> DataFrame:
+    """The rows of `latest_per_key`, left in `parts` partitions by the hash of `by`, one of the keys, so that groupings by it need no
+    further shuffle.
+
+    The window's own shuffle would go by all keys. Its drop of all but one row of a key in each task is made up for before the
+    shuffle: rows sorted by key and rank leave a task only where the key changes, and neighbours alike shuffle as fewer bytes.
+    """
+    order = [F.desc(c) for c in latest_order(df.columns, keys, sequence)]
+    first = df.sortWithinPartitions(*keys, *order).mapInArrow(first_of_runs(keys), df.schema)
+    return latest_per_key(first.repartition(parts, by), keys, sequence)
+
+
+def dedup_receipts(headers: DataFrame, parts: int | None = None) -> DataFrame:
+    """One header per transaction; headers without a positive total leave. With `parts`, hashed into that many by transaction."""
+    keys = ["transaction_id"]
+    latest = latest_together(headers, keys, "transaction_id", parts) if parts else latest_per_key(headers, keys)
+    return latest.filter(F.col("total_cents") > 0)
+
+
+def dedup_items(items: DataFrame, parts: int | None = None) -> DataFrame:
+    """One row per transaction and line; lines with a negative amount leave. With `parts`, hashed into that many by transaction."""
+    keys = ["transaction_id", "item_seq"]
+    latest = latest_together(items, keys, "transaction_id", parts) if parts else latest_per_key(items, keys)
+    return latest.filter(F.col("extended_cents") >= 0)

@@ -1,11 +1,13 @@
 """The whole way from raw feed to gold tables, as one batch or from streams.
 
 Silver and gold are written and read back, so that each later step starts from a stored table: work is
-done once, and a lost executor costs the running stage only.
+done once, and a lost executor costs the running stage only. A batch stores silver in buckets of the
+transaction: lines are shuffled once, and what goes by receipt after that reads bucket by bucket.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,34 +20,64 @@ from tillworks.sources.keyed import exists, next_version, read_current
 from tillworks.streaming.jobs import run_batches, stream_bronze, upsert_batches
 
 GOLD_TABLES = ("receipt_lookup", "spending_summary", "customer_profiles", "product_catalog")
+#: Bytes of input files that make one bucket of silver, and the most buckets.
+BUCKET_BYTES, MAX_BUCKETS = 8_000_000, 20_000
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
     """The rows written to a folder and read back."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, path: str, key: str, buckets: int, *order: str) -> DataFrame:
+    """As `stored`, in files by the hash of the key and sorted; the frame returned knows, so groupings and joins by key need no shuffle.
+
+    Spark knows of buckets through its catalog only. The table's name goes once the frame is there; the files stay."""
+    spark, name = df.sparkSession, f"in_buckets_{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite").option("compression", "zstd").option("path", path)
+    try:
+        writer.bucketBy(buckets, key).sortBy(key, *order).saveAsTable(name)
+        return spark.read.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets by the size of the files that the rows come from; as many as a shuffle has parts where they come from no files."""
+    spark, size = df.sparkSession, 0
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    parts = -(-size // BUCKET_BYTES) or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(parts, MAX_BUCKETS)
+
+
 def write_silver(
     raw_headers: DataFrame, raw_items: DataFrame, root: str,
     header_rules: tuple[Rule, ...] = RECEIPT_RULES, item_rules: tuple[Rule, ...] = ITEM_RULES,
 ) -> tuple[DataFrame, DataFrame]:
-    """Gated and deduplicated headers and items as stored tables."""
-    headers = stored(dedup_receipts(gate(raw_headers, header_rules)), f"{root}/receipts")
-    items = stored(dedup_items(gate(raw_items, item_rules)), f"{root}/items")
-    return headers, items
+    """Gated and deduplicated headers and items as stored tables, both in the same number of buckets by transaction."""
+    parts = bucket_count(raw_items)
+    headers = dedup_receipts(gate(raw_headers, header_rules), parts)
+    items = dedup_items(gate(raw_items, item_rules), parts)
+    return (
+        stored_in_buckets(headers, f"{root}/receipts", "transaction_id", parts),
+        stored_in_buckets(items, f"{root}/items", "transaction_id", parts, "item_seq"),
+    )
 
 
 def write_gold(
-    headers: DataFrame, items: DataFrame, root: str, tables: tuple[str, ...] = GOLD_TABLES
+    headers: DataFrame, items: DataFrame, root: str, tables: tuple[str, ...] = GOLD_TABLES, together: bool = False
 ) -> dict[str, DataFrame]:
     """The gold tables asked for; profiles build on the stored spending instead of joining items again.
 
-    `receipt_lines`, stored beside `receipt_lookup`, holds the lines in parts of bounded size.
+    `receipt_lines`, stored beside `receipt_lookup`, holds the lines in parts of bounded size. `together` tells that the items lie
+    in buckets of their transaction.
     """
     made: dict[str, DataFrame] = {}
     if "receipt_lookup" in tables:
-        made["receipt_lines"] = stored(items_per_receipt(items), f"{root}/receipt_lines")
+        made["receipt_lines"] = stored(items_per_receipt(items, together=together), f"{root}/receipt_lines")
         lookup = gold.receipt_lookup(receipt_lookup_silver(headers, items))
         made["receipt_lookup"] = stored(lookup, f"{root}/receipt_lookup")
     if {"spending_summary", "customer_profiles"} & set(tables):
@@ -62,7 +94,7 @@ def write_gold(
 
 def run_batch(raw_headers: DataFrame, raw_items: DataFrame, root: str, **rules: tuple[Rule, ...]) -> dict[str, DataFrame]:
     headers, items = write_silver(raw_headers, raw_items, f"{root}/silver", **rules)
-    return {"receipts": headers, "items": items, **write_gold(headers, items, f"{root}/gold")}
+    return {"receipts": headers, "items": items, **write_gold(headers, items, f"{root}/gold", together=True)}
 
 
 def _first_version(spark: SparkSession, root: str, name: str) -> int:

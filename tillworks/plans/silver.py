@@ -22,14 +22,22 @@ ITEM_FIELDS = (
 )
 
 
-def in_parts(lines: DataFrame, seq: str = "item_seq", part_size: int = PART_SIZE) -> DataFrame:
+def in_parts(lines: DataFrame, seq: str = "item_seq", part_size: int = PART_SIZE, together: bool = False) -> DataFrame:
     """Lines with their `item_part`: 0 for the first `part_size` numbered lines of a receipt by rank, then 1, 2, …; -1, -2, …
     for lines without a number.
 
-    Lines are ranked within blocks of numbers, and blocks by a running count, so that no task sorts all lines of a receipt.
+    Lines are ranked within blocks of numbers, and blocks by a running count, so that no task sorts all lines of a receipt. Where
+    the lines lie `together` by receipt already, as in buckets, one window ranks them without a shuffle, with the same result.
     """
     unnumbered = -(2**62)
     blocked = lines.withColumn("_block", F.coalesce(F.floor(F.col(seq) / part_size).cast("bigint"), F.lit(unnumbered)))
+    if together:
+        # lines of no receipt stay in parts by their number
+        stray = F.when(F.col("transaction_id").isNull(), F.col("_block"))
+        within = Window.partitionBy("transaction_id", F.col(seq).isNull(), stray).orderBy(seq, F.xxhash64(*lines.columns))
+        ranked = blocked.withColumn("_rank", F.row_number().over(within) - 1)
+        start = F.when(F.col("transaction_id").isNull() & F.col(seq).isNotNull(), F.col("_block") * part_size).otherwise(F.lit(0))
+        return _with_part(ranked, lines.columns, seq, F.floor((start + F.col("_rank")) / part_size))
     upto = Window.partitionBy("transaction_id", F.col("_block") == unnumbered).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocked.groupBy("transaction_id", "_block").agg(F.count(F.lit(1)).alias("_lines")).select(
         "transaction_id", "_block", F.coalesce(F.sum("_lines").over(upto), F.lit(0)).alias("_before"))
@@ -37,9 +45,12 @@ def in_parts(lines: DataFrame, seq: str = "item_seq", part_size: int = PART_SIZE
     ranked = blocked.withColumn("_rank", F.row_number().over(within) - 1).join(before, ["transaction_id", "_block"], "left")
     # lines of no receipt meet no count and stay in parts by their number
     start = F.coalesce("_before", F.when(F.col(seq).isNotNull(), F.col("_block") * part_size), F.lit(0))
-    part = F.floor((start + F.col("_rank")) / part_size).cast("bigint")
-    part = F.when(F.col(seq).isNull(), -1 - part).otherwise(part)
-    return ranked.select(*(F.col(f"`{c}`") for c in lines.columns), part.alias("item_part"))
+    return _with_part(ranked, lines.columns, seq, F.floor((start + F.col("_rank")) / part_size))
+
+
+def _with_part(ranked: DataFrame, columns: list[str], seq: str, part: Column) -> DataFrame:
+    part = F.when(F.col(seq).isNull(), -1 - part.cast("bigint")).otherwise(part.cast("bigint"))
+    return ranked.select(*(F.col(f"`{c}`") for c in columns), part.alias("item_part"))
 
 
 def part_order(part: str = "item_part") -> Column:
@@ -61,9 +72,11 @@ def _fold(items: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def items_per_receipt(items: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Counts, sums, ordered item structs and department sets per receipt and part, for every receipt whatever its length."""
-    return _fold(in_parts(items, part_size=part_size), ["transaction_id", "item_part"])
+def items_per_receipt(items: DataFrame, part_size: int = PART_SIZE, together: bool = False) -> DataFrame:
+    """Counts, sums, ordered item structs and department sets per receipt and part, for every receipt whatever its length.
+
+    `together` tells that the items lie in buckets of their receipt (see `in_parts`)."""
+    return _fold(in_parts(items, part_size=part_size, together=together), ["transaction_id", "item_part"])
 
 
 def line_figures(items: DataFrame) -> DataFrame:
