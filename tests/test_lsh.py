@@ -97,6 +97,68 @@ def test_a_bucket_in_parts_and_repeated_rows(spark, monkeypatch):
     assert len(got[2]) == 3 and got[2][0] == 70
 
 
+def _met_and_ranked(spark, asked, rows, dim, k, threshold, tables, bits, probes):
+    """What the join has to find, by comparing every pair that shares a bucket."""
+    q, c = (spark.createDataFrame([(n, v) for n, (_, v) in enumerate(x)], "n long, v array<double>") for x in (asked, rows))
+    pairs = (q.select(F.col("n").alias("q"), F.explode(knn.lsh_probes("v", dim, tables, bits, probes)).alias("b"))
+             .join(c.select(F.col("n").alias("c"), F.explode(knn.lsh_buckets("v", dim, tables, bits)).alias("b")), "b").select("q", "c").distinct())
+    found = {}
+    for q, c in pairs.collect():
+        a, b = np.array(asked[q][1]), np.array(rows[c][1])
+        norms = np.sqrt(a @ a) * np.sqrt(b @ b)
+        score = round(float(a @ b / norms), 9) if norms else -9.0
+        score = np.inf if np.isnan(score) else score
+        if norms and (threshold is None or score > threshold):
+            found.setdefault(asked[q][0], set()).add((-score, rows[c][0] is not None, rows[c][0] or 0, rows[c][0]))
+    return {q: [(x[-1], -x[0]) for x in sorted(f)[:k]] for q, f in found.items()}
+
+
+@pytest.mark.parametrize("threshold", [None, 0.2])
+@pytest.mark.parametrize("cell", [7, 4096])
+def test_the_many_query_join_on_awkward_rows(spark, monkeypatch, threshold, cell):
+    monkeypatch.setattr(knn, "CELL_ROWS", cell)
+    rng = np.random.default_rng(15)
+    rows = [(n, rng.normal(size=8).tolist()) for n in range(60)]
+    rows += [(100 + n, rows[3][1]) for n in range(12)]  # a group of equal vectors
+    rows += [(5, [x * (n + 2) for x in rows[5][1]]) for n in range(40)]  # one key with many vectors of one direction
+    rows += [(None, rows[7][1]), (None, rows[8][1]), (200, [float("nan")] + [1.0] * 7), (201, [0.0] * 8)]
+    rows += [(202, [x * 1e-120 for x in rows[9][1]]), (203, [x * 1e120 for x in rows[9][1]])]
+    asked = [(n, rows[n][1]) for n in range(12)] + [(n, rows[n + 20][1]) for n in range(4)] + [(None, rows[2][1]), (50, rows[-1][1])]
+    corpus, queries = spark.createDataFrame(rows, "sku long, embedding array<double>"), spark.createDataFrame(asked, "query_id long, vector array<double>")
+    found = knn.knn_join_lsh(queries, corpus, 8, k=4, threshold=threshold, tables=4, bits=3, probes=2).collect()
+    wanted = _met_and_ranked(spark, asked, rows, 8, 4, threshold, 4, 3, 2)
+    assert {r.query_id for r in found} == set(wanted)
+    for q, best in wanted.items():
+        mine = sorted((r.position, r.sku, np.inf if np.isnan(r.similarity) else r.similarity) for r in found if r.query_id == q)
+        assert [m[:2] for m in mine] == [(n, sku) for n, (sku, _) in enumerate(best, 1)]
+        assert [m[2] for m in mine] == pytest.approx([s for _, s in best], abs=2e-9)
+
+
+def test_no_vectors_pass_through_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    corpus = spark.createDataFrame([(n, rng.normal(size=16).tolist()) for n in range(300)], "sku long, embedding array<float>")
+    queries = corpus.select(F.col("sku").alias("query_id"), F.col("embedding").alias("vector"))
+    found = knn.knn_join_lsh(queries, corpus, 16, k=3, tables=8, bits=4, probes=1)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.filter("query_id = sku AND position = 1").count() == 300
+    # and each row is shuffled once for each part of the other side, not once for each bucket
+    monkeypatch.setattr(knn, "CELL_ROWS", 100)
+    near = knn._nearest_in_cell
+    together = spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        def run(left, right):
+            together.add(left.num_rows + right.num_rows)
+            return kept(left, right)
+
+        kept = near(*args)
+        return run
+
+    monkeypatch.setattr(knn, "_nearest_in_cell", counted)
+    knn.knn_join_lsh(queries, corpus, 16, k=3, tables=8, bits=4, probes=1).collect()
+    assert together.value == 2 * 3 * 300
+
+
 def test_few_pairs_are_scored_in_double_precision(monkeypatch):
     rng = np.random.default_rng(14)
     corpus, asked = rng.normal(size=(6000, 64)), rng.normal(size=(300, 64))

@@ -244,13 +244,52 @@ def lsh_probes(column: str, dim: int, tables: int, bits: int, probes: int) -> Co
 JOIN_TABLES, JOIN_BITS, JOIN_PROBES = 40, 8, 3
 
 
-#: Rows of one side of a bucket that are compared at a time.
-CELL_ROWS = 4096
+#: Rows of one side, and bytes of their vectors in double precision, that are compared at a time; no fewer than the least to busy more tasks.
+CELL_ROWS = 32768
+_CELL_BYTES = 1 << 25
+_LEAST_ROWS = 4096
 _SCORES_AT_ONCE = 1 << 21
 
 
+def _labels(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each value, NULL being one; for each row where Arrow cannot tell values apart."""
+    if pa.types.is_nested(column.type):
+        return np.arange(len(column))
+    return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def _meetings(asked: np.ndarray, held: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Table by table the rows of both sides that share a bucket, ascending; asked: by row, table and probe, held: by row and table."""
+    for table in range(held.shape[1]):
+        codes = asked[:, table].ravel()
+        at, to = np.argsort(codes, kind="stable"), np.argsort(held[:, table], kind="stable")
+        buckets, starts = np.unique(held[to, table], return_index=True)
+        ends = np.append(starts[1:], len(to))
+        lows, highs = (np.searchsorted(codes[at], buckets, side) for side in ("left", "right"))
+        at //= asked.shape[2]
+        for n in np.flatnonzero(highs > lows).tolist():
+            yield at[lows[n]: highs[n]], to[starts[n]: ends[n]]
+
+
+def _foremost(scores: np.ndarray, wanted: int) -> np.ndarray:
+    """Marks the highest scores of each row, ties by place, and every NaN."""
+    if wanted >= scores.shape[1]:
+        return np.ones(scores.shape, bool)
+    unknown = np.isnan(scores)
+    scores = np.where(unknown, -np.inf, np.round(scores, 9) + 0.0)
+    last = np.partition(scores, scores.shape[1] - wanted, axis=1)[:, scores.shape[1] - wanted, None]
+    above, tied = scores > last, scores == last
+    room = wanted - above.sum(1)
+    if (tied.sum(1) > room).any():
+        tied &= np.cumsum(tied, axis=1) <= room[:, None]
+    return above | tied | unknown
+
+
 def _nearest_in_cell(k: int, threshold: float | None, schema: pa.Schema):
-    """For each query of a cell the best rows of the cell, so many that k different ones are among them. NaN counts as highest."""
+    """For each query of a cell the best k different rows among those of the cell that share a bucket with it. NaN counts as highest.
+
+    Products of unit vectors rule out what lies behind the k-th best so far; the other pairs are scored from the vectors as given.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -259,28 +298,74 @@ def _nearest_in_cell(k: int, threshold: float | None, schema: pa.Schema):
         right = right.take(pc.sort_indices(right, [("_key", "ascending")], null_placement="at_start"))
         a, b = (_matrix(t.column("_v").combine_chunks()) for t in (left, right))
         an, bn = (t.column("_norm").to_numpy() for t in (left, right))
-        same = right.column("_key").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-        wanted = k * int(np.bincount(same).max())  # a key with several vectors may come up several times with one score
-        found = []
-        step = max(1, _SCORES_AT_ONCE // len(b))
-        for low in range(0, len(a), step):
-            with np.errstate(all="ignore"):
-                scores = np.round(a[low: low + step] @ b.T / (an[low: low + step, None] * bn), 9) + 0.0
-            scores[np.isnan(scores)] = np.inf
-            kept = np.ones(scores.shape, bool) if threshold is None else scores > threshold
-            if wanted < len(b):
-                last = np.partition(scores, len(b) - wanted, axis=1)[:, len(b) - wanted, None]
-                above, tied = scores > last, scores == last
-                room = wanted - above.sum(1)
-                if (tied.sum(1) > room).any():
-                    tied &= np.cumsum(tied, axis=1) <= room[:, None]
-                kept &= above | tied
-            q, c = np.nonzero(kept)
-            found.append((q + low, c, scores[q, c]))
-        q, c, scores = (np.concatenate(x) for x in zip(*found))
-        scores = np.where(np.isinf(scores), np.nan, scores)
-        return pa.Table.from_arrays(
-            [left.column("query_id").take(pa.array(q)), right.column("_key").take(pa.array(c)), pa.array(scores)], schema=schema)
+        held = np.asarray(pc.list_flatten(right.column("_bucket"))).reshape(len(b), -1)
+        asked = np.asarray(pc.list_flatten(left.column("_bucket"))).reshape(len(a), held.shape[1], -1)
+        whose, same = _labels(left.column("query_id")), _labels(right.column("_key"))
+        with np.errstate(all="ignore"):  # products that would be far off are NaN, which rules nothing out
+            ua, ub = (np.where(((n > 1e-100) & (n < 1e100))[:, None], m / n[:, None], np.nan) for m, n in ((a, an), (b, bn)))
+        off = (a.shape[1] + 8) * 2.0**-50
+        owners = int(whose.max()) + 1
+        # a pair counts above the least score of its query, or with that score if it comes before the last place
+        least, last = np.full(owners, -np.inf if threshold is None else threshold), np.full(owners, -1)
+        over, tie, before = least[whose] - 1e-9, np.full(len(a), np.inf), last[whose]
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        met: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+            scores, step = np.empty(len(q)), max(1, 2 * _SCORES_AT_ONCE // a.shape[1])
+            for low in range(0, len(q), step):
+                x, y = q[low: low + step], c[low: low + step]
+                with np.errstate(all="ignore"):
+                    scores[low: low + step] = np.round(np.einsum("ij,ij->i", a[x], b[y]) / (an[x] * bn[y]), 9) + 0.0
+            return np.where(np.isnan(scores), np.inf, scores)
+
+        def settle() -> None:
+            nonlocal best, over, tie, before
+            q, c = (np.concatenate(x) for x in zip(*met))
+            met.clear()
+            scores, owner = exact(q, c), whose[q]
+            ok = (scores > least[owner]) | (scores == least[owner]) & (c < last[owner])
+            owner, c, scores = (np.concatenate(x) for x in zip(best, (owner[ok], c[ok], scores[ok])))
+            order = np.lexsort((c, -scores, owner))
+            owner, c, scores = owner[order], c[order], scores[order]
+            new = np.ones(len(owner), bool)  # a pair meets in several tables, and a key may have several vectors
+            new[1:] = (owner[1:] != owner[:-1]) | (scores[1:] != scores[:-1]) | (same[c[1:]] != same[c[:-1]])
+            owner, c, scores = owner[new], c[new], scores[new]
+            kept = np.arange(len(owner)) - np.searchsorted(owner, owner) < k
+            best = owner, c, scores = owner[kept], c[kept], scores[kept]
+            full = np.flatnonzero(np.bincount(owner, minlength=owners) == k)
+            ends = np.searchsorted(owner, full, "right") - 1
+            least[full], last[full] = scores[ends], c[ends]
+            before = last[whose]
+            over = least[whose] + np.where(before < 0, -1e-9, 0.5e-9 - off)
+            tie = np.where(before < 0, np.inf, least[whose] - 0.5e-9 - off)
+
+        waiting = 0
+        for at, to in _meetings(asked, held):
+            across, step = ub[to].T, max(1, _SCORES_AT_ONCE // len(to))
+            for low in range(0, len(at), step):
+                q = at[low: low + step]
+                scores = ua[q] @ across
+                sooner = to < before[q, None]
+                kept = ~(scores <= over[q, None]) | (scores >= tie[q, None]) & sooner
+                if np.isinf(ends := over[q]).any():  # nothing lies above NaN
+                    kept &= (ends < np.inf)[:, None] | sooner
+                if np.count_nonzero(kept) > 4 * k * len(q):  # a key with several vectors may come up several times with one score
+                    kept &= _foremost(scores, k * int(np.unique(same[to], return_counts=True)[1].max()))
+                row, place = np.divmod(np.flatnonzero(kept), len(to))
+                met.append((q[row], to[place]))
+                waiting += len(row)
+                if waiting >= 4 * _PAIRS_AT_ONCE:
+                    settle()
+                    waiting = 0
+        if waiting:
+            settle()
+        owner, c, scores = best
+        one = np.zeros(owners, np.int64)
+        one[whose] = np.arange(len(a))
+        return pa.Table.from_arrays([
+            left.column("query_id").take(pa.array(one[owner])), right.column("_key").take(pa.array(c)),
+            pa.array(np.where(np.isinf(scores), np.nan, scores))], schema=schema)
 
     return run
 
@@ -291,48 +376,49 @@ def knn_join_lsh(
 ) -> DataFrame:
     """The k most similar corpus rows of every query (query_id, vector) among those that share a bucket with it, ranked exactly.
 
-    Queries and corpus meet on equal bucket numbers in one shuffle, each row once per table and a query also under the buckets
-    across its nearest planes; nothing passes through the driver, and any number of queries is one pass. The rows of a bucket are
-    compared by matrix products, a bucket of more than CELL_ROWS rows in parts, every part of one side with every part of the
-    other; the best k rows of a query go on from each, and pairs that met in several tables are then counted once. Vectors of
-    another length and zero vectors meet nothing. `lsh_recall` tells what share of the neighbours is found.
+    Both sides are cut into parts of at most CELL_ROWS rows, and every part of one meets every part of the other in one shuffle, each
+    row once for each part of the other side with its bucket numbers, a query also with those across its nearest planes; nothing but
+    the two counts passes through the driver. In a task the rows that share a bucket are compared by matrix products and the best k
+    rows of a query go on. Vectors of another length and zero vectors meet nothing. `lsh_recall` tells what share of the neighbours
+    is found.
     """
+    # the number of a bucket within its table, in as few bytes as it takes
+    kind = next(name for most, name in ((8, "tinyint"), (16, "smallint"), (32, "int"), (64, "bigint")) if bits <= most)
+
     def placed(df: DataFrame, buckets: Column, name: str) -> DataFrame:
         # dealt by a fixed number: the rows are few bytes, but each takes long
         spread = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *df.columns)
         wide = spread.distinct().filter(F.size("_v") == dim).withColumn("_d", F.col("_v").cast("array<double>"))
         rows = wide.withColumn("_norm", F.sqrt(dot(F.col("_d"), F.col("_d")))).filter(F.col("_norm") > 0)
-        # written out, as the buckets are counted before they meet
+        small = F.transform(buckets, lambda b: (b.bitwiseAND(F.lit((1 << bits) - 1)) - ((1 << bits) >> 1)).cast(kind))
+        # written out, as the rows are counted before they meet
         folder = run_folder(df.sparkSession, name)
-        rows.withColumn("_bucket", buckets).drop("_d").write.parquet(folder)
+        rows.withColumn("_bucket", small).drop("_d").write.parquet(folder)
         return df.sparkSession.read.parquet(folder)
 
     asked = placed(queries.select("query_id", F.col("vector").alias("_v")), lsh_probes("_d", dim, tables, bits, probes), "lsh-queries")
     held = placed(corpus.select(F.col(key).alias("_key"), F.col("embedding").alias("_v")), lsh_buckets("_d", dim, tables, bits), "lsh-corpus")
+    sizes = asked.count(), held.count()
+    rows = math.isqrt(sizes[0] * sizes[1] // (4 * corpus.sparkSession.sparkContext.defaultParallelism))
+    rows = max(1, min(CELL_ROWS, _CELL_BYTES // (8 * max(dim, 1)), max(_LEAST_ROWS, rows)))
+    left, right = (max(1, math.ceil(n / rows)) for n in sizes)
 
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        sizes = df.select(F.explode("_bucket").alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-        return sizes.select("_bucket", F.ceil(F.col("n") / CELL_ROWS).alias(name))
-
-    cells = parts(asked, "_left").join(parts(held, "_right"), "_bucket")
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        """Each row in one part of its bucket, once for each part of the other side."""
-        rows = df.withColumn("_bucket", F.explode("_bucket")).join(cells, "_bucket")
-        rows = rows.withColumn("_at", F.pmod(F.xxhash64(df.columns[0], "_v"), F.col(own)))
-        rows = rows.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-        return rows.withColumnsRenamed({"_at": f"{own}_part", "_to": f"{other}_part"}).drop("_left", "_right")
+    def dealt(df: DataFrame, own: int, other: int, cell: Callable[[Column, Column], Column]) -> DataFrame:
+        """Each row in one part of its side, once for each part of the other side."""
+        at = F.pmod(F.xxhash64(df.columns[0], "_v"), F.lit(own).cast("long"))
+        rows = df.withColumn("_at", at).withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))))
+        return rows.withColumn("_cell", cell(F.col("_at"), F.col("_to"))).drop("_at", "_to")
 
-    by = ["_bucket", "_left_part", "_right_part"]
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("_key", corpus.schema[key].dataType), T.StructField("similarity", T.DoubleType()),
     ])
-    met = dealt(asked, "_left", "_right").groupBy(*by).cogroup(dealt(held, "_right", "_left").groupBy(*by))
+    met = dealt(asked, left, right, lambda at, to: at * right + to).groupBy("_cell").cogroup(
+        dealt(held, right, left, lambda at, to: to * right + at).groupBy("_cell"))
     scored = met.applyInArrow(_nearest_in_cell(k, threshold, to_arrow_schema(schema)), schema)
-    order = [F.desc("similarity"), F.asc("_key")]
-    once = top_per_key(scored, ["query_id"], order, k * tables).distinct()
-    return top_per_key(once, ["query_id"], order, k, "position").withColumnRenamed("_key", key)
+    # a key with several vectors may come from several parts
+    once = scored.repartition("query_id").distinct()
+    return top_per_key(once, ["query_id"], [F.desc("similarity"), F.asc("_key")], k, "position").withColumnRenamed("_key", key)
 
 
 def lsh_recall(found: DataFrame, exact: DataFrame, key: str = "sku") -> DataFrame:
